@@ -41,7 +41,7 @@ def company_sections(snapshot: DataFrame, latest: DataFrame | None = None) -> Da
         "icp": [_counts("icp").alias("icp_counts"), F.col("icp").alias("icp_carriers"), mode],
         "website": [F.col("website_search"), F.col("website_crawl"), mode],
         "social": [F.col("social").alias("social_account_verifications"), mode],
-        "risk": [F.col("risk").alias("risk")],
+        "risk": [F.col("risk").alias("risk"), mode],
         "evidence": [F.col("risk.executive_summary"), F.col("risk.evidence"),
                      F.col("risk.inferences"), F.col("risk.uncertainties"),
                      F.col("risk.change_conditions"), F.col("risk.human_review"), mode,

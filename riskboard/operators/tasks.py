@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import label
@@ -86,10 +86,11 @@ def task_cards(task: DataFrame) -> DataFrame:
         F.substring(indented_json(F.col("summary")), 1, 1000).alias("detail"))
 
 
-def phase_results(task: DataFrame, company: Column | int | str, phase: str = "RISK_ANALYSIS"
-                  ) -> DataFrame:
-    """Tasks of one company and phase."""
-    return task.filter((F.col("company_id") == company) & (F.col("phase") == phase))
+def phase_results(task: DataFrame, company: int | str | None = None,
+                  phase: str = "RISK_ANALYSIS") -> DataFrame:
+    """Tasks of one phase, of one company or of all."""
+    rows = task.filter(F.col("phase") == phase)
+    return rows if company is None else rows.filter(F.col("company_id") == company)
 
 
 def latest_events(task_event: DataFrame) -> DataFrame:

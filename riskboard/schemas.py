@@ -1,9 +1,7 @@
-"""Declared schemas: nothing is inferred from data."""
+"""Declared schemas as DDL: nothing is inferred from data."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _REVIEW = "struct<status string, reviewer string, decision string, note string, reviewed_at string>"
 _EVIDENCE = ("struct<id string, claim string, source_id string, excerpt string, "
              "observed_at string, origin_url string, status string>")
@@ -25,22 +23,22 @@ _COMPANY = (
     "social struct<count int, accounts array<struct<platform string, name string, "
     f"decision string, official_status string>>>, risk {_RISK}>")
 
-SNAPSHOT = StructType.fromDDL(
+SNAPSHOT = (
     "meta struct<notice string, run_id string, generated_at string, data_scope string, "
     "engine_version string>, "
     "sources array<struct<id string, name string, type string, url string, observed_at string>>, "
     f"companies array<{_COMPANY}>")
 
-EVENTS = StructType.fromDDL(
+EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
     "props string")
 
-POSTS = StructType.fromDDL("conv_id bigint, turn bigint, role string, text string")
+POSTS = ("conv_id bigint, turn bigint, role string, text string")
 
-TASK_EVENT = StructType.fromDDL(
+TASK_EVENT = (
     "event_id bigint, ts timestamp, company_id bigint, phase string, phase_idx int, "
     "status string, error_code string, input_sha string")
 
-REVIEW_EVENT = StructType.fromDDL(
+REVIEW_EVENT = (
     "event_id bigint, company_id bigint, status string, reviewer string, decision string, "
     "note string, reviewed_at timestamp")
