@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_folder
 
+# A key with this share of the rows counts as hot and is cut into SALTS parts.
+HOT_SHARE = 0.01
+SALTS = 64
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The ``values`` of the row that is last by ``order`` for each key.
@@ -56,26 +60,79 @@ def slice_sorted(df: DataFrame, order: list[Column], skip: int, take: int,
             .orderBy(*order).drop("_part", "_before", "_place"))
 
 
+def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of all keys that hold at least ``HOT_SHARE`` of the rows (and maybe a few
+    more): one pass over the key columns, at most ``1 / HOT_SHARE`` numbers returned.
+
+    The list is fixed before the join is planned, so both sides salt alike.
+    """
+    hashes = df.select(F.xxhash64(*keys).alias("h"))
+    return hashes.freqItems(["h"], HOT_SHARE).first()[0] or []
+
+
+def _is_hot(hot: list[int], keys: list[str]) -> Column:
+    return F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+
+
+def salted(df: DataFrame, keys: list[str], hot: list[int], spread: list[str]) -> DataFrame:
+    """Rows of hot keys get one of ``SALTS`` salts by their ``spread`` columns."""
+    slot = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    return df.withColumn("_salt", F.when(_is_hot(hot, keys), slot).otherwise(F.lit(0)))
+
+
+def replicated(df: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
+    """Rows of hot keys once per salt, all others once."""
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return df.withColumn("_salt", F.explode(
+        F.when(_is_hot(hot, keys), every).otherwise(F.array(F.lit(0)))))
+
+
+def lookup(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str], how: str = "left"
+           ) -> DataFrame:
+    """Join many rows to a table of keys when some keys may be very frequent.
+
+    A key that holds a hundredth of the rows or more is cut into ``SALTS`` parts. The
+    key table is often an aggregate on the same key; then Spark would reuse that
+    aggregate's partitioning and could not split the hot partition at run time. Key
+    columns must have the same type on both sides.
+    """
+    hot = hot_keys(fact, on)
+    return (salted(fact, on, hot, spread).join(replicated(dim, on, hot), [*on, "_salt"], how)
+            .drop("_salt"))
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table of few input splits over the cores before heavy row work. A table
+    with splits enough for half the cores passes untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 2 * df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of a two-sided graph: ``left, component`` with the
     smallest ``left`` value of the component as its name.
 
     Each round passes the smallest label left to right and back, then lets a label
     look up its own label (path halving), so long chains shrink quickly. All steps
-    are min-aggregates and joins on unique keys; every round is checkpointed.
+    are min-aggregates and joins on unique keys, with frequent ``right`` values
+    salted; every round is checkpointed.
     """
     shared_folder(edges.sparkSession)
     edges = edges.select(left, right).distinct().checkpoint()
-    label = edges.groupBy(left).agg(F.min(left).alias("component"))
-    label = label.checkpoint()
+    hot = hot_keys(edges, [right])
+    parts = salted(edges, [right], hot, [left])
+    label = edges.groupBy(left).agg(F.min(left).alias("component")).checkpoint()
     for _ in range(max_rounds):
-        carried = (edges.join(label, left).groupBy(right).agg(F.min("component").alias("component")))
-        back = (edges.join(carried, right).groupBy(left).agg(F.min("component").alias("_seen")))
+        carried = edges.join(label, left).groupBy(right).agg(F.min("component").alias("component"))
+        back = (parts.join(replicated(carried, [right], hot), [right, "_salt"])
+                .groupBy(left).agg(F.min("component").alias("_seen")))
         jump = label.select(F.col(left).alias("component"), F.col("component").alias("_far"))
         nxt = (label.join(back, left).join(jump, "component", "left")
                .select(left, F.least("component", "_seen", "_far").alias("_new"), "component"))
         nxt = nxt.checkpoint()
-        moved = nxt.filter(F.col("_new") < F.col("component")).limit(1).count()
+        moved = not nxt.filter(F.col("_new") < F.col("component")).isEmpty()
         label = nxt.select(left, F.col("_new").alias("component"))
         if not moved:
             return label

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 _EDGE_BLANKS = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
+_VISIBLE = r"[^\s\p{Z}\x{FEFF}]"
 _NAME_NOISE = r"[\s\p{Z}\p{P}\x{FEFF}]+"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
 _SITE_PREFIX = r"^(www|blog|m)\."
@@ -18,7 +19,7 @@ def trim_all(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (trim_all(c) == "")
+    return c.isNull() | ~c.rlike(_VISIBLE)
 
 
 def first_filled(*cols: Column) -> Column:

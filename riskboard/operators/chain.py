@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scale import lookup
+
 
 def _cents(lineitem: DataFrame) -> Column:
     """Net amount in hundredths of a cent: whole numbers add up the same in any order."""
@@ -38,7 +40,8 @@ def event_exposure(event: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
     total = company_products(orders, lineitem).groupBy("company_id").agg(
         F.count(F.lit(1)).alias("n_products"), F.sum("n_lines").alias("n_lines"),
         F.sum("_c").alias("_c"))
-    return event.select("event_id", "company_id").join(total, "company_id", "left").select(
+    events = event.select("event_id", "company_id")
+    return lookup(events, total, ["company_id"], ["event_id"]).select(
         "event_id", "company_id", F.coalesce("n_products", F.lit(0)).alias("n_products"),
         F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
         F.coalesce(F.col("_c") / 10000, F.lit(0.0)).alias("amount"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.scale import components, top_k
+from ..functions.scale import components, lookup, top_k
 
 
 def rank_accounts(account: DataFrame, k: int) -> DataFrame:
@@ -24,7 +24,8 @@ def decide_accounts(account: DataFrame, company: DataFrame, carriers: DataFrame)
     decision = (F.when(~closed | F.col("_n").isNull(), fixed.ACCOUNT_OPEN)
                 .when(F.col("official_status") == fixed.UNCERTIFIED, fixed.ACCOUNT_FOREIGN)
                 .otherwise(fixed.ACCOUNT_OWN))
-    return account.join(firm, "company_id", "left").withColumn("decision", decision).drop(
+    rows = lookup(account, firm, ["company_id"], ["platform", "name"])
+    return rows.withColumn("decision", decision).drop(
         "status", "_n")
 
 
@@ -73,9 +74,8 @@ def near_names(left: DataFrame, right: DataFrame, k: int = 1) -> DataFrame:
 def similar_accounts(account: DataFrame, company: DataFrame, k: int = 1) -> DataFrame:
     """Accounts whose name is near, but not equal to, the name of a company."""
     pairs = near_names(account, company, k)
-    return (account.join(pairs, "name")
-            .join(company.select("company_id", F.col("name").alias("other"))
-                  .withColumnRenamed("company_id", "like_company_id"), "other")
+    firms = company.select(F.col("company_id").alias("like_company_id"), F.col("name").alias("other"))
+    return (lookup(account, pairs.join(firms, "other"), ["name"], ["company_id", "platform"], "inner")
             .select("company_id", "platform", F.col("name").alias("account"),
                     "like_company_id", F.col("other").alias("like_name"), "dist"))
 

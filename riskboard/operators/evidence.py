@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.scale import fits
+from ..functions.scale import fits, lookup
 from ..functions.text import content_key, first_filled, is_blank
 
 
@@ -16,7 +16,7 @@ def grade_evidence(evidence: DataFrame, source: DataFrame, content: str = "conte
                            is_blank(F.col(content)).alias("_empty"))
     kinds = source.select("source_id", F.col("type").alias("_type"))
     weak = F.col("_type").isNull() | (F.col("_type") == fixed.EXCERPT_ONLY_TYPE)
-    return (lean.join(kinds, "source_id", "left").withColumn(
+    return (lookup(lean, kinds, ["source_id"], ["evidence_id"]).withColumn(
         "grade", F.when(F.col("_empty"), fixed.UNAVAILABLE).when(weak, fixed.PARTIAL)
         .otherwise(fixed.VERIFIED)).drop("_empty", "_type"))
 
@@ -24,7 +24,7 @@ def grade_evidence(evidence: DataFrame, source: DataFrame, content: str = "conte
 def evidence_with_source(evidence: DataFrame, source: DataFrame) -> DataFrame:
     """Evidence with its source's name and address; a missing source shows its id."""
     dim = source.select("source_id", F.col("name").alias("_name"), F.col("url").alias("_url"))
-    return (evidence.join(dim, "source_id", "left")
+    return (lookup(evidence, dim, ["source_id"], ["evidence_id"])
             .withColumn("source_name", first_filled(
                 F.col("_name"), F.col("source_id"), F.lit(fixed.UNKNOWN_SOURCE)))
             .withColumn("source_name", F.coalesce("source_name", F.lit(fixed.UNKNOWN_SOURCE)))
@@ -39,7 +39,7 @@ def basis_rows(inference: DataFrame) -> DataFrame:
 def resolve_basis(inference: DataFrame, graded: DataFrame, on_company: bool = True) -> DataFrame:
     """Basis ids that resolve, with the evidence's grade."""
     keys = ["company_id", "evidence_id"] if on_company else ["evidence_id"]
-    return basis_rows(inference).join(graded.select(*keys, "grade"), keys)
+    return lookup(basis_rows(inference), graded.select(*keys, "grade"), keys, ["inference_id"], "inner")
 
 
 def dangling_basis(inference: DataFrame, evidence: DataFrame, on_company: bool = True) -> DataFrame:
@@ -53,7 +53,7 @@ def basis_support(inference: DataFrame, graded: DataFrame, on_company: bool = Tr
     """Per inference: basis size, how many ids resolve, how many are verified, partial."""
     keys = ["company_id", "evidence_id"] if on_company else ["evidence_id"]
     g = F.col("grade")
-    return (basis_rows(inference).join(graded.select(*keys, "grade"), keys, "left")
+    return (lookup(basis_rows(inference), graded.select(*keys, "grade"), keys, ["inference_id"])
             .groupBy("company_id", "inference_id")
             .agg(F.count(F.lit(1)).alias("n_basis"), F.count("grade").alias("n_resolved"),
                  F.count_if(g == fixed.VERIFIED).alias("n_verified"),
@@ -117,7 +117,7 @@ def evidence_conflict(claim: DataFrame) -> DataFrame:
     sides = claim.groupBy("company_id", "claim_key").agg(
         F.count_if(s).alias("n_supporting"), F.count_if(~s).alias("n_opposing"))
     torn = sides.filter((F.col("n_supporting") > 0) & (F.col("n_opposing") > 0))
-    return claim.join(torn, ["company_id", "claim_key"]).select(
+    return lookup(claim, torn, ["company_id", "claim_key"], ["evidence_id"], "inner").select(
         "company_id", "claim_key", "evidence_id",
         F.when(s, "supporting").otherwise("opposing").alias("side"), "n_supporting", "n_opposing")
 

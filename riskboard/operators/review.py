@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.scale import latest_by
+from ..functions.scale import latest_by, lookup
 
 FIELDS = ["status", "reviewer", "decision", "note", "reviewed_at"]
 
@@ -49,7 +49,8 @@ def review_queue(verdict: DataFrame, latest: DataFrame) -> DataFrame:
 def feedback_set(verdict: DataFrame, review_event: DataFrame) -> DataFrame:
     """Corrected and false-alarm reviews with the verdict they speak about."""
     told = valid_reviews(review_event).filter(F.col("decision").isin("修改", "标记误报"))
-    return told.join(verdict.select("company_id", F.col("risk").alias("verdict")), "company_id").select(
+    spoken = verdict.select("company_id", F.col("risk").alias("verdict"))
+    return lookup(told, spoken, ["company_id"], ["event_id"], "inner").select(
         "event_id", "company_id", "verdict", "decision", "note")
 
 

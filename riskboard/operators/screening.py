@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.scale import fits
@@ -11,34 +11,33 @@ from ..functions.scale import fits
 INLINE_ENTRIES = 2_000
 
 
-def dictionary(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
-    """A literal dictionary ``keyword, category``."""
-    rows = [F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category")) for k, c in entries]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def _literal(entries: list[tuple[str, str]]):
+    pairs = sorted({(k.lower(), c) for k, c in entries})
+    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category"))
+                     for k, c in pairs])
 
 
-def phrases(spark: SparkSession, rules: dict[str, list[str]] | None = None) -> DataFrame:
-    """A literal phrase list ``phrase, rule``."""
-    rows = [F.struct(F.lit(p).alias("phrase"), F.lit(r).alias("rule"))
-            for r, ps in (rules or fixed.FORBIDDEN_WORDING).items() for p in ps]
-    return spark.range(1).select(F.inline(F.array(*rows)))
-
-
-def screen_keywords(text: DataFrame, words: DataFrame, text_col: str, keep: list[str],
-                    inline_entries: int = INLINE_ENTRIES) -> DataFrame:
+def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], text_col: str,
+                    keep: list[str], inline_entries: int = INLINE_ENTRIES) -> DataFrame:
     """Every (text, keyword) pair where the whole text holds the keyword, in any case.
 
-    A small dictionary becomes one scalar array and each text is scanned where it
-    lies: no join, no shuffle, the text column never leaves its task. A dictionary
-    past ``inline_entries`` is met by an equi-join on letter groups of the length of
-    its shortest keyword, and the hits are then checked against the whole text.
+    ``words`` is a list of (keyword, category) or a table ``keyword, category``. A
+    list or a small table becomes one array and each text is scanned where it lies:
+    no join, no shuffle, the text column never leaves its task. A table past
+    ``inline_entries`` is met by an equi-join on letter groups of the length of its
+    shortest keyword, and the hits are then checked against the whole text.
     """
-    words = words.select(F.lower("keyword").alias("keyword"), "category").distinct()
     low = F.lower(text_col)
-    if fits(words, inline_entries):
-        entries = words.agg(F.collect_list(F.struct("keyword", "category")).alias("a"))
-        tagged = text.select(*keep, low.alias("_low")).withColumn("_dict", entries.scalar())
-        hits = F.filter("_dict", lambda e: F.contains(F.col("_low"), e["keyword"]))
+    if isinstance(words, list):
+        entries = _literal(words)
+    else:
+        words = words.select(F.lower("keyword").alias("keyword"), "category").distinct()
+        entries = None
+        if fits(words, inline_entries):
+            entries = words.agg(F.collect_list(F.struct("keyword", "category")).alias("a")).scalar()
+    if entries is not None:
+        tagged = text.select(*keep, low.alias("_low"))
+        hits = F.filter(entries, lambda e: F.contains(F.col("_low"), e["keyword"]))
         return tagged.select(*keep, F.inline(hits))
     size = words.agg(F.min(F.length("keyword")).alias("n")).first()["n"]
     grams = F.array_distinct(F.transform(
@@ -103,8 +102,13 @@ def rule_verdict(company: DataFrame, carriers: DataFrame, pages: DataFrame, hits
         "analysis_mode")
 
 
-def flag_wording(text: DataFrame, phrase_list: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Published text that holds a forbidden phrase."""
-    renamed = phrase_list.select(F.col("phrase").alias("keyword"), F.col("rule").alias("category"))
-    return screen_keywords(text, renamed, text_col, keep).withColumnsRenamed(
+def flag_wording(text: DataFrame, rules: dict[str, list[str]] | DataFrame, text_col: str,
+                 keep: list[str]) -> DataFrame:
+    """Published text that holds a forbidden phrase; ``rules`` maps a rule to its phrases,
+    or is a table ``phrase, rule``."""
+    if isinstance(rules, dict):
+        words = [(p, rule) for rule, phrases in rules.items() for p in phrases]
+    else:
+        words = rules.select(F.col("phrase").alias("keyword"), F.col("rule").alias("category"))
+    return screen_keywords(text, words, text_col, keep).withColumnsRenamed(
         {"keyword": "phrase", "category": "rule"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
@@ -40,20 +42,24 @@ def search(board: DataFrame, query: str = "", status: str = "", risk_only: bool
     return board.filter(keep & risk_match(compat) if risk_only else keep)
 
 
-def _occurrences(tokens: str, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == word))
+def _occurrences(text: Column, word: str) -> Column:
+    """How often a text holds a word as a whole token; a text without the letters of
+    the word is passed over by a plain search."""
+    token = rf"(?<![\p{{L}}\p{{N}}]){re.escape(word)}(?![\p{{L}}\p{{N}}])"
+    return F.when(F.contains(text, F.lit(word)), F.regexp_count(text, F.lit(token))).otherwise(0)
 
 
 def lexical_recall(text: DataFrame, query: str, k: int, id_col: str, text_col: str) -> DataFrame:
     """Top ``k`` texts for a query by tf-idf.
 
-    Tokens are counted in place per query word; nothing is exploded or shuffled but
+    Words are counted in place in the whole text; nothing is exploded or shuffled but
     the one-row document frequencies and each task's own top ``k``.
     """
-    words = sorted(set(query.lower().split()))
-    tokens = F.split(F.lower(text_col), r"[^\p{L}\p{N}]+")
-    counted = text.select(id_col, tokens.alias("_tokens")).select(
-        id_col, *[_occurrences("_tokens", w).alias(f"_tf{i}") for i, w in enumerate(words)])
+    words = sorted(set(re.findall(r"\w+", query.lower())))
+    if not words:
+        raise ValueError("the query holds no word")
+    counted = text.select(id_col, F.lower(text_col).alias("_low")).select(
+        id_col, *[_occurrences(F.col("_low"), w).alias(f"_tf{i}") for i, w in enumerate(words)])
     stats = counted.agg(F.struct(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).alias("s"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import label
-from ..functions.scale import latest_by
+from ..functions.scale import latest_by, lookup
 from ..functions.text import first_filled, indented_json, nth
 
 LAST_PHASE = len(fixed.PHASES) - 1
@@ -61,17 +61,18 @@ def select_replay(roster: DataFrame, chosen: DataFrame, key: str = "company_id")
     return roster.join(chosen.select(key).distinct(), key, "left_semi")
 
 
-def split_reuse(plan: DataFrame, done: DataFrame, keys: list[str], order: list[str] | None = None
-                ) -> DataFrame:
+def split_reuse(plan: DataFrame, done: DataFrame, keys: list[str], spread: list[str],
+                order: list[str] | None = None) -> DataFrame:
     """Mark planned tasks whose input already succeeded.
 
     With ``order`` only a success that lies earlier than the planned task counts. The
-    successes shrink to one row per key before the join, so a hot key stays linear.
+    successes shrink to one row per key before the join; ``spread`` names the columns
+    that tell planned tasks of one key apart.
     """
     first = F.min(F.struct(*order)) if order else F.lit(True)
     ok = done.groupBy(*keys).agg(first.alias("_ok"))
     known = F.col("_ok") < F.struct(*order) if order else F.col("_ok")
-    return plan.join(ok, keys, "left").withColumn(
+    return lookup(plan, ok, keys, spread).withColumn(
         "action", F.when(known, "HISTORY_REUSE").otherwise("PROCESS")).drop("_ok")
 
 

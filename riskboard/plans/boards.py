@@ -84,7 +84,8 @@ _REUSE = """plan AS (
 def reuse_plan(t: Tables) -> DataFrame:
     plan = tb.task_event(t).select("event_id", "ts", "company_id", "phase", "input_sha", "status")
     done = plan.filter(F.col("status") == "OK")
-    return tk.split_reuse(plan, done, ["company_id", "phase", "input_sha"], ["ts", "event_id"])
+    return tk.split_reuse(plan, done, ["company_id", "phase", "input_sha"], ["event_id"],
+                          ["ts", "event_id"])
 
 
 @query("history_reuse", rows_with("te", """
@@ -280,8 +281,8 @@ def manifest_check(t: Tables) -> DataFrame:
 
 
 def hits(t: Tables) -> DataFrame:
-    text = tb.evidence(t).withColumn("location", F.col("source_id"))
-    return screening.screen_keywords(text, screening.dictionary(t.spark, tb.STAND_IN_DICTIONARY), "content",
+    text = tb.evidence_text(t).withColumn("location", F.col("source_id"))
+    return screening.screen_keywords(text, tb.STAND_IN_DICTIONARY, "content",
                                      ["company_id", "evidence_id", "location"])
 
 

@@ -113,7 +113,7 @@ SELECT content_key, min(evidence_id) AS evidence_id, arg_min(company_id, evidenc
 FROM (SELECT *, sha256(regexp_replace(lower(content), '[\s\p{Z}\p{P}\x{FEFF}]+', '', 'g')) AS content_key
   FROM evidence) GROUP BY content_key"""))
 def evidence_dedup(t: Tables) -> DataFrame:
-    return ev.dedup_evidence(tb.evidence(t))
+    return ev.dedup_evidence(tb.evidence_text(t))
 
 
 @query("evidence_conflict", rows_with("evidence", """
@@ -160,8 +160,7 @@ _WORDING = ", ".join(f"('{p}', '{r}')" for r, ps in tb.STAND_IN_WORDING.items()
 SELECT evidence_id, phrase, rule FROM evidence
 JOIN (VALUES {_WORDING}) AS w(phrase, rule) ON contains(lower(content), phrase)"""))
 def wording_flags(t: Tables) -> DataFrame:
-    return screening.flag_wording(tb.evidence(t), screening.phrases(t.spark, tb.STAND_IN_WORDING),
-                                  "content", ["evidence_id"])
+    return screening.flag_wording(tb.evidence_text(t), tb.STAND_IN_WORDING, "content", ["evidence_id"])
 
 
 @query("scenario_listing", """

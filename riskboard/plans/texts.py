@@ -30,7 +30,7 @@ _TITLE = r"regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)"
 
 @query("page_text", f"SELECT page_id, {HOST} AS host, {_plain(_TITLE)} AS title, {_plain(_BODY)} AS text FROM pages")
 def page_text(t: Tables) -> DataFrame:
-    return pg.page_text(t.read("pages"))
+    return pg.page_text(t.texts("pages", "page_id"))
 
 
 @query("page_links", r"""
@@ -56,7 +56,7 @@ def _masked(expr: str) -> str:
 
 @query("mask_text", f"SELECT doc_id, {_masked('text')} AS text FROM documents")
 def mask_text(t: Tables) -> DataFrame:
-    return privacy.mask_text(t.read("documents").select("doc_id", "text"), ["text"])
+    return privacy.mask_text(t.texts("documents", "doc_id").select("doc_id", "text"), ["text"])
 
 
 @query("pseudonymise", "SELECT event_id, sha256('board' || user_id) AS user_id, event_type FROM events")
@@ -77,7 +77,7 @@ SELECT * FROM (SELECT doc_id, round(t0 * ln(CAST(1 + n AS DOUBLE) / (1 + d0)) +
   + t2 * ln(CAST(1 + n AS DOUBLE) / (1 + d2)), 4) AS score FROM tf, s)
 WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25""")
 def lexical_recall(t: Tables) -> DataFrame:
-    return search.lexical_recall(t.read("documents"), RECALL_QUERY, 25, "doc_id", "text")
+    return search.lexical_recall(t.texts("documents", "doc_id"), RECALL_QUERY, 25, "doc_id", "text")
 
 
 @query("near_copies", r"""
@@ -91,7 +91,7 @@ edge AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM band a J
 reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
 SELECT a AS doc_id, min(b) AS group_id, count(DISTINCT b) AS n_copies FROM reach GROUP BY a HAVING count(DISTINCT b) > 1""")
 def near_copies(t: Tables) -> DataFrame:
-    return en.copy_groups(t.read("documents"), "doc_id", "text")
+    return en.copy_groups(t.texts("documents", "doc_id"), "doc_id", "text")
 
 
 LOG_SQL = """

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
+from ..functions.scale import widen
 from ..functions.text import domain_of, host_of, nth, site_label
 
 # event type of the benchmark → task status
@@ -43,6 +44,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str, key: str) -> DataFrame:
+        """A table whose long texts are about to be worked on row by row."""
+        return widen(self.read(name), key)
+
     def watched(self) -> Column:
         """How many companies are under watch (a tenth of the customers), as a
         scalar subquery that reads row counts only."""
@@ -117,7 +122,16 @@ def source(t: Tables) -> DataFrame:
 
 def evidence(t: Tables) -> DataFrame:
     """Evidence from documents; unused columns are pruned from the scan."""
-    return t.read("documents").select(
+    return _evidence(t, t.read("documents"))
+
+
+def evidence_text(t: Tables) -> DataFrame:
+    """The same, for work on the whole texts."""
+    return _evidence(t, t.texts("documents", "doc_id"))
+
+
+def _evidence(t: Tables, documents: DataFrame) -> DataFrame:
+    return documents.select(
         t.owner("doc_id").alias("company_id"), F.col("doc_id").alias("evidence_id"),
         F.col("source").alias("source_id"), F.col("text").alias("content"),
         F.col("lang").alias("scope"), "n_chars",
