@@ -84,6 +84,8 @@ EVIDENCE_MISSING = "数据缺失"
 SOURCE_TYPES = ["authoritative", "official_site", "social", "news"]
 EXCERPT_ONLY_TYPE = "social"
 SCREENSHOT = "截图"
+# Fixed value: an excerpt with this text says that nothing was found.
+EMPTY_MARK = "empty"
 
 # Risk wording seen in the domain.
 RISK_WORDS = ["高息回购", "保本", "到期兑付", "上门回收", "当场结算", "高价"]

@@ -39,6 +39,17 @@ def with_dash(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(fixed.NO_TEXT)) for c in cols})
 
 
+def progress_rows(company: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Progress per company: status, current phase (``-`` once closed), task counts when
+    there is a task table."""
+    phase = F.when(F.col("status") == "CLOSED", fixed.NO_TEXT).otherwise(F.col("current_phase"))
+    rows = company.select("company_id", "name", "status", phase.alias("current_phase"))
+    if stats is None:
+        return rows
+    counts = stats.select("company_id", "total", "ok", "failed", "running")
+    return rows.join(counts, "company_id", "left")
+
+
 def company_facts(company: DataFrame, carriers: DataFrame, candidates: DataFrame, pages: DataFrame,
                   accounts: DataFrame, words: DataFrame) -> DataFrame:
     """The same row from long tables: each side is counted per company first, so the

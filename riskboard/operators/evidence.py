@@ -10,10 +10,10 @@ from ..functions.text import content_key, first_filled, is_blank
 
 
 def grade_evidence(evidence: DataFrame, source: DataFrame, content: str = "content") -> DataFrame:
-    """No content: unavailable. Excerpt-only source type or no known source: partial.
-    Else verified. The content is reduced to a flag before the join."""
-    lean = evidence.select(*[c for c in evidence.columns if c != content],
-                           is_blank(F.col(content)).alias("_empty"))
+    """No content (or the mark for none): unavailable. Excerpt-only source type or no
+    known source: partial. Else verified. The content is a flag before the join."""
+    none = is_blank(F.col(content)) | (F.col(content) == fixed.EMPTY_MARK)
+    lean = evidence.select(*[c for c in evidence.columns if c != content], none.alias("_empty"))
     kinds = source.select("source_id", F.col("type").alias("_type"))
     weak = F.col("_type").isNull() | (F.col("_type") == fixed.EXCERPT_ONLY_TYPE)
     return (lookup(lean, kinds, ["source_id"], ["evidence_id"]).withColumn(

@@ -73,7 +73,7 @@ CTE = {
     'https://' || source || '.example.com/d/' || doc_id AS origin_url FROM documents)""",
     "graded": r"""graded AS (
   SELECT company_id, evidence_id, e.source_id, scope, origin_url,
-    CASE WHEN content IS NULL OR regexp_replace(content, '^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$', '', 'g') = ''
+    CASE WHEN content IS NULL OR content = 'empty' OR regexp_replace(content, '^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$', '', 'g') = ''
       THEN 'unavailable' WHEN type IS NULL OR type = 'social' THEN 'partial' ELSE 'verified' END AS grade
   FROM evidence e LEFT JOIN source s ON e.source_id = s.source_id)""",
     "basis": f"""basis AS (
