@@ -36,8 +36,8 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
         if fits(words, inline_entries):
             entries = words.agg(F.collect_list(F.struct("keyword", "category")).alias("a")).scalar()
     if entries is not None:
-        tagged = text.select(*keep, low.alias("_low"))
-        hits = F.filter(entries, lambda e: F.contains(F.col("_low"), e["keyword"]))
+        tagged = text.select(*keep, low.alias("_low"), entries.alias("_dict"))
+        hits = F.filter("_dict", lambda e: F.contains(F.col("_low"), e["keyword"]))
         return tagged.select(*keep, F.inline(hits))
     size = words.agg(F.min(F.length("keyword")).alias("n")).first()["n"]
     grams = F.array_distinct(F.transform(

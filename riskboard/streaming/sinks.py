@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,11 +54,40 @@ def rows(spark: SparkSession, folder: str, name: str = "data") -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
+def _deltas(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Rows of the newest base and of the micro-batches after it."""
+    deltas = rows(spark, folder, name)
+    base_path = f"{folder}/{name}-base"
+    if not _exists(spark, base_path):
+        return deltas
+    base = spark.read.parquet(base_path)
+    upto = base.agg(F.max("upto").alias("m")).first()["m"]
+    newest = base.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch_id")
+    return deltas.filter(F.col("batch_id") > upto).unionByName(newest.select(deltas.columns))
+
+
 def current(spark: SparkSession, folder: str, keys: list[str], order: list[str] | None = None,
             name: str = "data") -> DataFrame:
     """The newest row per key over all micro-batches; ``order`` decides before the
     batch number does."""
-    df = rows(spark, folder, name)
+    df = _deltas(spark, folder, name)
     order = (order or []) + ["batch_id"]
     rest = [c for c in df.columns if c not in keys and c != "batch_id"]
     return latest_by(df, keys, order, rest)
+
+
+def compact(spark: SparkSession, folder: str, keys: list[str], order: list[str] | None = None,
+            name: str = "data") -> None:
+    """Fold the micro-batches so far into one base, so that readers of a long-running
+    stream open few files. The micro-batches stay until their retention ends."""
+    upto = rows(spark, folder, name).agg(F.max("batch_id").alias("m")).first()["m"]
+    if upto is None:
+        return
+    current(spark, folder, keys, order, name).write.mode("overwrite").parquet(f"{folder}/{name}-base/upto={upto}")
