@@ -110,22 +110,27 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str, keep_single: bool = True,
+               max_rounds: int = 60) -> DataFrame:
     """Connected components of a two-sided graph: ``left, component`` with the
     smallest ``left`` value of the component as its name.
 
-    Each round passes the smallest label left to right and back, then lets a label
-    look up its own label (path halving), so long chains shrink quickly. All steps
-    are min-aggregates and joins on unique keys, with frequent ``right`` values
-    salted; every round is checkpointed.
+    A ``right`` value with one edge links nothing, so only shared ones enter the
+    rounds; without ``keep_single`` the unlinked ``left`` values are left out. Each
+    round passes the smallest label left to right and back, then lets a label look up
+    its own label (path halving), so long chains shrink quickly. All steps are
+    min-aggregates and joins on unique keys, with frequent ``right`` values salted;
+    every round is checkpointed.
     """
     shared_folder(edges.sparkSession)
     edges = edges.select(left, right).distinct().checkpoint()
     hot = hot_keys(edges, [right])
-    parts = salted(edges, [right], hot, [left])
-    label = edges.groupBy(left).agg(F.min(left).alias("component")).checkpoint()
+    shared = edges.groupBy(right).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(right)
+    parts = (salted(edges, [right], hot, [left])
+             .join(replicated(shared, [right], hot), [right, "_salt"]).checkpoint())
+    label = parts.groupBy(left).agg(F.min(left).alias("component")).checkpoint()
     for _ in range(max_rounds):
-        carried = edges.join(label, left).groupBy(right).agg(F.min("component").alias("component"))
+        carried = parts.join(label, left).groupBy(right).agg(F.min("component").alias("component"))
         back = (parts.join(replicated(carried, [right], hot), [right, "_salt"])
                 .groupBy(left).agg(F.min("component").alias("_seen")))
         jump = label.select(F.col(left).alias("component"), F.col("component").alias("_far"))
@@ -135,5 +140,10 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) ->
         moved = not nxt.filter(F.col("_new") < F.col("component")).isEmpty()
         label = nxt.select(left, F.col("_new").alias("component"))
         if not moved:
-            return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if not keep_single:
+        return label
+    return edges.select(left).distinct().join(label, left, "left").withColumn(
+        "component", F.coalesce("component", left))

@@ -13,9 +13,11 @@ def _cents(lineitem: DataFrame) -> Column:
     return price * (100 - F.round(F.col("l_discount") * 100).cast("bigint"))
 
 
-def company_products(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """Exposure of every company to every product it ordered."""
-    bought = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("company_id"))
+def company_products(orders: DataFrame, lineitem: DataFrame, companies: DataFrame) -> DataFrame:
+    """Exposure of the given companies to every product they ordered. Orders of other
+    companies drop out before the lines are joined."""
+    bought = (orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("company_id"))
+              .join(companies, "company_id", "left_semi"))
     lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("product_id"),
                             _cents(lineitem).alias("_c"))
     return (lines.join(bought, "l_orderkey").groupBy("company_id", "product_id")
@@ -28,7 +30,8 @@ def exposure_chain(event: DataFrame, orders: DataFrame, lineitem: DataFrame, par
     they meet, so a company with many events and many orders adds its (kind, product)
     paths, not its events times its orders."""
     kinds = event.groupBy("company_id", "event_type").agg(F.count(F.lit(1)).alias("n_events"))
-    paths = kinds.join(company_products(orders, lineitem), "company_id")
+    firms = event.select("company_id").distinct()
+    paths = kinds.join(company_products(orders, lineitem, firms), "company_id")
     products = part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
     return paths.join(products, "product_id", "left").select(
         "event_type", "company_id", "product_id", "brand", "n_events", "n_lines",
@@ -37,7 +40,8 @@ def exposure_chain(event: DataFrame, orders: DataFrame, lineitem: DataFrame, par
 
 def event_exposure(event: DataFrame, orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Every event with its company's whole exposure: products, lines, amount."""
-    total = company_products(orders, lineitem).groupBy("company_id").agg(
+    firms = event.select("company_id").distinct()
+    total = company_products(orders, lineitem, firms).groupBy("company_id").agg(
         F.count(F.lit(1)).alias("n_products"), F.sum("n_lines").alias("n_lines"),
         F.sum("_c").alias("_c"))
     events = event.select("event_id", "company_id")

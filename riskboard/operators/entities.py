@@ -110,7 +110,7 @@ def copy_groups(text: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts grouped with their near copies: ``id, group_id, n_copies`` for groups of two
     or more. Two texts are linked when they share a band; groups are the connected
     components over text and band, so a group of any size costs its own rows only."""
-    grouped = components(copy_bands(text, id_col, text_col), id_col, "band")
+    grouped = components(copy_bands(text, id_col, text_col), id_col, "band", keep_single=False)
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n_copies"))
-    return (grouped.join(sizes.filter("n_copies > 1"), "component")
-            .select(id_col, F.col("component").alias("group_id"), "n_copies"))
+    return lookup(grouped, sizes, ["component"], [id_col], "inner").select(
+        id_col, F.col("component").alias("group_id"), "n_copies")

@@ -15,9 +15,15 @@ def companies_by_status(company: DataFrame) -> DataFrame:
 
 def tasks_by_phase_status(task: DataFrame) -> DataFrame:
     """Tasks per phase and status; the row with two nulls is the grand total."""
-    p, s = F.col("phase"), F.col("status")
-    return (task.groupingSets([[p, s], []], p, s).agg(F.count(F.lit(1)).alias("n"))
-            .select("phase", "status", "n"))
+    return _with_totals(task, "phase", "status", [])
+
+
+def _with_totals(df: DataFrame, a: str, b: str, *totals: list[str]) -> DataFrame:
+    """Counts per ``(a, b)`` and the named totals; the totals add up the counts, so the
+    rows themselves are not multiplied by the number of totals."""
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    sets = [[F.col(c) for c in names] for names in ([a, b], *totals)]
+    return cells.groupingSets(sets, F.col(a), F.col(b)).agg(F.sum("n").alias("n")).select(a, b, "n")
 
 
 def audit_by_status(task: DataFrame) -> DataFrame:
@@ -78,9 +84,7 @@ def degraded_count(company: DataFrame) -> DataFrame:
 
 def file_index(process_file: DataFrame) -> DataFrame:
     """Files per company and kind, per kind (null company), and in all (both null)."""
-    c, k = F.col("company_id"), F.col("kind")
-    return (process_file.groupingSets([[c, k], [k], []], c, k).agg(F.count(F.lit(1)).alias("n"))
-            .select("company_id", "kind", "n"))
+    return _with_totals(process_file, "company_id", "kind", ["kind"], [])
 
 
 def screenshots(process_file: DataFrame) -> DataFrame:

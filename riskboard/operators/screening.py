@@ -25,7 +25,8 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
     list or a small table becomes one array and each text is scanned where it lies:
     no join, no shuffle, the text column never leaves its task. A table past
     ``inline_entries`` is met by an equi-join on letter groups of the length of its
-    shortest keyword, and the hits are then checked against the whole text.
+    shortest keyword: only row keys and letter groups travel, the candidates then meet
+    the whole texts once and are checked there.
     """
     low = F.lower(text_col)
     if isinstance(words, list):
@@ -43,11 +44,13 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
     grams = F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low") - size + 1)),
         lambda i: F.substring(F.col("_low"), i, F.lit(size))))
-    pieces = (text.select(*keep, low.alias("_low"))
-              .select(*keep, "_low", F.explode(grams).alias("_gram")))
+    row = F.xxhash64(*keep, "_low").alias("_row")
+    lowered = text.select(*keep, low.alias("_low"))
+    pieces = lowered.select(row, F.explode(grams).alias("_gram"))
     heads = words.withColumn("_gram", F.substring("keyword", 1, size))
-    return (pieces.join(heads, "_gram").filter(F.contains("_low", F.col("keyword")))
-            .select(*keep, "keyword", "category"))
+    found = pieces.join(heads, "_gram").select("_row", "keyword", "category").distinct()
+    return (lowered.withColumn("_row", row).join(found, "_row")
+            .filter(F.contains("_low", F.col("keyword"))).select(*keep, "keyword", "category"))
 
 
 def keyword_findings(hits: DataFrame) -> DataFrame:
