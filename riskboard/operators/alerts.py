@@ -20,8 +20,9 @@ def _fill(template: str, value: Column) -> Column:
     return F.concat(F.lit(before), value.cast("string"), F.lit(after))
 
 
-def derive_alerts(company: DataFrame, pending: DataFrame) -> DataFrame:
-    """Load note, one warning per company (missing data hides degradation), review note.
+def derive_alerts(company: DataFrame, pending: DataFrame, run_time: Column) -> DataFrame:
+    """Load note, one warning per company (missing data hides degradation), review note,
+    all stamped with the run's time.
 
     ``company`` needs ``company_id, name, has_data, analysis_mode``.
     """
@@ -37,8 +38,9 @@ def derive_alerts(company: DataFrame, pending: DataFrame) -> DataFrame:
     note = lambda df, code, template: df.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("info").alias("level"), F.lit(code).alias("code"), none.alias("company_id"),
         _fill(template, F.col("n")).alias("text"))
-    return (note(company, "loaded", LOADED).unionByName(warn)
+    rows = (note(company, "loaded", LOADED).unionByName(warn)
             .unionByName(note(pending, "pending", PENDING)))
+    return rows.select(run_time.alias("time"), "level", "code", "company_id", "text")
 
 
 def route_alerts(alert: DataFrame, text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
+from ..functions.labels import is_degraded
 from ..functions.scale import fits
 
 # Up to this many entries a dictionary rides along with every row as one array.
@@ -102,7 +103,7 @@ def rule_verdict(company: DataFrame, carriers: DataFrame, pages: DataFrame, hits
         F.when(~closed | missing, F.lit(None).cast("boolean")).otherwise(have("_hits")).alias("risk"),
         F.when(~closed, "unfinished").when(missing, fixed.TO_VERIFY)
         .when(have("_hits"), "keyword").otherwise("no_keyword").alias("reason"),
-        "analysis_mode")
+        "analysis_mode", is_degraded(F.col("analysis_mode")).alias("is_degraded"))
 
 
 def flag_wording(text: DataFrame, rules: dict[str, list[str]] | DataFrame, text_col: str,

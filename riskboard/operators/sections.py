@@ -53,6 +53,12 @@ def company_sections(snapshot: DataFrame, latest: DataFrame | None = None) -> Da
     return c.select(F.col("name").alias("company"), F.inline(F.array(*rows)))
 
 
+def phase_payloads(task: DataFrame) -> DataFrame:
+    """Every task as a JSON payload of its company and phase, one row per task."""
+    body = [c for c in task.columns if c not in ("run_id", "company_id", "phase")]
+    return task.select("company_id", "phase", F.to_json(F.struct(*body), _KEEP_NULLS).alias("payload"))
+
+
 def section(sections: DataFrame, company: str, name: str = "risk") -> DataFrame:
     """One section; an unknown company or section gives no row."""
     return sections.filter((F.col("company") == company) & (F.col("section") == name))

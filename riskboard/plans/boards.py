@@ -182,11 +182,12 @@ def roster_names(t: Tables) -> DataFrame:
 
 
 @query("last_by_key", """
-SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (
+SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (
   PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
 def last_by_key(t: Tables) -> DataFrame:
     rows = t.read("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
-    return keys.last_by_key(rows, "o_custkey", ["o_orderdate", "o_orderkey"])
+    last = keys.last_by_key(rows, "o_custkey", ["o_orderdate", "o_orderkey"])
+    return last.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @query("replay_selection", rows_with("te task company", """

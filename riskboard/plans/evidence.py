@@ -148,7 +148,9 @@ def keyword_text(t: Tables) -> DataFrame:
     return screening.keyword_text(screening.keyword_findings(hits(t)))
 
 
-@query("rule_verdict", rows_with(VERDICT, "SELECT company_id, status, risk, reason, analysis_mode FROM verdict"))
+@query("rule_verdict", rows_with(VERDICT, """
+SELECT company_id, status, risk, reason, analysis_mode,
+  analysis_mode = 'conservative_local_fallback' AS is_degraded FROM verdict"""))
 def rule_verdict(t: Tables) -> DataFrame:
     return verdict(t)
 

@@ -145,17 +145,19 @@ def review_mix(t: Tables) -> DataFrame:
 @query("alerts", rows_with(VERDICT + " review latest", """,
 a AS (SELECT c.company_id, name, analysis_mode, EXISTS (SELECT 1 FROM carrier k WHERE k.company_id = c.company_id) AS has_data
   FROM company c)
+SELECT (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS time, * FROM (
 SELECT 'info' AS level, 'loaded' AS code, CAST(NULL AS VARCHAR) AS company_id, '加载离线快照，共 ' || count(*) || ' 家企业' AS text FROM company
 UNION ALL SELECT 'warning', CASE WHEN has_data THEN 'degraded' ELSE 'data_missing' END, CAST(company_id AS VARCHAR),
   name || CASE WHEN has_data THEN '：LLM 不可用，自动降级为本地关键词规则' ELSE '：备案/官网数据缺失，结论已降级为“待核实”' END
   FROM a WHERE NOT has_data OR analysis_mode = 'conservative_local_fallback'
 UNION ALL SELECT 'info', 'pending', NULL, '待人工复核 ' || count(*) || ' 家' FROM verdict
-  WHERE company_id NOT IN (SELECT company_id FROM latest)"""))
+  WHERE company_id NOT IN (SELECT company_id FROM latest))"""))
 def alerts(t: Tables) -> DataFrame:
     data = tb.carrier(t).select("company_id").distinct().withColumn("_d", F.lit(True))
     firms = tb.company(t).select("company_id", "name", "analysis_mode").join(data, "company_id", "left")
     firms = firms.withColumn("has_data", F.coalesce("_d", F.lit(False)))
-    return al.derive_alerts(firms, queue(t))
+    last = t.read("events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("t"))
+    return al.derive_alerts(firms, queue(t), last.scalar())
 
 
 _ERRORS = """errors AS (

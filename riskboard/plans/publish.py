@@ -10,10 +10,10 @@ from ..operators.tasks import company_task_stats
 from ..sources import publish, snapshot as snap
 
 
-def run_tables(document: DataFrame, tasks: DataFrame | None = None,
+def run_tables(document: DataFrame, tasks: DataFrame | None = None, files: DataFrame | None = None,
                reviews: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All published tables of a run; ``tasks`` is the task table, ``reviews`` the latest
-    reviews keyed by company name."""
+    """All published tables of a run; ``tasks`` is the task table, ``files`` the process
+    files, ``reviews`` the latest reviews keyed by company name."""
     t = snap.normalise(document)
     firms = t["company"]
     carriers = t["carrier"].groupBy("company_id").agg(F.count(F.lit(1)).alias("_c"))
@@ -28,19 +28,27 @@ def run_tables(document: DataFrame, tasks: DataFrame | None = None,
         "company_rows": board.company_rows(document),
         "progress": board.progress_rows(firms, stats),
         "sections": sections.company_sections(document, reviews),
-        "alerts": alerts.derive_alerts(known, pending),
+        "alerts": alerts.derive_alerts(
+            known, pending, document.agg(F.max("meta.generated_at").alias("t")).scalar()),
         "companies_by_status": metrics.companies_by_status(firms),
         "evidence": ev.evidence_with_source(
             t["evidence"].drop("run_id"), t["source"].select("source_id", "name", "url")),
     }
     if tasks is not None:
-        out["tasks"] = tasks
+        out["tasks_by_phase_status"] = metrics.tasks_by_phase_status(tasks)
+        out["audit_by_status"] = metrics.audit_by_status(tasks)
+        out["phases"] = sections.phase_payloads(tasks)
+    if files is not None:
+        out["process_files"] = metrics.file_index(files)
     return out
 
 
 def publish_run(spark: SparkSession, path: str, folder: str, run_id: str,
-                tasks: DataFrame | None = None, reviews: DataFrame | None = None) -> None:
-    """Read a snapshot, write its tables and the JSON of its sections."""
-    tables = run_tables(snap.read_snapshot(spark, path), tasks, reviews)
+                tasks: DataFrame | None = None, files: DataFrame | None = None,
+                reviews: DataFrame | None = None) -> None:
+    """Read a snapshot, write its tables and the JSON of its sections and phases."""
+    tables = run_tables(snap.read_snapshot(spark, path), tasks, files, reviews)
     publish.publish_tables(tables, f"{folder}/tables", run_id)
-    publish.publish_json(tables["sections"], f"{folder}/json/sections", run_id)
+    for name in ("sections", "phases"):
+        if name in tables:
+            publish.publish_json(tables[name], f"{folder}/json/{name}", run_id)

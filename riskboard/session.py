@@ -19,7 +19,18 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+def cluster_settings(cores: int) -> dict[str, str]:
+    """Settings that follow the size of the cluster. Shuffles start with several
+    partitions per core, which run-time coalescing merges where data is small; state
+    of streams lives in RocksDB, off the heap."""
+    return {
+        "spark.sql.shuffle.partitions": str(4 * cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
 
 
 def build(app: str = "riskboard", master: str | None = None, **extra: str) -> SparkSession:

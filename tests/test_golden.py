@@ -150,7 +150,9 @@ def test_keyword_text(doc):
 
 
 def test_alerts(doc):
-    got = [(r["level"], r["text"]) for r in run_tables(doc)["alerts"].collect()]
+    found = run_tables(doc)["alerts"].collect()
+    assert {r["time"] for r in found} == {"2025-03-01 08:00:00"}
+    got = [(r["level"], r["text"]) for r in found]
     assert sorted(got) == sorted([
         ("info", "加载离线快照，共 5 家企业"),
         ("warning", "Dolos：备案/官网数据缺失，结论已降级为“待核实”"),
@@ -205,11 +207,20 @@ def test_status_and_review_counts(tables, rows):
 
 def test_publish_twice_replaces_the_run_only(spark, board_path, rows):
     out = work_folder(spark, "publish")
+    tasks = spark.createDataFrame(
+        [(1, "OCR", 3, "OK", "OCR/task_01"), (1, "KEYWORD", 4, "FAILED", "KEYWORD/task_01")],
+        "company_id long, phase string, phase_idx int, status string, task_dir string")
+    shots = spark.createDataFrame([(1, "截图", "a.png"), (1, "截图", "b.png"), (2, "过程文本", "c.md")],
+                                  "company_id long, kind string, path string")
     for run in ("r1", "r2", "r1"):
-        publish_run(spark, board_path, out, run)
+        publish_run(spark, board_path, out, run, tasks, shots)
     table = publish.read_published(spark, f"{out}/tables", "company_rows")
     assert rows(table.groupBy("run_id").count()) == [("r1", 5), ("r2", 5)]
     assert publish.read_published(spark, f"{out}/tables", "sections", "r1").count() == 25
+    kinds = publish.read_published(spark, f"{out}/tables", "process_files", "r2").filter("company_id is null")
+    assert rows(kinds, "kind", "n") == [("截图", 2), ("过程文本", 1), (None, 3)]
+    phase = spark.read.text(f"{out}/json/phases").filter("value like '%OCR%'").first()["value"]
+    assert json.loads(phase)["payload"] == {"phase_idx": 3, "status": "OK", "task_dir": "OCR/task_01"}
     line = spark.read.text(f"{out}/json/sections").filter("value like '%Dolos%' and value like '%\"icp\"%'").first()
     body = json.loads(line["value"])
     assert body["section"] == "icp" and body["payload"]["icp_counts"]["web"] == 0
