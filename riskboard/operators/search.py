@@ -52,19 +52,19 @@ def _occurrences(text: Column, word: str) -> Column:
 def lexical_recall(text: DataFrame, query: str, k: int, id_col: str, text_col: str) -> DataFrame:
     """Top ``k`` texts for a query by tf-idf.
 
-    Words are counted in place in the whole text; nothing is exploded or shuffled but
-    the one-row document frequencies and each task's own top ``k``.
+    Words are counted in place in the whole text; nothing is exploded or shuffled. A
+    first pass brings back one row of document frequencies, a second one scores, and
+    each task keeps its own top ``k``.
     """
     words = sorted(set(re.findall(r"\w+", query.lower())))
     if not words:
         raise ValueError("the query holds no word")
     counted = text.select(id_col, F.lower(text_col).alias("_low")).select(
         id_col, *[_occurrences(F.col("_low"), w).alias(f"_tf{i}") for i, w in enumerate(words)])
-    stats = counted.agg(F.struct(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).alias("s"))
-    scored = counted.withColumn("_s", stats.scalar())
-    idf = lambda i: F.log((F.lit(1.0) + F.col("_s.n")) / (F.lit(1.0) + F.col(f"_s.df{i}")))
-    score = sum((F.col(f"_tf{i}") * idf(i) for i in range(1, len(words))), F.col("_tf0") * idf(0))
-    hits = scored.select(id_col, F.round(score, 4).alias("score")).filter(F.col("score") > 0)
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), *[
+        F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
+    terms = [F.col(f"_tf{i}") * F.log(F.lit((1.0 + stats["n"]) / (1.0 + stats[f"df{i}"])))
+             for i in range(len(words))]
+    score = F.round(sum(terms[1:], terms[0]), 4).alias("score")
+    hits = counted.select(id_col, score).filter(F.col("score") > 0)
     return hits.orderBy(F.desc("score"), F.asc(id_col)).limit(k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
@@ -68,23 +70,26 @@ def section_or_phase(sections: DataFrame, tasks: DataFrame) -> DataFrame:
     """Exported sections, and for a company without the section the counts of the phase
     behind it: ``company_id, section, origin, n``.
 
-    ``sections`` is ``company_id, section, n``. The tasks shrink to one row per company
-    and section before they meet the sections.
+    ``sections`` is ``company_id, section, n``. Both kinds go into one aggregate that
+    prefers the section, so no side is computed twice.
     """
     by_phase = {phase: name for name, phase in fixed.SECTION_PHASE.items()}
-    stood_in = (tasks.withColumn("section", pick(F.col("phase"), by_phase))
-                .filter(F.col("section").isNotNull())
-                .groupBy("company_id", "section").agg(F.count(F.lit(1)).alias("n")))
-    rest = stood_in.join(sections.select("company_id", "section"), ["company_id", "section"], "left_anti")
-    return (sections.select("company_id", "section", F.lit("section").alias("origin"), "n")
-            .unionByName(rest.select("company_id", "section", F.lit("phase").alias("origin"), "n")))
+    stood_in = (tasks.select("company_id", pick(F.col("phase"), by_phase).alias("section"),
+                             F.lit(False).alias("_own"), F.lit(1).cast("bigint").alias("n"))
+                .filter(F.col("section").isNotNull()))
+    own = sections.select("company_id", "section", F.lit(True).alias("_own"), "n")
+    has = F.bool_or("_own")
+    both = own.unionByName(stood_in).groupBy("company_id", "section").agg(
+        has.alias("_has"), F.sum(F.when(F.col("_own"), F.col("n"))).alias("_section"),
+        F.sum(F.when(~F.col("_own"), F.col("n"))).alias("_phase"))
+    return both.select(
+        "company_id", "section", F.when(F.col("_has"), "section").otherwise("phase").alias("origin"),
+        F.when(F.col("_has"), F.col("_section")).otherwise(F.col("_phase")).alias("n"))
 
 
 def section_counts(parts: dict[str, DataFrame]) -> DataFrame:
-    """Rows per company of every named part, in long form ``company_id, section, n``."""
-    out = None
-    for name, df in parts.items():
-        one = df.groupBy("company_id").agg(F.count(F.lit(1)).alias("n")).select(
-            "company_id", F.lit(name).alias("section"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rows per company of every named part, in long form ``company_id, section, n``;
+    the parts are stacked first and counted in one aggregate."""
+    tagged = [df.select("company_id", F.lit(name).alias("section")) for name, df in parts.items()]
+    stacked = reduce(DataFrame.unionByName, tagged)
+    return stacked.groupBy("company_id", "section").agg(F.count(F.lit(1)).alias("n"))
