@@ -252,7 +252,7 @@ def exposure_chain(t: Tables) -> DataFrame:
 @query("event_exposure", rows_with("cp", """
 SELECT event_id, user_id AS company_id, coalesce(n, 0) AS n_products, coalesce(l, 0) AS n_lines,
   coalesce(c / 10000.0::DOUBLE, 0.0) AS amount FROM events LEFT JOIN (SELECT company_id, count(*) AS n,
-  sum(n_lines) AS l, sum(c) AS c FROM cp GROUP BY 1) x ON x.company_id = user_id"""))
+  CAST(sum(n_lines) AS BIGINT) AS l, sum(c) AS c FROM cp GROUP BY 1) x ON x.company_id = user_id"""))
 def event_exposure(t: Tables) -> DataFrame:
     return chain.event_exposure(tb.task_event(t), t.read("orders"), t.read("lineitem"))
 
@@ -289,7 +289,7 @@ def hits(t: Tables) -> DataFrame:
 
 _FACTS = """facts AS (
   SELECT c.company_id, c.name, risk, w.risk_words, analysis_mode,
-    coalesce(k.n_web, 0) AS n_web, coalesce(k.n_mapp, 0) AS n_mapp, 0 AS n_app, 0 AS n_kapp,
+    coalesce(k.n_web, 0) AS n_web, coalesce(k.n_mapp, 0) AS n_mapp, 0::BIGINT AS n_app, 0::BIGINT AS n_kapp,
     coalesce(d.n, 0) AS n_candidates, coalesce(p.n, 0) AS n_pages, coalesce(a.n, 0) AS n_accounts
   FROM company c
   LEFT JOIN (SELECT company_id, count(*) FILTER (WHERE kind = 'web') AS n_web,

@@ -33,14 +33,10 @@ def evidence_grade(t: Tables) -> DataFrame:
 
 
 @query("evidence_with_source", rows_with("source evidence", """
-SELECT company_id, evidence_id, CASE WHEN evidence_id % 9 = 0 THEN 'gone' ELSE e.source_id END AS source_id,
-  CASE WHEN evidence_id % 9 = 0 THEN 'gone' ELSE name END AS source_name,
-  CASE WHEN evidence_id % 9 = 0 THEN '' ELSE url END AS source_url, origin_url
+SELECT company_id, evidence_id, e.source_id, name AS source_name, url AS source_url, origin_url
 FROM evidence e LEFT JOIN source s ON s.source_id = e.source_id"""))
 def evidence_with_source(t: Tables) -> DataFrame:
-    # every ninth row points at a source that is not in the dimension
-    lost = F.when(F.col("evidence_id") % 9 == 0, "gone").otherwise(F.col("source_id"))
-    rows = tb.evidence(t).select("company_id", "evidence_id", lost.alias("source_id"), "origin_url")
+    rows = tb.evidence(t).select("company_id", "evidence_id", "source_id", "origin_url")
     return ev.evidence_with_source(rows, tb.source(t)).select(
         "company_id", "evidence_id", "source_id", "source_name", "source_url", "origin_url")
 

@@ -19,7 +19,7 @@ from .sql import NORM, WATCHED, rows_with
 
 @query("carrier_lookup", rows_with("page carrier", f"""
 SELECT c_custkey AS company_id, c_name AS name, coalesce(n_web, 0) AS n_web, coalesce(n_mapp, 0) AS n_mapp,
-  0 AS n_app, 0 AS n_kapp FROM customer LEFT JOIN (SELECT {NORM.format("'customer  #' || lpad(CAST(company_id AS VARCHAR), 9, '0') || ' '")} AS key,
+  0::BIGINT AS n_app, 0::BIGINT AS n_kapp FROM customer LEFT JOIN (SELECT {NORM.format("'customer  #' || lpad(CAST(company_id AS VARCHAR), 9, '0') || ' '")} AS key,
     count(*) FILTER (WHERE kind = 'web') AS n_web, count(*) FILTER (WHERE kind = 'mapp') AS n_mapp
   FROM carrier GROUP BY 1) r ON r.key = {NORM.format('c_name')}"""))
 def carrier_lookup(t: Tables) -> DataFrame:
@@ -45,7 +45,7 @@ def carrier_listing(t: Tables) -> DataFrame:
 @query("similar_accounts", rows_with("page account", """,
 firm AS (SELECT DISTINCT domain, site AS name FROM page)
 SELECT company_id, platform, a.name AS account, domain AS like_company_id, f.name AS like_name,
-  levenshtein(a.name, f.name) AS dist FROM account a JOIN firm f
+  CAST(levenshtein(a.name, f.name) AS INT) AS dist FROM account a JOIN firm f
 ON a.name <> f.name AND levenshtein(a.name, f.name) <= 1"""))
 def similar_accounts(t: Tables) -> DataFrame:
     firms = tb.page_host(t).select(F.col("domain").alias("company_id"), F.col("site").alias("name")).distinct()
@@ -53,7 +53,7 @@ def similar_accounts(t: Tables) -> DataFrame:
 
 
 @query("account_top_k", rows_with("page account", """
-SELECT company_id, platform, name, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY company_id
+SELECT company_id, platform, name, score, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY company_id
   ORDER BY score DESC, name, platform) AS rn FROM account) WHERE rn <= 2"""))
 def account_top_k(t: Tables) -> DataFrame:
     return en.rank_accounts(tb.account(t), 2)

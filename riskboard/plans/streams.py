@@ -18,7 +18,8 @@ SELECT company_id, status, phase, event_id FROM (SELECT *, row_number() OVER (
   PARTITION BY company_id ORDER BY ts DESC, event_id DESC) AS rn FROM te) WHERE rn = 1"""))
 def stream_latest_state(t: Tables) -> DataFrame:
     out = work_folder(t.spark, "live")
-    sinks.drain(jobs.live_state(sources.task_events(t.spark, t.folder)), out, mode="update")
+    sinks.drain(jobs.live_state(sources.task_events(t.spark, t.folder)), out, mode="update",
+                files=jobs.STATE_FILES)
     return sinks.current(t.spark, out, ["company_id"])
 
 
@@ -27,7 +28,8 @@ SELECT company_id, phase, status, attempts, bool_or(phase_idx = 11 AND status =
   OVER (PARTITION BY company_id) AS closed FROM task"""))
 def stream_phase_machine(t: Tables) -> DataFrame:
     out = work_folder(t.spark, "phases")
-    sinks.drain(jobs.phase_progress(sources.task_events(t.spark, t.folder)), out, mode="update")
+    sinks.drain(jobs.phase_progress(sources.task_events(t.spark, t.folder)), out, mode="update",
+                files=jobs.STATE_FILES)
     return jobs.phase_machine(t.spark, out)
 
 

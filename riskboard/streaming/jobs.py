@@ -13,8 +13,11 @@ from ..operators.tasks import LAST_PHASE
 from .sinks import current
 from .sources import once
 
-# Refresh of the live view in seconds.
+# Seconds between refreshes of the live view and of the whole board.
 LIVE_SECONDS = 3
+BOARD_SECONDS = 30
+# Files per micro-batch of changed state.
+STATE_FILES = 8
 
 
 def live_state(stream: DataFrame) -> DataFrame:

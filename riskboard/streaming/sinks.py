@@ -15,14 +15,18 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scale import latest_by
 
 
-def _write(df: DataFrame, folder: str, batch_id: int) -> None:
+def _write(df: DataFrame, folder: str, batch_id: int, files: int | None = None) -> None:
+    df = df.repartition(files) if files else df
     df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
 def start(stream: DataFrame, folder: str, mode: str = "append", seconds: int | None = None,
+          files: int | None = None,
           split: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
     """Start writing a stream below ``folder``; ``split`` names several outputs of one
-    stream. Without ``seconds`` the query takes what is there and ends."""
+    stream. Without ``seconds`` the query takes what is there and ends. ``files`` bounds
+    the files per micro-batch: state jobs run one task per shuffle partition, but their
+    changed rows are few."""
     outputs = split or {"data": lambda df: df}
     spark = stream.sparkSession
     if "data" in outputs:
@@ -32,7 +36,7 @@ def start(stream: DataFrame, folder: str, mode: str = "append", seconds: int | N
         if len(outputs) > 1:
             batch = batch.persist()
         for name, shape in outputs.items():
-            _write(shape(batch), f"{folder}/{name}", batch_id)
+            _write(shape(batch), f"{folder}/{name}", batch_id, files)
         if len(outputs) > 1:
             batch.unpersist()
 

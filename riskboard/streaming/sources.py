@@ -18,13 +18,11 @@ def files(spark: SparkSession, folder: str, pattern: str, schema, per_trigger: i
 
 
 def task_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet", **kw) -> DataFrame:
-    events = shape_task_events(files(spark, folder, pattern, EVENTS, **kw))
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return shape_task_events(files(spark, folder, pattern, EVENTS, **kw))
 
 
 def review_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet", **kw) -> DataFrame:
-    events = shape_review_events(files(spark, folder, pattern, EVENTS, **kw))
-    return events.withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp"))
+    return shape_review_events(files(spark, folder, pattern, EVENTS, **kw))
 
 
 def posts(spark: SparkSession, folder: str, pattern: str = "conversations*.parquet", **kw) -> DataFrame:
@@ -32,5 +30,10 @@ def posts(spark: SparkSession, folder: str, pattern: str = "conversations*.parqu
 
 
 def once(stream: DataFrame, key: str, time: str, within: str) -> DataFrame:
-    """Count a re-delivered event once, for re-deliveries no later than ``within``."""
-    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+    """Count a re-delivered event once, for re-deliveries no later than ``within``.
+
+    Events later than that are dropped, so ``within`` must cover the feed's lateness.
+    """
+    timed = stream.withColumn("_event_time", F.col(time).cast("timestamp"))
+    return (timed.withWatermark("_event_time", within).dropDuplicatesWithinWatermark([key])
+            .drop("_event_time"))
