@@ -37,14 +37,17 @@ STAND_IN_WORDING = {
 
 
 class Tables:
-    """Lazy reader of one folder of benchmark tables."""
+    """Lazy reader of one folder of benchmark tables; each table is opened once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._open: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._open:
+            self._open[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._open[name]
 
     def texts(self, name: str, key: str) -> DataFrame:
         """A table whose long texts are about to be worked on row by row."""
