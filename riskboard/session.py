@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpoint files go once nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # plans are built without recording the Python line of every column
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

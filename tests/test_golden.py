@@ -232,7 +232,7 @@ def test_files(spark, tmp_path, rows):
     (tmp_path / "c.txt").write_text("gamma")
     have = files.fingerprint(spark, str(tmp_path), "*.txt")
     sha = {r["path"]: r["sha256"] for r in have.collect()}
-    manifest = tmp_path / "MANIFEST.md"
+    manifest = tmp_path / "files.md"
     manifest.write_text("| file | bytes | sha |\n|---|---:|---|\n"
                         f"| `a.txt` | 5 | `{sha['a.txt']}` |\n| `b.txt` | 4 | `{'0' * 64}` |\n"
                         f"| `z.txt` | 1 | `{'1' * 64}` |\n")
@@ -241,7 +241,7 @@ def test_files(spark, tmp_path, rows):
 
 
 def test_roster_and_replay(spark, tmp_path, rows):
-    roster = tmp_path / "companies.txt"
+    roster = tmp_path / "roster.txt"
     roster.write_text(" Aurum \n\n　Borea　\nAurum\n")
     got = files.read_roster(spark, str(roster))
     assert rows(got) == [("Aurum",), ("Borea",)]
