@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash
+from . import bpe, langid, simhash, suffix
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,11 +28,21 @@ def _query(name: str, sql: str | None = None):
     return keep
 
 
+@_query("op3_bpe")
+def _bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(_read(spark, folder, "documents"), bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+
+
 @_query("op6_simhash")
 def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(_read(spark, folder, "documents"))
 
 
+@_query("op8_suffix")
+def _suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.removed(_read(spark, folder, "documents"))
+
+
 @_query("op10_langid")
 def _langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(_read(spark, folder, "documents"))
