@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from .store import chunks
 
-# pre-tokens a worker remembers before it starts afresh: some 200 MB
-KEPT = 600_000
+# pre-tokens a worker remembers before it starts afresh: some 250 MB
+KEPT = 1_000_000
 # bytes of text whose new pre-tokens are merged together
 TOGETHER = 24_000_000
 _NONE = np.int64(1) << 40

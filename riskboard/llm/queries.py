@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, simhash, suffix
+from . import bpe, decontaminate, langid, quality, simhash, suffix
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -28,6 +28,16 @@ def _query(name: str, sql: str | None = None):
     return keep
 
 
+@_query("op1_quality")
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
+@_query("op2_decontaminate")
+def _decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.found(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 @_query("op3_bpe")
 def _bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_read(spark, folder, "documents"), bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
