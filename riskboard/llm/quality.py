@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     rows = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
             .select("_order", "label", "text")
             .mapInPandas(_vectors, "_order bigint, label int, at array<int>, value array<float>"))
-    told = rows.coalesce(1).sortWithinPartitions("_order", "at").select("label", "at", "value").mapInPandas(
+    told = rows.repartition(1).sortWithinPartitions("_order", "at").select("label", "at", "value").mapInPandas(
         learn, "weights binary").first()
     return np.frombuffer(told["weights"], "<f4") if told else np.zeros(SPACE + 1, np.float32)
 
