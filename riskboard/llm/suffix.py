@@ -6,18 +6,18 @@ table, in the same text or another.
 1. Each window of ``LEAST`` bytes is anchored at its smallest ``GRAM``-byte gram
    (leftmost of equals), so equal windows have equal anchors in equal places. Windows that
    follow each other and share an anchor are one row. Grams seen once are dropped.
-2. For the rest, the bytes around the anchor are cut out as a slice. Equal slices are one,
-   with a count.
+2. For the rest, the bytes around the anchor are cut out as a slice. A slice that a batch
+   of rows holds twice is known to repeat there and then; one of it goes on, with a count.
 3. Slices of the same gram are suffix-sorted from the anchor rightwards, and from the
    anchor leftwards: a merge sort whose comparisons find the common extension of two
    suffixes by binary search over prefix polynomial hashes. Windows at offset ``o`` are
    equal when they share ``LEAST - o`` bytes to the right and ``o`` to the left, that is,
    lie in one run of both orders. Both orders are then proven byte by byte; if a hash
    collided, the slices are sorted by their bytes instead.
-4. Grams with more than ``GROUP`` different slices do not enter one task: their windows
-   are keyed singly by a 128-bit digest and counted.
+4. A gram that occurs more than ``GROUP`` times does not enter one task: its windows are
+   cut singly and keyed by a 128-bit digest, so each key holds copies of one window.
 
-Texts stay where they are but for one shuffle by row key, which both joins on it share.
+The texts are shuffled once, by row key; both joins on that key share it.
 
 Defined cases: null text is empty; texts shorter than ``LEAST`` bytes keep all; repeated
 rows are copies of each other; ids may be null or repeat; an empty table gives an empty
@@ -37,13 +37,12 @@ from .store import chunks, joined, saved, utf8
 
 LEAST = 200
 GRAM = 40
-# different slices of one gram that a task sorts together: about 15 MB
-GROUP = 50_000
+# slices of one gram that a task sorts together: some 50 MB
+GROUP = 200_000
 # windows anchored at a time, and slices sorted at a time
 PIECE = 1 << 20
 TOGETHER = 20_000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -122,27 +121,44 @@ def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"_k": key[text], "gram": gram.view(np.int64), "spot": spot})
 
 
+_SLICE = ("gram bigint, sid binary, slice binary, right int, left int, n bigint, _k bigint, start bigint")
+
+
 def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Slices around anchors; the bytes only once for each slice of a batch."""
-    def frame_of(rows):
-        return pd.DataFrame(rows, columns=["sid", "gram", "slice", "right", "left", "_k", "start"])
+    """Slices around anchors, one of each in a batch. Further copies come as ranges known
+    to repeat: no ``sid``, ``right`` bytes from ``start``, any key."""
+    def told(seen, known):
+        rows = [(*head, n, *first) for head, n, first in seen.values()]
+        rows += [(key, None, None, size, 0, 0, key, start) for key, start, size in known]
+        return pd.DataFrame(rows, columns=["gram", "sid", "slice", "right", "left", "n", "_k", "start"])
+
     for frame in frames:
-        seen, rows, held = set(), [], 0
+        seen, known, held = {}, [], 0
         for key, text, spots in zip(frame["_k"], frame["text"], frame["spots"]):
             raw = utf8(text)
             for spot in spots:
                 at, left, near = spot["spot"] >> 16, spot["spot"] >> 8 & 255, spot["spot"] & 255
-                cut = raw[at - left:at - near + LEAST]
-                sid = blake2b(cut, digest_size=16, salt=bytes((left, near))).digest()
-                new = sid not in seen
-                seen.add(sid)
-                held += len(cut) if new else 0
-                rows.append((sid, spot["gram"], cut if new else None, LEAST - near, left, key, at - left))
-            if held > 8_000_000 or len(rows) > 50_000:
-                yield frame_of(rows)
-                seen, rows, held = set(), [], 0
-        if rows:
-            yield frame_of(rows)
+                if spot["single"]:
+                    heads = []
+                    for p in range(at - left, at - near + 1):
+                        digest = blake2b(raw[p:p + LEAST], digest_size=16).digest()
+                        heads.append(((int.from_bytes(digest[:8], "little", signed=True), digest, None, LEAST, 0), p))
+                else:
+                    cut = raw[at - left:at - near + LEAST]
+                    sid = blake2b(cut, digest_size=16, salt=bytes((left, near))).digest()
+                    heads = [((spot["gram"], sid, cut, LEAST - near, left), at - left)]
+                for head, start in heads:
+                    before = seen.get(head[1])
+                    if before is None:
+                        seen[head[1]] = [head, 1, (key, start)]
+                        held += LEAST
+                    else:
+                        before[1] += 1
+                        known.append((key, start, head[3] + head[4]))
+            if held > 8_000_000 or len(known) > 200_000:
+                yield told(seen, known)
+                seen, known, held = {}, [], 0
+        yield told(seen, known)
 
 
 def common(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
@@ -289,38 +305,61 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
                     (starts[np.append(cut, len(starts) - 1)] + LEAST).tolist()))
 
 
-def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Repeated ranges of slices. Rows come ordered by gram; all rows of a gram are sorted
-    together, and grams are gathered up to about ``TOGETHER`` slices."""
-    def told(part: pd.DataFrame) -> pd.DataFrame:
-        gram = part["gram"].to_numpy()
-        found = repeated(part["slice"].tolist(), part["left"].to_numpy(np.int64),
-                         part["right"].to_numpy(np.int64),
-                         np.cumsum(np.append(0, np.diff(gram) != 0)), part["n"].to_numpy(np.float64))
-        rows = [(sid, _spans(f)) for sid, f in zip(part["sid"], found) if len(f)]
-        return pd.DataFrame({"sid": [r[0] for r in rows],
-                             "spans": [[{"a": a, "b": b} for a, b in r[1]] for r in rows]})
+def _told(part: pd.DataFrame) -> pd.DataFrame:
+    """Repeated ranges ``_k, a, b`` among rows of whole grams, ordered by gram and sid."""
+    part = part.reset_index(drop=True)
+    known = part["sid"].isna().to_numpy()
+    out = [(part["_k"][known].to_numpy(), part["start"][known].to_numpy(),
+            (part["start"] + part["right"])[known].to_numpy())]
+    part = part[~known]
+    if len(part):
+        gram, sid = part["gram"].to_numpy(), part["sid"].to_numpy()
+        head = np.append(True, (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1]))
+        kind = np.cumsum(head) - 1
+        n = np.bincount(kind, weights=part["n"].to_numpy())
+        one = part[head]
+        size = (one["left"] + one["right"]).to_numpy(np.int64)
+        own = one["gram"].to_numpy()
+        group = np.cumsum(np.append(0, np.diff(own) != 0))
+        several = (np.bincount(group)[group] > 1) & one["slice"].notna().to_numpy()
+        spans: list[list[tuple[int, int]]] = [[(0, s)] if k > 1 else [] for s, k in zip(size.tolist(), n.tolist())]
+        mixed = np.flatnonzero(several)
+        if len(mixed):
+            _, dense = np.unique(group[mixed], return_inverse=True)
+            picked = one.iloc[mixed]
+            found = repeated(picked["slice"].tolist(), picked["left"].to_numpy(np.int64),
+                             picked["right"].to_numpy(np.int64), dense, n[mixed])
+            for k, starts in zip(mixed.tolist(), found):
+                spans[k] = _spans(starts) if len(starts) else []
+        count = np.array([len(s) for s in spans])
+        first = np.cumsum(count) - count
+        a, b = (np.array([s[k] for own in spans for s in own], np.int64) for k in (0, 1))
+        each = count[kind]  # ranges of each row's slice
+        place = np.repeat(first[kind] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        start = np.repeat(part["start"].to_numpy(), each)
+        out.append((np.repeat(part["_k"].to_numpy(), each), start + a[place], start + b[place]))
+    return pd.DataFrame({name: np.concatenate([o[k] for o in out]).astype(np.int64)
+                         for k, name in enumerate(("_k", "a", "b"))})
+
 
+def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Repeated ranges of slices that come ordered by gram and sid. Whole grams are worked
+    on together; of single windows, which are all alike under one key, the rows stream by."""
     held = None
     for frame in frames:
         held = frame if held is None else pd.concat([held, frame])
-        if len(held) >= TOGETHER:
-            gram = held["gram"].to_numpy()
-            cut = int(np.flatnonzero(gram == gram[-1])[0])  # the last gram may go on
-            if cut:
-                yield told(held.iloc[:cut])
-                held = held.iloc[cut:]
+        if len(held) < TOGETHER:
+            continue
+        gram = held["gram"].to_numpy()
+        cut = int(np.flatnonzero(gram == gram[-1])[0])  # the last gram may go on
+        if cut:
+            yield _told(held.iloc[:cut])
+            held = held.iloc[cut:]
+        if len(held) >= TOGETHER and held["slice"].isna().all():
+            yield _told(held)
+            held = held.iloc[-1:]
     if held is not None and len(held):
-        yield told(held)
-
-
-def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each window of a slice by itself: digest, place, how often the slice occurs."""
-    for frame in frames:
-        for sid, cut, n in zip(frame["sid"], frame["slice"], frame["n"]):
-            places = range(len(cut) - LEAST + 1)
-            yield pd.DataFrame({"digest": [blake2b(cut[p:p + LEAST], digest_size=16).digest() for p in places],
-                                "sid": sid, "place": np.arange(len(places), dtype=np.int32), "n": n})
+        yield _told(held)
 
 
 def repeats(keyed: DataFrame, group: int = GROUP) -> DataFrame:
@@ -328,43 +367,15 @@ def repeats(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     repeated bytes."""
     anchors = saved(keyed.select("_k", "text").mapInPandas(_anchors, "_k bigint, gram bigint, spot bigint"),
                     "anchors")
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
+    often = saved(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                  .select("gram", (F.col("n") > group).alias("single")), "grams")
     spots = (anchors.join(often, "gram").groupBy("_k")
-             .agg(F.collect_set(F.struct("gram", "spot")).alias("spots")))
-    cut = saved(keyed.select("_k", "text").join(spots, "_k").select("_k", "text", "spots").mapInPandas(
-        _slices, "sid binary, gram bigint, slice binary, right int, left int, _k bigint, start bigint"), "slices")
-    distinct = cut.groupBy("gram", "sid").agg(
-        F.count(F.lit(1)).alias("n"), F.max("slice").alias("slice"),
-        F.max("right").alias("right"), F.max("left").alias("left"))
-    kinds = cut.groupBy("gram", "sid").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(
-        F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("members"))
-    # a gram with one kind of slice needs no sort: the slice occurs as often as the gram
-    alone = cut.join(kinds.filter("kinds = 1 and members > 1"), "gram", "left_semi")
-    alone = alone.groupBy("sid").agg(F.max(F.col("left") + F.col("right")).alias("size")).select(
-        "sid", F.array(F.struct(F.lit(0).cast("bigint").alias("a"),
-                                F.col("size").cast("bigint").alias("b"))).alias("spans"))
-    marks = alone.unionByName(_sorted_marks(distinct, kinds, group)).unionByName(
-        _counted_marks(distinct, kinds, group))
-    return (cut.select("sid", "_k", "start").join(marks, "sid")
-            .select("_k", F.explode(F.transform("spans", lambda s: F.struct(
-                (s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))).alias("span"))
-            .groupBy("_k").agg(F.collect_set("span").alias("spans")))
-
-
-def _sorted_marks(distinct: DataFrame, kinds: DataFrame, group: int) -> DataFrame:
-    own = kinds.filter((F.col("kinds") > 1) & (F.col("kinds") <= group)).select("gram")
-    return (distinct.join(own, "gram").repartition("gram").sortWithinPartitions("gram")
-            .select("gram", "sid", "slice", "right", "left", "n")
-            .mapInPandas(_marks, "sid binary, spans array<struct<a: bigint, b: bigint>>"))
-
-
-def _counted_marks(distinct: DataFrame, kinds: DataFrame, group: int) -> DataFrame:
-    own = kinds.filter(F.col("kinds") > group).select("gram")
-    single = distinct.join(own, "gram").select("sid", "slice", "n").mapInPandas(
-        _windows, "digest binary, sid binary, place int, n bigint")
-    often = single.groupBy("digest").agg(F.sum("n").alias("_n")).filter("_n > 1").select("digest")
-    return single.join(often, "digest").groupBy("sid").agg(F.collect_list(F.struct(
-        F.col("place").cast("bigint").alias("a"), (F.col("place") + LEAST).cast("bigint").alias("b"))).alias("spans"))
+             .agg(F.collect_set(F.struct("gram", "spot", "single")).alias("spots")))
+    # no column is left out before this join, so that its shuffle serves the last join too
+    slices = keyed.join(spots, "_k").mapInPandas(_slices, _SLICE)
+    return (slices.repartition("gram").sortWithinPartitions("gram", "sid")
+            .mapInPandas(_marks, "_k bigint, a bigint, b bigint")
+            .groupBy("_k").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
