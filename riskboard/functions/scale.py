@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shared_folder
 
-# A key with this share of the rows counts as hot and is cut into SALTS parts.
-HOT_SHARE = 0.01
-SALTS = 64
+# A key with this share of the rows counts as hot.
+HOT_SHARE = 0.001
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -60,47 +59,65 @@ def slice_sorted(df: DataFrame, order: list[Column], skip: int, take: int,
             .orderBy(*order).drop("_part", "_before", "_place"))
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of all keys that hold at least ``HOT_SHARE`` of the rows (and maybe a few
-    more): one pass over the key columns, at most ``1 / HOT_SHARE`` numbers returned.
+def hot_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
+    """Hash → number of salts, for all keys that hold at least ``HOT_SHARE`` of the rows:
+    one pass over the key columns, at most ``1 / HOT_SHARE`` numbers returned.
 
-    The list is fixed before the join is planned, so both sides salt alike.
+    A key gets two salts for each shuffle partition's worth of rows it holds, so that no
+    salted part is larger than half an average partition, whatever the key's share. The
+    numbers are fixed before the join is planned, so both sides salt alike.
     """
     hashes = df.select(F.xxhash64(*keys).alias("h"))
-    return hashes.freqItems(["h"], HOT_SHARE).first()[0] or []
+    often = hashes.freqItems(["h"], HOT_SHARE).first()[0] or []
+    if not often:
+        return {}
+    counted = hashes.agg(F.count(F.lit(1)), *[F.count_if(F.col("h") == h) for h in often]).first()
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = {h: -(-2 * partitions * n // max(1, counted[0])) for h, n in zip(often, counted[1:])}
+    return {h: n for h, n in salts.items() if n > 1}
 
 
-def _is_hot(hot: list[int], keys: list[str]) -> Column:
-    return F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+def _n_salts(hot: dict[int, int], keys: list[str]) -> Column:
+    pairs = [x for kv in hot.items() for x in (F.lit(kv[0]).cast("bigint"), F.lit(kv[1]))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.xxhash64(*keys)), F.lit(1)) if hot else F.lit(1)
 
 
-def salted(df: DataFrame, keys: list[str], hot: list[int], spread: list[str]) -> DataFrame:
-    """Rows of hot keys get one of ``SALTS`` salts by their ``spread`` columns."""
-    slot = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    return df.withColumn("_salt", F.when(_is_hot(hot, keys), slot).otherwise(F.lit(0)))
+def salted(df: DataFrame, keys: list[str], hot: dict[int, int], spread: list[str]) -> DataFrame:
+    """Rows of hot keys get one of the key's salts by their ``spread`` columns."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*spread), _n_salts(hot, keys)).cast("int") if hot else F.lit(0))
 
 
-def replicated(df: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
+def replicated(df: DataFrame, keys: list[str], hot: dict[int, int]) -> DataFrame:
     """Rows of hot keys once per salt, all others once."""
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     return df.withColumn("_salt", F.explode(
-        F.when(_is_hot(hot, keys), every).otherwise(F.array(F.lit(0)))))
+        F.sequence(F.lit(0), (_n_salts(hot, keys) - 1).cast("int"))) if hot else F.lit(0))
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str], how: str = "left"
            ) -> DataFrame:
     """Join many rows to a table of keys when some keys may be very frequent.
 
-    A key that holds a hundredth of the rows or more is cut into ``SALTS`` parts. The
-    key table is often an aggregate on the same key; then Spark would reuse that
-    aggregate's partitioning and could not split the hot partition at run time. Key
-    columns must have the same type on both sides.
+    A frequent key is cut into parts by its share. The key table is often an aggregate on
+    the same key; then Spark would reuse that aggregate's partitioning and could not split
+    the hot partition at run time. A key table that Spark knows to be small enough for a
+    broadcast needs no salts and no pass over the rows. Key columns must have the same
+    type on both sides.
     """
+    if _small(dim):
+        return fact.join(dim, on, how)
     hot = hot_keys(fact, on)
     return (salted(fact, on, hot, spread).join(replicated(dim, on, hot), [*on, "_salt"], how)
             .drop("_salt"))
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate puts a table under its broadcast threshold."""
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def widen(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table of few input splits over the cores before heavy row work. A table
     with splits enough for half the cores passes untouched."""
@@ -110,17 +127,16 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def components(edges: DataFrame, left: str, right: str, keep_single: bool = True,
-               max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str, keep_single: bool = True) -> DataFrame:
     """Connected components of a two-sided graph: ``left, component`` with the
     smallest ``left`` value of the component as its name.
 
     A ``right`` value with one edge links nothing, so only shared ones enter the
     rounds; without ``keep_single`` the unlinked ``left`` values are left out. Each
     round passes the smallest label left to right and back, then lets a label look up
-    its own label (path halving), so long chains shrink quickly. All steps are
-    min-aggregates and joins on unique keys, with frequent ``right`` values salted;
-    every round is checkpointed.
+    its own label (path halving), so long chains shrink quickly, until no label moves.
+    All steps are min-aggregates and joins on unique keys, with frequent ``right`` values
+    and the labels of large components salted; every round is checkpointed.
     """
     shared_folder(edges.sparkSession)
     edges = edges.select(left, right).distinct().checkpoint()
@@ -129,20 +145,17 @@ def components(edges: DataFrame, left: str, right: str, keep_single: bool = True
     parts = (salted(edges, [right], hot, [left])
              .join(replicated(shared, [right], hot), [right, "_salt"]).checkpoint())
     label = parts.groupBy(left).agg(F.min(left).alias("component")).checkpoint()
-    for _ in range(max_rounds):
+    moved = True
+    while moved:
         carried = parts.join(label, left).groupBy(right).agg(F.min("component").alias("component"))
         back = (parts.join(replicated(carried, [right], hot), [right, "_salt"])
                 .groupBy(left).agg(F.min("component").alias("_seen")))
         jump = label.select(F.col(left).alias("component"), F.col("component").alias("_far"))
-        nxt = (label.join(back, left).join(jump, "component", "left")
+        nxt = (lookup(label.join(back, left), jump, ["component"], [left])
                .select(left, F.least("component", "_seen", "_far").alias("_new"), "component"))
         nxt = nxt.checkpoint()
         moved = not nxt.filter(F.col("_new") < F.col("component")).isEmpty()
         label = nxt.select(left, F.col("_new").alias("component"))
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not keep_single:
         return label
     return edges.select(left).distinct().join(label, left, "left").withColumn(

@@ -9,8 +9,12 @@ from pyspark.sql import Column, functions as F
 _EDGE_BLANKS = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
 _VISIBLE = r"[^\s\p{Z}\x{FEFF}]"
 _NAME_NOISE = r"[\s\p{Z}\p{P}\x{FEFF}]+"
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
-_SITE_PREFIX = r"^(www|blog|m)\."
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+# Public suffixes of two labels; any other last label is a suffix itself.
+TWO_LABEL_SUFFIXES = [
+    "com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "ac.cn", "com.hk", "com.tw", "co.uk", "org.uk", "co.jp",
+    "com.au", "com.sg", "example.com", "example.org", "example.net",
+]
 
 
 def trim_all(c: Column) -> Column:
@@ -50,11 +54,15 @@ def host_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The registered domain: the host without its service prefix."""
-    return F.regexp_replace(host, _SITE_PREFIX, "")
+    """The registered domain: the public suffix and one label more; a shorter host is
+    its own domain. Suffixes of two labels are listed, all others have one."""
+    last_two = F.substring_index(host, ".", -2)
+    listed = last_two.isin(TWO_LABEL_SUFFIXES)
+    return F.when(listed, F.substring_index(host, ".", -3)).otherwise(last_two)
 
 
 def site_label(host: Column) -> Column:
+    """First label of the registered domain."""
     return F.substring_index(domain_of(host), ".", 1)
 
 

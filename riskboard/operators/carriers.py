@@ -15,7 +15,7 @@ def _by_kind() -> list:
 def lookup_carriers(roster: DataFrame, registry: DataFrame) -> DataFrame:
     """Carrier counts for every roster company, matched by normalised name; a company
     without carriers stays with zeros. The registry is counted per name before the join."""
-    found = (registry.select(norm_name(F.col("registered_name")).alias("_key"), "kind")
+    found = (registry.select(norm_name(F.col("registered_name")).alias("_key"), "kind").filter("_key <> ''")
              .groupBy("_key").agg(*_by_kind()))
     counts = [F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in CARRIER_KINDS]
     return (roster.withColumn("_key", norm_name(F.col("name"))).join(found, "_key", "left")

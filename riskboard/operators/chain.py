@@ -16,8 +16,8 @@ def _cents(lineitem: DataFrame) -> Column:
 def company_products(orders: DataFrame, lineitem: DataFrame, companies: DataFrame) -> DataFrame:
     """Exposure of the given companies to every product they ordered. Orders of other
     companies drop out before the lines are joined."""
-    bought = (orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("company_id"))
-              .join(companies, "company_id", "left_semi"))
+    bought = lookup(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("company_id")),
+                    companies, ["company_id"], ["l_orderkey"], "left_semi")
     lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("product_id"),
                             _cents(lineitem).alias("_c"))
     return (lines.join(bought, "l_orderkey").groupBy("company_id", "product_id")
@@ -31,7 +31,7 @@ def exposure_chain(event: DataFrame, orders: DataFrame, lineitem: DataFrame, par
     paths, not its events times its orders."""
     kinds = event.groupBy("company_id", "event_type").agg(F.count(F.lit(1)).alias("n_events"))
     firms = event.select("company_id").distinct()
-    paths = kinds.join(company_products(orders, lineitem, firms), "company_id")
+    paths = lookup(company_products(orders, lineitem, firms), kinds, ["company_id"], ["product_id"], "inner")
     products = part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
     return paths.join(products, "product_id", "left").select(
         "event_type", "company_id", "product_id", "brand", "n_events", "n_lines",

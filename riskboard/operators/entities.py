@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.scale import components, lookup, top_k
+from ..functions.text import norm_name
+
+
+# tokens in a group, and the share of groups that near copies have in common
+SHINGLE = 5
+SIMILAR = 0.8
 
 
 def rank_accounts(account: DataFrame, k: int) -> DataFrame:
@@ -39,7 +45,7 @@ def account_listing(account: DataFrame) -> DataFrame:
 def scenario_listing(scenario: DataFrame, keys: list[str]) -> DataFrame:
     """Scenario name and the whole record as JSON."""
     name = F.coalesce(F.nullif(F.col("scenario"), F.lit("")), F.lit(fixed.NO_VALUE))
-    record = F.to_json(F.struct("scenario", "level", "note"))
+    record = F.to_json(F.struct("scenario", "level", "note"), {"ignoreNullFields": "false"})
     return scenario.select(*keys, F.concat(name, F.lit(": "), record).alias("line"))
 
 
@@ -58,7 +64,8 @@ def _forms(names: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def near_names(left: DataFrame, right: DataFrame, k: int = 1) -> DataFrame:
-    """All pairs of distinct names at edit distance ``k`` or less: ``name, other, dist``.
+    """All pairs of distinct names at edit distance ``k`` or less, equal ones included:
+    ``name, other, dist``.
 
     Exact, by equi-join: two such names share a form after at most ``k`` deletions on
     each side. Names are made distinct first and only names close to one another share
@@ -67,50 +74,85 @@ def near_names(left: DataFrame, right: DataFrame, k: int = 1) -> DataFrame:
     a = _forms(left.select("name").distinct(), "name", k)
     b = _forms(right.select(F.col("name").alias("other")).distinct(), "other", k)
     pairs = a.join(b, "_form").select("name", "other").distinct()
-    return (pairs.withColumn("dist", F.levenshtein("name", "other", k))
-            .filter((F.col("dist") >= 0) & (F.col("name") != F.col("other"))))
+    return pairs.withColumn("dist", F.levenshtein("name", "other", k)).filter(F.col("dist") >= 0)
 
 
 def similar_accounts(account: DataFrame, company: DataFrame, k: int = 1) -> DataFrame:
-    """Accounts whose name is near, but not equal to, the name of a company."""
+    """Accounts whose name is equal or near to the name of a company: one row per account
+    and like name, with the smallest company of that name and how many there are, so
+    that a name many accounts and companies bear does not multiply them."""
     pairs = near_names(account, company, k)
-    firms = company.select(F.col("company_id").alias("like_company_id"), F.col("name").alias("other"))
+    firms = company.groupBy(F.col("name").alias("other")).agg(
+        F.min("company_id").alias("like_company_id"), F.count_distinct("company_id").alias("n_like"))
     return (lookup(account, pairs.join(firms, "other"), ["name"], ["company_id", "platform"], "inner")
-            .select("company_id", "platform", F.col("name").alias("account"),
-                    "like_company_id", F.col("other").alias("like_name"), "dist"))
+            .select("company_id", "platform", F.col("name").alias("account"), "like_company_id",
+                    F.col("other").alias("like_name"), "n_like", "dist"))
 
 
 def align_entities(member: DataFrame) -> DataFrame:
     """Members ``domain, name`` that share a registered domain or a normalised name are
-    one entity; returns ``domain, entity_id`` (the smallest domain of the entity)."""
-    return components(member, "domain", "name").withColumnRenamed("component", "entity_id")
-
-
-def _words(text: str) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def copy_bands(text: DataFrame, id_col: str, text_col: str, bands: int = 4, rows: int = 2) -> DataFrame:
-    """Min-hash band keys of every text: ``id, band``. The min-hash values are cut from
-    one SHA-256 per group of three words. All hashing stays in the row; only the
-    short keys travel. Texts of under three words use all their words as one group."""
-    words = text.select(id_col, _words(text_col).alias("_w")).filter(F.size("_w") > 0)
-    last = F.greatest(F.size("_w") - 2, F.lit(1))
-    hashed = words.select(id_col, F.transform(
-        F.sequence(F.lit(1), last),
-        lambda i: F.sha2(F.array_join(F.slice("_w", i, 3), " "), 256)).alias("_h"))
-    width = 64 // (bands * rows)
-    low = lambda j: F.array_min(F.transform(
-        "_h", lambda h: F.substring(h, j * width + 1, width)))
-    key = lambda b: F.concat(F.lit(f"{b}:"), *[low(b * rows + r) for r in range(rows)])
-    return hashed.select(id_col, F.explode(F.array(*[key(b) for b in range(bands)])).alias("band"))
-
-
-def copy_groups(text: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    one entity; returns ``domain, entity_id`` (the smallest domain of the entity). Names
+    without letters or figures link nothing."""
+    named = member.select("domain", norm_name(F.col("name")).alias("name")).filter("name <> ''")
+    linked = components(named, "domain", "name")
+    return member.select("domain").distinct().join(linked, "domain", "left").select(
+        "domain", F.coalesce("component", "domain").alias("entity_id"))
+
+
+def _groups(text: str) -> tuple[Column, Column]:
+    """Tokens, and the distinct hashed groups of ``SHINGLE`` tokens (of ``_w``); fewer
+    tokens make one group. Letters of scripts written without blanks are tokens of their
+    own."""
+    spaced = F.regexp_replace(F.lower(text), r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])", " $1 ")
+    words = F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - SHINGLE + 1, F.lit(1)))
+    return words, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, SHINGLE), " "))))
+
+
+def copy_bands(text: DataFrame, id_col: str, text_col: str, bands: int = 20, rows: int = 5) -> DataFrame:
+    """Min-hash bands of every text: ``id, groups, band``, with the min-hash signature's
+    full 64-bit values. All hashing stays in the row. Texts without a token have none."""
+    words, groups = _groups(text_col)
+    hashed = (text.select(id_col, words.alias("_w")).filter(F.size("_w") > 0)
+              .select(id_col, groups.alias("groups")))
+    low = lambda j: F.array_min(F.transform("groups", lambda h: F.xxhash64(F.lit(j), h)))
+    sign = F.array(*[low(j) for j in range(bands * rows)])
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(
+        b, F.slice("_sign", b * rows + 1, rows)))
+    return (hashed.withColumn("_sign", sign)
+            .select(id_col, "groups", F.explode(keys).alias("band")))
+
+
+def copy_links(text: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR,
+               bands: int = 20, rows: int = 5) -> DataFrame:
+    """Checked links ``left, right``: texts that share a band with the band's first text
+    and have at least the ``threshold`` of their three-token groups in common with it.
+
+    Each text is compared with the first text of each of its bands, not with all of them,
+    so a band of n texts makes n - 1 comparisons; the first text is found by a map-side
+    minimum. A text that fails the check with the first of a band may still be linked
+    through another band.
+    """
+    banded = copy_bands(text, id_col, text_col, bands, rows)
+    first = (banded.groupBy("band").agg(F.min(id_col).alias("left"), F.count(F.lit(1)).alias("_n"))
+             .filter("_n > 1").select("band", "left"))
+    pairs = (banded.select(F.col(id_col).alias("right"), "band").join(first, "band")
+             .filter("left < right").select("left", "right").distinct())
+    words, groups = _groups(text_col)
+    sets = text.select(F.col(id_col).alias("_id"), words.alias("_w")).select("_id", groups.alias("_g"))
+    both = (pairs.join(sets.withColumnsRenamed({"_id": "left", "_g": "_a"}), "left")
+            .join(sets.withColumnsRenamed({"_id": "right", "_g": "_b"}), "right"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    return both.filter(common >= threshold * (F.size("_a") + F.size("_b") - common)).select("left", "right")
+
+
+def copy_groups(text: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR) -> DataFrame:
     """Texts grouped with their near copies: ``id, group_id, n_copies`` for groups of two
-    or more. Two texts are linked when they share a band; groups are the connected
-    components over text and band, so a group of any size costs its own rows only."""
-    grouped = components(copy_bands(text, id_col, text_col), id_col, "band", keep_single=False)
+    or more. Groups are the connected components over checked links, so no text is in a
+    group without a mate of at least the threshold's similarity."""
+    links = copy_links(text, id_col, text_col, threshold)
+    pairs = links.select(F.explode(F.array("left", "right")).alias(id_col), F.xxhash64("left", "right").alias("_link"))
+    grouped = components(pairs, id_col, "_link", keep_single=False)
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n_copies"))
     return lookup(grouped, sizes, ["component"], [id_col], "inner").select(
         id_col, F.col("component").alias("group_id"), "n_copies")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.scale import fits, lookup
-from ..functions.text import content_key, first_filled, is_blank
+from ..functions.scale import lookup
+from ..functions.text import content_key, first_filled, is_blank, norm_name
 
 
 def grade_evidence(evidence: DataFrame, source: DataFrame, content: str = "content") -> DataFrame:
@@ -36,22 +36,22 @@ def basis_rows(inference: DataFrame) -> DataFrame:
                             F.explode(F.array_distinct("basis")).alias("evidence_id"))
 
 
-def resolve_basis(inference: DataFrame, graded: DataFrame, on_company: bool = True) -> DataFrame:
+def resolve_basis(inference: DataFrame, graded: DataFrame) -> DataFrame:
     """Basis ids that resolve, with the evidence's grade."""
-    keys = ["company_id", "evidence_id"] if on_company else ["evidence_id"]
+    keys = ["company_id", "evidence_id"]
     return lookup(basis_rows(inference), graded.select(*keys, "grade"), keys, ["inference_id"], "inner")
 
 
-def dangling_basis(inference: DataFrame, evidence: DataFrame, on_company: bool = True) -> DataFrame:
+def dangling_basis(inference: DataFrame, evidence: DataFrame) -> DataFrame:
     """Basis ids that resolve to nothing."""
-    keys = ["company_id", "evidence_id"] if on_company else ["evidence_id"]
+    keys = ["company_id", "evidence_id"]
     return basis_rows(inference).join(evidence.select(*keys), keys, "left_anti").select(
         "company_id", "inference_id", "evidence_id")
 
 
-def basis_support(inference: DataFrame, graded: DataFrame, on_company: bool = True) -> DataFrame:
+def basis_support(inference: DataFrame, graded: DataFrame) -> DataFrame:
     """Per inference: basis size, how many ids resolve, how many are verified, partial."""
-    keys = ["company_id", "evidence_id"] if on_company else ["evidence_id"]
+    keys = ["company_id", "evidence_id"]
     g = F.col("grade")
     return (lookup(basis_rows(inference), graded.select(*keys, "grade"), keys, ["inference_id"])
             .groupBy("company_id", "inference_id")
@@ -61,9 +61,10 @@ def basis_support(inference: DataFrame, graded: DataFrame, on_company: bool = Tr
 
 
 def sole_partial(support: DataFrame) -> DataFrame:
-    """Conclusions whose resolved basis is partial evidence alone."""
-    return support.filter((F.col("n_resolved") > 0) & (F.col("n_partial") == F.col("n_resolved"))
-                          ).select("company_id", "inference_id", "n_partial")
+    """Conclusions that rest on partial evidence: none of their basis is verified, and at
+    least one piece is partial."""
+    return support.filter((F.col("n_verified") == 0) & (F.col("n_partial") > 0)).select(
+        "company_id", "inference_id", "n_partial")
 
 
 def incomplete_evidence(evidence: DataFrame, run_time: str) -> DataFrame:
@@ -76,35 +77,26 @@ def incomplete_evidence(evidence: DataFrame, run_time: str) -> DataFrame:
             .filter(F.col("missing") != ""))
 
 
-def coverage_gap(company: DataFrame, source: DataFrame, evidence: DataFrame,
-                 inline_sources: int = 5_000) -> DataFrame:
-    """Company and source cells without evidence.
+def coverage_gap(company: DataFrame, source: DataFrame, evidence: DataFrame) -> DataFrame:
+    """How far each company's evidence covers the sources: ``company_id, n_covered,
+    n_missing, missing_types`` (source types without any evidence, in order).
 
-    The evidence shrinks map-side to distinct cells, then to a set of covered sources
-    per company; the gap is that company's complement in the source list. A source
-    list past ``inline_sources`` is cut into hash chunks and handled chunk by chunk
-    in the same way.
+    One row per company and no pairs: the evidence shrinks to distinct (company, source)
+    cells with the source's type and is then counted per company; the totals meet as
+    scalars. The set of types is a small fixed list.
     """
-    ids = source.select("source_id").distinct()
-    chunks = 1
-    if not fits(ids, inline_sources):
-        chunks = -(-ids.count() // inline_sources)
-    chunk = F.pmod(F.xxhash64("source_id"), F.lit(chunks)).cast("int")
-    covered = (evidence.select("company_id", "source_id").distinct()
-               .groupBy("company_id", chunk.alias("_chunk"))
-               .agg(F.collect_list("source_id").alias("_have")))
-    firms = company.select("company_id", F.explode(F.sequence(
-        F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+    kinds = source.select("source_id", F.col("type").alias("_type")).distinct()
+    cells = evidence.select("company_id", "source_id").distinct()
+    have = lookup(cells, kinds, ["source_id"], ["company_id"], "inner").groupBy("company_id").agg(
+        F.count(F.lit(1)).alias("n_covered"), F.collect_set("_type").alias("_types"))
+    known = kinds.agg(F.struct(F.count_distinct("source_id").alias("n"),
+                               F.array_sort(F.collect_set("_type")).alias("types")).alias("s"))
     none = F.array().cast("array<string>")
-    firms = firms.join(covered, ["company_id", "_chunk"], "left").withColumn(
-        "_have", F.coalesce("_have", none))
-    if chunks == 1:
-        wanted = ids.agg(F.collect_list("source_id").alias("a"))
-        listed = firms.withColumn("_all", wanted.scalar())
-    else:
-        lists = ids.groupBy(chunk.alias("_chunk")).agg(F.collect_list("source_id").alias("_all"))
-        listed = firms.join(lists, "_chunk")
-    return listed.select("company_id", F.explode(F.array_except("_all", "_have")).alias("source_id"))
+    n = F.coalesce("n_covered", F.lit(0))
+    return (company.select("company_id").distinct().join(have, "company_id", "left")
+            .withColumn("_all", known.scalar())
+            .select("company_id", n.alias("n_covered"), (F.col("_all.n") - n).alias("n_missing"),
+                    F.array_join(F.array_except("_all.types", F.coalesce("_types", none)), ",").alias("missing_types")))
 
 
 def evidence_conflict(claim: DataFrame) -> DataFrame:
@@ -124,9 +116,10 @@ def evidence_conflict(claim: DataFrame) -> DataFrame:
 
 def dedup_evidence(evidence: DataFrame, content: str = "content") -> DataFrame:
     """One row per distinct content: the first evidence, how often and from how many
-    sources it was found. Only the content's hash is shuffled, never the text."""
-    keyed = evidence.select("evidence_id", "source_id", "company_id",
-                            content_key(F.col(content)).alias("content_key"))
+    sources it was found. Evidence without letters or figures is a copy of nothing. Only
+    the content's hash is shuffled, never the text."""
+    keyed = evidence.filter(norm_name(F.col(content)) != "").select(
+        "evidence_id", "source_id", "company_id", content_key(F.col(content)).alias("content_key"))
     per_source = keyed.groupBy("content_key", "source_id").agg(
         F.min(F.struct("evidence_id", "company_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))
     return per_source.groupBy("content_key").agg(

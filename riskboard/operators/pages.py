@@ -9,7 +9,8 @@ from ..functions.text import host_of, trim_all
 _HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<head.*?</head>"
 _TAG = r"<[^>]*>"
 _TITLE = r"(?is)<title[^>]*>([^<]*)</title>"
-_LINK = r'(?i)<a\s[^>]*href="([^"]*)"'
+# the address of a link: in double or single quotes, or bare
+_LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 # Named entities that stored pages use; the ampersand comes last.
 ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©",
@@ -17,10 +18,27 @@ ENTITIES = {
 }
 
 
-def _plain(c: Column) -> Column:
+def decoded(c: Column) -> Column:
+    """Character references as characters: all numeric ones, and the named ones in use.
+    The pieces between references are kept as they stand; only texts with one are cut."""
+    mark = "\ue000"
+    number = lambda t: F.coalesce(
+        F.conv(F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10).try_cast("int"),
+        F.regexp_extract(t, "^&#([0-9]{1,7});$", 1).try_cast("int"))
+    utf16 = lambda n: F.when(n < 65536, F.lpad(F.hex(n), 4, "0")).otherwise(F.concat(
+        F.lpad(F.hex(F.floor((n - 65536) / 1024) + 55296), 4, "0"), F.lpad(F.hex(F.pmod(n - 65536, F.lit(1024)) + 56320), 4, "0")))
+    good = lambda n: (n > 0) & (n < 1114112) & ~n.between(55296, 57343)
+    parts = F.split(F.regexp_replace(c, "(&#[xX]?[0-9a-fA-F]{1,7};)", f"{mark}$1{mark}"), mark)
+    numeric = F.array_join(F.transform(parts, lambda t: F.when(
+        F.coalesce(good(number(t)), F.lit(False)), F.decode(F.unhex(utf16(number(t))), "UTF-16BE")).otherwise(t)), "")
+    c = F.when(F.contains(c, F.lit("&#")), numeric).otherwise(c)
     for entity, char in ENTITIES.items():
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return trim_all(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
+    return c
+
+
+def _plain(c: Column) -> Column:
+    return trim_all(F.regexp_replace(decoded(c), r"[\s\p{Z}]+", " "))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -32,9 +50,10 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Links of every page in page order."""
-    return pages.select("page_id", F.posexplode(
-        F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("pos", "href"))
+    """Links of every page in page order, without quotes and entities."""
+    found = F.posexplode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("pos", "href")
+    bare = F.regexp_replace("href", "^[\"']|[\"']$", "")
+    return pages.select("page_id", found).select("page_id", "pos", decoded(bare).alias("href"))
 
 
 def domain_activity(candidate: DataFrame, pages: DataFrame) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Patterns are applied in this order: mail, phone, network address, long digit runs.
+# Patterns are applied in this order: mail, identity numbers (the last figure may be an
+# X), network addresses, phone numbers (bracketed area code; mobile in groups of 3-4-4;
+# landline with area code), long digit runs.
 PATTERNS = [
-    (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[MAIL]"),
-    (r"\+?[0-9]{1,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]{3,4}[ -]?[0-9]{4}", "[PHONE]"),
+    (r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+", "[MAIL]"),
+    (r"[0-9]{17}[0-9Xx]|[0-9]{14}[Xx]", "[ID]"),
     (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[ADDR]"),
+    (r"\+?[0-9]{1,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]{3,4}[ -]?[0-9]{4}", "[PHONE]"),
+    (r"(\+?86[ -]?)?1[3-9][0-9][ -]?[0-9]{4}[ -]?[0-9]{4}", "[PHONE]"),
+    (r"0[0-9]{2,3}[ -][0-9]{7,8}", "[PHONE]"),
     (r"[0-9]{9,}", "[ID]"),
 ]
 

@@ -9,11 +9,11 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 4))
 
 
-def recall(flagged: DataFrame, label: DataFrame, key: str = "evidence_id") -> DataFrame:
-    """True positives, misses and recall over labelled-risk items. ``flagged`` shrinks
-    to distinct keys before the join."""
+def recall(flagged: DataFrame, label: DataFrame, key: str = "company_id") -> DataFrame:
+    """True positives, misses and recall over labelled-risk items: companies, flagged by
+    their verdict. Both sides shrink to distinct keys before the join."""
     hit = flagged.select(key).distinct().withColumn("_hit", F.lit(True))
-    risky = label.filter("risky").select(key)
+    risky = label.filter("risky").select(key).distinct()
     tp = F.count("_hit")
     return risky.join(hit, key, "left").agg(
         tp.alias("tp"), (F.count(F.lit(1)) - tp).alias("fn"),

@@ -2,56 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import is_degraded
-from ..functions.scale import fits
-
-# Up to this many entries a dictionary rides along with every row as one array.
-INLINE_ENTRIES = 2_000
 
-
-def _literal(entries: list[tuple[str, str]]):
-    pairs = sorted({(k.lower(), c) for k, c in entries})
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category"))
-                     for k, c in pairs])
+# Entries handled by one pass over the texts; more entries mean more passes in one plan.
+PASS = 500
 
 
 def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], text_col: str,
-                    keep: list[str], inline_entries: int = INLINE_ENTRIES) -> DataFrame:
+                    keep: list[str]) -> DataFrame:
     """Every (text, keyword) pair where the whole text holds the keyword, in any case.
 
-    ``words`` is a list of (keyword, category) or a table ``keyword, category``. A
-    list or a small table becomes one array and each text is scanned where it lies:
-    no join, no shuffle, the text column never leaves its task. A table past
-    ``inline_entries`` is met by an equi-join on letter groups of the length of its
-    shortest keyword: only row keys and letter groups travel, the candidates then meet
-    the whole texts once and are checked there.
+    ``words`` is a list of (keyword, category) or a table ``keyword, category``; empty
+    keywords match nothing. Texts stay where they are: each pass checks ``PASS`` entries
+    by one scan with an alternation of them first, and only texts that hold any of the
+    entries are then checked entry by entry. A dictionary of any length is cut into
+    passes that are unioned, so no plan holds more than a pass's entries in an array.
     """
-    low = F.lower(text_col)
-    if isinstance(words, list):
-        entries = _literal(words)
-    else:
-        words = words.select(F.lower("keyword").alias("keyword"), "category").distinct()
-        entries = None
-        if fits(words, inline_entries):
-            entries = words.agg(F.collect_list(F.struct("keyword", "category")).alias("a")).scalar()
-    if entries is not None:
-        tagged = text.select(*keep, low.alias("_low"), entries.alias("_dict"))
-        hits = F.filter("_dict", lambda e: F.contains(F.col("_low"), e["keyword"]))
-        return tagged.select(*keep, F.inline(hits))
-    size = words.agg(F.min(F.length("keyword")).alias("n")).first()["n"]
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low") - size + 1)),
-        lambda i: F.substring(F.col("_low"), i, F.lit(size))))
-    row = F.xxhash64(*keep, "_low").alias("_row")
-    lowered = text.select(*keep, low.alias("_low"))
-    pieces = lowered.select(row, F.explode(grams).alias("_gram"))
-    heads = words.withColumn("_gram", F.substring("keyword", 1, size))
-    found = pieces.join(heads, "_gram").select("_row", "keyword", "category").distinct()
-    return (lowered.withColumn("_row", row).join(found, "_row")
-            .filter(F.contains("_low", F.col("keyword"))).select(*keep, "keyword", "category"))
+    if isinstance(words, DataFrame):
+        words = [(r["keyword"], r["category"]) for r in words.select("keyword", "category").distinct().toLocalIterator()]
+    pairs = sorted({(k.lower(), c) for k, c in words if k})
+    low = text.select(*keep, F.lower(text_col).alias("_low"))
+    parts = []
+    for at in range(0, max(1, len(pairs)), PASS):
+        own = pairs[at:at + PASS]
+        entries = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category")) for k, c in own])
+        if not own:
+            entries = entries.cast("array<struct<keyword: string, category: string>>")
+        some = F.col("_low").rlike("|".join(rf"\Q{k}\E" for k, _ in own)) if len(own) > 8 else F.lit(True)
+        hits = F.filter(entries, lambda e: F.contains(F.col("_low"), e["keyword"]))
+        parts.append(low.filter(some).select(*keep, F.inline(hits)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keyword_findings(hits: DataFrame) -> DataFrame:
@@ -62,12 +47,12 @@ def keyword_findings(hits: DataFrame) -> DataFrame:
 
 
 def keyword_text(findings: DataFrame) -> DataFrame:
-    """Keywords within a finding joined by 、, findings by ；, empty ones dropped."""
-    one = F.array_join("keywords", "、")
-    rows = findings.select("company_id", F.struct("location", one.alias("t")).alias("f")).filter(
-        F.col("f.t") != "")
-    texts = F.transform(F.array_sort(F.collect_list("f")), lambda f: f["t"])
-    return rows.groupBy("company_id").agg(F.array_join(texts, "；").alias("keyword_text"))
+    """Keywords within a finding joined by 、, the distinct texts of a company's findings
+    by ；, empty ones dropped. Locations can be any number, but texts of keyword sets are
+    bounded by the dictionary: equal ones are one before they are gathered."""
+    rows = findings.select("company_id", F.array_join("keywords", "、").alias("_t")).filter("_t <> ''").distinct()
+    return rows.groupBy("company_id").agg(
+        F.array_join(F.array_sort(F.collect_list("_t")), "；").alias("keyword_text"))
 
 
 def nested_keyword_text(findings: str):
@@ -85,24 +70,28 @@ def company_words(hits: DataFrame) -> DataFrame:
 
 def rule_verdict(company: DataFrame, carriers: DataFrame, pages: DataFrame, hits: DataFrame
                  ) -> DataFrame:
-    """The conservative rule. Only a finished company with data can be clear of risk:
-    an unfinished one and one without carriers and pages stay undecided.
+    """The conservative rule. Only a finished company with data whose texts were screened
+    can be clear of risk: an unfinished one, one without carriers and pages, and one
+    without hits whose keyword phase is not OK stay undecided.
 
-    Each side is reduced to one row per company before it is joined.
+    ``company`` may carry ``live_screened``; without task rows a closed company counts as
+    screened. Each side is reduced to one row per company before it is joined.
     """
+    screened = F.coalesce("live_screened", F.lit(False)) if "live_screened" in company.columns else F.lit(True)
     n = lambda df, name: df.groupBy("company_id").agg(F.count(F.lit(1)).alias(name))
-    facts = (company.select("company_id", "status", "analysis_mode")
+    facts = (company.select("company_id", "status", "analysis_mode", screened.alias("_screened"))
              .join(n(carriers, "_carriers"), "company_id", "left")
              .join(n(pages, "_pages"), "company_id", "left")
              .join(n(hits, "_hits"), "company_id", "left"))
     have = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     closed = F.coalesce(F.col("status") == "CLOSED", F.lit(False))
     missing = ~have("_carriers") & ~have("_pages")
+    unknown = ~closed | missing | (~have("_hits") & ~F.col("_screened"))
     return facts.select(
         "company_id", "status",
-        F.when(~closed | missing, F.lit(None).cast("boolean")).otherwise(have("_hits")).alias("risk"),
-        F.when(~closed, "unfinished").when(missing, fixed.TO_VERIFY)
-        .when(have("_hits"), "keyword").otherwise("no_keyword").alias("reason"),
+        F.when(unknown, F.lit(None).cast("boolean")).otherwise(have("_hits")).alias("risk"),
+        F.when(~closed, "unfinished").when(missing, fixed.TO_VERIFY).when(have("_hits"), "keyword")
+        .when(~F.col("_screened"), "unscreened").otherwise("no_keyword").alias("reason"),
         "analysis_mode", is_degraded(F.col("analysis_mode")).alias("is_degraded"))
 
 

@@ -2,43 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import label
 from ..functions.scale import latest_by, lookup
 from ..functions.text import first_filled, indented_json, nth
 
-LAST_PHASE = len(fixed.PHASES) - 1
+ALL_PHASES = (1 << len(fixed.PHASES)) - 1
+SCREENING = fixed.PHASES.index("KEYWORD")
+FINISHED = ["OK", "TERMINAL"]
 
 
 def task_state(task_event: DataFrame) -> DataFrame:
-    """Latest state of every (company, phase) with its number of tries."""
+    """Latest state of every task (company, phase, folder) with its number of tries."""
     best = F.max_by(F.struct("status", "error_code", "event_id"), F.struct("ts", "event_id"))
     tries = F.count_if(F.col("status").isin("FAILED", "RETRY_WAIT"))
-    return (task_event.groupBy("company_id", "phase_idx")
+    return (task_event.groupBy("company_id", "phase_idx", "task_dir")
             .agg(best.alias("_best"), tries.alias("attempts"))
             .select("company_id", nth(fixed.PHASES, F.col("phase_idx")).alias("phase"),
-                    "phase_idx", "_best.*", "attempts"))
+                    "phase_idx", "task_dir", "_best.*", "attempts"))
+
+
+def open_phases() -> Column:
+    """Aggregate: bit set of the phases a company has not finished. A phase is finished
+    when it has tasks and all of them are OK or TERMINAL; a phase without tasks is open."""
+    bit = F.call_function("shiftleft", F.lit(1), F.col("phase_idx").cast("int"))
+    seen = F.coalesce(F.bit_or(bit), F.lit(0))
+    left = F.coalesce(F.bit_or(F.when(~F.col("status").isin(FINISHED), bit)), F.lit(0))
+    return F.bitwise_not(seen).bitwiseAND(F.lit(ALL_PHASES)).bitwiseOR(left)
 
 
 def company_task_stats(task: DataFrame) -> DataFrame:
-    """Totals per company, the first unfinished phase, and whether the run is over.
+    """Totals per company, the first open phase, whether the run is over, and whether
+    its texts were screened.
 
-    The run is over when its last phase has ended well; a phase that ended without a
-    result (TERMINAL) counts as finished, neither ok nor failed.
+    The run is over when no phase is open; a task that ended without a result (TERMINAL)
+    counts as finished, neither ok nor failed. ``screened`` holds only if the keyword phase
+    has tasks and all of them are OK.
     """
     s = F.col("status")
-    left = ~s.isin("OK", "TERMINAL")
-    closed = F.coalesce(F.bool_or((F.col("phase_idx") == LAST_PHASE) & (s == "OK")), F.lit(False))
     stats = task.groupBy("company_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(s == "OK").alias("ok"),
         F.count_if(s == "FAILED").alias("failed"), F.count_if(s == "RUNNING").alias("running"),
-        F.min(F.when(left, F.col("phase_idx"))).alias("_cur"), closed.alias("closed"))
-    current = F.when(F.col("closed"), fixed.NO_TEXT).otherwise(
-        nth(fixed.PHASES, F.col("_cur")))
+        open_phases().alias("_open"),
+        F.coalesce(F.bool_and(F.when(F.col("phase_idx") == SCREENING, s == "OK")), F.lit(False)).alias("screened"))
+    first = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(len(fixed.PHASES) - 1)),
+                                 lambda i: F.getbit("_open", i) == 1))
+    closed = F.col("_open") == 0
+    current = F.when(closed, fixed.NO_TEXT).otherwise(nth(fixed.PHASES, first))
     return stats.select("company_id", "total", "ok", "failed", "running",
-                        current.alias("current_phase"), "closed")
+                        current.alias("current_phase"), closed.alias("closed"), "screened")
 
 
 def live_rows(task: DataFrame) -> DataFrame:
@@ -84,7 +98,7 @@ def task_cards(task: DataFrame) -> DataFrame:
     return task.select(
         *[c for c in task.columns if c != "summary"], title.alias("title"),
         label("taskStatus", F.col("status")).alias("status_label"),
-        F.substring(indented_json(F.col("summary")), 1, 1000).alias("detail"))
+        F.substring(F.coalesce(indented_json(F.col("summary")), F.lit("{}")), 1, 1000).alias("detail"))
 
 
 def phase_results(task: DataFrame, company: int | str | None = None,

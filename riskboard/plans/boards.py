@@ -26,10 +26,6 @@ def board(t: Tables) -> DataFrame:
     return bd.merge_live(tb.company(t), tk.live_rows(task(t)), "company_id")
 
 
-def watched_companies(t: Tables) -> DataFrame:
-    return t.read("events").select(F.col("user_id").alias("company_id")).distinct()
-
-
 @query("company_board", rows_with(BOARD, f"""
 SELECT company_id, name, status, {label('companyStatus', 'status')} AS status_label,
   CASE WHEN status = 'CLOSED' THEN '已完成'
@@ -50,7 +46,7 @@ def latest_state(t: Tables) -> DataFrame:
 
 
 @query("company_task_stats", rows_with("te task stats live", """
-SELECT company_id, total, ok, failed, running, current_phase, closed FROM live"""))
+SELECT company_id, total, ok, failed, running, current_phase, closed, screened FROM live"""))
 def company_task_stats(t: Tables) -> DataFrame:
     return tk.company_task_stats(task(t))
 
@@ -218,27 +214,26 @@ def label_decode(t: Tables) -> DataFrame:
 
 @query("task_card", rows_with("te", f"""
 SELECT event_id, CASE k % 3 WHEN 0 THEN 'task ' || k WHEN 1 THEN 'https://x.example.com/' || k
-    ELSE phase || '/task_' || event_id END AS title,
+    ELSE task_dir END AS title,
   {label('taskStatus', 'status')} AS status_label,
   CASE k % 3 WHEN 0 THEN '{{' || chr(10) || '  "title": "task ' || k || '",' || chr(10) || '  "type": "' || event_type || '"' || chr(10) || '}}'
     WHEN 1 THEN '{{' || chr(10) || '  "url": "https://x.example.com/' || k || '"' || chr(10) || '}}'
     ELSE '{{}}' END AS detail FROM te"""))
 def task_card(t: Tables) -> DataFrame:
     k = F.col("k").cast("string")
-    empty = F.create_map().cast("map<string,string>")
+    none = F.lit(None).cast("map<string,string>")
     summary = (F.when(F.col("k") % 3 == 0, F.create_map(
         F.lit("title"), F.concat(F.lit("task "), k), F.lit("type"), F.col("event_type")))
         .when(F.col("k") % 3 == 1, F.create_map(
-            F.lit("url"), F.concat(F.lit("https://x.example.com/"), k))).otherwise(empty))
-    folder = F.concat("phase", F.lit("/task_"), F.col("event_id").cast("string"))
-    rows = tb.task_event(t).select("event_id", "status", folder.alias("task_dir"), summary.alias("summary"))
+            F.lit("url"), F.concat(F.lit("https://x.example.com/"), k))).otherwise(none))
+    rows = tb.task_event(t).select("event_id", "status", "task_dir", summary.alias("summary"))
     return tk.task_cards(rows).select("event_id", "title", "status_label", "detail")
 
 
 @query("phase_results", rows_with("te task", """
-SELECT company_id, phase, status, attempts FROM task WHERE phase = 'RISK_ANALYSIS'"""))
+SELECT company_id, phase, task_dir, status, attempts FROM task WHERE phase = 'RISK_ANALYSIS'"""))
 def phase_results(t: Tables) -> DataFrame:
-    return tk.phase_results(task(t)).select("company_id", "phase", "status", "attempts")
+    return tk.phase_results(task(t)).select("company_id", "phase", "task_dir", "status", "attempts")
 
 
 @query("exposure_chain", rows_with("cp", """

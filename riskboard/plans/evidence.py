@@ -11,9 +11,9 @@ from ..operators import evidence as ev
 from ..operators import quality, review, screening
 from ..sources import tables as tb
 from ..sources.tables import Tables
-from .boards import BOARD, board, hits, watched_companies
+from .boards import BOARD, board, hits
 from .registry import query
-from .sql import rows_with
+from .sql import WATCHED, rows_with
 
 GRADED = "source evidence graded"
 VERDICT = BOARD + " evidence hits page carrier verdict"
@@ -51,30 +51,34 @@ def section_view(t: Tables) -> DataFrame:
                        evidence_label(F.col("grade")).alias("grade_label"), "origin_url")
 
 
-@query("coverage_gap", """
-SELECT c.company_id, s.source_id FROM (SELECT DISTINCT user_id AS company_id FROM events) c
-CROSS JOIN (SELECT DISTINCT source AS source_id FROM documents) s
-WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = s.source_id
-  AND d.doc_id % (SELECT count(*) // 10 FROM customer) = c.company_id)""")
+@query("coverage_gap", rows_with("source evidence", """
+SELECT c.company_id, coalesce(n, 0) AS n_covered, (SELECT count(*) FROM source) - coalesce(n, 0) AS n_missing,
+  coalesce((SELECT string_agg(type, ',' ORDER BY type) FROM (SELECT DISTINCT type FROM source) k
+    WHERE NOT list_contains(coalesce(h.types, []), k.type)), '') AS missing_types
+FROM (SELECT c_custkey AS company_id FROM customer) c LEFT JOIN (
+  SELECT company_id, count(DISTINCT e.source_id) AS n, list(DISTINCT type) AS types
+  FROM evidence e JOIN source s ON s.source_id = e.source_id GROUP BY 1) h ON h.company_id = c.company_id"""))
 def coverage_gap(t: Tables) -> DataFrame:
-    return ev.coverage_gap(watched_companies(t), tb.source(t), tb.evidence(t))
+    return ev.coverage_gap(tb.company(t).select("company_id"), tb.source(t), tb.evidence(t))
 
 
 @query("basis_resolved", rows_with(GRADED + " basis", """
-SELECT b.company_id, b.inference_id, b.evidence_id, grade FROM basis b JOIN graded g ON g.evidence_id = b.evidence_id"""))
+SELECT b.company_id, b.inference_id, b.evidence_id, grade FROM basis b JOIN graded g
+  ON g.evidence_id = b.evidence_id AND g.company_id = b.company_id"""))
 def basis_resolved(t: Tables) -> DataFrame:
-    return ev.resolve_basis(tb.inference(t), graded(t), on_company=False).select(
+    return ev.resolve_basis(tb.inference(t), graded(t)).select(
         "company_id", "inference_id", "evidence_id", "grade")
 
 
-@query("basis_dangling", rows_with("basis", """
-SELECT company_id, inference_id, evidence_id FROM basis WHERE evidence_id NOT IN (SELECT doc_id FROM documents)"""))
+@query("basis_dangling", rows_with("evidence basis", """
+SELECT company_id, inference_id, evidence_id FROM basis b WHERE NOT EXISTS (
+  SELECT 1 FROM evidence e WHERE e.evidence_id = b.evidence_id AND e.company_id = b.company_id)"""))
 def basis_dangling(t: Tables) -> DataFrame:
-    return ev.dangling_basis(tb.inference(t), tb.evidence(t), on_company=False)
+    return ev.dangling_basis(tb.inference(t), tb.evidence(t))
 
 
 def support(t: Tables) -> DataFrame:
-    return ev.basis_support(tb.inference(t), graded(t), on_company=False)
+    return ev.basis_support(tb.inference(t), graded(t))
 
 
 @query("basis_support", rows_with(GRADED + " basis support", "SELECT * FROM support"))
@@ -83,7 +87,7 @@ def basis_support(t: Tables) -> DataFrame:
 
 
 @query("sole_partial", rows_with(GRADED + " basis support", """
-SELECT company_id, inference_id, n_partial FROM support WHERE n_resolved > 0 AND n_partial = n_resolved"""))
+SELECT company_id, inference_id, n_partial FROM support WHERE n_verified = 0 AND n_partial > 0"""))
 def sole_partial(t: Tables) -> DataFrame:
     return ev.sole_partial(support(t))
 
@@ -94,20 +98,20 @@ RUN_TIME = "2024-01-02 12:00:00"
 @query("evidence_completeness", rows_with(GRADED, f"""
 SELECT * FROM (SELECT g.company_id, g.evidence_id, concat_ws(',', CASE WHEN source_id = '' THEN 'source_id' END,
     CASE WHEN ts IS NULL THEN 'observed_at' END, CASE WHEN scope = '' THEN 'scope' END,
-    CASE WHEN grade = '' THEN 'status' END, CASE WHEN ts > TIMESTAMP '{RUN_TIME}' THEN 'late' END) AS missing
+    CASE WHEN grade = 'unavailable' THEN 'status' END, CASE WHEN ts > TIMESTAMP '{RUN_TIME}' THEN 'late' END) AS missing
   FROM graded g LEFT JOIN events e ON e.event_id = g.evidence_id) WHERE missing <> ''"""))
 def evidence_completeness(t: Tables) -> DataFrame:
-    # the type of the source stands for the status here: no text is read for this check
-    status = tb.source(t).select("source_id", F.col("type").alias("status"))
-    rows = tb.observed_evidence(t).join(status, "source_id", "left")
-    return ev.incomplete_evidence(rows, RUN_TIME)
+    grades = graded(t).select("company_id", "evidence_id", "source_id", "scope",
+                              F.nullif("grade", F.lit(fixed.UNAVAILABLE)).alias("status"))
+    seen = t.read("events").select(F.col("event_id").alias("evidence_id"), F.col("ts").alias("observed_at"))
+    return ev.incomplete_evidence(grades.join(seen, "evidence_id", "left"), RUN_TIME)
 
 
 @query("evidence_dedup", rows_with("evidence", r"""
 SELECT content_key, min(evidence_id) AS evidence_id, arg_min(company_id, evidence_id) AS company_id,
   count(*) AS n_copies, count(DISTINCT source_id) AS n_sources
 FROM (SELECT *, sha256(regexp_replace(lower(content), '[\s\p{Z}\p{P}\x{FEFF}]+', '', 'g')) AS content_key
-  FROM evidence) GROUP BY content_key"""))
+  FROM evidence WHERE regexp_replace(lower(content), '[\s\p{Z}\p{P}\x{FEFF}]+', '', 'g') <> '') GROUP BY content_key"""))
 def evidence_dedup(t: Tables) -> DataFrame:
     return ev.dedup_evidence(tb.evidence_text(t))
 
@@ -137,9 +141,9 @@ def keyword_findings(t: Tables) -> DataFrame:
 
 
 @query("keyword_text", rows_with("evidence hits", """
-SELECT company_id, string_agg(t, '；' ORDER BY location) AS keyword_text FROM (
-  SELECT company_id, location, string_agg(keyword, '、' ORDER BY keyword) AS t
-  FROM (SELECT DISTINCT company_id, location, keyword FROM hits) GROUP BY 1, 2) GROUP BY 1"""))
+SELECT company_id, string_agg(t, '；' ORDER BY t) AS keyword_text FROM (
+  SELECT DISTINCT company_id, t FROM (SELECT company_id, location, string_agg(keyword, '、' ORDER BY keyword) AS t
+  FROM (SELECT DISTINCT company_id, location, keyword FROM hits) GROUP BY 1, 2)) GROUP BY 1"""))
 def keyword_text(t: Tables) -> DataFrame:
     return screening.keyword_text(screening.keyword_findings(hits(t)))
 
@@ -173,21 +177,21 @@ def scenario_listing(t: Tables) -> DataFrame:
     return en.scenario_listing(rows, ["doc_id"])
 
 
-_RECALL = """(SELECT count(*) FILTER (WHERE evidence_id IN (SELECT evidence_id FROM hits)) AS tp, count(*) AS n
-  FROM (SELECT doc_id AS evidence_id FROM labels WHERE toxic = 1))"""
+_RECALL = f"""(SELECT count(*) FILTER (WHERE company_id IN (SELECT company_id FROM verdict WHERE risk)) AS tp, count(*) AS n
+  FROM (SELECT DISTINCT doc_id % {WATCHED} AS company_id FROM labels WHERE toxic = 1))"""
 
 
 def recall_row(t: Tables) -> DataFrame:
-    return quality.recall(hits(t), tb.label(t))
+    return quality.recall(verdict(t).filter("risk").select("company_id"), tb.label(t))
 
 
-@query("risk_recall", rows_with("evidence hits", f"""
+@query("risk_recall", rows_with(VERDICT, f"""
 SELECT tp, n - tp AS fn, CASE WHEN n > 0 THEN round(tp / CAST(n AS DOUBLE), 4) END AS recall FROM {_RECALL}"""))
 def risk_recall(t: Tables) -> DataFrame:
     return recall_row(t)
 
 
-@query("quality_kpis", rows_with(BOARD + " " + GRADED + " basis support hits", f"""
+@query("quality_kpis", rows_with(VERDICT.replace(" evidence", " source evidence graded") + " basis support", f"""
 SELECT 'citation_completeness' AS metric, round(count(*) FILTER (WHERE n_resolved = n_basis) / CAST(count(*) AS DOUBLE), 4) AS value FROM support
 UNION ALL SELECT 'unsupported_rate', round(count(*) FILTER (WHERE n_verified = 0) / CAST(count(*) AS DOUBLE), 4) FROM support
 UNION ALL SELECT 'high_risk_recall', CASE WHEN n > 0 THEN round(tp / CAST(n AS DOUBLE), 4) END FROM {_RECALL}

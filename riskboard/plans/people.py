@@ -43,10 +43,10 @@ def carrier_listing(t: Tables) -> DataFrame:
 
 
 @query("similar_accounts", rows_with("page account", """,
-firm AS (SELECT DISTINCT domain, site AS name FROM page)
-SELECT company_id, platform, a.name AS account, domain AS like_company_id, f.name AS like_name,
+firm AS (SELECT site AS name, min(domain) AS domain, count(DISTINCT domain) AS n FROM page WHERE site <> '' GROUP BY 1)
+SELECT company_id, platform, a.name AS account, domain AS like_company_id, f.name AS like_name, n AS n_like,
   CAST(levenshtein(a.name, f.name) AS INT) AS dist FROM account a JOIN firm f
-ON a.name <> f.name AND levenshtein(a.name, f.name) <= 1"""))
+ON levenshtein(a.name, f.name) <= 1 WHERE a.name <> ''"""))
 def similar_accounts(t: Tables) -> DataFrame:
     firms = tb.page_host(t).select(F.col("domain").alias("company_id"), F.col("site").alias("name")).distinct()
     return en.similar_accounts(tb.account(t), firms, 1)
@@ -84,7 +84,8 @@ def account_listing(t: Tables) -> DataFrame:
 
 
 @query("entity_alignment", rows_with("page", """
-SELECT domain, min(domain) OVER (PARTITION BY site) AS entity_id FROM (SELECT DISTINCT domain, site FROM page)"""))
+SELECT domain, min(domain) OVER (PARTITION BY CASE WHEN site = '' THEN 'domain ' || domain ELSE 'name ' || site END) AS entity_id
+FROM (SELECT DISTINCT domain, site FROM page)"""))
 def entity_alignment(t: Tables) -> DataFrame:
     return en.align_entities(tb.page_host(t).select("domain", F.col("site").alias("name")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed
+from ..functions.text import TWO_LABEL_SUFFIXES
 from ..sources.tables import STAND_IN_DICTIONARY
 
 
@@ -19,36 +20,48 @@ def label(group: str, code: str) -> str:
     return decode(code, fixed.LABELS[group], f"coalesce(nullif({code}, ''), '{fixed.OTHER}')")
 
 
-WATCHED = "(SELECT count(*) // 10 FROM customer)"
-HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1))"
+WATCHED = "(SELECT greatest(1, count(*)) FROM customer)"
+HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1))"
+SUFFIXES = "(" + "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES) + ")"
+DOMAIN = rf"""CASE WHEN regexp_matches(host, '(^|\.){SUFFIXES}$') THEN regexp_extract(host, '([^.]+\.)?{SUFFIXES}$')
+    ELSE regexp_extract(host, '([^.]+\.)?[^.]*$') END"""
 NORM = r"regexp_replace(lower({}), '[\s\p{{Z}}\p{{P}}\x{{FEFF}}]+', '', 'g')"
 
 CTE = {
     "te": f"""te AS (
   SELECT *, CASE WHEN status IN ('FAILED', 'RETRY_WAIT')
     THEN {texts(fixed.LABELS['error'])}[CAST(floor(value) AS INT) % 5 + 1] END AS error_code,
-    {texts(fixed.PHASES)}[phase_idx + 1] AS phase
+    {texts(fixed.PHASES)}[phase_idx + 1] AS phase,
+    {texts(fixed.PHASES)}[phase_idx + 1] || '/task_' || CAST((k // 12) % 3 AS VARCHAR) AS task_dir
   FROM (SELECT event_id, ts, user_id AS company_id, event_type, value, sha256(props) AS input_sha,
     CAST(json_extract_string(props, '$.k') AS INT) AS k,
     CAST(json_extract_string(props, '$.k') AS INT) % 12 AS phase_idx,
-    CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'RUNNING'
-      WHEN 'purchase' THEN 'OK' WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'RETRY_WAIT' END AS status
+    CASE WHEN user_id % 3 = 0 THEN CASE WHEN event_type = 'error' THEN 'TERMINAL' ELSE 'OK' END
+      WHEN event_type = 'view' THEN 'PENDING' WHEN event_type = 'click' THEN 'RUNNING' WHEN event_type = 'purchase' THEN 'OK'
+      WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'signup' THEN 'RETRY_WAIT' END AS status
     FROM events))""",
     "task": """task AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, phase_idx
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, task_dir
       ORDER BY ts DESC, event_id DESC) AS rn,
     count(*) FILTER (WHERE status IN ('FAILED', 'RETRY_WAIT'))
-      OVER (PARTITION BY company_id, phase_idx) AS attempts FROM te) WHERE rn = 1)""",
-    "stats": """stats AS (
-  SELECT company_id, count(*) AS total, count(*) FILTER (WHERE status = 'OK') AS ok,
+      OVER (PARTITION BY company_id, task_dir) AS attempts FROM te) WHERE rn = 1)""",
+    "stats": """done_phase AS (
+  SELECT company_id, phase_idx FROM task GROUP BY ALL HAVING bool_and(status IN ('OK', 'TERMINAL'))),
+open_phase AS (
+  SELECT c.company_id, min(p.i) AS cur FROM (SELECT DISTINCT company_id FROM task) c, range(0, 12) p(i)
+  WHERE NOT EXISTS (SELECT 1 FROM done_phase d WHERE d.company_id = c.company_id AND d.phase_idx = p.i)
+  GROUP BY 1),
+stats AS (
+  SELECT t.company_id, count(*) AS total, count(*) FILTER (WHERE status = 'OK') AS ok,
     count(*) FILTER (WHERE status = 'FAILED') AS failed,
-    count(*) FILTER (WHERE status = 'RUNNING') AS running,
-    min(phase_idx) FILTER (WHERE status NOT IN ('OK', 'TERMINAL')) AS cur,
-    bool_or(phase_idx = 11 AND status = 'OK') AS closed
-  FROM task GROUP BY company_id)""",
+    count(*) FILTER (WHERE status = 'RUNNING') AS running, any_value(cur) AS cur,
+    any_value(cur) IS NULL AS closed,
+    count(*) FILTER (WHERE phase = 'KEYWORD') > 0
+      AND count(*) FILTER (WHERE phase = 'KEYWORD' AND status <> 'OK') = 0 AS screened
+  FROM task t LEFT JOIN open_phase o ON o.company_id = t.company_id GROUP BY t.company_id)""",
     "live": f"""live AS (
   SELECT company_id, total, ok, failed, running, CASE WHEN closed THEN 'CLOSED' ELSE 'OPEN' END AS status,
-    CASE WHEN closed THEN '-' ELSE {texts(fixed.PHASES)}[cur + 1] END AS current_phase, closed
+    CASE WHEN closed THEN '-' ELSE {texts(fixed.PHASES)}[cur + 1] END AS current_phase, closed, screened
   FROM stats)""",
     "company": """company AS (
   SELECT c_custkey AS company_id, c_name AS name,
@@ -59,7 +72,7 @@ CTE = {
   FROM customer)""",
     "board": """board AS (
   SELECT coalesce(c.company_id, l.company_id) AS company_id, name, risk, risk_words, active_domains,
-    analysis_mode, coalesce(l.status, '未知') AS status, current_phase, total, ok, failed, running,
+    analysis_mode, coalesce(l.status, '未知') AS status, current_phase, total, ok, failed, running, screened,
     c.company_id IS NOT NULL AS has_full
   FROM company c FULL OUTER JOIN live l ON c.company_id = l.company_id)""",
     "source": """source AS (
@@ -79,19 +92,18 @@ CTE = {
     "basis": f"""basis AS (
   SELECT DISTINCT company_id, inference_id, evidence_id FROM (
     SELECT doc_id % {WATCHED} AS company_id, doc_id AS inference_id,
-      unnest([doc_id, 3 * doc_id]) AS evidence_id FROM labels))""",
+      unnest([doc_id, doc_id + {WATCHED}, 3 * doc_id]) AS evidence_id FROM labels))""",
     "support": """support AS (
   SELECT b.company_id, b.inference_id, count(*) AS n_basis, count(grade) AS n_resolved,
     count(*) FILTER (WHERE grade = 'verified') AS n_verified,
     count(*) FILTER (WHERE grade = 'partial') AS n_partial
-  FROM basis b LEFT JOIN graded g ON b.evidence_id = g.evidence_id GROUP BY ALL)""",
+  FROM basis b LEFT JOIN graded g ON b.evidence_id = g.evidence_id AND b.company_id = g.company_id GROUP BY ALL)""",
     "page": rf"""page AS (
-  SELECT *, regexp_replace(host, '^(www|blog|m)\.', '') AS domain,
-    split_part(regexp_replace(host, '^(www|blog|m)\.', ''), '.', 1) AS site
-  FROM (SELECT page_id, page_id % {WATCHED} AS company_id, url, {HOST} AS host FROM pages))""",
+  SELECT *, split_part(domain, '.', 1) AS site FROM (SELECT *, {DOMAIN} AS domain
+  FROM (SELECT page_id, page_id % {WATCHED} AS company_id, url, {HOST} AS host FROM pages)))""",
     "carrier": """carrier AS (
   SELECT company_id, CASE WHEN host LIKE 'm.%' THEN 'mapp' ELSE 'web' END AS kind,
-    host AS domain, min(page_id) AS pos, min(site) AS name FROM page GROUP BY ALL)""",
+    host AS domain, min(page_id) AS pos, min(site) AS name FROM page WHERE host <> '' GROUP BY ALL)""",
     "account": r"""account AS (
   SELECT company_id, CASE WHEN regexp_matches(host, '^(www|blog|m)\.') THEN split_part(host, '.', 1)
       ELSE 'direct' END AS platform, site AS name, count(*) AS score,
@@ -108,10 +120,11 @@ CTE = {
     ORDER BY reviewed_at DESC, event_id DESC) AS rn FROM review) WHERE rn = 1)""",
     "verdict": """verdict AS (
   SELECT b.company_id, b.status, b.analysis_mode,
-    CASE WHEN b.status <> 'CLOSED' OR (nc = 0 AND np = 0) THEN NULL ELSE nh > 0 END AS risk,
+    CASE WHEN b.status <> 'CLOSED' OR (nc = 0 AND np = 0) THEN NULL WHEN nh > 0 THEN true
+      WHEN screened THEN false END AS risk,
     CASE WHEN b.status <> 'CLOSED' THEN 'unfinished' WHEN nc = 0 AND np = 0 THEN '待核实'
-      WHEN nh > 0 THEN 'keyword' ELSE 'no_keyword' END AS reason
-  FROM (SELECT b.company_id, b.status, b.analysis_mode,
+      WHEN nh > 0 THEN 'keyword' WHEN screened THEN 'no_keyword' ELSE 'unscreened' END AS reason
+  FROM (SELECT b.company_id, b.status, b.analysis_mode, coalesce(b.screened, false) AS screened,
       (SELECT count(*) FROM carrier c WHERE c.company_id = b.company_id) AS nc,
       (SELECT count(*) FROM page p WHERE p.company_id = b.company_id) AS np,
       (SELECT count(*) FROM hits h WHERE h.company_id = b.company_id) AS nh FROM board b) b)""",

@@ -13,42 +13,50 @@ from .sql import rows_with
 from .texts import LOG_SQL
 
 
+# how late a feed may deliver an event again: the whole of the benchmark's month
+LATENESS = "60 days"
+
+
 @query("stream_latest_state", rows_with("te", """
 SELECT company_id, status, phase, event_id FROM (SELECT *, row_number() OVER (
   PARTITION BY company_id ORDER BY ts DESC, event_id DESC) AS rn FROM te) WHERE rn = 1"""))
 def stream_latest_state(t: Tables) -> DataFrame:
     out = work_folder(t.spark, "live")
-    sinks.drain(jobs.live_state(sources.task_events(t.spark, t.folder)), out, mode="update",
-                files=jobs.STATE_FILES)
+    sinks.drain(jobs.live_state(sources.task_events(t.spark, t.folder)), out, mode="update")
     return sinks.current(t.spark, out, ["company_id"])
 
 
-@query("stream_phase_machine", rows_with("te task", """
-SELECT company_id, phase, status, attempts, bool_or(phase_idx = 11 AND status = 'OK')
-  OVER (PARTITION BY company_id) AS closed FROM task"""))
+@query("stream_phase_machine", rows_with("te task stats", """
+SELECT t.company_id, phase, task_dir, status, attempts, closed FROM task t JOIN stats s ON s.company_id = t.company_id"""))
 def stream_phase_machine(t: Tables) -> DataFrame:
     out = work_folder(t.spark, "phases")
-    sinks.drain(jobs.phase_progress(sources.task_events(t.spark, t.folder)), out, mode="update",
-                files=jobs.STATE_FILES)
+    sinks.drain(jobs.phase_progress(sources.task_events(t.spark, t.folder), LATENESS), out, mode="update")
     return jobs.phase_machine(t.spark, out)
 
 
+def _reviews(t: Tables) -> str:
+    feed = sources.once(sources.review_events(t.spark, t.folder), "event_id", "reviewed_at", LATENESS)
+    return sinks.drain(feed, work_folder(t.spark, "reviews"), split=jobs.review_outputs())
+
+
 @query("stream_review_upsert", rows_with("review latest", """
 SELECT company_id, status, reviewer, decision, note, event_id FROM latest"""))
 def stream_review_upsert(t: Tables) -> DataFrame:
-    out = work_folder(t.spark, "reviews")
-    sinks.drain(sources.review_events(t.spark, t.folder), out, split=jobs.review_outputs())
-    return jobs.current_reviews(t.spark, out).drop("reviewed_at")
+    return jobs.current_reviews(t.spark, _reviews(t)).drop("reviewed_at")
+
+
+@query("stream_review_audit", rows_with("review", """
+SELECT event_id, company_id, status, reviewer, decision, note FROM review"""))
+def stream_review_audit(t: Tables) -> DataFrame:
+    return sinks.rows(t.spark, _reviews(t), "audit").drop("reviewed_at", "batch_id")
 
 
-@query("stream_post_upsert", """
-SELECT conv_id, role, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role
-  ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1""")
+@query("stream_post_upsert", "SELECT conv_id, turn, role, text FROM conversations")
 def stream_post_upsert(t: Tables) -> DataFrame:
-    # a post is known by conversation and role; a later turn is its newer version
-    keys, out = ["conv_id", "role"], work_folder(t.spark, "posts")
-    sinks.drain(sources.posts(t.spark, t.folder), out, split=jobs.post_outputs(keys, "turn"))
-    return jobs.current_posts(t.spark, out, keys, "turn")
+    # a post is known by conversation and turn; a later delivery is its newer version
+    keys, out = ["conv_id", "turn"], work_folder(t.spark, "posts")
+    sinks.drain(sources.posts(t.spark, t.folder), out, split=jobs.post_outputs(keys))
+    return jobs.current_posts(t.spark, out, keys)
 
 
 @query("stream_log_lines", LOG_SQL)

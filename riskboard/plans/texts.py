@@ -16,10 +16,15 @@ from .sql import HOST, rows_with
 _EDGE = r"regexp_replace({}, '^[\s\p{{Z}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{FEFF}}]+$', '', 'g')"
 
 
-def _plain(expr: str) -> str:
+def _entities(expr: str) -> str:
     for entity, char in pg.ENTITIES.items():
         quoted = char.replace("'", "''")
         expr = f"replace({expr}, '{entity}', '{quoted}')"
+    return expr
+
+
+def _plain(expr: str) -> str:
+    expr = _entities(expr)
     return _EDGE.format(rf"regexp_replace({expr}, '[\s\p{{Z}}]+', ' ', 'g')")
 
 
@@ -33,9 +38,13 @@ def page_text(t: Tables) -> DataFrame:
     return pg.page_text(t.texts("pages", "page_id"))
 
 
-@query("page_links", r"""
-SELECT page_id, CAST(i - 1 AS INT) AS pos, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i
-  FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS l FROM pages))""")
+_HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)"""
+_BARE = """regexp_replace(l[i], '^["'']|["'']$', '', 'g')"""
+
+
+@query("page_links", f"""
+SELECT page_id, CAST(i - 1 AS INT) AS pos, {_entities(_BARE)} AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i
+  FROM (SELECT page_id, regexp_extract_all(html, '{_HREF}', 1) AS l FROM pages))""")
 def page_links(t: Tables) -> DataFrame:
     return pg.page_links(t.read("pages"))
 
@@ -83,11 +92,12 @@ def lexical_recall(t: Tables) -> DataFrame:
 @query("near_copies", r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') if x <> ''] AS w FROM documents),
-h AS (SELECT doc_id, [sha256(array_to_string(w[i:i + 2], ' ')) for i in range(1, greatest(len(w) - 2, 1) + 1)] AS h
-  FROM words WHERE len(w) > 0),
-band AS MATERIALIZED (SELECT DISTINCT doc_id, b || ':' || list_min([substr(x, b * 16 + 1, 8) for x in h])
-    || list_min([substr(x, b * 16 + 9, 8) for x in h]) AS band FROM (SELECT *, unnest(range(0, 4)) AS b FROM h)),
-edge AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM band a JOIN band b USING (band)),
+g AS MATERIALIZED (SELECT doc_id, unnest(list_distinct([hash(array_to_string(w[i:i + 4], ' '))
+  for i in range(1, greatest(len(w) - 4, 1) + 1)])) AS g FROM words WHERE len(w) > 0),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g GROUP BY ALL),
+edge AS MATERIALIZED (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE c >= 0.8 * (x.n + y.n - c)),
 reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
 SELECT a AS doc_id, min(b) AS group_id, count(DISTINCT b) AS n_copies FROM reach GROUP BY a HAVING count(DISTINCT b) > 1""")
 def near_copies(t: Tables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.keys import roster_names
@@ -21,12 +23,13 @@ def write_replay(chosen: DataFrame, path: str, column: str = "name") -> None:
 
 
 def fingerprint(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Size and SHA-256 of every file below a path."""
+    """Size and SHA-256 of every file below a folder, by its path relative to it."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    root = re.escape(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path).rstrip("/"))
     return reader.load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"),
+        F.regexp_replace("path", f"^([A-Za-z][A-Za-z0-9+.-]*:)?/*{root}/", "").alias("path"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"))
 
 

@@ -19,6 +19,8 @@ STATUS_OF_EVENT = {
     "view": "PENDING", "click": "RUNNING", "purchase": "OK", "error": "FAILED",
     "signup": "RETRY_WAIT",
 }
+# users with a number divisible by this have run to the end: failures became terminal
+ENDED = 3
 # event type of the benchmark → review decision (views are no review)
 DECISION_OF_EVENT = {
     "purchase": "采纳", "click": "修改", "error": "标记误报", "signup": "转人工",
@@ -54,14 +56,13 @@ class Tables:
         return widen(self.read(name), key)
 
     @cached_property
-    def watched(self) -> int:
-        """How many companies are under watch: a tenth of the customers. The count reads
-        file footers only."""
-        return self.read("customer").count() // 10
+    def companies(self) -> int:
+        """How many companies there are. The count reads file footers only."""
+        return max(1, self.read("customer").count())
 
     def owner(self, key: str) -> Column:
-        """The watched company a row belongs to."""
-        return F.pmod(F.col(key), F.lit(self.watched))
+        """The company a row belongs to."""
+        return F.pmod(F.col(key), F.lit(self.companies))
 
 
 def company(t: Tables) -> DataFrame:
@@ -85,15 +86,17 @@ def _code(col: str, table: dict[str, str]) -> Column:
 
 
 def shape_task_events(events: DataFrame) -> DataFrame:
-    """Task events from event rows, batch or stream."""
+    """Task events from event rows, batch or stream: three tasks in each phase."""
     k = F.get_json_object("props", "$.k").cast("int")
     idx = F.pmod(k, F.lit(12))
-    status = _code("event_type", STATUS_OF_EVENT)
+    folder = F.concat(nth(fixed.PHASES, idx), F.lit("/task_"), F.pmod(F.floor(k / 12), F.lit(3)).cast("string"))
+    ended = F.when(F.col("event_type") == "error", "TERMINAL").otherwise("OK")
+    status = F.when(F.col("user_id") % ENDED == 0, ended).otherwise(_code("event_type", STATUS_OF_EVENT))
     errors = list(fixed.LABELS["error"])
     code = nth(errors, F.pmod(F.floor("value"), F.lit(len(errors))))
     return events.select(
         "event_id", "ts", F.col("user_id").alias("company_id"), idx.alias("phase_idx"),
-        nth(fixed.PHASES, idx).alias("phase"), status.alias("status"),
+        nth(fixed.PHASES, idx).alias("phase"), folder.alias("task_dir"), status.alias("status"),
         F.when(status.isin("FAILED", "RETRY_WAIT"), code).alias("error_code"),
         F.sha2("props", 256).alias("input_sha"), k.alias("k"), "event_type")
 
@@ -145,14 +148,6 @@ def _evidence(t: Tables, documents: DataFrame) -> DataFrame:
                  F.col("doc_id").cast("string")).alias("origin_url"))
 
 
-def observed_evidence(t: Tables) -> DataFrame:
-    """Evidence keys with the time of the event of the same number."""
-    seen = t.read("events").select(F.col("event_id").alias("evidence_id"),
-                                   F.col("ts").alias("observed_at"))
-    return (evidence(t).select("company_id", "evidence_id", "source_id", "scope")
-            .join(seen, "evidence_id", "left"))
-
-
 def claim(t: Tables) -> DataFrame:
     """Claims with their polarity: labelled documents, keyed by source and language."""
     polarity = t.read("labels").select(F.col("doc_id").alias("evidence_id"),
@@ -162,17 +157,19 @@ def claim(t: Tables) -> DataFrame:
 
 
 def inference(t: Tables) -> DataFrame:
-    """Inferences with two basis ids each; high ids point at no evidence."""
+    """Inferences with three basis ids each: the second may be the same company's, the
+    third is mostly another's; high ids point at no evidence."""
     d = F.col("doc_id")
     return t.read("labels").select(
         t.owner("doc_id").alias("company_id"), d.alias("inference_id"),
-        F.array(d, d * 3).alias("basis"),
+        F.array(d, d + t.companies, d * 3).alias("basis"),
         F.when(F.col("quality") == 1, "中").otherwise("低").alias("confidence"))
 
 
 def label(t: Tables) -> DataFrame:
     return t.read("labels").select(
-        F.col("doc_id").alias("evidence_id"), (F.col("toxic") == 1).alias("risky"),
+        F.col("doc_id").alias("evidence_id"), t.owner("doc_id").alias("company_id"),
+        (F.col("toxic") == 1).alias("risky"),
         (F.col("quality") == 1).alias("accepted"))
 
 
@@ -190,9 +187,11 @@ def page_host(t: Tables) -> DataFrame:
 
 
 def carrier(t: Tables) -> DataFrame:
-    """Registered carriers: one per company and host; ``m.`` hosts are mini programs."""
+    """Registered carriers: one per company and host; ``m.`` hosts are mini programs, a
+    page without a usable address is none."""
     kind = F.when(F.startswith("host", F.lit("m.")), "mapp").otherwise("web")
-    return (page_host(t).groupBy("company_id", kind.alias("kind"), F.col("host").alias("domain"))
+    return (page_host(t).filter("host <> ''")
+            .groupBy("company_id", kind.alias("kind"), F.col("host").alias("domain"))
             .agg(F.min("page_id").alias("pos"), F.first("site").alias("name")))
 
 

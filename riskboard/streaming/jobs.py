@@ -9,15 +9,13 @@ from ..functions.scale import latest_by
 from ..functions.text import nth
 from ..operators import review as rv
 from ..operators.alerts import log_lines, route_alerts
-from ..operators.tasks import LAST_PHASE
+from ..operators.tasks import open_phases
 from .sinks import current
 from .sources import once
 
 # Seconds between refreshes of the live view and of the whole board.
 LIVE_SECONDS = 3
 BOARD_SECONDS = 30
-# Files per micro-batch of changed state.
-STATE_FILES = 8
 
 
 def live_state(stream: DataFrame) -> DataFrame:
@@ -28,7 +26,7 @@ def live_state(stream: DataFrame) -> DataFrame:
 
 
 def phase_progress(stream: DataFrame, within: str | None = None) -> DataFrame:
-    """State of every (company, phase) with its number of tries (update mode).
+    """State of every task (company, phase, folder) with its number of tries (update mode).
 
     A fixed-order machine whose steps only ever replace an older state needs no
     per-company sequence: the latest state per phase is an aggregate, so a company
@@ -39,18 +37,17 @@ def phase_progress(stream: DataFrame, within: str | None = None) -> DataFrame:
         stream = once(stream, "event_id", "ts", within)
     best = F.max_by(F.struct("status", "event_id"), F.struct("ts", "event_id"))
     tries = F.count_if(F.col("status").isin("FAILED", "RETRY_WAIT"))
-    return (stream.groupBy("company_id", "phase_idx").agg(best.alias("_b"), tries.alias("attempts"))
-            .select("company_id", "phase_idx", nth(fixed.PHASES, F.col("phase_idx")).alias("phase"),
+    return (stream.groupBy("company_id", "phase_idx", "task_dir").agg(best.alias("_b"), tries.alias("attempts"))
+            .select("company_id", "phase_idx", "task_dir", nth(fixed.PHASES, F.col("phase_idx")).alias("phase"),
                     "_b.*", "attempts"))
 
 
 def phase_machine(spark: SparkSession, folder: str) -> DataFrame:
     """The machine's current state from its delta folder, with the company's end."""
-    state = current(spark, folder, ["company_id", "phase_idx"])
-    ended = state.groupBy("company_id").agg(F.bool_or(
-        (F.col("phase_idx") == LAST_PHASE) & (F.col("status") == "OK")).alias("closed"))
+    state = current(spark, folder, ["company_id", "phase_idx", "task_dir"])
+    ended = state.groupBy("company_id").agg((open_phases() == 0).alias("closed"))
     return state.join(ended, "company_id").select(
-        "company_id", "phase", "status", "attempts", "closed")
+        "company_id", "phase", "task_dir", "status", "attempts", "closed")
 
 
 def review_outputs() -> dict:
@@ -63,16 +60,19 @@ def current_reviews(spark: SparkSession, folder: str) -> DataFrame:
     return current(spark, folder, ["company_id"], ["reviewed_at", "event_id"], "latest")
 
 
-def post_outputs(keys: list[str], version: str) -> dict:
-    """Newest version of every post within a micro-batch."""
+def post_outputs(keys: list[str], version: list[str] | None = None) -> dict:
+    """Newest version of every post within a micro-batch: by ``version``, or by all other
+    columns where deliveries carry no version."""
     def newest(batch: DataFrame) -> DataFrame:
         rest = [c for c in batch.columns if c not in keys]
-        return latest_by(batch, keys, [version], rest)
+        return latest_by(batch, keys, version or rest, rest)
     return {"latest": newest}
 
 
-def current_posts(spark: SparkSession, folder: str, keys: list[str], version: str) -> DataFrame:
-    return current(spark, folder, keys, [version], "latest")
+def current_posts(spark: SparkSession, folder: str, keys: list[str], version: list[str] | None = None
+                  ) -> DataFrame:
+    """The newest version per post; without ``version``, that of the latest micro-batch."""
+    return current(spark, folder, keys, version, "latest")
 
 
 def stream_log_lines(stream: DataFrame, text: str, keep: list[str]) -> DataFrame:

@@ -15,28 +15,26 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scale import latest_by
 
 
-def _write(df: DataFrame, folder: str, batch_id: int, files: int | None = None) -> None:
-    df = df.repartition(files) if files else df
-    df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+def _write(df: DataFrame, folder: str, batch_id: int) -> None:
+    # few, evenly filled files: Spark sizes the parts from what the batch really holds
+    df.hint("rebalance").write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
 def start(stream: DataFrame, folder: str, mode: str = "append", seconds: int | None = None,
-          files: int | None = None,
           split: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
     """Start writing a stream below ``folder``; ``split`` names several outputs of one
-    stream. Without ``seconds`` the query takes what is there and ends. ``files`` bounds
-    the files per micro-batch: state jobs run one task per shuffle partition, but their
-    changed rows are few."""
+    stream. Without ``seconds`` the query takes what is there and ends. Every output gets
+    an empty base first, so that an empty feed gives empty tables."""
     outputs = split or {"data": lambda df: df}
     spark = stream.sparkSession
-    if "data" in outputs:
-        _write(spark.createDataFrame([], stream.schema), f"{folder}/data", -1)
+    for name, shape in outputs.items():
+        _write(shape(spark.createDataFrame([], stream.schema)), f"{folder}/{name}", -1)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if len(outputs) > 1:
             batch = batch.persist()
         for name, shape in outputs.items():
-            _write(shape(batch), f"{folder}/{name}", batch_id, files)
+            _write(shape(batch), f"{folder}/{name}", batch_id)
         if len(outputs) > 1:
             batch.unpersist()
 
@@ -81,17 +79,39 @@ def current(spark: SparkSession, folder: str, keys: list[str], order: list[str]
             name: str = "data") -> DataFrame:
     """The newest row per key over all micro-batches; ``order`` decides before the
     batch number does."""
-    df = _deltas(spark, folder, name)
+    return _newest(_deltas(spark, folder, name), keys, order)
+
+
+def _newest(df: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
     order = (order or []) + ["batch_id"]
     rest = [c for c in df.columns if c not in keys and c != "batch_id"]
     return latest_by(df, keys, order, rest)
 
 
+def committed(spark: SparkSession, folder: str) -> int | None:
+    """Last micro-batch in the query's commit log: all its outputs are complete."""
+    log = f"{folder}/checkpoint/commits"
+    if not _listed(spark, log):
+        return None
+    names = (spark.read.format("binaryFile").load(log).select(
+        F.element_at(F.split("path", "/"), -1).try_cast("bigint").alias("id")))
+    return names.agg(F.max("id").alias("m")).first()["m"]
+
+
+def _listed(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def compact(spark: SparkSession, folder: str, keys: list[str], order: list[str] | None = None,
             name: str = "data") -> None:
-    """Fold the micro-batches so far into one base, so that readers of a long-running
-    stream open few files. The micro-batches stay until their retention ends."""
-    upto = rows(spark, folder, name).agg(F.max("batch_id").alias("m")).first()["m"]
+    """Fold the committed micro-batches into one base, so that readers of a long-running
+    stream open few files. A micro-batch that is still being written is left for the next
+    time. The micro-batches stay until their retention ends."""
+    upto = committed(spark, folder)
     if upto is None:
         return
-    current(spark, folder, keys, order, name).write.mode("overwrite").parquet(f"{folder}/{name}-base/upto={upto}")
+    done = _deltas(spark, folder, name).filter(F.col("batch_id") <= upto)
+    _newest(done, keys, order).write.mode("overwrite").parquet(f"{folder}/{name}-base/upto={upto}")

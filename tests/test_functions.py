@@ -42,6 +42,7 @@ def test_hosts(spark):
     assert one(spark, host) == "blog.one.example.com"
     assert one(spark, text.domain_of(host)) == "one.example.com"
     assert one(spark, text.site_label(host)) == "one"
+    assert one(spark, text.host_of(F.lit("https://user:pw@host.example.com:1/x"))) == "host.example.com"
 
 
 def test_indented_json(spark):
@@ -62,6 +63,26 @@ def test_mask(spark):
     assert one(spark, privacy.mask(F.lit(None).cast("string"))) is None
 
 
+def test_mask_leaves_no_personal_data(spark):
+    for raw in ("138-0013-8000", "138 0013 8000", "13800138000", "010-12345678", "张三@例子.中国", "11010119900307123X",
+                "+86 138-0013-8000", "a" * 80 + "@x.com"):
+        got = one(spark, privacy.mask(F.lit(f"<{raw}>")))
+        assert got in ("<[MAIL]>", "<[PHONE]>", "<[ID]>"), (raw, got)
+
+
+def test_links_in_all_forms(spark):
+    html = "<a href='/a?x=1&amp;y=2'>1</a><a class=k href=/b>2</a><A HREF = \"/c&#x2F;d&#47;\">3</A><a data-href=/no>4</a>"
+    df = spark.createDataFrame([(1, "http://h.example/", html)], "page_id long, url string, html string")
+    assert [r["href"] for r in pages.page_links(df).collect()] == ["/a?x=1&y=2", "/b", "/c/d/"]
+    assert one(spark, pages.decoded(F.lit("&#20445;&#x672C; &#x1F600;&#0;&#55296; &amp;"))) == "保本 \U0001f600&#0;&#55296; &"
+
+
+def test_missing_summary_is_an_empty_card(spark):
+    df = spark.range(1).select(F.lit("OK").alias("status"), F.lit("x").alias("task_dir"),
+                               F.lit(None).cast("map<string,string>").alias("summary"))
+    assert tasks.task_cards(df).first()["detail"] == "{}"
+
+
 def test_page(spark):
     html = ('<html><head><title> A &amp; B </title></head><body><script>var x="<p>";</script>'
             '<p>one</p><!-- no --><a class=k HREF="/x">two</a>&lt;</body>')
@@ -72,8 +93,20 @@ def test_page(spark):
 
 
 def test_task_stats_terminal_is_finished(spark, rows):
+    done = lambda c, **odd: [(c, i, odd.get(f"p{i}", "OK")) for i in range(12)]
     df = spark.createDataFrame(
-        [(1, i, "OK") for i in range(12)] + [(2, 0, "OK"), (2, 1, "TERMINAL"), (2, 2, "FAILED")],
+        done(1) + [(2, 0, "OK"), (2, 1, "TERMINAL"), (2, 2, "FAILED")] + done(3, p11="TERMINAL")
+        + done(4, p3="FAILED") + done(5, p4="TERMINAL") + [(6, 11, "OK")] + done(7) + [(7, 4, "RUNNING")],
         "company_id long, phase_idx int, status string")
     assert rows(tasks.company_task_stats(df)) == [
-        (1, 12, 12, 0, 0, "-", True), (2, 3, 1, 1, 0, "IMAGE_DOWNLOAD", False)]
+        (1, 12, 12, 0, 0, "-", True, True), (2, 3, 1, 1, 0, "IMAGE_DOWNLOAD", False, False),
+        (3, 12, 11, 0, 0, "-", True, True), (4, 12, 11, 1, 0, "OCR", False, True),
+        (5, 12, 11, 0, 0, "-", True, False), (6, 1, 1, 0, 0, "WEB_ICP", False, False),
+        (7, 13, 12, 0, 1, "KEYWORD", False, False)]
+
+
+def test_two_tasks_of_a_phase_are_two(spark, rows):
+    df = spark.createDataFrame(
+        [(1, 1, 4, "K/a", "FAILED", None, 1), (2, 1, 4, "K/b", "OK", None, 2), (3, 1, 4, "K/a", "RETRY_WAIT", None, 3)],
+        "event_id long, company_id long, phase_idx int, task_dir string, status string, error_code string, ts int")
+    assert rows(tasks.task_state(df), "task_dir", "status", "attempts") == [("K/a", "RETRY_WAIT", 2), ("K/b", "OK", 0)]

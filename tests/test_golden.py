@@ -115,11 +115,52 @@ def test_basis(tables, rows):
 
 
 def test_coverage_gap(tables, rows):
-    got = evidence.coverage_gap(tables["company"], tables["source"], tables["evidence"])
-    chunked = evidence.coverage_gap(tables["company"], tables["source"], tables["evidence"], inline_sources=1)
-    want = set(rows(tables["company"].select("company_id").crossJoin(tables["source"].select("source_id"))))
-    want -= set(rows(tables["evidence"].select("company_id", "source_id")))
-    assert set(rows(got, "company_id", "source_id")) == want == set(rows(chunked, "company_id", "source_id"))
+    got = rows(evidence.coverage_gap(tables["company"], tables["source"], tables["evidence"]))
+    sources = dict(rows(tables["source"], "source_id", "type"))
+    have = {}
+    for company, source in rows(tables["evidence"].select("company_id", "source_id").distinct()):
+        if source in sources:
+            have.setdefault(company, set()).add(source)
+    want = []
+    for (company,) in rows(tables["company"], "company_id"):
+        own = have.get(company, set())
+        gap = sorted(set(sources.values()) - {sources[s] for s in own})
+        want.append((company, len(own), len(sources) - len(own), ",".join(gap)))
+    assert got == sorted(want, key=repr)
+
+
+def test_basis_of_another_company_is_none(spark, rows):
+    inf = spark.createDataFrame([(1, 10, ["E1", "E2"])], "company_id long, inference_id long, basis array<string>")
+    graded = spark.createDataFrame([(1, "E1", "partial"), (2, "E2", "verified")],
+                                   "company_id long, evidence_id string, grade string")
+    assert rows(evidence.resolve_basis(inf, graded), "evidence_id", "grade") == [("E1", "partial")]
+    assert rows(evidence.dangling_basis(inf, graded), "evidence_id") == [("E2",)]
+    assert rows(evidence.sole_partial(evidence.basis_support(inf, graded))) == [(1, 10, 1)]
+
+
+def test_partial_and_unavailable_is_sole_partial(spark, rows):
+    inf = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["b"]), (1, 3, ["a", "c"])],
+                                "company_id long, inference_id long, basis array<string>")
+    graded = spark.createDataFrame([(1, "a", "partial"), (1, "b", "unavailable"), (1, "c", "verified")],
+                                   "company_id long, evidence_id string, grade string")
+    assert rows(evidence.sole_partial(evidence.basis_support(inf, graded)), "inference_id") == [(1,)]
+
+
+def test_unscreened_company_is_undecided(spark, rows):
+    """A failed or terminal keyword phase must never read as "no risk"."""
+    firm = spark.createDataFrame([(i, "CLOSED", "llm", s) for i, s in ((1, True), (2, False), (3, False), (4, None))],
+                                 "company_id long, status string, analysis_mode string, live_screened boolean")
+    data = firm.select("company_id")
+    hits = spark.createDataFrame([(3,)], "company_id long")
+    got = screening.rule_verdict(firm, data, data, hits)
+    assert rows(got, "company_id", "risk", "reason") == [
+        (1, False, "no_keyword"), (2, None, "unscreened"), (3, True, "keyword"), (4, None, "unscreened")]
+
+
+def test_blank_contents_are_no_copies(spark, rows):
+    df = spark.createDataFrame([(1, 1, "s", " "), (2, 1, "s", "--"), (3, 1, "s", None), (4, 1, "s", "x")],
+                               "evidence_id long, company_id long, source_id string, content string")
+    assert rows(evidence.dedup_evidence(df), "evidence_id", "n_copies") == [(4, 1)]
 
 
 def test_incomplete_evidence(tables, rows):
@@ -136,7 +177,7 @@ def test_listings(tables, rows):
     assert ("[快手] aurun · 非官方 · 未认证",) in rows(entities.account_listing(tables["account"]), "line")
     assert rows(entities.scenario_listing(tables["scenario"], ["pos"]), "pos", "line") == [
         (0, 'pool: {"scenario":"pool","level":"高","note":"n1"}'),
-        (1, '—: {"scenario":"","level":"中"}')]
+        (1, '—: {"scenario":"","level":"中","note":null}')]
     counted = carriers.carrier_counts(tables["carrier"])
     assert rows(names(counted, tables).filter("who = 'Aurum'"), "n_web", "n_mapp", "n_app", "n_kapp", "n_total") == [
         (1, 1, 0, 0, 2)]
@@ -230,14 +271,16 @@ def test_files(spark, tmp_path, rows):
     (tmp_path / "a.txt").write_text("alpha")
     (tmp_path / "b.txt").write_text("beta")
     (tmp_path / "c.txt").write_text("gamma")
+    (tmp_path / "ui").mkdir()
+    (tmp_path / "ui" / "a.txt").write_text("other")
     have = files.fingerprint(spark, str(tmp_path), "*.txt")
     sha = {r["path"]: r["sha256"] for r in have.collect()}
     manifest = tmp_path / "files.md"
     manifest.write_text("| file | bytes | sha |\n|---|---:|---|\n"
                         f"| `a.txt` | 5 | `{sha['a.txt']}` |\n| `b.txt` | 4 | `{'0' * 64}` |\n"
-                        f"| `z.txt` | 1 | `{'1' * 64}` |\n")
+                        f"| `z.txt` | 1 | `{'1' * 64}` |\n| `ui/a.txt` | 5 | `{sha['ui/a.txt']}` |\n")
     got = files.check_manifest(have, files.read_manifest(spark, str(manifest)))
-    assert rows(got) == [("a.txt", "ok"), ("b.txt", "changed"), ("c.txt", "extra"), ("z.txt", "missing")]
+    assert rows(got) == [("a.txt", "ok"), ("b.txt", "changed"), ("c.txt", "extra"), ("ui/a.txt", "ok"), ("z.txt", "missing")]
 
 
 def test_roster_and_replay(spark, tmp_path, rows):

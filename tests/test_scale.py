@@ -20,7 +20,7 @@ def skewed(spark):
 def test_hot_keys_finds_every_frequent_key(skewed):
     hot = scale.hot_keys(skewed, ["key"])
     seven = skewed.filter("key = 7").select(F.xxhash64("key")).first()[0]
-    assert seven in hot and len(hot) <= 100
+    assert hot[seven] >= 4 and len(hot) <= 1000
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
@@ -33,7 +33,7 @@ def test_lookup_equals_join(spark, skewed, rows, how):
 def test_lookup_splits_the_hot_key(spark, skewed):
     hot = scale.hot_keys(skewed, ["key"])
     parts = scale.salted(skewed, ["key"], hot, ["row_id"]).groupBy("key", "_salt").count()
-    assert parts.agg(F.max("count")).first()[0] < 20_000 / 3 / 20
+    assert parts.agg(F.max("count")).first()[0] < 20_000 / 8
     assert parts.agg(F.sum("count")).first()[0] == 20_000
 
 
@@ -104,7 +104,7 @@ def test_near_names_equal_brute_force(spark, rows, k):
     got = entities.near_names(spark.createDataFrame([(x,) for x in a * 3], "name string"),
                               spark.createDataFrame([(x,) for x in b], "name string"), k)
     want = [(x, y, _levenshtein(x, y)) for x, y in itertools.product(a, b)
-            if x != y and _levenshtein(x, y) <= k]
+            if _levenshtein(x, y) <= k]
     assert rows(got) == sorted(want, key=repr)
 
 
@@ -117,7 +117,23 @@ def test_screening_forms_agree(spark, rows):
     want = sorted(((i, k.lower(), c) for i, t in texts for k, c in entries if k.lower() in t.lower()), key=repr)
     assert rows(screening.screen_keywords(text, entries, "body", ["id"])) == want
     assert rows(screening.screen_keywords(text, table, "body", ["id"])) == want
-    assert rows(screening.screen_keywords(text, table, "body", ["id"], inline_entries=2)) == want
+    many = entries + [(f"none{i}", "g") for i in range(1200)] + [("", "empty")]
+    assert rows(screening.screen_keywords(text, many, "body", ["id"])) == want
+
+
+def test_domain_words_are_found(spark, rows):
+    from riskboard.functions.fixed import RISK_WORDS
+    text = spark.createDataFrame([(1, "承诺高息回购黄金"), (2, "保本保息，到期兑付"), (3, "常规说明"), (4, None)], "id long, body string")
+    got = screening.screen_keywords(text, [(w, "risk") for w in RISK_WORDS], "body", ["id"])
+    assert rows(got, "id", "keyword") == [(1, "高息回购"), (2, "保本"), (2, "到期兑付")]
+
+
+def test_recall_reads_running_letters(spark):
+    df = spark.createDataFrame([(1, "该公司保本保息，到期兑付"), (2, "承诺高息回购黄金"), (3, "常规说明"), (4, "gold_bar")],
+                               "id long, body string")
+    got = {r["id"] for r in search.lexical_recall(df, "保本 高息回购", 5, "id", "body").collect()}
+    assert got == {1, 2}
+    assert [r["id"] for r in search.lexical_recall(df, "bar_", 5, "id", "body").collect()] == [4]
 
 
 def test_wording(spark, rows):
@@ -149,10 +165,31 @@ def test_copy_groups(spark, rows):
     words = [f"w{i}" for i in range(4000)]
     base = rnd.choices(words, k=300)
     near = base[:150] + ["changed"] + base[151:]
+    half = base[:150] + rnd.choices(words, k=150)
     texts = [(0, " ".join(base)), (1, " ".join(near)), (2, " ".join(base).upper() + "."), (3, "two words"),
-             (4, "Two, words"), (5, ""), (6, " ".join(rnd.choices(words, k=300)))]
+             (4, "Two, words"), (5, ""), (6, " ".join(rnd.choices(words, k=300))), (7, " ".join(half)),
+             (8, "承诺高息回购黄金制品"), (9, "承诺高息回购黄金制品。")]
     got = rows(entities.copy_groups(spark.createDataFrame(texts, "id long, body string"), "id", "body"))
-    assert got == [(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 3, 2), (4, 3, 2)]
+    assert got == [(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 3, 2), (4, 3, 2), (8, 8, 2), (9, 8, 2)]
+
+
+def test_domains_and_entities(spark, rows):
+    from riskboard.functions.text import domain_of
+    hosts = ["shop.aurum.com", "mail.aurum.com", "aurum.com", "shop.borea.com", "a.b.cinna.com.cn", "localhost"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain_of(F.col("host")).alias("d"))
+    assert [r["d"] for r in df.collect()] == ["aurum.com", "aurum.com", "aurum.com", "borea.com", "cinna.com.cn", "localhost"]
+    member = spark.createDataFrame([("aurum.com", "Aurum Ltd."), ("au-rum.net", "AURUM　ltd"), ("borea.com", "-"),
+                                    ("cinna.com", "..")], "domain string, name string")
+    assert rows(entities.align_entities(member)) == [
+        ("au-rum.net", "au-rum.net"), ("aurum.com", "au-rum.net"), ("borea.com", "borea.com"), ("cinna.com", "cinna.com")]
+
+
+def test_accounts_with_a_firms_own_name_are_found(spark, rows):
+    accounts = spark.createDataFrame([(1, "p", "aurum"), (2, "p", "aurun"), (3, "p", "borea")],
+                                     "company_id long, platform string, name string")
+    firms = spark.createDataFrame([(10, "aurum"), (11, "aurum")], "company_id long, name string")
+    assert rows(entities.similar_accounts(accounts, firms), "company_id", "like_company_id", "n_like", "dist") == [
+        (1, 10, 2, 0), (2, 10, 2, 1)]
 
 
 def test_exposure_grows_by_paths_not_by_pairs(spark):
