@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -31,6 +32,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .store import saved
+
 COVER = 0.7
 # aligned pages and share of them that make a text template
 PAGES, SAME = 3, 0.6
@@ -119,8 +122,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _hash(text: str, size: int = 8) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest(), "little", signed=True)
 
 
 def _plain(text: str) -> str:
@@ -216,7 +219,7 @@ def skeleton(root: Node) -> tuple[list[int], list[str], list[int], list[int]]:
         own = _plain(" ".join(k for k in node.kids if isinstance(k, str)))
         depth.append(level)
         label.append(node.label)
-        text.append(_hash(own) if own else 0)
+        text.append(_hash(own, 4) if own else 0)
         size.append(len(own))
         if node.up is not None and _dropped(node, inside):
             continue
@@ -297,16 +300,24 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
     return pairs
 
 
-_SKELETON = "depth array<int>, label array<string>, words array<bigint>, size array<int>"
+def _pack(bones: tuple) -> bytes:
+    """A skeleton in few bytes: equal skeletons have equal bytes."""
+    depth, label, text, size = bones
+    parts = [np.array(depth, "<u2").tobytes(), np.array(text, "<i4").tobytes(), np.array(size, "<u4").tobytes(),
+             "\n".join(label).encode("utf-8", "surrogatepass")]
+    return len(depth).to_bytes(4, "little") + zlib.compress(b"".join(parts), 6)
+
+
+def _unpack(raw: bytes) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
+    n, raw = int.from_bytes(raw[:4], "little"), zlib.decompress(raw[4:])
+    return (np.frombuffer(raw, "<u2", n).tolist(), raw[10 * n:].decode("utf-8", "surrogatepass").split("\n"),
+            np.frombuffer(raw, "<i4", n, 2 * n), np.frombuffer(raw, "<u4", n, 6 * n))
 
 
 def _skeletons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [skeleton(parse(page if isinstance(page, str) else "")) for page in frame["html"]]
-        made = pd.DataFrame(rows, columns=["depth", "label", "words", "size"])
-        made.insert(0, "page_id", frame["page_id"].to_numpy())
-        made.insert(0, "host", frame["host"].to_numpy())
-        yield made
+        bones = [_pack(skeleton(parse(page if isinstance(page, str) else ""))) for page in frame["html"]]
+        yield pd.DataFrame({"host": frame["host"].to_numpy(), "page_id": frame["page_id"].to_numpy(), "bones": bones})
 
 
 def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,67 +325,76 @@ def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for host, part in frame.groupby("host"):
             shapes: dict = {}
-            first = part.iloc[0]
-            pattern = Tree(list(first["p_depth"]), list(first["p_label"]), shapes)
-            words = first["p_words"]
+            depth, label, words, _ = _unpack(part["pattern"].iloc[0])
+            pattern = Tree(depth, label, shapes)
             n = np.zeros((len(words), 3), np.int64)
-            for depth, label, own, size in zip(part["depth"], part["label"], part["words"], part["size"]):
-                for x, y in match(pattern, Tree(list(depth), list(label), shapes)):
+            for raw in part["bones"]:
+                depth, label, own, size = _unpack(raw)
+                for x, y in match(pattern, Tree(depth, label, shapes)):
                     n[x] += (1, words[x] == own[y], 0 if words[x] == own[y] else size[y])
+                if len(shapes) > 100_000:  # only a memo: start it afresh with the pattern
+                    shapes.clear()
+                    depth, label, words, _ = _unpack(part["pattern"].iloc[0])
+                    pattern = Tree(depth, label, shapes)
             at = np.flatnonzero(n[:, 0])
             yield pd.DataFrame({"host": host, "node": at, "pages": n[at, 0], "same": n[at, 1], "text": n[at, 2]})
 
 
-def _wrapper(frame: pd.DataFrame) -> pd.DataFrame:
-    """Content node and template texts of one host: the pattern's nodes with their counts."""
-    frame = frame.sort_values("node")
-    depth, label = list(frame["depth"]), list(frame["label"])
+def _wrapper(bones: bytes, counts) -> tuple[int, bool, list[int]]:
+    """Content node (hash of its path, 0 if there is none), whether it is an article or
+    main part, and template texts of one host."""
+    depth, label, words, _ = _unpack(bones)
+    pages, same, text = np.zeros((3, len(depth)), np.int64)
+    for row in counts if counts is not None else ():
+        pages[row["node"]], same[row["node"]], text[row["node"]] = row["pages"], row["same"], row["text"]
     path, paths = [], []
     for d, own in zip(depth, label):
         del path[d:]
         path.append(own)
         paths.append("/" + "/".join(path[1:]))
-    same = frame["same"].fillna(0).to_numpy()
-    pages = frame["pages"].fillna(0).to_numpy()
-    fixed = (pages >= PAGES) & (same >= SAME * pages) & (frame["words"].to_numpy() != 0)
-    text = np.where(fixed, 0, frame["text"].fillna(0).to_numpy())
-    under: dict[str, float] = {}
-    for own, size in zip(paths, text):
+    fixed = (pages >= PAGES) & (same >= SAME * pages) & (words != 0)
+    text[fixed] = 0
+    under: dict[str, int] = {}
+    for own, size in zip(paths, text.tolist()):
         steps = own.split("/")
         for k in range(1, len(steps)):  # the nodes around a text, not the text's own node
             part = "/".join(steps[:k])
             under[part] = under.get(part, 0) + size
-    whole = text.sum()
+    whole = int(text.sum())
     content, main = "", False
-    if whole > 0:
+    if whole:
         content = max((p for p, s in under.items() if s >= COVER * whole), key=lambda p: p.count("/"))
         steps = content.split("/")
         for k, step in enumerate(steps):
             if step.split(".")[0] in MAIN:
                 content, main = "/".join(steps[:k + 1]), True
                 break
-    return pd.DataFrame({"host": [frame["host"].iloc[0]], "content": [_hash(content) if content else 0],
-                         "content_main": [main], "fixed": [frame["words"].to_numpy()[fixed].tolist()]})
+    return _hash(content) if content else 0, main, words[fixed].tolist()
+
+
+def _wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        made = [_wrapper(raw, counts) for raw, counts in zip(frame["pattern"], frame["counts"])]
+        yield pd.DataFrame({"host": frame["host"].to_numpy(), "content": [m[0] for m in made],
+                            "content_main": [m[1] for m in made], "fixed": [m[2] for m in made]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, content, content_main, fixed`` from ``host, page_id, html``."""
-    bones = pages.select("host", "page_id", "html").mapInPandas(
-        _skeletons, f"host string, page_id bigint, {_SKELETON}")
-    form = F.struct("depth", "label", "words", "size")
-    # equal pages count once
-    kinds = bones.groupBy("host", F.xxhash64("label", "words", "depth").alias("form")).agg(
-        F.min_by(F.struct("page_id", form.alias("f")), "page_id").alias("page")).select("host", "page.*")
-    pattern = kinds.groupBy("host").agg(F.min_by("f", F.struct("page_id", F.xxhash64("f.label", "f.words"))).alias("p"))
-    named = pattern.select("host", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("depth", "label", "words")])
-    counts = (kinds.select("host", "f.*").join(named, "host").mapInPandas(
+    """``host, content, content_main, fixed`` from ``host, page_id, html``, one row a host."""
+    # equal pages count once; patterns are a table of their own, so that the join below can
+    # split a host that holds a large part of all pages
+    kinds = saved(pages.select("host", "page_id", "html").mapInPandas(
+        _skeletons, "host string, page_id bigint, bones binary")
+        .groupBy("host", "bones").agg(F.min("page_id").alias("page_id")), "skeletons")
+    pattern = saved(kinds.groupBy("host").agg(F.min_by("bones", F.struct("page_id", "bones")).alias("pattern")), "patterns")
+    node = F.struct("node", "pages", "same", "text")
+    counts = (kinds.select("host", "bones").join(pattern, "host").mapInPandas(
         _aligned, "host string, node int, pages bigint, same bigint, text bigint")
-        .groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "text")]))
-    nodes = pattern.select("host", F.posexplode(F.arrays_zip("p.depth", "p.label", "p.words"))).select(
-        "host", F.col("pos").alias("node"), "col.*")
-    # the nodes of one pattern page, however many pages the host has
-    return nodes.join(counts, ["host", "node"], "left").groupBy("host").applyInPandas(
-        _wrapper, "host string, content bigint, content_main boolean, fixed array<bigint>")
+        .groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "text")])
+        # at most the nodes of one page
+        .groupBy("host").agg(F.collect_list(node).alias("counts")))
+    return saved(pattern.join(counts, "host", "left").mapInPandas(
+        _wrapped, "host string, content bigint, content_main boolean, fixed array<int>"), "wrappers")
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,7 +407,7 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 volume[main] = volume.get(main, 0) + len(text)
             volume.pop(0, None)
             chosen = max(volume, key=lambda m: (volume[m], -m)) if volume else -1
-            rows.append([{"chain": [_hash(p) for p in chain], "main": main == chosen, "words": _hash(text),
+            rows.append([{"chain": [_hash(p) for p in chain], "main": main == chosen, "words": _hash(text, 4),
                           "text": text} for chain, main, text in found])
         yield pd.DataFrame({"page_id": frame["page_id"].to_numpy(), "url": frame["url"].to_numpy(),
                             "host": frame["host"].to_numpy(), "blocks": rows})
@@ -402,7 +422,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``page_id, url, html``."""
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
     cut = own.mapInPandas(_blocks, "page_id bigint, url string, host string, blocks array<struct<chain: array<bigint>, "
-                                   "main: boolean, words: bigint, text: string>>")
+                                   "main: boolean, words: int, text: string>>")
     fitted = cut.join(wrappers(own), "host", "left")
     under = F.filter("blocks", lambda b: F.array_contains(b["chain"], F.col("content")))
     inside = F.filter("blocks", lambda b: b["main"])
