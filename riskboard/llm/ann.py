@@ -50,7 +50,8 @@ def usable(vector: Column) -> Column:
 
 
 def learn(sample: np.ndarray, k: int, bits: int = BITS) -> tuple[np.ndarray, int]:
-    """Rotation (components x bits) and radius, from vectors brought to one norm."""
+    """Rotation (components x bits) and radius, from vectors brought to one norm by their
+    last component; as queries they have none."""
     n, size = sample.shape
     bits = min(bits, size)
     values, axes = np.linalg.eigh(sample.T @ sample)
@@ -63,12 +64,14 @@ def learn(sample: np.ndarray, k: int, bits: int = BITS) -> tuple[np.ndarray, int
     rotation = axes @ turn
     if n <= k + 1:
         return rotation, bits
-    signs = np.packbits(sample @ rotation > 0, axis=1)
     asked = np.arange(0, n, max(1, n // 256))
-    score = sample[asked] @ sample.T
+    queries = sample[asked].copy()
+    queries[:, -1] = 0
+    score = queries @ sample.T
     score[np.arange(len(asked)), asked] = -np.inf
     best = np.argpartition(-score, k, axis=1)[:, :k]
-    far = np.bitwise_count(signs[asked][:, None, :] ^ signs[best]).sum(axis=2)
+    signs, own = (np.packbits(x @ rotation > 0, axis=1) for x in (sample, queries))
+    far = np.bitwise_count(own[:, None, :] ^ signs[best]).sum(axis=2)
     return rotation, int(np.quantile(far, COVER))
 
 
