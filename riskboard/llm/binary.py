@@ -26,15 +26,19 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import TOGETHER, Encoder
+from .bpe import Coded, Encoder
 from .store import chunks, saved
 
 BLOCK = 4096
+# blocks packed at a time, and text of one file in bytes: bound the memory of a task
+TOGETHER = 64
+FILE = 4_000_000
 # ids in a word and bits for each, by selector
 PACKS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
          (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -47,37 +51,53 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    tail = PACKS[0][0]
-    place = np.arange(n)
-    room = np.minimum(BLOCK - place % BLOCK, n - place)  # values left in the block
-    choice = np.full(n, len(PACKS) - 1, np.int8)
+    words, blocks, done = [], [], 0
+    for low in range(0, n, TOGETHER * BLOCK):
+        part, first = _pack(values[low:low + TOGETHER * BLOCK])
+        words.append(part)
+        blocks.append(first + done)
+        done += len(part)
+    return np.concatenate(words), np.concatenate(blocks)
+
+
+def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n, tail = len(values), PACKS[0][0]
+    rows = -(-n // BLOCK)
+    # each block with zeros behind it: what lies past its end always fits
+    kind = np.uint32 if values.max() < 1 << 32 else np.uint64
+    grid = np.zeros((rows, BLOCK + tail), kind)
+    flat = np.zeros(rows * BLOCK, kind)
+    flat[:n] = values
+    grid[:, :BLOCK] = flat.reshape(rows, BLOCK)
+    choice = np.full((rows, BLOCK), len(PACKS) - 1, np.uint8)
     for selector in range(len(PACKS) - 2, -1, -1):
         count, width = PACKS[selector]
-        # values too wide for the selector among the next `count`; past the end nothing is
-        wide = np.zeros(n + tail + 1, np.int32)
-        np.cumsum(values >= np.uint64(1 << width), out=wide[1:n + 1])
-        wide[n + 1:] = wide[n]
-        fits = wide[place + np.minimum(count, room)] == wide[:n]
+        wide = np.zeros((rows, BLOCK + tail + 1), np.int16)
+        np.cumsum(grid >= (1 << width), axis=1, dtype=np.int16, out=wide[:, 1:])
+        fits = wide[:, count:count + BLOCK] == wide[:, :BLOCK]
         choice[fits] = selector
-    counts = np.array([c for c, _ in PACKS])
-    step = place + np.minimum(counts[choice], room)
-    starts, at, jump = [], 0, step.tolist()
-    while at < n:
-        starts.append(at)
-        at = jump[at]
+        if not fits.any():  # then longer runs of narrower values fit nowhere either
+            break
+    # from word to word, in all blocks
+    jump, step = choice.tobytes(), [c for c, _ in PACKS]
+    starts, firsts = [], []
+    for row in range(rows):
+        at, end = row * BLOCK, min(n, (row + 1) * BLOCK)
+        firsts.append(len(starts))
+        while at < end:
+            starts.append(at)
+            at += step[jump[at]]
     starts = np.array(starts)
-    chosen = choice[starts]
+    chosen = choice.ravel()[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.append(values, np.zeros(tail, np.uint64))
+    place = starts + starts // BLOCK * tail  # in the grid
+    plain = grid.ravel()
     for selector, (count, width) in enumerate(PACKS):
         own = np.flatnonzero(chosen == selector)
-        if not width or not len(own):
-            continue
-        live = np.minimum(count, room[starts[own]])
-        for k in range(count):
-            value = np.where(k < live, padded[starts[own] + k], np.uint64(0))
-            words[own] |= value << np.uint64(width * k)
-    return words, np.searchsorted(starts, np.arange(0, n, BLOCK))
+        if width and len(own):
+            for k in range(count):
+                words[own] |= plain[place[own] + k].astype(np.uint64) << np.uint64(width * k)
+    return words, np.array(firsts)
 
 
 def unpack(words: np.ndarray, n: int, blocks: np.ndarray) -> np.ndarray:
@@ -147,9 +167,26 @@ def _encoder(vocabulary: str, pattern: str) -> Encoder:
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True
 
-        def many(words: list[bytes]) -> list[np.ndarray]:
-            coded = tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-            return [np.array(c.ids, np.int64) for c in coded]
+        first = np.array([t.startswith("\u0120") for t, _ in sorted(tokenizer.get_vocab().items(), key=lambda x: x[1])])
+
+        def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = [c.ids for c in found]
+            return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+        def many(words: list[bytes]) -> Coded:
+            texts = [w.decode("utf-8") for w in words]
+            # a blank and letters split off again wherever they stand, and only their
+            # first token starts with a blank: these go in long lines
+            easy = np.array([t[0] == " " and t[1:].isalpha() for t in texts], bool)
+            told = [t for t, e in zip(texts, easy.tolist()) if e]
+            ids, _ = coded(["".join(told[low:low + 1000]) for low in range(0, len(told), 1000)])
+            more, sizes = coded([t for t, e in zip(texts, easy.tolist()) if not e])
+            heads = np.flatnonzero(first[ids]) if len(ids) else np.empty(0, np.int64)
+            starts, size = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+            starts[easy], size[easy] = heads, np.diff(np.append(heads, len(ids)))
+            starts[~easy], size[~easy] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            return np.concatenate([ids, more]), starts, size
         _ENCODERS[vocabulary] = Encoder(pattern, many)
     return _ENCODERS[vocabulary]
 
@@ -162,7 +199,7 @@ def write(docs: DataFrame, vocabulary: str, pattern: str, end: int) -> DataFrame
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part = _encoder(sent.value, pattern), 0
-        for frame, data in chunks(frames, size=TOGETHER):
+        for frame, data in chunks(frames, size=FILE):
             ids = [np.append(x, end) for x in encoder.encode(data)]
             keys = frame["doc_id"].astype("Int64").fillna(_NULL).to_numpy(np.int64)
             yield pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "part": [part],

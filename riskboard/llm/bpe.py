@@ -22,19 +22,21 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from . import pretokens
 from .store import chunks
 
-# pre-tokens a worker remembers before it starts afresh: some 250 MB
-KEPT = 1_000_000
-# bytes of text whose new pre-tokens are merged together
-TOGETHER = 24_000_000
+# pre-tokens a worker remembers before it starts afresh: some 100 MB
+KEPT = 600_000
+# bytes of text whose new pre-tokens are merged together, and of texts sent on at a time
+TOGETHER = 2_000_000
+SENT = 1_000_000
 _NONE = np.int64(1) << 40
 
 
@@ -44,6 +46,10 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, lines)]
 
 
+# ids of many pre-tokens: all ids, and where each pre-token's start and how many they are
+Coded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class Bitmap:
     """Which buckets are in use: 64 buckets a word, words summed up level by level."""
 
@@ -175,10 +181,8 @@ class Merger:
                     break
         return self.bucket_id[[t for t in token if t >= 0]].tolist()
 
-    def many(self, pretokens: list[bytes]) -> list[np.ndarray]:
+    def many(self, pretokens: list[bytes]) -> Coded:
         """Ids of each pre-token (none of them empty)."""
-        if not pretokens:
-            return []
         size = np.array([len(p) for p in pretokens])
         bounds = np.append(0, np.cumsum(size))
         n = int(bounds[-1])
@@ -241,55 +245,84 @@ class Merger:
                 put(new)
         keep = token >= 0
         ids = self.bucket_id[token[keep]]
-        ends = np.cumsum(np.add.reduceat(keep, bounds[:-1]))
-        out = np.split(ids, ends[:-1])
+        sizes = np.add.reduceat(keep, bounds[:-1]).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
         for k in np.flatnonzero(again).tolist():
-            out[k] = np.array(self.single(pretokens[k]), np.int64)
-        return out
-
-
-class _Numbers(dict):
-    """Numbers words in the order they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = len(self)
-        return self[word]
+            own = self.single(pretokens[k])
+            starts[k], sizes[k] = len(ids), len(own)
+            ids = np.append(ids, own)
+        return ids, starts, sizes
 
 
 class Encoder:
-    """Texts to ids: pre-tokens by a pattern, their ids by ``many``, remembered."""
+    """Texts to ids: pre-tokens by a pattern, their ids by ``many``, remembered.
+
+    What is remembered is keyed by a 64-bit hash and checked by a second one. Texts in
+    which the two disagree, and other patterns, are matched and encoded afresh each time.
+    """
 
-    def __init__(self, pattern: str, many: Callable[[list[bytes]], list[np.ndarray]]):
+    def __init__(self, pattern: str, many: Callable[[list[bytes]], Coded]):
         self.find = regex.compile(pattern).findall
+        self.common = pattern == pretokens.PATTERN
         self.many = many
         self.clear()
 
     def clear(self) -> None:
-        self.known = _Numbers()
-        self.bounds = np.zeros(1, np.int64)
-        self.flat = np.empty(0, np.int64)
+        self.known: dict[int, int] = {}
+        self.check = np.empty(0, np.uint64)
+        self.flat = self.starts = self.sizes = np.empty(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        flat, starts, sizes = self.many([w.encode("utf-8") for w in words])
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _afresh(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of pre-tokens that no hash leads to."""
+        found = [self.find(t) for t in texts]
+        words = {w: k for k, w in enumerate(dict.fromkeys(w for f in found for w in f))}
+        base = len(self.starts)
+        if words:
+            self._learn(list(words))
+            self.check = np.append(self.check, np.zeros(len(words), np.uint64))
+        return [np.array([base + words[w] for w in f], np.int64) for f in found]
+
+    def number(self, texts: list[str]) -> list[np.ndarray]:
+        """Number of each pre-token of each text; new ones are encoded."""
+        if not self.common:
+            return self._afresh(texts)
+        code, place, first, second, counts = pretokens.hashed(texts)
+        if code is None:
+            return self._afresh(texts)
+        own = np.fromiter(map(self.known.get, first.tolist(), repeat(-1)), np.int64, len(first))
+        new = np.flatnonzero(own < 0)
+        if (self.check[own[own >= 0]] != second[own >= 0]).any():
+            return self._afresh(texts)
+        if len(new):
+            whole = "".join(texts)
+            base = len(self.starts)
+            self._learn([whole[a:b] for a, b in place[new].tolist()])
+            self.check = np.append(self.check, second[new])
+            own[new] = np.arange(base, base + len(new))
+            self.known.update(zip(first[new].tolist(), own[new].tolist()))
+        return np.split(own[code], np.cumsum(counts)[:-1])
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, one after the other."""
-        if len(self.known) > KEPT:
+        if len(self.starts) > KEPT:
             self.clear()
-        known = self.known
-        words = []
-        for text in texts:
-            found = self.find(text.decode("utf-8"))
-            words.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
-        done = len(self.bounds) - 1
-        if len(known) > done:
-            new = list(islice(known, done, None))
-            ids = self.many([w.encode("utf-8") for w in new])
-            self.flat = np.concatenate([self.flat, *ids])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids])])
-        size = np.diff(self.bounds)
-        for own in words:
-            n = size[own]
-            ends = np.cumsum(n)
-            inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-            yield self.flat[np.repeat(self.bounds[own], n) + inner]
+        part, held = [], 0
+        for k, text in enumerate(texts):
+            part.append(text.decode("utf-8"))
+            held += len(text)
+            if held > TOGETHER or k == len(texts) - 1:
+                for own in self.number(part):
+                    n = self.sizes[own]
+                    ends = np.cumsum(n)
+                    inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+                    yield self.flat[np.repeat(self.starts[own], n) + inner]
+                part, held = [], 0
 
 
 _ENCODERS: dict[tuple, tuple] = {}
@@ -303,6 +336,21 @@ def _tools(ranks: list[tuple[bytes, int]], pattern: str) -> tuple[Encoder, dict[
     return _ENCODERS[key]
 
 
+def _coded(frames: Iterator[pd.DataFrame], encoder: Encoder) -> Iterator[tuple]:
+    """Ids of documents and of their tokens, few enough texts at a time to be sent on."""
+    for frame, data in chunks(frames, size=2 * TOGETHER):
+        keys = frame["doc_id"].to_numpy()
+        part, low, held = [], 0, 0
+        for at, ids in enumerate(encoder.encode(data), 1):
+            part.append(ids)
+            held += len(data[at - 1])
+            if held > SENT:
+                yield keys[low:at], part
+                part, low, held = [], at, 0
+        if part:
+            yield keys[low:], part
+
+
 def encoded(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str) -> DataFrame:
     """``doc_id, ids, decoded`` for each row of ``doc_id, text``: the ids, and the bytes
     that they decode to. The rank table is broadcast: it is the vocabulary, whatever the
@@ -311,10 +359,9 @@ def encoded(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str) -> Da
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, token = _tools(table.value, pattern)
-        for frame, data in chunks(frames, size=TOGETHER):
-            rows = [(x, b"".join(map(token.__getitem__, x.tolist()))) for x in encoder.encode(data)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": [r[0] for r in rows],
-                                "decoded": [r[1] for r in rows]})
+        for keys, part in _coded(frames, encoder):
+            yield pd.DataFrame({"doc_id": keys, "ids": [x.astype(np.int32) for x in part],
+                                "decoded": [b"".join(map(token.__getitem__, x.tolist())) for x in part]})
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, ids array<int>, decoded binary")
 
@@ -326,12 +373,11 @@ def digests(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str) -> Da
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, token = _tools(table.value, pattern)
-        for frame, data in chunks(frames, size=TOGETHER):
-            rows = [(len(x), sha256(x.astype("<u4").tobytes()).hexdigest(),
-                     sha256(b"".join(map(token.__getitem__, x.tolist()))).hexdigest())
-                    for x in encoder.encode(data)]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.assign(doc_id=frame["doc_id"].to_numpy())[["doc_id", *out.columns]]
+        for keys, part in _coded(frames, encoder):
+            yield pd.DataFrame({
+                "doc_id": keys, "n_tokens": [len(x) for x in part],
+                "ids_sha256": [sha256(x.astype("<u4").tobytes()).hexdigest() for x in part],
+                "decoded_sha256": [sha256(b"".join(map(token.__getitem__, x.tolist()))).hexdigest() for x in part]})
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(
         work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -259,3 +259,25 @@ def test_stages_take_odd_and_empty_tables(spark):
             docs = stage(spark, docs, SMALL)
             assert docs.columns == df.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() <= n
+
+
+# --- components
+
+
+def test_components_of_links(spark, rows):
+    import random
+
+    from riskboard.llm.graph import components
+    rnd = random.Random(9)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)]
+    links += [(1000 + k, 1001 + k) for k in range(90)] + [(2000, 2001 + k) for k in range(200)] + [(5, 5), (-7, 3), (3, -7)]
+    group = {n: {n} for link in links for n in link}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for n in group[b]:
+                group[n] = group[a]
+    want = sorted((n, min(g)) for n, g in group.items() if len(g) > 1)
+    got = components(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert rows(got) == sorted(want, key=repr)
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from conftest import SMALL
-from riskboard.llm import binary, bpe, decontaminate, langid, quality, simhash, suffix
+from riskboard.llm import binary, bpe, decontaminate, langid, pretokens, quality, simhash, suffix
 
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -242,6 +242,31 @@ def test_encoder_starts_afresh_when_full(monkeypatch):
     assert len(encoder.known) < 8
 
 
+def test_pretokens_equal_the_pattern():
+    import regex
+    find, rnd = regex.compile(public_tokenizers.PATTERN).findall, random.Random(7)
+    letters = ["'"] * 6 + list("strevmldabZ ") + [" ", " ", "\n", "\t", "1", "½", "é", "日", "!", "\U0001f600", "\u3000", "’", "\u00a0"]
+    for _ in range(2000):
+        texts = ["".join(rnd.choices(letters, k=rnd.randrange(25))) for _ in range(4)]
+        whole, bounds = "".join(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+        at = pretokens.starts(np.frombuffer(whole.encode("utf-32-le"), np.uint32), bounds).tolist() if whole else []
+        assert [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)])] == [w for t in texts for w in find(t)]
+
+
+@pytest.mark.parametrize("broken", ["within", "between"])
+def test_encoder_survives_hash_collisions(monkeypatch, broken):
+    told = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(RANKS), special_tokens={})
+    real = pretokens.hashed
+
+    def hashed(texts):
+        code, place, first, second, counts = real(texts)
+        return (None if broken == "within" else code), place, np.arange(len(first), dtype=np.uint64), second, counts
+    monkeypatch.setattr(pretokens, "hashed", hashed)
+    encoder = bpe.Encoder(public_tokenizers.PATTERN, bpe.Merger(RANKS).many)
+    for texts in (["one two  three", "", "it's"], ["other words in here", "one two"]):
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [told.encode_ordinary(t) for t in texts]
+
+
 # --- binary files
 
 
