@@ -178,8 +178,8 @@ def keep_one(docs: DataFrame, tile: int = TILE) -> DataFrame:
     low = prints.groupBy("fp").agg(F.min("doc_id").alias("_low"))
     named = groups(prints, tile).join(low, "fp")
     names = named.groupBy("root").agg(F.min("_low").alias("_first"))
-    byprint = named.join(names, "root").filter(F.col("_low").eqNullSafe(F.col("_first"))).select(
-        F.col("fp").alias("_fp"), F.col("root").alias("_root"), "_first")
-    kept = (printed.join(byprint, "_fp").filter(F.col("doc_id").eqNullSafe(F.col("_first")))
-            .dropDuplicates(["_root"]))
+    # of each group one fingerprint and one id, so that the rows need no shuffle but this join's
+    chosen = named.join(names, "root").filter(F.col("_low").eqNullSafe(F.col("_first"))).groupBy("root").agg(
+        F.min(F.struct("fp", "_first")).alias("c")).select(F.col("c.fp").alias("_fp"), "c._first")
+    kept = printed.join(chosen, "_fp").filter(F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_fp"])
     return kept.select(*own)

@@ -12,7 +12,7 @@ from ..session import work_folder
 
 # Texts worked on at a time inside a task, in bytes: bounds the memory of a worker
 # whatever the number of rows in an Arrow batch.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -40,8 +40,8 @@ GRAM = 40
 # slices of one gram that a task sorts together: some 50 MB
 GROUP = 200_000
 # windows anchored at a time, and slices sorted at a time
-PIECE = 1 << 20
-TOGETHER = 20_000
+PIECE = 1 << 18
+TOGETHER = 5_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -155,7 +155,7 @@ def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     else:
                         before[1] += 1
                         known.append((key, start, head[3] + head[4]))
-            if held > 8_000_000 or len(known) > 200_000:
+            if held > 4_000_000 or len(known) > 50_000:
                 yield told(seen, known)
                 seen, known, held = {}, [], 0
         yield told(seen, known)
