@@ -25,12 +25,12 @@ from hashlib import sha256
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from . import pretokens
-from .store import chunks
+from .store import batches
 
 # pre-tokens a worker remembers before it starts afresh: some 100 MB
 KEPT = 600_000
@@ -336,19 +336,19 @@ def _tools(ranks: list[tuple[bytes, int]], pattern: str) -> tuple[Encoder, dict[
     return _ENCODERS[key]
 
 
-def _coded(frames: Iterator[pd.DataFrame], encoder: Encoder) -> Iterator[tuple]:
+def _coded(arrived: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Ids of documents and of their tokens, few enough texts at a time to be sent on."""
-    for frame, data in chunks(frames, size=2 * TOGETHER):
-        keys = frame["doc_id"].to_numpy()
+    for batch, data in batches(arrived, size=2 * TOGETHER):
+        keys = batch.column("doc_id")
         part, low, held = [], 0, 0
         for at, ids in enumerate(encoder.encode(data), 1):
             part.append(ids)
             held += len(data[at - 1])
             if held > SENT:
-                yield keys[low:at], part
+                yield keys.slice(low, at - low), part
                 part, low, held = [], at, 0
         if part:
-            yield keys[low:], part
+            yield keys.slice(low), part
 
 
 def encoded(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str) -> DataFrame:
@@ -357,13 +357,15 @@ def encoded(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str) -> Da
     number of rows."""
     table = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, token = _tools(table.value, pattern)
-        for keys, part in _coded(frames, encoder):
-            yield pd.DataFrame({"doc_id": keys, "ids": [x.astype(np.int32) for x in part],
-                                "decoded": [b"".join(map(token.__getitem__, x.tolist())) for x in part]})
+        for keys, part in _coded(arrived, encoder):
+            ends = np.append(0, np.cumsum([len(x) for x in part])).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part).astype(np.int32)))
+            plain = pa.array([b"".join(map(token.__getitem__, x.tolist())) for x in part], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, ids, plain], names=["doc_id", "ids", "decoded"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, ids array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str) -> DataFrame:
@@ -371,13 +373,14 @@ def digests(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str) -> Da
     little-endian unsigned 32-bit integers, and the decoded bytes."""
     table = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, token = _tools(table.value, pattern)
-        for keys, part in _coded(frames, encoder):
-            yield pd.DataFrame({
-                "doc_id": keys, "n_tokens": [len(x) for x in part],
-                "ids_sha256": [sha256(x.astype("<u4").tobytes()).hexdigest() for x in part],
-                "decoded_sha256": [sha256(b"".join(map(token.__getitem__, x.tolist()))).hexdigest() for x in part]})
+        for keys, part in _coded(arrived, encoder):
+            yield pa.RecordBatch.from_arrays([
+                keys, pa.array([len(x) for x in part], pa.int64()),
+                pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in part]),
+                pa.array([sha256(b"".join(map(token.__getitem__, x.tolist()))).hexdigest() for x in part])],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select("doc_id", "text").mapInArrow(
         work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

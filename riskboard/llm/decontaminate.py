@@ -23,8 +23,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .store import batches
 
 # share of an item's characters that may be edited
 ERRORS = 0.08
@@ -143,20 +146,21 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]
 def found(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block: int = BLOCK) -> DataFrame:
     """``doc_id, item_id, edits`` for each document and each item it holds."""
     parts = []
+    names = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
               f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, edits int")
     for items in _blocks(benchmark, block):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
-        def work(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def work(arrived: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, errors)
-            for frame in frames:
-                hits = [matcher.leaks(t) for t in frame["text"]]
-                own = frame["doc_id"].repeat([len(h) for h in hits])
-                pairs = [p for h in hits for p in h]
-                yield pd.DataFrame({"doc_id": own.to_numpy(), "item_id": [p[0] for p in pairs],
-                                    "edits": [p[1] for p in pairs]})
-        parts.append(docs.select("doc_id", "text").mapInPandas(work, schema))
+            for batch, data in batches(arrived):
+                hits = [(k, *hit) for k, d in enumerate(data) for hit in matcher.leaks(d.decode("utf-8"))]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64())),
+                    pa.array([h[1] for h in hits], names), pa.array([h[2] for h in hits], pa.int32())],
+                    names=["doc_id", "item_id", "edits"])
+        parts.append(docs.select("doc_id", "text").mapInArrow(work, schema))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -170,9 +174,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
     for items in _blocks(benchmark, block):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
-        def work(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def work(arrived: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, errors)
-            for frame in frames:
-                yield frame[[not matcher.leaks(t) for t in frame["text"]]]
-        docs = docs.mapInPandas(work, schema)
+            for batch, data in batches(arrived):
+                yield batch.filter(pa.array([not matcher.leaks(d.decode("utf-8")) for d in data], pa.bool_()))
+        docs = docs.mapInArrow(work, schema)
     return docs

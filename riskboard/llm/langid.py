@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import CHUNK, chunks, joined
+from .store import CHUNK, batches, chunks, joined, widened
 
 # Size of a language's trigram table; the model holds BUCKETS numbers a language.
 BUCKETS = 1 << 15
@@ -148,15 +149,16 @@ def with_language(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     size = max(1, CHUNK * 4 // max(4, len(names)))
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = model.value
-        for frame, data in chunks(frames, size=size):
+        for batch, data in batches(arrived, size=size):
             plain = [d.decode("utf-8") for d in data]
             told = infer([_lowered(t) for t in plain], known, logs)
             told = [x if any(map(str.isalpha, t)) else ("und", 0.0, []) for x, t in zip(told, plain)]
-            yield frame.assign(_lang=[x[0] for x in told], _share=[x[1] for x in told],
-                               _langs=[x[2] for x in told])
-    return docs.mapInPandas(work, f"{kept}, _lang string, _share double, _langs array<string>")
+            yield widened(batch, _lang=pa.array([x[0] for x in told], pa.string()),
+                          _share=pa.array([x[1] for x in told], pa.float64()),
+                          _langs=pa.array([x[2] for x in told], pa.list_(pa.string())))
+    return docs.mapInArrow(work, f"{kept}, _lang string, _share double, _langs array<string>")
 
 
 def fold(ids: Column) -> Column:

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_digest
 
 from .graph import components
-from .store import saved, utf8
+from .store import batches, saved, utf8, widened
 
 RADIUS = 3
 SHINGLE = 3
@@ -56,11 +57,11 @@ def fingerprint(text, shingle: int = SHINGLE) -> int:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """The rows with a column ``out``; all other columns are carried along."""
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(**{out: [fingerprint(t) for t in frame[text]]})
+    def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data in batches(arrived, text):
+            yield widened(batch, **{out: pa.array([fingerprint(d) for d in data], pa.int64())})
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(work, f"{kept}, `{out}` bigint")
+    return docs.mapInArrow(work, f"{kept}, `{out}` bigint")
 
 
 def _steps() -> list[int]:

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import work_folder
@@ -28,7 +30,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def utf8(text) -> bytes:
     """UTF-8 bytes of a text; null counts as empty."""
-    return text.encode("utf-8") if isinstance(text, str) else b""
+    return text if isinstance(text, bytes) else text.encode("utf-8") if isinstance(text, str) else b""
+
+
+def batches(arrived: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK
+            ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cut Arrow batches into pieces of about ``size`` bytes of text, with the texts as
+    UTF-8. The pieces are views, so columns that only pass through are never copied. A
+    single longer text makes a piece of its own; no text is cut."""
+    for batch in arrived:
+        texts = batch.column(column)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+        low = 0
+        while low < len(batch):
+            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:low + 100_000]), size, side="right")))
+            own = texts.slice(low, high - low).cast(pa.binary())
+            yield batch.slice(low, high - low), [b or b"" for b in own.to_pylist()]
+            low = high
+
+
+def widened(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """The batch with further columns."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
 def chunks(frames: Iterator[pd.DataFrame], column: str = "text", size: int = CHUNK

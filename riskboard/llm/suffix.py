@@ -31,9 +31,11 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from .store import chunks, joined, saved, utf8
+from .store import batches, joined, saved
 
 LEAST = 200
 GRAM = 40
@@ -112,33 +114,37 @@ def _anchored(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield text[first], gram[place[first]], place[first] + low, first + low, last + low
 
 
-def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame, data in chunks(frames, size=2 * PIECE):
+def _anchors(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, data in batches(arrived, size=2 * PIECE):
         raw, bounds = joined(data)
-        key = frame["_k"].to_numpy()
+        key = np.asarray(batch.column("_k"))
         for text, gram, at, first, last in _anchored(raw, bounds):
             spot = ((at - bounds[text]) << 16) | ((at - first) << 8) | (at - last)
-            yield pd.DataFrame({"_k": key[text], "gram": gram.view(np.int64), "spot": spot})
+            yield pa.RecordBatch.from_arrays([pa.array(key[text]), pa.array(gram.view(np.int64)), pa.array(spot)],
+                                             names=["_k", "gram", "spot"])
 
 
-_SLICE = ("gram bigint, sid binary, slice binary, right int, left int, n bigint, _k bigint, start bigint")
+_SLICE = pa.schema([("gram", pa.int64()), ("sid", pa.binary()), ("slice", pa.binary()), ("right", pa.int32()),
+                    ("left", pa.int32()), ("n", pa.int64()), ("_k", pa.int64()), ("start", pa.int64())])
 
 
-def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Slices around anchors, one of each in a batch. Further copies come as ranges known
-    to repeat: no ``sid``, ``right`` bytes from ``start``, any key."""
+def _slices(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices around anchors, one of each in a piece of a batch. Further copies come as
+    ranges known to repeat: no ``sid``, ``right`` bytes from ``start``, any key."""
     def told(seen, known):
         rows = [(*head, n, *first) for head, n, first in seen.values()]
         rows += [(key, None, None, size, 0, 0, key, start) for key, start, size in known]
-        return pd.DataFrame(rows, columns=["gram", "sid", "slice", "right", "left", "n", "_k", "start"])
-
-    for frame in frames:
-        seen, known, held = {}, [], 0
-        for key, text, spots in zip(frame["_k"], frame["text"], frame["spots"]):
-            raw = utf8(text)
-            for spot in spots:
-                at, left, near = spot["spot"] >> 16, spot["spot"] >> 8 & 255, spot["spot"] & 255
-                if spot["single"]:
+        columns = zip(*rows) if rows else [[]] * len(_SLICE)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SLICE)], schema=_SLICE)
+
+    seen, known, held = {}, [], 0
+    for batch, data in batches(arrived):
+        columns = [batch.column(c) for c in ("_k", "grams", "places", "singles")]
+        for row, raw in enumerate(data):
+            key, grams, places, singles = (c[row].as_py() for c in columns)
+            for gram, place, single in zip(grams, places, singles):
+                at, left, near = place >> 16, place >> 8 & 255, place & 255
+                if single:
                     heads = []
                     for p in range(at - left, at - near + 1):
                         digest = blake2b(raw[p:p + LEAST], digest_size=16).digest()
@@ -146,7 +152,7 @@ def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     cut = raw[at - left:at - near + LEAST]
                     sid = blake2b(cut, digest_size=16, salt=bytes((left, near))).digest()
-                    heads = [((spot["gram"], sid, cut, LEAST - near, left), at - left)]
+                    heads = [((gram, sid, cut, LEAST - near, left), at - left)]
                 for head, start in heads:
                     before = seen.get(head[1])
                     if before is None:
@@ -158,7 +164,7 @@ def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if held > 4_000_000 or len(known) > 50_000:
                 yield told(seen, known)
                 seen, known, held = {}, [], 0
-        yield told(seen, known)
+    yield told(seen, known)
 
 
 def common(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
@@ -365,14 +371,16 @@ def _marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeats(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     """``_k, spans`` (start, end pairs in bytes) of all rows of ``_k, text`` that hold
     repeated bytes."""
-    anchors = saved(keyed.select("_k", "text").mapInPandas(_anchors, "_k bigint, gram bigint, spot bigint"),
+    anchors = saved(keyed.select("_k", "text").mapInArrow(_anchors, "_k bigint, gram bigint, spot bigint"),
                     "anchors")
     often = saved(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                   .select("gram", (F.col("n") > group).alias("single")), "grams")
     spots = (anchors.join(often, "gram").groupBy("_k")
-             .agg(F.collect_set(F.struct("gram", "spot", "single")).alias("spots")))
+             .agg(F.collect_set(F.struct("gram", "spot", "single")).alias("spots"))
+             .select("_k", F.col("spots.gram").alias("grams"), F.col("spots.spot").alias("places"),
+                     F.col("spots.single").alias("singles")))
     # no column is left out before this join, so that its shuffle serves the last join too
-    slices = keyed.join(spots, "_k").mapInPandas(_slices, _SLICE)
+    slices = keyed.join(spots, "_k").mapInArrow(_slices, from_arrow_schema(_SLICE))
     return (slices.repartition("gram").sortWithinPartitions("gram", "sid")
             .mapInPandas(_marks, "_k bigint, a bigint, b bigint")
             .groupBy("_k").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
@@ -400,16 +408,18 @@ def removed(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row."""
     keyed = _keyed(docs.select("doc_id", "text"))
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data in batches(arrived):
             rows = []
-            for doc, text, spans in zip(frame["doc_id"], frame["text"], frame["spans"]):
-                raw = utf8(text)
+            for raw, spans in zip(data, batch.column("spans").to_pylist()):
                 kept, n = _cleaned(raw, spans)
-                rows.append((doc, len(raw), len(raw) - len(kept), n, sha256(kept).hexdigest()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            yield out.astype({"doc_id": frame["doc_id"].dtype})
-    return keyed.join(repeats(keyed, group), "_k", "left").select("doc_id", "text", "spans").mapInPandas(
+                rows.append((len(raw), len(raw) - len(kept), n, sha256(kept).hexdigest()))
+            n_bytes, n_removed, n_spans, digest = zip(*rows)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()),
+                pa.array(n_spans, pa.int64()), pa.array(digest)],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return keyed.join(repeats(keyed, group), "_k", "left").select("doc_id", "text", "spans").mapInArrow(
         work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, "
               "n_spans bigint, kept_sha256 string")
 
@@ -420,10 +430,12 @@ def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     keyed = _keyed(docs)
     names = docs.columns
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t if s is None or not len(s) else _cleaned(utf8(t), s)[0].decode("utf-8", "ignore")
-                     for t, s in zip(frame["text"], frame["spans"])]
-            yield frame.assign(text=texts)[names]
+    def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data in batches(arrived):
+            spans, own = batch.column("spans").to_pylist(), batch.column("text")
+            if any(spans):
+                own = pa.array([_cleaned(d, s)[0].decode("utf-8", "ignore") if s else t.as_py()
+                                for d, s, t in zip(data, spans, own)], pa.string())
+            yield pa.RecordBatch.from_arrays([own if n == "text" else batch.column(n) for n in names], names=names)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.join(repeats(keyed, group), "_k", "left").drop("_k").mapInPandas(work, kept)
+    return keyed.join(repeats(keyed, group), "_k", "left").drop("_k").mapInArrow(work, kept)
