@@ -46,13 +46,11 @@ NO_TEXT = "-"
 # Verdict labels of the board and of the risk section.
 VERDICT = {"risk": "有风险", "none": "未发现", "open": "待判定"}
 FOUND = {"yes": "是", "no": "否", "open": "待判定"}
-BUYBACK = {"yes": "有", "no": "无", "open": "—"}
 
 # Carrier kinds in listing order.
 CARRIER_KINDS = ["web", "mapp", "app", "kapp"]
 
-# Sections of a company and the phase each falls back to.
-SECTIONS = ["icp", "website", "social", "risk", "evidence"]
+# The phase that each section of a company falls back to.
 SECTION_PHASE = {
     "icp": "WEB_ICP", "website": "WEB_CRAWL", "social": "ACCOUNT_VERIFY",
     "risk": "RISK_ANALYSIS",
@@ -65,10 +63,9 @@ AUDIT_STATUSES = ["FAILED", "RETRY_WAIT", "RUNNING", "PENDING"]
 MODE_MODEL = "llm"
 MODE_FALLBACK = "conservative_local_fallback"
 
-# Review statuses and decisions.
+# Review statuses, and the decision of a review that names none.
 REVIEWED = "已复核"
 PENDING_REVIEW = "待复核"
-DECISIONS = ["采纳", "修改", "标记误报", "转人工"]
 DEFAULT_DECISION = "采纳"
 
 # Account decisions and official statuses.

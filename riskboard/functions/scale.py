@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_folder
 
@@ -61,19 +61,18 @@ def slice_sorted(df: DataFrame, order: list[Column], skip: int, take: int,
 
 def hot_keys(df: DataFrame, keys: list[str]) -> dict[int, int]:
     """Hash → number of salts, for all keys that hold at least ``HOT_SHARE`` of the rows:
-    one pass over the key columns, at most ``1 / HOT_SHARE`` numbers returned.
+    one pass over the key columns, one row returned.
 
     A key gets two salts for each shuffle partition's worth of rows it holds, so that no
     salted part is larger than half an average partition, whatever the key's share. The
     numbers are fixed before the join is planned, so both sides salt alike.
     """
-    hashes = df.select(F.xxhash64(*keys).alias("h"))
-    often = hashes.freqItems(["h"], HOT_SHARE).first()[0] or []
-    if not often:
-        return {}
-    counted = hashes.agg(F.count(F.lit(1)), *[F.count_if(F.col("h") == h) for h in often]).first()
+    most = int(1 / HOT_SHARE)
+    told = df.select(F.xxhash64(*keys).alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {most}, {16 * most})").alias("top")).first()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = {h: -(-2 * partitions * n // max(1, counted[0])) for h, n in zip(often, counted[1:])}
+    salts = {r["item"]: -(-2 * partitions * r["count"] // max(1, told["n"])) for r in told["top"] or []
+             if r["count"] >= HOT_SHARE * told["n"]}
     return {h: n for h, n in salts.items() if n > 1}
 
 
@@ -100,22 +99,31 @@ def lookup(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str], ho
     A frequent key is cut into parts by its share. The key table is often an aggregate on
     the same key; then Spark would reuse that aggregate's partitioning and could not split
     the hot partition at run time. A key table that Spark knows to be small enough for a
-    broadcast needs no salts and no pass over the rows. Key columns must have the same
-    type on both sides.
+    broadcast needs no salts and no pass over the rows, nor do rows that make up one
+    partition at most. Key columns must have the same type on both sides.
     """
-    if _small(dim):
+    spark = fact.sparkSession
+    if (_bytes(dim) <= _limit(spark, "spark.sql.autoBroadcastJoinThreshold")
+            or _bytes(fact) <= _limit(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes")):
         return fact.join(dim, on, how)
     hot = hot_keys(fact, on)
     return (salted(fact, on, hot, spread).join(replicated(dim, on, hot), [*on, "_salt"], how)
             .drop("_salt"))
 
 
-def _small(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate puts a table under its broadcast threshold."""
-    spark = df.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+def _bytes(df: DataFrame) -> float:
+    """Spark's own estimate of a table's size; without statistics it errs upwards."""
+    try:
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except ValueError:  # joins multiply estimates: a number too long to read is not small
+        return float("inf")
+
+
+def _limit(spark: SparkSession, key: str) -> int:
+    """A size setting in bytes."""
+    value = spark.conf.get(key).strip().lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(value[:-1]) * units[value[-1]] if value[-1:] in units else int(value)
 
 
 def widen(df: DataFrame, *keys: str) -> DataFrame:

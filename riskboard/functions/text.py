@@ -85,6 +85,11 @@ def nth(values: list[str], i: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int") + 1)
 
 
+def last_part(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.substring_index(path, "/", -1)
+
+
 def json_quote(c: Column) -> Column:
     """A text as a JSON string literal."""
     boxed = F.to_json(F.array(c))

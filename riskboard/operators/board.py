@@ -110,11 +110,11 @@ def page(df: DataFrame, order: list[str | Column], number: int, size: int = 20)
     """One page of the sorted board; ``order`` must end in a unique column. A number
     past the end shows the last page, as the board does."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    skip = (number - 1) * size
-    if number > 1:
-        total = df.count()
-        skip = (min(number, max(1, -(-total // size))) - 1) * size
-    return slice_sorted(df, cols, skip, size)
+    found = slice_sorted(df, cols, (number - 1) * size, size)
+    if number == 1 or not found.isEmpty():
+        return found
+    total = df.count()  # only past the end
+    return slice_sorted(df, cols, (max(1, -(-total // size)) - 1) * size, size)
 
 
 def page_count(df: DataFrame, size: int = 20) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions.text import norm_name
 # tokens in a group, and the share of groups that near copies have in common
 SHINGLE = 5
 SIMILAR = 0.8
+# bands of min-hash values, and values in a band
+BANDS, ROWS = 12, 4
 
 
 def rank_accounts(account: DataFrame, k: int) -> DataFrame:
@@ -109,13 +111,14 @@ def _groups(text: str) -> tuple[Column, Column]:
     return words, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, SHINGLE), " "))))
 
 
-def copy_bands(text: DataFrame, id_col: str, text_col: str, bands: int = 20, rows: int = 5) -> DataFrame:
-    """Min-hash bands of every text: ``id, groups, band``, with the min-hash signature's
-    full 64-bit values. All hashing stays in the row. Texts without a token have none."""
+def copy_bands(text: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Min-hash bands of every text: ``id, groups, band``. A signature value is the group
+    hash nearest to a fixed random number in its leading bits, all 64 bits of it. All
+    hashing stays in the row. Texts without a token have none."""
     words, groups = _groups(text_col)
     hashed = (text.select(id_col, words.alias("_w")).filter(F.size("_w") > 0)
               .select(id_col, groups.alias("groups")))
-    low = lambda j: F.array_min(F.transform("groups", lambda h: F.xxhash64(F.lit(j), h)))
+    low = lambda j: F.array_min(F.transform("groups", lambda h: h.bitwiseXOR(F.xxhash64(F.lit(j)))))
     sign = F.array(*[low(j) for j in range(bands * rows)])
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(
         b, F.slice("_sign", b * rows + 1, rows)))
@@ -124,7 +127,7 @@ def copy_bands(text: DataFrame, id_col: str, text_col: str, bands: int = 20, row
 
 
 def copy_links(text: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR,
-               bands: int = 20, rows: int = 5) -> DataFrame:
+               bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Checked links ``left, right``: texts that share a band with the band's first text
     and have at least the ``threshold`` of their three-token groups in common with it.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import is_degraded
-from ..functions.text import round_half_up
+from ..functions.text import number_or_zero, round_half_up
 
 
 def companies_by_status(company: DataFrame) -> DataFrame:
@@ -66,15 +66,16 @@ def kpi_board(company: DataFrame, task: DataFrame, plan: DataFrame) -> DataFrame
 
 def kpi_from_counts(counts: DataFrame) -> DataFrame:
     """The published formula on stored counts ``closed, open, tasks, failed, retry,
-    running, pending, reused, processed``; here ``pending`` may count reviews."""
-    c = F.col
+    running, pending, reused, processed``, numbers or text, a missing one counting as
+    zero; here ``pending`` may count reviews."""
+    c = lambda name: number_or_zero(F.col(name)).cast("bigint")
     waiting = c("retry") + c("running") + c("pending")
     good = c("tasks") - c("failed") - waiting
     return counts.select(
         c("closed").alias("done"), (c("closed") + c("open")).alias("companies"),
-        (c("tasks") - waiting).alias("terminal"), "tasks", waiting.alias("unfinished"),
+        (c("tasks") - waiting).alias("terminal"), c("tasks").alias("tasks"), waiting.alias("unfinished"),
         _success(c("tasks"), good).alias("success_pct"), good.alias("succeeded"),
-        (c("failed") + c("retry")).alias("abnormal"), "reused", "processed")
+        (c("failed") + c("retry")).alias("abnormal"), c("reused").alias("reused"), c("processed").alias("processed"))
 
 
 def degraded_count(company: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
+from ..functions.scale import lookup
 from ..functions.text import pick
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -67,24 +68,21 @@ def section(sections: DataFrame, company: str, name: str = "risk") -> DataFrame:
 
 
 def section_or_phase(sections: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Exported sections, and for a company without the section the counts of the phase
-    behind it: ``company_id, section, origin, n``.
+    """Exported sections, and for a company without the section the task results of the
+    phase behind it: ``company_id, section, origin, phase, task_dir, status, n``.
 
-    ``sections`` is ``company_id, section, n``. Both kinds go into one aggregate that
-    prefers the section, so no side is computed twice.
+    ``sections`` is ``company_id, section, n``, one row each. A section's row has no task;
+    a stand-in row is one task with ``n`` 1.
     """
     by_phase = {phase: name for name, phase in fixed.SECTION_PHASE.items()}
-    stood_in = (tasks.select("company_id", pick(F.col("phase"), by_phase).alias("section"),
-                             F.lit(False).alias("_own"), F.lit(1).cast("bigint").alias("n"))
-                .filter(F.col("section").isNotNull()))
-    own = sections.select("company_id", "section", F.lit(True).alias("_own"), "n")
-    has = F.bool_or("_own")
-    both = own.unionByName(stood_in).groupBy("company_id", "section").agg(
-        has.alias("_has"), F.sum(F.when(F.col("_own"), F.col("n"))).alias("_section"),
-        F.sum(F.when(~F.col("_own"), F.col("n"))).alias("_phase"))
-    return both.select(
-        "company_id", "section", F.when(F.col("_has"), "section").otherwise("phase").alias("origin"),
-        F.when(F.col("_has"), F.col("_section")).otherwise(F.col("_phase")).alias("n"))
+    none = F.lit(None).cast("string")
+    stood_in = (tasks.withColumn("section", pick(F.col("phase"), by_phase)).filter(F.col("section").isNotNull())
+                .select("company_id", "section", F.lit("phase").alias("origin"), "phase", "task_dir", "status",
+                        F.lit(1).cast("bigint").alias("n")))
+    own = sections.select("company_id", "section", F.lit("section").alias("origin"), none.alias("phase"),
+                          none.alias("task_dir"), none.alias("status"), "n")
+    have = sections.select("company_id", "section").distinct()
+    return own.unionByName(lookup(stood_in, have, ["company_id", "section"], ["task_dir"], "left_anti"))
 
 
 def section_counts(parts: dict[str, DataFrame]) -> DataFrame:

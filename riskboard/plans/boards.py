@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import decode, label as label_of, label_dim
+from ..functions.text import last_part
 from ..operators import board as bd
-from ..operators import chain, keys, metrics, screening, search
+from ..operators import chain, keys, metrics, review, screening, search
 from ..operators import sections as sec
 from ..operators import tasks as tk
 from ..sources import files, tables as tb
@@ -106,6 +107,31 @@ def kpi_board(t: Tables) -> DataFrame:
     return metrics.kpi_board(board(t), task(t), reuse_plan(t))
 
 
+@query("published_kpis", rows_with(BOARD + " review latest", """
+SELECT done, companies, tasks - w AS terminal, tasks, w AS unfinished,
+  CASE WHEN tasks > 0 THEN CAST(floor((tasks - f - w) / CAST(tasks AS DOUBLE) * 100 + 0.5) AS BIGINT) END AS success_pct,
+  tasks - f - w AS succeeded, f + r AS abnormal, 0::BIGINT AS reused, tasks AS processed
+FROM (SELECT count(*) FILTER (WHERE status = 'CLOSED') AS done, count(*) AS companies FROM live),
+  (SELECT count(*) AS tasks, count(*) FILTER (WHERE status = 'FAILED') AS f, count(*) FILTER (WHERE status = 'RETRY_WAIT') AS r,
+     count(*) FILTER (WHERE status IN ('RETRY_WAIT', 'RUNNING'))
+     + (SELECT count(*) FROM live l WHERE l.company_id NOT IN (SELECT company_id FROM latest)) AS w FROM task)"""))
+def published_kpis(t: Tables) -> DataFrame:
+    """The published formula over counts kept as text, where ``pending`` counts reviews
+    still open; a missing count is zero."""
+    rows = task(t)
+    live = tk.live_rows(rows)
+    reviewed = review.latest_review(tb.review_event(t)).select("company_id")
+    counts = rows.agg(F.count(F.lit(1)).alias("tasks"), *[
+        F.count_if(F.col("status") == code).alias(name) for code, name in (("FAILED", "failed"), ("RETRY_WAIT", "retry"), ("RUNNING", "running"))])
+    runs = live.agg(F.struct(F.count_if(F.col("closed")).alias("closed"), F.count_if(~F.col("closed")).alias("open")).alias("r"))
+    pending = live.join(reviewed, "company_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    row = counts.select("*", runs.scalar().alias("r"), pending.scalar().alias("pending"))
+    kept = {c: F.col(c).cast("string") for c in ("tasks", "failed", "retry", "running", "pending")}
+    stored = row.select(*[v.alias(k) for k, v in kept.items()], F.col("r.closed").cast("string").alias("closed"),
+                        F.col("r.open").cast("string").alias("open"), F.lit("").alias("reused"), F.col("tasks").alias("processed"))
+    return metrics.kpi_from_counts(stored)
+
+
 @query("error_attribution", rows_with("te task", f"""
 SELECT error_code, {label('error', 'error_code')} AS label, count(*) AS n FROM task
 WHERE status IN ('FAILED', 'RETRY_WAIT') GROUP BY ALL"""))
@@ -259,10 +285,10 @@ def file_kinds_rollup(t: Tables) -> DataFrame:
 
 
 @query("file_subset", rows_with("file", f"""
-SELECT company_id, path, {label('file', 'kind')} AS label FROM file WHERE kind = '截图'"""))
+SELECT company_id, path, regexp_extract(path, '[^/]*$') AS name, {label('file', 'kind')} AS label FROM file WHERE kind = '截图'"""))
 def file_subset(t: Tables) -> DataFrame:
     return metrics.screenshots(tb.process_file(t)).select(
-        "company_id", "path", label_of("file", F.col("kind")).alias("label"))
+        "company_id", "path", last_part(F.col("path")).alias("name"), label_of("file", F.col("kind")).alias("label"))
 
 
 @query("manifest_check", rows_with("file", """,
@@ -303,11 +329,25 @@ def facts(t: Tables) -> DataFrame:
         tb.page_host(t), tb.account(t), screening.company_words(hits(t)))
 
 
-@query("company_rows", rows_with("company page carrier account evidence hits", """
-SELECT company_id, name, risk, risk_words, analysis_mode, n_web, n_mapp, n_app, n_kapp, n_candidates,
-  n_pages, n_accounts FROM facts""", _FACTS))
+@query("company_rows", rows_with(BOARD + " page carrier account evidence hits", """,
+d AS (SELECT company_id, string_agg(domain, ',' ORDER BY domain) AS active_domains
+  FROM (SELECT DISTINCT company_id, domain FROM page WHERE domain <> '') GROUP BY 1)
+SELECT f.company_id, f.name, b.status, f.risk, f.risk_words, f.analysis_mode, n_web, n_mapp, n_app, n_kapp, n_candidates,
+  n_pages, n_accounts, d.active_domains, CASE WHEN f.company_id IN (SELECT company_id FROM hits WHERE category = 'promise') THEN true
+    WHEN f.risk IS NOT NULL THEN false END AS buyback,
+  (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS run_time
+FROM facts f JOIN board b ON b.company_id = f.company_id LEFT JOIN d ON d.company_id = f.company_id""", _FACTS))
 def company_rows(t: Tables) -> DataFrame:
-    return facts(t)
+    """All sixteen facts of the company row: status, carriers by kind, candidates, pages,
+    active domains, accounts, risk, buyback, words, mode and time of the run."""
+    domains = tb.page_host(t).filter("domain <> ''").groupBy("company_id").agg(
+        F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("active_domains"))
+    promise = hits(t).filter("category = 'promise'").select("company_id").distinct().withColumn("_promise", F.lit(True))
+    last = t.read("events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("t"))
+    return (facts(t).join(board(t).select("company_id", "status"), "company_id")
+            .join(domains, "company_id", "left").join(promise, "company_id", "left")
+            .withColumn("buyback", F.coalesce("_promise", F.when(F.col("risk").isNotNull(), F.lit(False))))
+            .withColumn("run_time", last.scalar()).drop("_promise"))
 
 
 @query("overview_card", rows_with(BOARD + " page carrier account evidence hits file", """
@@ -333,16 +373,20 @@ def section_counts(t: Tables) -> DataFrame:
                                "social": tb.account(t), "icp": tb.carrier(t)})
 
 
-@query("section_or_phase", rows_with("te task page account carrier", """,
+@query("section_or_phase", rows_with("te task page account carrier company evidence", """,
 s AS (SELECT company_id, 'website' AS section, count(*) AS n FROM page GROUP BY 1
   UNION ALL SELECT company_id, 'social', count(*) FROM account GROUP BY 1
-  UNION ALL SELECT company_id, 'icp', count(*) FROM carrier GROUP BY 1),
-p AS (SELECT company_id, CASE phase WHEN 'WEB_ICP' THEN 'icp' WHEN 'WEB_CRAWL' THEN 'website'
-    WHEN 'ACCOUNT_VERIFY' THEN 'social' WHEN 'RISK_ANALYSIS' THEN 'risk' END AS section, count(*) AS n
-  FROM task GROUP BY ALL)
-SELECT company_id, section, 'section' AS origin, n FROM s
-UNION ALL SELECT company_id, section, 'phase', n FROM p WHERE section IS NOT NULL
+  UNION ALL SELECT company_id, 'icp', count(*) FROM carrier GROUP BY 1
+  UNION ALL SELECT company_id, 'evidence', count(*) FROM evidence GROUP BY 1
+  UNION ALL SELECT company_id, 'risk', count(*) FROM company WHERE risk IS NOT NULL GROUP BY 1),
+p AS (SELECT *, CASE phase WHEN 'WEB_ICP' THEN 'icp' WHEN 'WEB_CRAWL' THEN 'website'
+    WHEN 'ACCOUNT_VERIFY' THEN 'social' WHEN 'RISK_ANALYSIS' THEN 'risk' END AS section FROM task)
+SELECT company_id, section, 'section' AS origin, CAST(NULL AS VARCHAR) AS phase, CAST(NULL AS VARCHAR) AS task_dir,
+  CAST(NULL AS VARCHAR) AS status, n FROM s
+UNION ALL SELECT company_id, section, 'phase', phase, task_dir, status, 1 FROM p WHERE section IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM s WHERE s.company_id = p.company_id AND s.section = p.section)"""))
 def section_or_phase(t: Tables) -> DataFrame:
-    have = sec.section_counts({"website": tb.page_host(t), "social": tb.account(t), "icp": tb.carrier(t)})
+    have = sec.section_counts({
+        "website": tb.page_host(t), "social": tb.account(t), "icp": tb.carrier(t), "evidence": tb.evidence(t),
+        "risk": tb.company(t).filter("risk is not null")})
     return sec.section_or_phase(have, task(t))

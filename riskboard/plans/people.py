@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
+from ..functions.labels import found_label
 from ..operators import alerts as al
 from ..operators import carriers as ca
 from ..operators import entities as en
@@ -83,6 +84,21 @@ def account_listing(t: Tables) -> DataFrame:
     return en.account_listing(decided(t))
 
 
+@query("section_listing", rows_with(BOARD + " page account carrier evidence hits verdict", """
+SELECT company_id, 'icp' AS section, '[' || kind || '] ' || domain AS line FROM carrier
+UNION ALL SELECT company_id, 'website', url FROM page
+UNION ALL SELECT company_id, 'social', '[' || platform || '] ' || name || ' · ' || decision || ' · ' || official_status FROM decided
+UNION ALL SELECT company_id, 'risk', CASE WHEN risk THEN '是' WHEN NOT risk THEN '否' ELSE '待判定' END || ' · ' || reason FROM verdict""", _DECIDED))
+def section_listing(t: Tables) -> DataFrame:
+    """Lines of the four sections beside evidence, from the long tables."""
+    part = lambda df, name, line: df.select("company_id", F.lit(name).alias("section"), line.alias("line"))
+    risk = F.concat(found_label(F.col("risk")), F.lit(" · "), F.col("reason"))
+    return (part(ca.carrier_listing(tb.carrier(t)), "icp", F.col("line"))
+            .unionByName(part(tb.page_host(t), "website", F.col("url")))
+            .unionByName(part(en.account_listing(decided(t)), "social", F.col("line")))
+            .unionByName(part(verdict(t), "risk", risk)))
+
+
 @query("entity_alignment", rows_with("page", """
 SELECT domain, min(domain) OVER (PARTITION BY CASE WHEN site = '' THEN 'domain ' || domain ELSE 'name ' || site END) AS entity_id
 FROM (SELECT DISTINCT domain, site FROM page)"""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import alerts, board, metrics, sections
@@ -43,12 +45,45 @@ def run_tables(document: DataFrame, tasks: DataFrame | None = None, files: DataF
     return out
 
 
+def _map(df: DataFrame, key: str) -> DataFrame:
+    """A short count table as one JSON object."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(key, F.lit("")).alias("k"), "n"))))
+    return df.agg(F.to_json(pairs).alias("payload"))
+
+
+def dashboard(tables: dict[str, DataFrame], firms: DataFrame, tasks: DataFrame | None = None,
+              files: DataFrame | None = None, plan: DataFrame | None = None) -> DataFrame:
+    """The run's dashboard, ``part, payload``: status counts, execution summary and audit
+    as one row each; alerts and process files one row an item, since there can be any
+    number of them. ``plan`` has an ``action`` per planned task."""
+    line = lambda df: df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("payload"))
+    parts = {"company_status": _map(tables["companies_by_status"], "status"), "alert": line(tables["alerts"])}
+    if tasks is not None:
+        none = tasks.limit(0).select(F.lit("").alias("action"))
+        parts["execution_summary"] = line(metrics.kpi_board(firms, tasks, none if plan is None else plan))
+        parts["task_audit"] = _map(tables["audit_by_status"], "status")
+    if plan is not None:
+        parts["plan_summary"] = _map(plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")), "action")
+    if files is not None:
+        parts["process_file"] = line(files.select("company_id", "kind", "path"))
+    rows = [df.select(F.lit(name).alias("part"), "payload") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def publish_run(spark: SparkSession, path: str, folder: str, run_id: str,
                 tasks: DataFrame | None = None, files: DataFrame | None = None,
-                reviews: DataFrame | None = None) -> None:
-    """Read a snapshot, write its tables and the JSON of its sections and phases."""
-    tables = run_tables(snap.read_snapshot(spark, path), tasks, files, reviews)
+                reviews: DataFrame | None = None, plan: DataFrame | None = None) -> None:
+    """Read a snapshot, write its tables and the JSON of its dashboard, progress, sections
+    and phases."""
+    document = snap.read_snapshot(spark, path)
+    tables = run_tables(document, tasks, files, reviews)
+    firms = snap.normalise(document)["company"]
+    progress = tables["progress"]
+    tables["dashboard"] = dashboard(tables, firms, tasks, files, plan)
     publish.publish_tables(tables, f"{folder}/tables", run_id)
     for name in ("sections", "phases"):
         if name in tables:
             publish.publish_json(tables[name], f"{folder}/json/{name}", run_id)
+    publish.publish_json(tables["dashboard"], f"{folder}/json/dashboard", run_id)
+    body = F.to_json(F.struct(*[c for c in progress.columns if c != "company_id"]), {"ignoreNullFields": "false"})
+    publish.publish_json(progress.select("company_id", body.alias("payload")), f"{folder}/json/progress", run_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import work_folder
+from ..session import taken, work_folder
 from ..sources.tables import Tables
 from ..streaming import jobs, sinks, sources
 from .people import ROUTED, error_texts
@@ -23,7 +23,7 @@ SELECT company_id, status, phase, event_id FROM (SELECT *, row_number() OVER (
 def stream_latest_state(t: Tables) -> DataFrame:
     out = work_folder(t.spark, "live")
     sinks.drain(jobs.live_state(sources.task_events(t.spark, t.folder)), out, mode="update")
-    return sinks.current(t.spark, out, ["company_id"])
+    return taken(sinks.current(t.spark, out, ["company_id"]), out)
 
 
 @query("stream_phase_machine", rows_with("te task stats", """
@@ -31,7 +31,7 @@ SELECT t.company_id, phase, task_dir, status, attempts, closed FROM task t JOIN
 def stream_phase_machine(t: Tables) -> DataFrame:
     out = work_folder(t.spark, "phases")
     sinks.drain(jobs.phase_progress(sources.task_events(t.spark, t.folder), LATENESS), out, mode="update")
-    return jobs.phase_machine(t.spark, out)
+    return taken(jobs.phase_machine(t.spark, out), out)
 
 
 def _reviews(t: Tables) -> str:
@@ -42,13 +42,15 @@ def _reviews(t: Tables) -> str:
 @query("stream_review_upsert", rows_with("review latest", """
 SELECT company_id, status, reviewer, decision, note, event_id FROM latest"""))
 def stream_review_upsert(t: Tables) -> DataFrame:
-    return jobs.current_reviews(t.spark, _reviews(t)).drop("reviewed_at")
+    out = _reviews(t)
+    return taken(jobs.current_reviews(t.spark, out).drop("reviewed_at"), out)
 
 
 @query("stream_review_audit", rows_with("review", """
 SELECT event_id, company_id, status, reviewer, decision, note FROM review"""))
 def stream_review_audit(t: Tables) -> DataFrame:
-    return sinks.rows(t.spark, _reviews(t), "audit").drop("reviewed_at", "batch_id")
+    out = _reviews(t)
+    return taken(sinks.rows(t.spark, out, "audit").drop("reviewed_at", "batch_id"), out)
 
 
 @query("stream_post_upsert", "SELECT conv_id, turn, role, text FROM conversations")
@@ -56,7 +58,7 @@ def stream_post_upsert(t: Tables) -> DataFrame:
     # a post is known by conversation and turn; a later delivery is its newer version
     keys, out = ["conv_id", "turn"], work_folder(t.spark, "posts")
     sinks.drain(sources.posts(t.spark, t.folder), out, split=jobs.post_outputs(keys))
-    return jobs.current_posts(t.spark, out, keys)
+    return taken(jobs.current_posts(t.spark, out, keys), out)
 
 
 @query("stream_log_lines", LOG_SQL)
@@ -64,11 +66,11 @@ def stream_log_lines(t: Tables) -> DataFrame:
     out = work_folder(t.spark, "log")
     posts = sources.posts(t.spark, t.folder).select("conv_id", "turn", "text")
     sinks.drain(jobs.stream_log_lines(posts, "text", ["conv_id", "turn"]), out)
-    return sinks.rows(t.spark, out).drop("batch_id")
+    return taken(sinks.rows(t.spark, out).drop("batch_id"), out)
 
 
 @query("stream_alert_routing", ROUTED)
 def stream_alert_routing(t: Tables) -> DataFrame:
     out = work_folder(t.spark, "alerts")
     sinks.drain(jobs.stream_alerts(error_texts(sources.task_events(t.spark, t.folder))), out)
-    return sinks.rows(t.spark, out).drop("batch_id")
+    return taken(sinks.rows(t.spark, out).drop("batch_id"), out)

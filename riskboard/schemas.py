@@ -34,11 +34,3 @@ EVENTS = (
     "props string")
 
 POSTS = ("conv_id bigint, turn bigint, role string, text string")
-
-TASK_EVENT = (
-    "event_id bigint, ts timestamp, company_id bigint, phase string, phase_idx int, "
-    "status string, error_code string, input_sha string")
-
-REVIEW_EVENT = (
-    "event_id bigint, company_id bigint, status string, reviewer string, decision string, "
-    "note string, reviewed_at timestamp")

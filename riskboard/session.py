@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the work that static hints would only guess at:
 # a side is broadcast once its measured shuffle size is small, a hot join key is
@@ -75,3 +75,14 @@ def shared_folder(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/riskboard/{name}-{uuid.uuid4().hex}"
+
+
+def taken(df: DataFrame, folder: str) -> DataFrame:
+    """The rows of a table below a work folder, kept in the checkpoint folder (which
+    Spark's cleaner empties), after which the work folder is removed."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return kept

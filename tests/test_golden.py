@@ -262,6 +262,16 @@ def test_publish_twice_replaces_the_run_only(spark, board_path, rows):
     assert rows(kinds, "kind", "n") == [("截图", 2), ("过程文本", 1), (None, 3)]
     phase = spark.read.text(f"{out}/json/phases").filter("value like '%OCR%'").first()["value"]
     assert json.loads(phase)["payload"] == {"phase_idx": 3, "status": "OK", "task_dir": "OCR/task_01"}
+    board_doc = {}
+    for r in spark.read.text(f"{out}/json/dashboard").filter("run_id = 'r2'").collect():
+        one = json.loads(r["value"])
+        board_doc.setdefault(one["part"], []).append(one["payload"])
+    assert board_doc["company_status"] == [{"CLOSED": 4, "OPEN": 1}] and len(board_doc["alert"]) == 4
+    assert board_doc["task_audit"] == [{"FAILED": 1, "PENDING": 0, "RETRY_WAIT": 0, "RUNNING": 0}]
+    assert board_doc["execution_summary"][0]["tasks"] == 2 and board_doc["execution_summary"][0]["success_pct"] == 50
+    assert {f["path"] for f in board_doc["process_file"]} == {"a.png", "b.png", "c.md"}
+    steps = [json.loads(r["value"]) for r in spark.read.text(f"{out}/json/progress").filter("run_id = 'r2'").collect()]
+    assert {s["payload"]["status"] for s in steps} == {"CLOSED", "OPEN"} and len(steps) == 5
     line = spark.read.text(f"{out}/json/sections").filter("value like '%Dolos%' and value like '%\"icp\"%'").first()
     body = json.loads(line["value"])
     assert body["section"] == "icp" and body["payload"]["icp_counts"]["web"] == 0

@@ -26,8 +26,17 @@ def test_hot_keys_finds_every_frequent_key(skewed):
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_equals_join(spark, skewed, rows, how):
     dim = spark.range(300).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
-    got = scale.lookup(skewed, dim, ["key"], ["row_id"], how)
-    assert rows(got, "row_id", "key", "v") == rows(skewed.join(dim, "key", how), "row_id", "key", "v")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    for small in ("1k", "64m"):  # salted, and as it comes
+        try:
+            for k in kept:
+                spark.conf.set(k, small)
+            got = scale.lookup(skewed, dim, ["key"], ["row_id"], how)
+            assert ("_salt" in got._jdf.queryExecution().toString()) == (small == "1k")
+        finally:
+            for k, v in kept.items():
+                spark.conf.set(k, v)
+        assert rows(got, "row_id", "key", "v") == rows(skewed.join(dim, "key", how), "row_id", "key", "v")
 
 
 def test_lookup_splits_the_hot_key(spark, skewed):
