@@ -148,7 +148,9 @@ def components(edges: DataFrame, left: str, right: str, keep_single: bool = True
     """
     shared_folder(edges.sparkSession)
     edges = edges.select(left, right).distinct().checkpoint()
-    hot = hot_keys(edges, [right])
+    # all edges in one partition: nothing to split (some 32 bytes an edge)
+    one = 32 * edges.count() <= _limit(edges.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    hot = {} if one else hot_keys(edges, [right])
     shared = edges.groupBy(right).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(right)
     parts = (salted(edges, [right], hot, [left])
              .join(replicated(shared, [right], hot), [right, "_salt"]).checkpoint())
@@ -159,7 +161,8 @@ def components(edges: DataFrame, left: str, right: str, keep_single: bool = True
         back = (parts.join(replicated(carried, [right], hot), [right, "_salt"])
                 .groupBy(left).agg(F.min("component").alias("_seen")))
         jump = label.select(F.col(left).alias("component"), F.col("component").alias("_far"))
-        nxt = (lookup(label.join(back, left), jump, ["component"], [left])
+        seen = label.join(back, left)
+        nxt = ((seen.join(jump, "component", "left") if one else lookup(seen, jump, ["component"], [left]))
                .select(left, F.least("component", "_seen", "_far").alias("_new"), "component"))
         nxt = nxt.checkpoint()
         moved = not nxt.filter(F.col("_new") < F.col("component")).isEmpty()

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.scale import components, lookup, top_k
 from ..functions.text import norm_name
+from ..session import shared_folder
 
 
 # tokens in a group, and the share of groups that near copies have in common
@@ -111,19 +112,25 @@ def _groups(text: str) -> tuple[Column, Column]:
     return words, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, SHINGLE), " "))))
 
 
+def _hashed(text: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, groups`` of all texts that hold a token."""
+    if text_col == "groups":
+        return text
+    words, groups = _groups(text_col)
+    return (text.select(id_col, words.alias("_w")).filter(F.size("_w") > 0)
+            .select(id_col, groups.alias("groups")))
+
+
 def copy_bands(text: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Min-hash bands of every text: ``id, groups, band``. A signature value is the group
+    """Min-hash bands of every text: ``id, band``. A signature value is the group
     hash nearest to a fixed random number in its leading bits, all 64 bits of it. All
     hashing stays in the row. Texts without a token have none."""
-    words, groups = _groups(text_col)
-    hashed = (text.select(id_col, words.alias("_w")).filter(F.size("_w") > 0)
-              .select(id_col, groups.alias("groups")))
+    hashed = _hashed(text, id_col, text_col)
     low = lambda j: F.array_min(F.transform("groups", lambda h: h.bitwiseXOR(F.xxhash64(F.lit(j)))))
     sign = F.array(*[low(j) for j in range(bands * rows)])
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(
         b, F.slice("_sign", b * rows + 1, rows)))
-    return (hashed.withColumn("_sign", sign)
-            .select(id_col, "groups", F.explode(keys).alias("band")))
+    return hashed.select(id_col, sign.alias("_sign")).select(id_col, F.explode(keys).alias("band"))
 
 
 def copy_links(text: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR,
@@ -136,13 +143,14 @@ def copy_links(text: DataFrame, id_col: str, text_col: str, threshold: float = S
     minimum. A text that fails the check with the first of a band may still be linked
     through another band.
     """
-    banded = copy_bands(text, id_col, text_col, bands, rows)
+    shared_folder(text.sparkSession)
+    hashed = _hashed(text, id_col, text_col).checkpoint()  # hashed once, read three times
+    banded = copy_bands(hashed, id_col, "groups", bands, rows)
     first = (banded.groupBy("band").agg(F.min(id_col).alias("left"), F.count(F.lit(1)).alias("_n"))
              .filter("_n > 1").select("band", "left"))
     pairs = (banded.select(F.col(id_col).alias("right"), "band").join(first, "band")
              .filter("left < right").select("left", "right").distinct())
-    words, groups = _groups(text_col)
-    sets = text.select(F.col(id_col).alias("_id"), words.alias("_w")).select("_id", groups.alias("_g"))
+    sets = hashed.select(F.col(id_col).alias("_id"), F.col("groups").alias("_g"))
     both = (pairs.join(sets.withColumnsRenamed({"_id": "left", "_g": "_a"}), "left")
             .join(sets.withColumnsRenamed({"_id": "right", "_g": "_b"}), "right"))
     common = F.size(F.array_intersect("_a", "_b"))

@@ -18,10 +18,9 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
     """Every (text, keyword) pair where the whole text holds the keyword, in any case.
 
     ``words`` is a list of (keyword, category) or a table ``keyword, category``; empty
-    keywords match nothing. Texts stay where they are: each pass checks ``PASS`` entries
-    by one scan with an alternation of them first, and only texts that hold any of the
-    entries are then checked entry by entry. A dictionary of any length is cut into
-    passes that are unioned, so no plan holds more than a pass's entries in an array.
+    keywords match nothing. Texts stay where they are: no join, no shuffle, each text is
+    looked through for the ``PASS`` entries of a pass. A dictionary of any length is cut
+    into passes that are unioned, so no array in the plan holds more than one pass.
     """
     if isinstance(words, DataFrame):
         words = [(r["keyword"], r["category"]) for r in words.select("keyword", "category").distinct().toLocalIterator()]
@@ -33,9 +32,8 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
         entries = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category")) for k, c in own])
         if not own:
             entries = entries.cast("array<struct<keyword: string, category: string>>")
-        some = F.col("_low").rlike("|".join(rf"\Q{k}\E" for k, _ in own)) if len(own) > 8 else F.lit(True)
         hits = F.filter(entries, lambda e: F.contains(F.col("_low"), e["keyword"]))
-        parts.append(low.filter(some).select(*keep, F.inline(hits)))
+        parts.append(low.select(*keep, F.inline(hits)))
     return reduce(DataFrame.unionByName, parts)
 
 
