@@ -179,8 +179,10 @@ def keep_one(docs: DataFrame, tile: int = TILE) -> DataFrame:
     low = prints.groupBy("fp").agg(F.min("doc_id").alias("_low"))
     named = groups(prints, tile).join(low, "fp")
     names = named.groupBy("root").agg(F.min("_low").alias("_first"))
-    # of each group one fingerprint and one id, so that the rows need no shuffle but this join's
+    # of each group one fingerprint and one id, as one key: the rows need no shuffle but this join's
+    def key(fp: str, doc: str):
+        return F.concat_ws(":", F.col(fp).cast("string"), F.coalesce(F.col(doc).cast("string"), F.lit("-"))).alias("_key")
     chosen = named.join(names, "root").filter(F.col("_low").eqNullSafe(F.col("_first"))).groupBy("root").agg(
-        F.min(F.struct("fp", "_first")).alias("c")).select(F.col("c.fp").alias("_fp"), "c._first")
-    kept = printed.join(chosen, "_fp").filter(F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_fp"])
+        F.min(F.struct("fp", "_first")).alias("c")).select(key("c.fp", "c._first"))
+    kept = printed.select(*own, key("_fp", "doc_id")).join(chosen, "_key").dropDuplicates(["_key"])
     return kept.select(*own)
