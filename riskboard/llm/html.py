@@ -50,9 +50,9 @@ DROPPED_ROLES = set("navigation banner contentinfo complementary search form dia
 DROPPED_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies "
                     "consent gdpr nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments "
                     "commentlist reply replies disqus share sharing social related recommended newsletter subscribe "
-                    "signup login popup modal pagination pager toolbar masthead skip".split())
+                    "signup login popup modal pagination pager toolbar masthead skip notice notices".split())
 # these name parts of an article too, so they count only outside of one
-OUTER_WORDS = set("header banner notice notices widget side rail".split())
+OUTER_WORDS = set("header banner widget side rail".split())
 MAIN = {"article", "main"}
 # an open element of the key is closed by the start of one of these
 CLOSED_BY = {"p": BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"},

@@ -18,11 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import CHUNK, batches, chunks, joined, widened
+from .store import CHUNK, batches, joined, widened
 
 # Size of a language's trigram table; the model holds BUCKETS numbers a language.
 BUCKETS = 1 << 15
@@ -55,20 +54,22 @@ def _trigrams(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log probabilities (BUCKETS x languages), from all rows
     of ``text, lang``. Each task sends one count per trigram and language it has seen."""
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for frame in frames:
-            for lang, part in frame.groupby("lang"):
-                own = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for _, data in chunks(iter([part.assign(text=part["text"])])):
-                    texts = [_lowered(d.decode("utf-8")) for d in data]
-                    own += np.bincount(_trigrams(texts)[0], minlength=BUCKETS)
-        for lang, own in seen.items():
-            at = np.flatnonzero(own)
-            yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": own[at]})
+        for batch, data in batches(arrived):
+            texts: dict[str, list[bytes]] = {}
+            for lang, raw in zip(batch.column("lang").to_pylist(), data):
+                texts.setdefault(lang, []).append(_lowered(raw.decode("utf-8")))
+            for lang, own in texts.items():
+                table = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                table += np.bincount(_trigrams(own)[0], minlength=BUCKETS)
+        for lang, table in seen.items():
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)),
+                                              pa.array(table[at])], names=["lang", "bucket", "n"])
 
     counted = (labelled.filter("lang is not null and text is not null").select("lang", "text")
-               .mapInPandas(count, "lang string, bucket int, n bigint")
+               .mapInArrow(count, "lang string, bucket int, n bigint")
                .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
                .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("table")))
     tables = {}
