@@ -69,7 +69,7 @@ def texts(spark, pages):
 
 def test_article_without_its_surroundings(spark):
     body = ("<article><header><h1>Head &amp; line</h1></header><p>One\n two&nbsp;<b>three<p>four<br>five"
-            "<ul><li>a<li>b</ul><div class=ad>Buy</div><p class="notice">Note</p><pre>x  y</pre>&#169; &lt;tag&gt; 1 < 2</article>")
+            "<ul><li>a<li>b</ul><div class=ad>Buy</div><p class=notice>Note</p><pre>x  y</pre>&#169; &lt;tag&gt; 1 < 2</article>")
     got = texts(spark, [(k, f"http://h{k % 2}.example.com/{k}", PAGE.format(body=body.replace("four", f"four{k}"), comment=k))
                         for k in range(6)])
     assert got == {k: f"Head & line\nOne two three\nfour{k} five\na\nb\nx y\n© <tag> 1 < 2" for k in range(6)}
