@@ -13,8 +13,6 @@ from ..session import shared_folder
 # tokens in a group, and the share of groups that near copies have in common
 SHINGLE = 5
 SIMILAR = 0.8
-# bands of min-hash values, and values in a band
-BANDS, ROWS = 12, 4
 
 
 def rank_accounts(account: DataFrame, k: int) -> DataFrame:
@@ -114,47 +112,67 @@ def _groups(text: str) -> tuple[Column, Column]:
 
 def _hashed(text: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, groups`` of all texts that hold a token."""
-    if text_col == "groups":
-        return text
     words, groups = _groups(text_col)
     return (text.select(id_col, words.alias("_w")).filter(F.size("_w") > 0)
             .select(id_col, groups.alias("groups")))
 
 
-def copy_bands(text: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Min-hash bands of every text: ``id, band``. A signature value is the group
-    hash nearest to a fixed random number in its leading bits, all 64 bits of it. All
-    hashing stays in the row. Texts without a token have none."""
-    hashed = _hashed(text, id_col, text_col)
-    low = lambda j: F.array_min(F.transform("groups", lambda h: h.bitwiseXOR(F.xxhash64(F.lit(j)))))
-    sign = F.array(*[low(j) for j in range(bands * rows)])
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(
-        b, F.slice("_sign", b * rows + 1, rows)))
-    return hashed.select(id_col, sign.alias("_sign")).select(id_col, F.explode(keys).alias("band"))
+def rare_groups(hashed: DataFrame, id_col: str, threshold: float = SIMILAR) -> DataFrame:
+    """``id, _g``: of each text the rarest of its groups, as many as two texts of the
+    threshold's similarity cannot both have without sharing one of them (n - threshold * n
+    + 1 of n, in one order of all groups). Groups of a single text are counted, not returned."""
+    each = hashed.select(id_col, F.size("groups").alias("_size"), F.explode("groups").alias("_g"))
+    many = each.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    shared = (lookup(each, many, ["_g"], [id_col], "inner").groupBy(id_col)
+              .agg(F.max("_size").alias("_size"), F.array_sort(F.collect_list(F.struct("_n", "_g"))).alias("_shared")))
+    alone = F.col("_size") - F.size("_shared")
+    # a little less than the exact product: rounding may only lengthen the list
+    least = F.ceil(threshold * F.col("_size") - 1e-6)
+    taken = F.greatest(F.col("_size") - least + 1 - alone, F.lit(0)).cast("int")
+    return shared.select(id_col, F.explode(F.slice("_shared", 1, taken)["_g"]).alias("_g"))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``left, right`` whose sets (``_id, _set``) have the threshold's share in common."""
+    both = (pairs.join(sets.withColumnsRenamed({"_id": "left", "_set": "_a"}), "left")
+            .join(sets.withColumnsRenamed({"_id": "right", "_set": "_b"}), "right"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    return both.filter(common >= threshold * (F.size("_a") + F.size("_b") - common)).select("left", "right")
 
 
-def copy_links(text: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR,
-               bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Checked links ``left, right``: texts that share a band with the band's first text
-    and have at least the ``threshold`` of their three-token groups in common with it.
+def joining_links(rare: DataFrame, sets: DataFrame, id_col: str, threshold: float = SIMILAR) -> DataFrame:
+    """Checked links ``left, right`` that join whatever is joined by all links between texts
+    that share a rare group (``id, _g``). ``sets``: ``_id, _set`` of the texts.
 
-    Each text is compared with the first text of each of its bands, not with all of them,
-    so a band of n texts makes n - 1 comparisons; the first text is found by a map-side
-    minimum. A text that fails the check with the first of a band may still be linked
-    through another band.
+    1. Each text is compared with the first text of each of its rare groups, so the copies
+       of one text make one comparison each.
+    2. Texts of a rare group that are not joined yet are compared with each other, all of
+       them: whatever fails with the first text still meets every text it may be linked to.
     """
-    shared_folder(text.sparkSession)
-    hashed = _hashed(text, id_col, text_col).checkpoint()  # hashed once, read three times
-    banded = copy_bands(hashed, id_col, "groups", bands, rows)
-    first = (banded.groupBy("band").agg(F.min(id_col).alias("left"), F.count(F.lit(1)).alias("_n"))
-             .filter("_n > 1").select("band", "left"))
-    pairs = (banded.select(F.col(id_col).alias("right"), "band").join(first, "band")
+    first = (rare.groupBy("_g").agg(F.min(id_col).alias("left"), F.max(id_col).alias("_high"))
+             .filter("left < _high").select("_g", "left"))
+    pairs = (lookup(rare.withColumnRenamed(id_col, "right"), first, ["_g"], ["right"], "inner")
              .filter("left < right").select("left", "right").distinct())
-    sets = hashed.select(F.col(id_col).alias("_id"), F.col("groups").alias("_g"))
-    both = (pairs.join(sets.withColumnsRenamed({"_id": "left", "_g": "_a"}), "left")
-            .join(sets.withColumnsRenamed({"_id": "right", "_g": "_b"}), "right"))
-    common = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(common >= threshold * (F.size("_a") + F.size("_b") - common)).select("left", "right")
+    begun = _checked(pairs, sets, threshold).checkpoint()
+    ends = begun.select(F.explode(F.array("left", "right")).alias(id_col), F.xxhash64("left", "right").alias("_link"))
+    named = rare.join(components(ends, id_col, "_link", keep_single=False), id_col, "left").select(
+        "_g", id_col, F.coalesce("component", id_col).alias("_root"))
+    mixed = (named.groupBy("_g").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
+             .filter("_low < _high").select("_g"))
+    apart = lookup(named, mixed, ["_g"], [id_col], "inner").select("_g", id_col, "_root").checkpoint()
+    other = apart.select("_g", F.col(id_col).alias("_other"), F.col("_root").alias("_apart"))
+    rest = (apart.join(other, "_g").filter("_root < _apart")
+            .select(F.least(id_col, "_other").alias("left"), F.greatest(id_col, "_other").alias("right")).distinct())
+    return begun.unionByName(_checked(rest, sets, threshold))
+
+
+def copy_links(text: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR) -> DataFrame:
+    """Checked links ``left, right`` between texts that have at least the ``threshold`` of
+    their groups in common: enough of them to join whatever all such links join."""
+    shared_folder(text.sparkSession)
+    hashed = _hashed(text, id_col, text_col).checkpoint()  # hashed once, read several times
+    rare = rare_groups(hashed, id_col, threshold).checkpoint()
+    return joining_links(rare, hashed.select(F.col(id_col).alias("_id"), F.col("groups").alias("_set")), id_col, threshold)
 
 
 def copy_groups(text: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR) -> DataFrame:

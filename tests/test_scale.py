@@ -182,6 +182,32 @@ def test_copy_groups(spark, rows):
     assert got == [(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 3, 2), (4, 3, 2), (8, 8, 2), (9, 8, 2)]
 
 
+def test_copy_groups_of_a_template_family(spark, rows):
+    """Variants of one text, too far apart to be linked, and a near copy of each: all pairs
+    of the family are compared, the first text of a group decides nothing."""
+    rnd = random.Random(11)
+    base, texts = [f"b{i}" for i in range(300)], []
+    for _ in range(60):
+        own = list(base)
+        for at in rnd.sample(range(0, 300, 10), 8):
+            own[at] = f"v{rnd.randrange(10**9)}"
+        near = list(own)
+        near[155] = f"n{rnd.randrange(10**9)}"
+        texts += [own, near]
+    rnd.shuffle(texts)
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    want = [(k, r, root.count(r)) for k, r in enumerate(root) if root.count(r) > 1]
+    assert len(set(root)) > 20
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "id long, body string")
+    assert rows(entities.copy_groups(df, "id", "body")) == sorted(want, key=repr)
+
+
 def test_domains_and_entities(spark, rows):
     from riskboard.functions.text import domain_of
     hosts = ["shop.aurum.com", "mail.aurum.com", "aurum.com", "shop.borea.com", "a.b.cinna.com.cn", "localhost"]
