@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from conftest import SMALL
-from riskboard.llm import binary, bpe, decontaminate, langid, pretokens, quality, simhash, suffix
+from riskboard.llm import binary, bpe, copies, decontaminate, langid, pretokens, quality, simhash, suffix
 
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -109,6 +109,50 @@ def test_keep_one_keeps_columns_and_one_of_each_group(odd):
     assert ids.count(2) == 0 and ids.count(1) == 1 and ids.count(3) == 0 and len(ids) == len(set(ids))
 
 
+def plain_kept(data):
+    """Smallest id of each component over all pairs at 0.8 or more of their 5-word shingles."""
+    sets = []
+    for _, text in data:
+        own = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(own[i:i + 5]) for i in range(max(1, len(own) - 4))} if own else set())
+    left, out = set(range(len(data))), []
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            k = todo.pop()
+            group.append(data[k][0])
+            near = {j for j in left if 10 * len(sets[k] & sets[j]) >= 8 * len(sets[k] | sets[j])}
+            left -= near
+            todo.extend(near)
+        out.append(min((d for d in group if d is not None), default=None))
+    return sorted(out, key=repr)
+
+
+def test_copies_of_the_pipeline_equal_brute_force(spark, odd, monkeypatch):
+    import corpus_pipeline
+    rnd, texts = random.Random(12), []
+    base = words(20, 300, 4000).split()
+    for _ in range(25):  # a family too far apart, with a copy of each at 0.8 or more
+        own = list(base)
+        for at in rnd.sample(range(0, 300, 10), 8):
+            own[at] = f"v{rnd.randrange(10**9)}"
+        near = list(own)
+        for at in rnd.sample(range(5, 300, 10), rnd.choice([1, 4, 6])):
+            near[at] = f"n{rnd.randrange(10**9)}"
+        texts += [own, near]
+    rnd.shuffle(texts)
+    more = spark.createDataFrame([(100 + k, " ".join(t), "en", "f", 1) for k, t in enumerate(texts)], DDL)
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000).select(*more.columns)
+    docs = odd.select(*more.columns).unionByName(more).unionByName(table).cache()
+    want = plain_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+    for common in (copies.COMMON, 0):  # the order of the shingles decides nothing
+        monkeypatch.setattr(copies, "COMMON", common)
+        got = corpus_pipeline.near_copies(spark, docs, SMALL)
+        assert got.columns == docs.columns
+        assert sorted((r["doc_id"] for r in got.collect()), key=repr) == want
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), SMALL).count() == 0
+
+
 # --- repeated passages
 
 
