@@ -253,18 +253,30 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
     its children match in order, and most nodes match."""
     best: dict[tuple[int, int], int] = {}
 
-    def weight(x: int, y: int) -> int:
+    def ready(x: int, y: int) -> int | None:
+        """Nodes that match below a pair, or nothing while its children's are not known."""
         if a.label[x] != b.label[y]:
             return 0
-        kx, ky = a.kids[x], b.kids[y]
-        if not kx or not ky:
+        if not a.kids[x] or not b.kids[y]:
             return 1
         if a.shape[x] == b.shape[y]:
             return a.size[x]
-        key = (a.shape[x], b.shape[y])  # equal shapes match alike
-        if key not in best:
-            best[key] = 1 + table(kx, ky)[-1][-1]
-        return best[key]
+        return best.get((a.shape[x], b.shape[y]))  # equal shapes match alike
+
+    def weight(x: int, y: int) -> int:
+        if (w := ready(x, y)) is not None:
+            return w
+        stack = [(x, y)]  # no recursion: pages may be nested deeper than Python's stack
+        while stack:
+            m, n = stack[-1]
+            if ready(m, n) is None:
+                kx, ky = a.kids[m], b.kids[n]
+                if missing := [(i, j) for i in kx for j in ky if ready(i, j) is None]:
+                    stack.extend(missing)
+                    continue
+                best[a.shape[m], b.shape[n]] = 1 + table(kx, ky)[-1][-1]
+            stack.pop()
+        return best[a.shape[x], b.shape[y]]
 
     def table(kx: list[int], ky: list[int]) -> list[list[int]]:
         rows = [[0] * (len(ky) + 1)]
@@ -347,24 +359,39 @@ def _wrapper(bones: bytes, counts) -> tuple[int, bool, list[int]]:
     pages, same, text = np.zeros((3, len(depth)), np.int64)
     for row in counts if counts is not None else ():
         pages[row["node"]], same[row["node"]], text[row["node"]] = row["pages"], row["same"], row["text"]
-    path, paths = [], []
-    for d, own in zip(depth, label):
-        del path[d:]
-        path.append(own)
-        paths.append("/" + "/".join(path[1:]))
+    # paths of labels: number of the path around, label, depth, and text below
+    known: dict[tuple[int, str], int] = {}
+    ups, names, deep, own, chain = [-1], [""], [0], [], []
+    for d, tag in zip(depth, label):
+        del chain[d:]
+        here = 0
+        if chain:
+            here = known.setdefault((chain[-1], tag), len(ups))
+            if here == len(ups):
+                ups.append(chain[-1])
+                names.append(tag)
+                deep.append(d)
+        chain.append(here)
+        own.append(here)
     fixed = (pages >= PAGES) & (same >= SAME * pages) & (words != 0)
     text[fixed] = 0
-    under: dict[str, int] = {}
-    for own, size in zip(paths, text.tolist()):
-        steps = own.split("/")
-        for k in range(1, len(steps)):  # the nodes around a text, not the text's own node
-            part = "/".join(steps[:k])
-            under[part] = under.get(part, 0) + size
+    under = [0] * len(ups)
+    for here, size in zip(own, text.tolist()):
+        if here:  # the nodes around a text, not the text's own node
+            under[ups[here]] += size
+    for here in range(len(ups) - 1, 0, -1):
+        under[ups[here]] += under[here]
     whole = int(text.sum())
     content, main = "", False
     if whole:
-        content = max((p for p, s in under.items() if s >= COVER * whole), key=lambda p: p.count("/"))
-        steps = content.split("/")
+        at = max((k for k in range(len(ups)) if under[k] >= COVER * whole), key=lambda k: deep[k], default=0)
+        steps = []
+        while at:
+            steps.append(names[at])
+            at = ups[at]
+        steps.append("")
+        steps.reverse()
+        content = "/".join(steps)
         for k, step in enumerate(steps):
             if step.split(".")[0] in MAIN:
                 content, main = "/".join(steps[:k + 1]), True

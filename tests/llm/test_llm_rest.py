@@ -94,6 +94,14 @@ def test_odd_pages(spark):
     assert html.main_text(none).count() == 0
 
 
+def test_deep_pages_of_one_host(spark):
+    """Two different pages nested deeper than Python's stack, each of the other's host."""
+    deep = lambda n, text: "<div>" * n + f"<p>{text}</p><b>x</b>"
+    got = texts(spark, [(1, "http://a.b/", deep(1500, "one") + "<i>y</i>"), (2, "http://a.b/", deep(1500, "two")),
+                        (3, "http://a.b/", "<font>" * 900 + "three<b>z</b>")])
+    assert got == {1: "one\nxy", 2: "two\nx", 3: "threez"}
+
+
 def plain_match(a, b):
     """Size of the largest simple tree matching, by the textbook recursion."""
     def size(x, y):
