@@ -71,15 +71,16 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "words", "role", "hidden", "kids", "up", "text")
+    __slots__ = ("tag", "label", "kinds", "words", "role", "hidden", "kids", "up", "text", "volume")
 
     def __init__(self, tag: str, up, attrs: str = ""):
-        self.tag, self.up, self.kids, self.text = tag, up, [], []
-        self.label, self.words, self.role, self.hidden = tag, (), "", False
+        self.tag, self.up, self.kids, self.text, self.volume = tag, up, [], [], -1
+        self.label, self.kinds, self.words, self.role, self.hidden = tag, (), (), "", False
         if attrs and not attrs.isspace():
             found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
             kind = found.get("class", "")
             self.label = f"{tag}.{kind}" if kind else tag
+            self.kinds = kind.lower().split()
             self.words = _WORD.findall(f"{kind} {found.get('id', '')}".lower())
             self.role = found.get("role", "").lower()
             self.hidden = ("hidden" in found or found.get("aria-hidden") == "true"
@@ -140,14 +141,44 @@ def _holds_main(node: Node) -> bool:
     return False
 
 
+def _weigh(root: Node) -> None:
+    """Characters of text in and below each node, without parts that are never text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        node.volume = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        stack.extend(k for k in node.kids if isinstance(k, Node))
+    for node in reversed(order):
+        if node.up is not None and node.tag not in RAW and (node.tag not in DROPPED or node.tag == "form"):
+            node.up.volume += node.volume
+
+
+def _wraps_page(node: Node) -> bool:
+    """Whether a form stands around the page instead of in it: it holds the main part, or
+    more than half of the text."""
+    if _holds_main(node):
+        return True
+    root = node
+    while root.up is not None:
+        root = root.up
+    if root.volume < 0:
+        _weigh(root)
+    return 2 * node.volume > root.volume
+
+
 def _dropped(node: Node, inside: bool) -> bool:
-    """Whether the node is not part of the main text. ``inside``: it lies in an article."""
+    """Whether the node is not part of the main text. ``inside``: it lies in an article,
+    where ids and parts of class names are made from headings and say nothing."""
+    if node.tag == "form" and not node.hidden:
+        return not _wraps_page(node)
     if node.tag in RAW or node.tag in DROPPED or node.hidden:
         return True
     if node.tag in ("html", "body") or node.role == "main" or node.tag == "main":
         return False
     bad = node.role in DROPPED_ROLES or node.tag == "header" and not inside or any(
-        w in DROPPED_WORDS or not inside and w in OUTER_WORDS for w in node.words)
+        w in DROPPED_WORDS for w in (node.kinds if inside else node.words)) or not inside and any(
+        w in OUTER_WORDS for w in node.words)
     return bad and not _holds_main(node)
 
 

@@ -102,6 +102,18 @@ def test_deep_pages_of_one_host(spark):
     assert got == {1: "one\nxy", 2: "two\nx", 3: "threez"}
 
 
+def test_headings_and_forms_are_not_surroundings(spark):
+    """Ids made from headings inside an article, and a form around the whole page."""
+    body = ("<h2 id=related-work>Related work</h2><p>A{0}</p><section id=social-policy class=policy-comment><p>B{0}</p></section>"
+            "<div id=comment-on-the-ruling>C{0}</div><div class='box related'>More</div><form>Find<input></form>")
+    story = "<div class=story><p>{0} first {0}</p><p>{0} second part</p></div>"
+    pages = [(k, "http://a.b/", f"<body><form id=aspnet><article>{body.format(k)}</article></form></body>") for k in range(3)]
+    pages += [(k, "http://c.d/", f"<body><form><p>Menu</p>{story.format(f'text{k}')}</form></body>") for k in range(3, 9)]
+    got = texts(spark, pages)
+    assert got == {**{k: f"Related work\nA{k}\nB{k}\nC{k}" for k in range(3)},
+                   **{k: f"text{k} first text{k}\ntext{k} second part" for k in range(3, 9)}}
+
+
 def plain_match(a, b):
     """Size of the largest simple tree matching, by the textbook recursion."""
     def size(x, y):
