@@ -1,12 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-1. Each page becomes a tree. For each host the page with the smallest id is the pattern.
-   Every other different page of the host is aligned with it by simple tree matching (most
-   nodes matched in order, labels equal). A node of the pattern whose own text is the same
+1. Each page becomes a tree. Pages of a host whose containers have the same paths are one
+   layout; the pattern is a page of the layout's most frequent shape. Layouts of fewer than
+   ``PAGES`` different pages, and pages without text, go with the host's most frequent layout
+   that has text. Every different page is aligned with its pattern by simple tree matching
+   (most nodes matched in order, labels equal). A node of the pattern whose own text is the same
    in most aligned pages is template; where texts vary there is a content slot.
-2. The host's content node is the deepest one that covers ``COVER`` of the text in varying
+2. The layout's content node is the deepest one that covers ``COVER`` of the text in varying
    slots, or the outermost article or main part around it.
-3. A page's text is its blocks under the host's content node. Menus, headers, footers, side
+3. A page's text is its blocks under that content node. Menus, headers, footers, side
    bars, notices, adverts, forms, comments and code are left out by their tags, roles and
    class words. Pages the wrapper does not fit use their own article or main part, or else
    all blocks that are not template.
@@ -54,6 +56,8 @@ DROPPED_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor
 # these name parts of an article too, so they count only outside of one
 OUTER_WORDS = set("header banner widget side rail".split())
 MAIN = {"article", "main"}
+# the elements that make a page's layout
+CONTAINERS = set("html body center div section article main nav header footer aside form table".split())
 # an open element of the key is closed by the start of one of these
 CLOSED_BY = {"p": BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"},
              "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
@@ -259,6 +263,37 @@ def skeleton(root: Node) -> tuple[list[int], list[str], list[int], list[int]]:
     return depth, label, text, size
 
 
+def frame(root: Node) -> int:
+    """Hash of a page's layout: the different paths of its containers, outside of articles and
+    left-out parts. 0 for a page without text."""
+    paths, full, stack = set(), False, [(root, 0)]
+    while stack:
+        node, path = stack.pop()
+        full = full or any(isinstance(k, str) and not k.isspace() for k in node.kids)
+        if node.up is not None:
+            gone = _dropped(node, False)
+            if node.tag in CONTAINERS or gone:
+                path = _hash(f"{path}/{node.label}")
+                paths.add(path)
+            if gone:
+                continue
+            if node.tag in MAIN:
+                full = full or _holds_text(node)
+                continue
+        stack.extend((k, path) for k in node.kids if isinstance(k, Node))
+    return _hash(" ".join(map(str, sorted(paths)))) or 1 if full else 0
+
+
+def _holds_text(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if any(isinstance(k, str) and not k.isspace() for k in node.kids):
+            return True
+        stack.extend(k for k in node.kids if isinstance(k, Node))
+    return False
+
+
 class Tree:
     """A skeleton with children and, for equal shapes, equal ``shape`` numbers."""
 
@@ -358,15 +393,20 @@ def _unpack(raw: bytes) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
 
 
 def _skeletons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        bones = [_pack(skeleton(parse(page if isinstance(page, str) else ""))) for page in frame["html"]]
-        yield pd.DataFrame({"host": frame["host"].to_numpy(), "page_id": frame["page_id"].to_numpy(), "bones": bones})
+    for pages in frames:
+        rows = []
+        for page in pages["html"]:
+            root = parse(page if isinstance(page, str) else "")
+            bones = skeleton(root)
+            rows.append((frame(root), _hash("\n".join(f"{d}{own}" for d, own in zip(*bones[:2]))), _pack(bones)))
+        yield pd.DataFrame({"host": pages["host"].to_numpy(), "page_id": pages["page_id"].to_numpy(),
+                            "frame": [r[0] for r in rows], "shape": [r[1] for r in rows], "bones": [r[2] for r in rows]})
 
 
 def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each node of a pattern: pages aligned, pages of the same text, text seen."""
     for frame in frames:
-        for host, part in frame.groupby("host"):
+        for (host, layout), part in frame.groupby(["host", "layout"]):
             shapes: dict = {}
             depth, label, words, _ = _unpack(part["pattern"].iloc[0])
             pattern = Tree(depth, label, shapes)
@@ -380,7 +420,7 @@ def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     depth, label, words, _ = _unpack(part["pattern"].iloc[0])
                     pattern = Tree(depth, label, shapes)
             at = np.flatnonzero(n[:, 0])
-            yield pd.DataFrame({"host": host, "node": at, "pages": n[at, 0], "same": n[at, 1], "text": n[at, 2]})
+            yield pd.DataFrame({"host": host, "layout": layout, "node": at, "pages": n[at, 0], "same": n[at, 1], "text": n[at, 2]})
 
 
 def _wrapper(bones: bytes, counts) -> tuple[int, bool, list[int]]:
@@ -433,33 +473,47 @@ def _wrapper(bones: bytes, counts) -> tuple[int, bool, list[int]]:
 def _wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         made = [_wrapper(raw, counts) for raw, counts in zip(frame["pattern"], frame["counts"])]
-        yield pd.DataFrame({"host": frame["host"].to_numpy(), "content": [m[0] for m in made],
+        yield pd.DataFrame({"host": frame["host"].to_numpy(), "layout": frame["layout"].to_numpy(), "content": [m[0] for m in made],
                             "content_main": [m[1] for m in made], "fixed": [m[2] for m in made]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, content, content_main, fixed`` from ``host, page_id, html``, one row a host."""
+    """``host, frame, content, content_main, fixed`` from ``host, page_id, html``, one row for
+    each layout of a host."""
     # equal pages count once; patterns are a table of their own, so that the join below can
     # split a host that holds a large part of all pages
     kinds = saved(pages.select("host", "page_id", "html").mapInPandas(
-        _skeletons, "host string, page_id bigint, bones binary")
-        .groupBy("host", "bones").agg(F.min("page_id").alias("page_id")), "skeletons")
-    pattern = saved(kinds.groupBy("host").agg(F.min_by("bones", F.struct("page_id", "bones")).alias("pattern")), "patterns")
+        _skeletons, "host string, page_id bigint, frame bigint, shape bigint, bones binary")
+        .groupBy("host", "frame", "shape", "bones").agg(F.min("page_id").alias("page_id")), "skeletons")
+    # a layout of too few pages to learn from goes with the host's most frequent one
+    sizes = saved(kinds.groupBy("host", "frame").agg(F.count(F.lit(1)).alias("n")), "layouts")
+    most = sizes.groupBy("host").agg(F.max_by("frame", F.struct(F.col("frame") != 0, "n", "frame")).alias("most"))
+    uses = saved(sizes.join(most, "host").select("host", "frame", F.when(
+        (F.col("frame") != 0) & (F.col("n") >= PAGES), F.col("frame")).otherwise(F.col("most")).alias("layout")), "uses")
+    # the pattern has the most frequent shape of its layout
+    shapes = kinds.groupBy("host", F.col("frame").alias("layout"), "shape").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("page_id", "bones"), F.struct("page_id", "bones")).alias("page"))
+    pattern = saved(shapes.join(uses.select("host", "layout").distinct(), ["host", "layout"]).groupBy("host", "layout").agg(
+        F.min_by("page.bones", F.struct(-F.col("n"), "page")).alias("pattern")), "patterns")
     node = F.struct("node", "pages", "same", "text")
-    counts = (kinds.select("host", "bones").join(pattern, "host").mapInPandas(
-        _aligned, "host string, node int, pages bigint, same bigint, text bigint")
-        .groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "text")])
+    counts = (kinds.select("host", "frame", "bones").join(uses.join(pattern, ["host", "layout"]), ["host", "frame"])
+              .select("host", "layout", "bones", "pattern").mapInPandas(
+        _aligned, "host string, layout bigint, node int, pages bigint, same bigint, text bigint")
+        .groupBy("host", "layout", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "text")])
         # at most the nodes of one page
-        .groupBy("host").agg(F.collect_list(node).alias("counts")))
-    return saved(pattern.join(counts, "host", "left").mapInPandas(
-        _wrapped, "host string, content bigint, content_main boolean, fixed array<int>"), "wrappers")
+        .groupBy("host", "layout").agg(F.collect_list(node).alias("counts")))
+    made = pattern.join(counts, ["host", "layout"], "left").mapInPandas(
+        _wrapped, "host string, layout bigint, content bigint, content_main boolean, fixed array<int>")
+    return saved(uses.join(made, ["host", "layout"]).drop("layout"), "wrappers")
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for page in frame["html"]:
-            found = blocks(parse(page)) if isinstance(page, str) else []
+    for pages in frames:
+        rows, layouts = [], []
+        for page in pages["html"]:
+            root = parse(page if isinstance(page, str) else "")
+            found = blocks(root)
+            layouts.append(frame(root))
             volume: dict[int, int] = {}
             for _, main, text in found:
                 volume[main] = volume.get(main, 0) + len(text)
@@ -467,8 +521,8 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             chosen = max(volume, key=lambda m: (volume[m], -m)) if volume else -1
             rows.append([{"chain": [_hash(p) for p in chain], "main": main == chosen, "words": _hash(text, 4),
                           "text": text} for chain, main, text in found])
-        yield pd.DataFrame({"page_id": frame["page_id"].to_numpy(), "url": frame["url"].to_numpy(),
-                            "host": frame["host"].to_numpy(), "blocks": rows})
+        yield pd.DataFrame({"page_id": pages["page_id"].to_numpy(), "url": pages["url"].to_numpy(),
+                            "host": pages["host"].to_numpy(), "frame": layouts, "blocks": rows})
 
 
 def host(url: Column) -> Column:
@@ -479,9 +533,9 @@ def host(url: Column) -> Column:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``page_id, url, html``."""
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
-    cut = own.mapInPandas(_blocks, "page_id bigint, url string, host string, blocks array<struct<chain: array<bigint>, "
+    cut = own.mapInPandas(_blocks, "page_id bigint, url string, host string, frame bigint, blocks array<struct<chain: array<bigint>, "
                                    "main: boolean, words: int, text: string>>")
-    fitted = cut.join(wrappers(own), "host", "left")
+    fitted = cut.join(wrappers(own), ["host", "frame"], "left")
     under = F.filter("blocks", lambda b: F.array_contains(b["chain"], F.col("content")))
     inside = F.filter("blocks", lambda b: b["main"])
     other = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("fixed", b["words"]), F.lit(False)))

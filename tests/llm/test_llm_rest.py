@@ -114,6 +114,18 @@ def test_headings_and_forms_are_not_surroundings(spark):
                    **{k: f"text{k} first text{k}\ntext{k} second part" for k in range(3, 9)}}
 
 
+def test_wrapper_does_not_hang_on_one_page(spark):
+    """The smallest page of the host is null or an error page, and the host has two layouts."""
+    one = "<body><div><p>Company of record</p></div><div class=story><p>{0} first {0}</p><p>{0} second part</p></div></body>"
+    two = "<body><section><ul><li>Call us now</ul></section><section class=body><p>{0} other {0}</p><p>{0} end of it</p></section></body>"
+    pages = [(None, "http://a.b/0", None), (0, "http://a.b/0", ""), (1, "http://a.b/1", "<h1>404</h1>Not found")]
+    pages += [(k, f"http://a.b/{k}", (one if k % 3 else two).format(f"text{k}")) for k in range(2, 20)]
+    got = texts(spark, pages)
+    assert got == {None: "", 0: "", 1: "404\nNot found", **{
+        k: f"text{k} first text{k}\ntext{k} second part" if k % 3 else f"text{k} other text{k}\ntext{k} end of it"
+        for k in range(2, 20)}}
+
+
 def plain_match(a, b):
     """Size of the largest simple tree matching, by the textbook recursion."""
     def size(x, y):
