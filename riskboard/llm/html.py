@@ -11,7 +11,8 @@
 3. A page's text is its blocks under that content node. Menus, headers, footers, side
    bars, notices, adverts, forms, comments and code are left out by their tags, roles and
    class words. Pages the wrapper does not fit use their own article or main part, or else
-   all blocks that are not template.
+   all blocks that are not template. Inside an article, too, blocks are left out whose texts
+   most pages of the layout hold at the same path (``INSIDE`` pages at least).
 
 Pages are parsed where they are scanned. Only skeletons (labels and hashes) are shuffled to
 learn a wrapper, and only extracted blocks to apply it.
@@ -39,6 +40,8 @@ from .store import saved
 COVER = 0.7
 # aligned pages and share of them that make a text template
 PAGES, SAME = 3, 0.6
+# inside an article a text is template on so many pages at least: few pages may share a heading
+INSIDE = 5
 
 # Element names and class words, as used in markup.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -131,6 +134,11 @@ def _hash(text: str, size: int = 8) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest(), "little", signed=True)
 
 
+def _slot(path: str, words: int) -> int:
+    """Hash of a node's path and of its own text's hash."""
+    return _hash(f"{path}\0{words}")
+
+
 def _plain(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
@@ -187,15 +195,15 @@ def _dropped(node: Node, inside: bool) -> bool:
 
 
 class Block:
-    __slots__ = ("chain", "main", "inside", "parts")
+    __slots__ = ("chain", "main", "inside", "parts", "keys")
 
     def __init__(self, chain, main, inside):
-        self.chain, self.main, self.inside, self.parts = chain, main, inside, []
+        self.chain, self.main, self.inside, self.parts, self.keys = chain, main, inside, [], set()
 
 
-def blocks(root: Node) -> list[tuple[list[str], int, str]]:
+def blocks(root: Node) -> list[tuple[list[str], int, str, list[int]]]:
     """Text blocks in page order: paths of the nodes around, number of the article or main
-    part they lie in (0: none), and the text."""
+    part they lie in (0: none), the text, and for those in one the slots of its nodes."""
     out: list[Block] = []
     open_ = [Block([], 0, False)]
     mains = 0
@@ -211,6 +219,8 @@ def blocks(root: Node) -> list[tuple[list[str], int, str]]:
         node, path, chain, main = item
         if isinstance(node, str):
             open_[0].parts.append(node)
+            if path is not None and not node.isspace():
+                open_[0].keys.add(path)
             continue
         if node is None:
             fresh(chain, main)
@@ -238,9 +248,11 @@ def blocks(root: Node) -> list[tuple[list[str], int, str]]:
             fresh(outer if not any(isinstance(k, Node) and k.tag in BLOCKS for k in node.kids) else own, main)
             stack.append((None, path, outer, item[3]))
             chain = own
+        own = _plain(" ".join(k for k in node.kids if isinstance(k, str))) if main else ""
+        key = _slot(path, _hash(own, 4)) if own else None
         for kid in reversed(node.kids):
-            stack.append((kid, path, chain, main))
-    told = [(b.chain, b.main, _plain("".join(b.parts))) for b in out]
+            stack.append((kid, key if isinstance(kid, str) else path, chain, main))
+    told = [(b.chain, b.main, _plain("".join(b.parts)), sorted(b.keys)) for b in out]
     return [t for t in told if t[2]]
 
 
@@ -423,6 +435,29 @@ def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"host": host, "layout": layout, "node": at, "pages": n[at, 0], "same": n[at, 1], "text": n[at, 2]})
 
 
+def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The different slots inside articles and main parts, of each page."""
+    for pages in frames:
+        hosts, layouts, slots = [], [], []
+        for host, layout, raw in zip(pages["host"], pages["layout"], pages["bones"]):
+            depth, label, words, _ = _unpack(raw)
+            found, path, within = set(), [], 0  # depth of the main part around, 0 if there is none
+            for d, tag, own in zip(depth, label, words.tolist()):
+                del path[d:]
+                path.append(tag)
+                if d <= within:
+                    within = 0
+                if not within and d and tag.split(".")[0] in MAIN:
+                    within = d
+                if within and own:
+                    found.add(_slot("/" + "/".join(path[1:]), own))
+            hosts += [host] * len(found)
+            layouts += [layout] * len(found)
+            slots += found
+        yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "layout": np.array(layouts, np.int64),
+                            "slot": np.array(slots, np.int64)})
+
+
 def _wrapper(bones: bytes, counts) -> tuple[int, bool, list[int]]:
     """Content node (hash of its path, 0 if there is none), whether it is an article or
     main part, and template texts of one host."""
@@ -478,7 +513,7 @@ def _wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, frame, content, content_main, fixed`` from ``host, page_id, html``, one row for
+    """``host, frame, content, content_main, fixed, slots`` from ``host, page_id, html``, one row for
     each layout of a host."""
     # equal pages count once; patterns are a table of their own, so that the join below can
     # split a host that holds a large part of all pages
@@ -504,7 +539,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
         .groupBy("host", "layout").agg(F.collect_list(node).alias("counts")))
     made = pattern.join(counts, ["host", "layout"], "left").mapInPandas(
         _wrapped, "host string, layout bigint, content bigint, content_main boolean, fixed array<int>")
-    return saved(uses.join(made, ["host", "layout"]).drop("layout"), "wrappers")
+    # texts that most pages of a layout hold at the same place inside their article
+    inner = (kinds.select("host", "frame", "bones").join(uses, ["host", "frame"]).select("host", "layout", "bones")
+             .mapInPandas(_slots, "host string, layout bigint, slot bigint")
+             .groupBy("host", "layout", "slot").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= INSIDE))
+    whole = sizes.join(uses, ["host", "frame"]).filter("frame <> 0").groupBy("host", "layout").agg(F.sum("n").alias("n"))
+    slots = inner.join(whole, ["host", "layout"]).filter(F.col("pages") >= SAME * F.col("n")).groupBy("host", "layout").agg(
+        F.collect_list("slot").alias("slots"))
+    told = made.join(slots, ["host", "layout"], "left")
+    return saved(uses.join(told, ["host", "layout"]).drop("layout"), "wrappers")
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -515,12 +558,12 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = blocks(root)
             layouts.append(frame(root))
             volume: dict[int, int] = {}
-            for _, main, text in found:
+            for _, main, text, _ in found:
                 volume[main] = volume.get(main, 0) + len(text)
             volume.pop(0, None)
             chosen = max(volume, key=lambda m: (volume[m], -m)) if volume else -1
             rows.append([{"chain": [_hash(p) for p in chain], "main": main == chosen, "words": _hash(text, 4),
-                          "text": text} for chain, main, text in found])
+                          "text": text, "slots": slots} for chain, main, text, slots in found])
         yield pd.DataFrame({"page_id": pages["page_id"].to_numpy(), "url": pages["url"].to_numpy(),
                             "host": pages["host"].to_numpy(), "frame": layouts, "blocks": rows})
 
@@ -534,13 +577,20 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``page_id, url, html``."""
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
     cut = own.mapInPandas(_blocks, "page_id bigint, url string, host string, frame bigint, blocks array<struct<chain: array<bigint>, "
-                                   "main: boolean, words: int, text: string>>")
+                                   "main: boolean, words: int, text: string, slots: array<bigint>>>")
     fitted = cut.join(wrappers(own), ["host", "frame"], "left")
     under = F.filter("blocks", lambda b: F.array_contains(b["chain"], F.col("content")))
     inside = F.filter("blocks", lambda b: b["main"])
     other = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("fixed", b["words"]), F.lit(False)))
     varied = F.filter(under, lambda b: ~F.array_contains("fixed", b["words"]))
-    chosen = (F.when(F.col("content_main") & (F.size(under) > 0), under).when(F.size(inside) > 0, inside)
+    known = F.coalesce("slots", F.array().cast("array<bigint>"))
+
+    def own_text(part: Column) -> Column:
+        """Blocks in which not all is template; all of them if nothing else is left."""
+        left = F.filter(part, lambda b: (F.size(b["slots"]) == 0) | F.exists(
+            b["slots"], lambda k: ~F.array_contains(known, k)))
+        return F.when(F.size(left) > 0, left).otherwise(part)
+    chosen = (F.when(F.col("content_main") & (F.size(under) > 0), own_text(under)).when(F.size(inside) > 0, own_text(inside))
               .when(F.size(varied) > 0, varied).otherwise(other))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
     return fitted.select("page_id", "url", text.alias("text")).withColumn(

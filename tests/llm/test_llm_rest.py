@@ -126,6 +126,22 @@ def test_wrapper_does_not_hang_on_one_page(spark):
         for k in range(2, 20)}}
 
 
+def test_constant_notice_inside_articles(spark):
+    """A notice without a telling class, inside each article or in plain divisions: template.
+    The same words elsewhere in an article, and pages that hold nothing else, stay."""
+    notice = "<p>Sign up <b>for free</b> today</p>"
+    article = "<body><article><h1>Head {0}</h1>{1}{2}{1}</article></body>"
+    more = lambda k: "".join(f"<p>text{k} part{j}</p>" for j in range(1 + k % 4))
+    pages = [(k, "http://a.b/", article.format(k, notice, more(k))) for k in range(8)]
+    pages += [(8, "http://a.b/", "<body><article>" + notice + "</article></body>"),
+              (9, "http://a.b/", "<body><article><h2>Sign up</h2><p>text9</p></article></body>")]
+    pages += [(k, "http://c.d/", f"<body><div><p>Follow us</p></div><div class=s><p>{k} a {k}</p><p>{k} b</p></div></body>")
+              for k in range(10, 16)]
+    got = texts(spark, pages)
+    assert got == {**{k: "\n".join([f"Head {k}", *(f"text{k} part{j}" for j in range(1 + k % 4))]) for k in range(8)},
+                   8: "Sign up for free today", 9: "Sign up\ntext9", **{k: f"{k} a {k}\n{k} b" for k in range(10, 16)}}
+
+
 def plain_match(a, b):
     """Size of the largest simple tree matching, by the textbook recursion."""
     def size(x, y):
