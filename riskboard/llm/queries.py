@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, binary, bpe, chat, decontaminate, html, langid, quality, simhash, suffix
+from . import ann, binary, bpe, chat, decontaminate, fptree, html, langid, quality, simhash, suffix, whiten
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -89,3 +89,13 @@ def _binary(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_langid")
 def _langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(_read(spark, folder, "documents"))
+
+
+@_query("op11_whitening")
+def _whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.whitened(_read(spark, folder, "embeddings"))
+
+
+@_query("op13_ranked", fptree.SQL)
+def _ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return fptree.search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
