@@ -10,7 +10,8 @@ Items are the query set: they go to the tasks in blocks of about ``BLOCK``, what
 their number, and every document meets every block.
 
 Defined cases: null or wordless texts hold nothing; null or wordless items match nothing;
-items of fewer than ``WORDS`` words match only a document made of just these words;
+items of fewer than ``WORDS`` words are found without edits, as whole words, and
+``without_leaks`` drops for them only documents made of just these words;
 repeated items count once and items that share an id
 count by the nearest; repeated documents count each for itself; an empty table gives an
 empty result; other columns are carried along or not looked at.
@@ -85,42 +86,44 @@ class Matcher:
     """Items ready to be looked up in texts."""
 
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS):
-        self.items, self.whole = [], defaultdict(list)
+        self.items = []
         hits = defaultdict(list)
         for name, text in items:
             item = plain(text)
             if not item:
                 continue
-            if item.count(" ") - 1 < WORDS:
-                self.whole[item].append(name)
-                continue
-            k = budget(item, errors)
+            short = item.count(" ") - 1 < WORDS
+            k = 0 if short else budget(item, errors)
             masks = defaultdict(int)
             for at, char in enumerate(item):
                 masks[char] |= 1 << at
             for at, piece in pieces(item, k + 1):
                 hits[piece].append((len(self.items), at))
-            self.items.append((name, item, k, dict(masks)))
+            self.items.append((name, item, k, dict(masks), short))
         self.find = ahocorasick.Automaton()
         for piece, places in hits.items():
             self.find.add_word(piece, (len(piece), places))
         if hits:
             self.find.make_automaton()
 
-    def leaks(self, text) -> list[tuple[int, int]]:
-        """``item, edits`` for each item that a text holds within its budget."""
+    def leaks(self, text, short: bool = True) -> list[tuple[int, int]]:
+        """``item, edits`` for each item that a text holds within its budget; without
+        ``short`` items of a few words only if they are the whole text."""
         line = plain(text)
-        if not line:
+        if not line or not self.items:
             return []
-        out = dict.fromkeys(self.whole.get(line, ()), 0)
-        if not self.items:
-            return sorted(out.items())
+        out: dict[int, int] = {}
         lanes = defaultdict(set)  # where an item would have to start
         for end, (size, places) in self.find.iter(line):
             for item, at in places:
                 lanes[item].add(end - size + 1 - at)
         for item, starts in lanes.items():
-            name, want, k, masks = self.items[item]
+            name, want, k, masks, few = self.items[item]
+            if few and not short and line != want:
+                continue
+            if not k:  # the one piece is the item
+                out[name] = 0
+                continue
             best, low, high = k + 1, None, None
             for start in [*sorted(starts), None]:
                 if low is not None and (start is None or start - high > len(want)):
@@ -177,6 +180,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
         def work(arrived: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, errors)
             for batch, data in batches(arrived):
-                yield batch.filter(pa.array([not matcher.leaks(d.decode("utf-8")) for d in data], pa.bool_()))
+                yield batch.filter(pa.array([not matcher.leaks(d.decode("utf-8"), short=False) for d in data], pa.bool_()))
         docs = docs.mapInArrow(work, schema)
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import saved
+from .store import discard, saved
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -42,6 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := _mark(edges)) != before:
         before = now
-        edges = saved(_star(_star(edges, True), False), "links")
+        old, edges = edges, saved(_star(_star(edges, True), False), "links")
+        discard(old)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import CHUNK, batches, joined, widened
+from .store import batches, CHUNK, joined, numbered, widened
 
 # Size of a language's trigram table; the model holds BUCKETS numbers a language.
 BUCKETS = 1 << 15
@@ -181,5 +181,6 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose main language is known and has at least the share
     ``least`` of the text."""
     labelled = docs.filter(~fold(F.col("doc_id"))).select("text", "lang")
-    told = with_language(docs, labelled)
-    return told.filter((F.col("_lang") != "und") & (F.col("_share") >= least)).select(*docs.columns)
+    own = numbered(docs)
+    told = with_language(own, labelled).filter((F.col("_lang") != "und") & (F.col("_share") >= least))
+    return told.select(*own.columns).toDF(*docs.columns)

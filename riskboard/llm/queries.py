@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, binary, bpe, chat, decontaminate, fptree, html, langid, quality, simhash, suffix, whiten
+from . import ann, binary, bpe, chat, decontaminate, fptree, html, langid, quality, simhash, suffix, toxicity, whiten
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -96,6 +96,11 @@ def _whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten.whitened(_read(spark, folder, "embeddings"))
 
 
+@_query("op12_toxicity")
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 @_query("op13_ranked", fptree.SQL)
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
     return fptree.search(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))

@@ -25,7 +25,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove saved tables that nothing asks for any more: all that was made from them has
+    been saved itself. Tables that were not saved are left alone."""
+    for df in tables:
+        if path := getattr(df, "saved_in", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with their columns under numbers, but for ``doc_id`` and ``text``: no name of
+    theirs clashes with a column that an operator adds. ``toDF`` gives the names back."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
 
 
 def utf8(text) -> bytes:

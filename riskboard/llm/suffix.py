@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .store import batches, joined, saved
+from .store import batches, joined, numbered, saved
 
 LEAST = 200
 GRAM = 40
@@ -427,15 +427,16 @@ def removed(docs: DataFrame, group: int = GROUP) -> DataFrame:
 def without_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """The rows of ``docs`` with repeated bytes taken out of ``text``. A character that
     loses some of its bytes goes as a whole."""
-    keyed = _keyed(docs)
-    names = docs.columns
+    own = numbered(docs)
+    keyed = _keyed(own)
+    names = own.columns
 
     def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data in batches(arrived):
-            spans, own = batch.column("spans").to_pylist(), batch.column("text")
+            spans, texts = batch.column("spans").to_pylist(), batch.column("text")
             if any(spans):
-                own = pa.array([_cleaned(d, s)[0].decode("utf-8", "ignore") if s else t.as_py()
-                                for d, s, t in zip(data, spans, own)], pa.string())
-            yield pa.RecordBatch.from_arrays([own if n == "text" else batch.column(n) for n in names], names=names)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return keyed.join(repeats(keyed, group), "_k", "left").drop("_k").mapInArrow(work, kept)
+                texts = pa.array([_cleaned(d, s)[0].decode("utf-8", "ignore") if s else t.as_py()
+                                  for d, s, t in zip(data, spans, texts)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in names], names=names)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return keyed.join(repeats(keyed, group), "_k", "left").drop("_k").mapInArrow(work, kept).toDF(*docs.columns)
