@@ -111,6 +111,51 @@ def lookup(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str], ho
             .drop("_salt"))
 
 
+def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, since: str, values: list[str],
+          order: list[str] | None = None) -> DataFrame:
+    """Each row of ``left`` with the ``values`` of the last row of ``right`` that has the
+    same keys and whose ``since`` is not after the row's ``time``; nulls without one. Of
+    several right rows of one key and time the last by ``order`` counts.
+
+    Both sides are laid into one timeline per key, and each row takes the value before it.
+    The timeline of a frequent key is cut into slices of about equal numbers of rows; what
+    held at the end of a slice, one row each, is carried to the slices after it.
+    """
+    spark = left.sparkSession
+    known = right.filter(" and ".join(f"`{c}` is not null" for c in [*on, since]))
+    best = F.max_by(F.struct(*values), F.struct(*(order or values))).alias("_v")
+    told = known.groupBy(*on, F.col(since).alias("_t")).agg(best)
+    own = F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row")
+    whole = F.lit(True)
+    for c in [*on, time]:
+        whole = whole & F.col(c).isNotNull()
+    rows = left.filter(whole).select(*on, F.col(time).alias("_t"), own)
+    both = (rows.withColumn("_v", F.lit(None).cast(told.schema["_v"].dataType))
+            .unionByName(told.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))))
+    asked = F.col("_row").isNotNull()
+    hot = hot_keys(both, on)
+    place = F.lit(0)
+    if hot:
+        cuts = [k / max(hot.values()) for k in range(1, max(hot.values()))]
+        busy = F.xxhash64(*on).isin(list(hot))
+        kind = both.schema["_t"].dataType
+        at = both.filter(busy).agg(F.percentile_approx("_t", cuts, 10_000).cast("array<string>").alias("p")).first()["p"] or []
+        cut = F.array(*[F.lit(x).cast(kind) for x in at]).cast(f"array<{kind.simpleString()}>")
+        place = F.when(busy, F.size(F.filter(cut, lambda x: x <= F.col("_t")))).otherwise(0)
+    both = both.withColumn("_slice", place)
+    # at equal times what holds comes before what asks
+    line = Window.partitionBy(*on, "_slice").orderBy("_t", asked).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_v", F.last("_v", ignorenulls=True).over(line)).filter(asked)
+    if hot:
+        ends = both.filter(busy).groupBy(*on, "_slice").agg(F.max_by("_v", F.when(~asked, F.col("_t"))).alias("_end"))
+        earlier = Window.partitionBy(*on).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+        seen = seen.join(carried, [*on, "_slice"], "left").withColumn("_v", F.coalesce("_v", "_before"))
+    out = seen.select("_row", "_v").unionByName(
+        left.filter(~whole).select(own, F.lit(None).cast(told.schema["_v"].dataType).alias("_v")))
+    return out.select("_row.*", *[F.col(f"_v.`{c}`").alias(c) for c in values])
+
+
 def _bytes(df: DataFrame) -> float:
     """Spark's own estimate of a table's size; without statistics it errs upwards."""
     try:

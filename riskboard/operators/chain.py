@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scale import lookup
+from ..session import shared_folder
 
 
 def _cents(lineitem: DataFrame) -> Column:
@@ -49,3 +50,28 @@ def event_exposure(event: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
         "event_id", "company_id", F.coalesce("n_products", F.lit(0)).alias("n_products"),
         F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
         F.coalesce(F.col("_c") / 10000, F.lit(0.0)).alias("amount"))
+
+
+def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """Where chains of one to ``hops`` links lead from each start: ``start, node, hop,
+    n_paths, via``, one row for each start, node and number of links, with the number of
+    different chains and the smallest node before the last.
+
+    ``edges``: ``source, target``, repeated ones count once; ``starts``: ``start``. Each round
+    joins the rows of the last one to the links and folds chains that meet, so a node that
+    many chains pass is one row per start and goes on as one. Links of frequent nodes are
+    salted, and every round is cut off in the shared folder. Loops are followed as far as
+    ``hops`` allows; null ends link nothing.
+    """
+    shared_folder(edges.sparkSession)
+    links = edges.filter("source is not null and target is not null").select(F.col("source").alias("node"), "target").distinct().checkpoint()
+    first = starts.filter("start is not null").select("start").distinct()
+    front = first.select("start", F.col("start").alias("node"), F.lit(1).cast("bigint").alias("n_paths"))
+    found = None
+    for hop in range(1, hops + 1):
+        met = lookup(front.withColumnRenamed("node", "_from").withColumn("node", F.col("_from")), links, ["node"], ["start"], "inner")
+        front = (met.groupBy("start", F.col("target").alias("node"))
+                 .agg(F.sum("n_paths").alias("n_paths"), F.min("_from").alias("via")).withColumn("hop", F.lit(hop)).checkpoint())
+        found = front if found is None else found.unionByName(front)
+        front = front.select("start", "node", "n_paths")
+    return found.select("start", "node", "hop", "n_paths", "via")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.scale import lookup
-from ..functions.text import content_key, first_filled, is_blank, norm_name
+from ..functions.text import content_key, first_filled, is_blank
 
 
 def grade_evidence(evidence: DataFrame, source: DataFrame, content: str = "content") -> DataFrame:
@@ -114,11 +114,15 @@ def evidence_conflict(claim: DataFrame) -> DataFrame:
         F.when(s, "supporting").otherwise("opposing").alias("side"), "n_supporting", "n_opposing")
 
 
+# a character that stays when a text is made a key
+_TELLING = r"[^\s\p{Z}\p{P}\x{FEFF}]"
+
+
 def dedup_evidence(evidence: DataFrame, content: str = "content") -> DataFrame:
     """One row per distinct content: the first evidence, how often and from how many
     sources it was found. Evidence without letters or figures is a copy of nothing. Only
     the content's hash is shuffled, never the text."""
-    keyed = evidence.filter(norm_name(F.col(content)) != "").select(
+    keyed = evidence.filter(F.col(content).rlike(_TELLING)).select(
         "evidence_id", "source_id", "company_id", content_key(F.col(content)).alias("content_key"))
     per_source = keyed.groupBy("content_key", "source_id").agg(
         F.min(F.struct("evidence_id", "company_id")).alias("_first"), F.count(F.lit(1)).alias("_n"))

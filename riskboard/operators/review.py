@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.scale import latest_by, lookup
+from ..functions.scale import as_of, latest_by, lookup
 
 FIELDS = ["status", "reviewer", "decision", "note", "reviewed_at"]
 
@@ -54,6 +54,24 @@ def feedback_set(verdict: DataFrame, review_event: DataFrame) -> DataFrame:
         "event_id", "company_id", "verdict", "decision", "note")
 
 
+def feedback_as_of(history: DataFrame, review_event: DataFrame) -> DataFrame:
+    """Corrected and false-alarm reviews with the verdict as it stood when they were given.
+    ``history``: ``company_id, ts, event_id, risk, status``, one row for each time the
+    verdict was told anew. A review before the first one speaks about no verdict."""
+    told = valid_reviews(review_event).filter(F.col("decision").isin("修改", "标记误报"))
+    spoken = as_of(told, history.withColumnRenamed("event_id", "_told"), ["company_id"], "reviewed_at", "ts",
+                   ["risk"], ["_told"])
+    return spoken.select("event_id", "company_id", F.col("risk").alias("verdict"), "decision", "note")
+
+
+def reviewed_history(history: DataFrame, review_event: DataFrame) -> DataFrame:
+    """Each step of a verdict's history with the review that stood at its time, and the
+    state shown then."""
+    reviews = valid_reviews(review_event).select("company_id", "reviewed_at", F.col("event_id").alias("_review"), "decision")
+    return as_of(history, reviews, ["company_id"], "ts", "reviewed_at", ["decision"], ["_review"]).select(
+        "event_id", "company_id", "risk", "decision", display_state(F.col("risk"), F.col("decision")).alias("state"))
+
+
 def review_mix(latest: DataFrame, n_companies: Column) -> DataFrame:
     """Reviews by decision, and the share of all companies each covers."""
     mix = latest.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import is_degraded
+from ..functions.scale import lookup
+from ..session import shared_folder
 
-# Entries handled by one pass over the texts; more entries mean more passes in one plan.
-PASS = 500
+# Entries of a list that may stand in the plan itself; more of them make a table.
+LISTED = 500
+# A keyword is looked up by one of its runs of so many characters (a shorter one by itself).
+RUN = 4
+# Texts that tell which runs are rare, and bytes of a dictionary that every task may hold.
+SAMPLE = 2_000
+HELD = 64 << 20
 
 
 def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], text_col: str,
@@ -18,23 +23,66 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
     """Every (text, keyword) pair where the whole text holds the keyword, in any case.
 
     ``words`` is a list of (keyword, category) or a table ``keyword, category``; empty
-    keywords match nothing. Texts stay where they are: no join, no shuffle, each text is
-    looked through for the ``PASS`` entries of a pass. A dictionary of any length is cut
-    into passes that are unioned, so no array in the plan holds more than one pass.
+    keywords match nothing. A short list is looked up text by text. Of a table each keyword
+    is filed under its rarest run of ``RUN`` characters; a text's own runs are joined to
+    those, and ``contains`` decides. So a text is read once whatever the length of the
+    dictionary, and only compared with keywords it may hold. The dictionary goes to the
+    texts where its measured size allows; beyond that runs and texts meet by shuffles.
     """
-    if isinstance(words, DataFrame):
-        words = [(r["keyword"], r["category"]) for r in words.select("keyword", "category").distinct().toLocalIterator()]
-    pairs = sorted({(k.lower(), c) for k, c in words if k})
+    spark = text.sparkSession
     low = text.select(*keep, F.lower(text_col).alias("_low"))
-    parts = []
-    for at in range(0, max(1, len(pairs)), PASS):
-        own = pairs[at:at + PASS]
-        entries = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category")) for k, c in own])
-        if not own:
-            entries = entries.cast("array<struct<keyword: string, category: string>>")
-        hits = F.filter(entries, lambda e: F.contains(F.col("_low"), e["keyword"]))
-        parts.append(low.select(*keep, F.inline(hits)))
-    return reduce(DataFrame.unionByName, parts)
+    if not isinstance(words, DataFrame):
+        pairs = sorted({(k.lower(), c) for k, c in words if k})
+        if len(pairs) <= LISTED:
+            return _listed(low, pairs, keep)
+        words = spark.createDataFrame(pairs, "keyword string, category string")
+    entries = words.select(F.lower("keyword").alias("keyword"), "category").filter("keyword <> ''").distinct()
+    shared_folder(spark)
+    anchors = _anchors(entries, low).checkpoint()
+    told = anchors.agg(F.sum(F.octet_length("keyword") + F.octet_length(F.coalesce("category", F.lit(""))) + 64).alias("bytes"),
+                       F.collect_set(F.least(F.length("keyword"), F.lit(RUN))).alias("sizes")).first()
+    # every run of the lengths that keywords are filed under, as hashes
+    runs = [F.transform(_runs(F.col("_low"), k), lambda r: F.xxhash64(r)) for k in sorted(told["sizes"] or [])]
+    own = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<bigint>")
+    if (told["bytes"] or 0) <= HELD:
+        found = low.select(*keep, "_low", F.explode(own).alias("_run")).join(F.broadcast(anchors), "_run")
+    else:
+        found = _met(low, own, anchors)
+    return found.filter(F.contains("_low", F.col("keyword"))).select(*keep, "keyword", "category")
+
+
+def _listed(low: DataFrame, pairs: list[tuple[str, str]], keep: list[str]) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("category")) for k, c in pairs])
+    if not pairs:
+        entries = entries.cast("array<struct<keyword: string, category: string>>")
+    hits = F.filter(entries, lambda e: F.contains(F.col("_low"), e["keyword"]))
+    return low.select(*keep, F.inline(hits))
+
+
+def _runs(text: Column, size: int) -> Column:
+    """Every run of ``size`` characters, one beginning at each character."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _anchors(entries: DataFrame, low: DataFrame) -> DataFrame:
+    """The entries with ``_run``, the hash of the run that fewest texts of a sample hold."""
+    keyword = F.col("keyword")
+    runs = F.when(F.length(keyword) < RUN, F.array(keyword)).otherwise(_runs(keyword, RUN))
+    each = entries.select("keyword", F.explode(F.array_distinct(runs)).alias("_text")).distinct()
+    seen = (low.limit(SAMPLE).select(F.explode(F.array_distinct(_runs(F.col("_low"), RUN))).alias("_text"))
+            .groupBy("_text").agg(F.count(F.lit(1)).alias("_n")))
+    order = F.struct(F.coalesce("_n", F.lit(0)), F.xxhash64("_text", "keyword"), "_text")
+    best = each.join(seen, "_text", "left").groupBy("keyword").agg(F.xxhash64(F.min_by("_text", order)).alias("_run"))
+    return entries.join(best, "keyword")
+
+
+def _met(low: DataFrame, own: Column, anchors: DataFrame) -> DataFrame:
+    """Texts with the keywords whose anchors they hold, for any size of dictionary: only
+    hashes of runs meet the dictionary; of texts, equal ones once."""
+    named = low.filter("_low is not null").withColumn("_text", F.md5("_low"))
+    runs = named.select("_text", F.explode(own).alias("_run")).distinct()
+    met = lookup(runs, anchors, ["_run"], ["_text"], "inner").select("_text", "keyword", "category")
+    return named.join(met, "_text")
 
 
 def keyword_findings(hits: DataFrame) -> DataFrame:
@@ -60,10 +108,12 @@ def nested_keyword_text(findings: str):
     return F.array_join(F.filter(parts, lambda p: p != ""), "；")
 
 
-def company_words(hits: DataFrame) -> DataFrame:
-    """Distinct risk words per company, comma-joined; bounded by the dictionary."""
+def company_words(hits: DataFrame, **flags: Column) -> DataFrame:
+    """Distinct risk words per company, comma-joined; bounded by the dictionary. ``flags``
+    tell of each company whether any hit meets a condition, in the same pass."""
     return hits.groupBy("company_id").agg(
-        F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("risk_words"))
+        F.array_join(F.array_sort(F.collect_set("keyword")), ",").alias("risk_words"),
+        *[F.bool_or(c).alias(name) for name, c in flags.items()])
 
 
 def rule_verdict(company: DataFrame, carriers: DataFrame, pages: DataFrame, hits: DataFrame

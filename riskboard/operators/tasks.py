@@ -14,9 +14,16 @@ SCREENING = fixed.PHASES.index("KEYWORD")
 FINISHED = ["OK", "TERMINAL"]
 
 
+def settled(fields: list[str]) -> Column:
+    """Aggregate: the record that counts for a task. Nothing follows an end, so the first
+    TERMINAL one counts, whatever is told later; else the latest."""
+    value, order = F.struct(*fields), F.struct("ts", "event_id")
+    return F.coalesce(F.min_by(value, F.when(F.col("status") == "TERMINAL", order)), F.max_by(value, order))
+
+
 def task_state(task_event: DataFrame) -> DataFrame:
-    """Latest state of every task (company, phase, folder) with its number of tries."""
-    best = F.max_by(F.struct("status", "error_code", "event_id"), F.struct("ts", "event_id"))
+    """State of every task (company, phase, folder) with its number of tries."""
+    best = settled(["status", "error_code", "event_id"])
     tries = F.count_if(F.col("status").isin("FAILED", "RETRY_WAIT"))
     return (task_event.groupBy("company_id", "phase_idx", "task_dir")
             .agg(best.alias("_best"), tries.alias("attempts"))

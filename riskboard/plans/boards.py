@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import decode, label as label_of, label_dim
@@ -270,6 +270,23 @@ def exposure_chain(t: Tables) -> DataFrame:
     return chain.exposure_chain(tb.task_event(t), t.read("orders"), t.read("lineitem"), t.read("part"))
 
 
+@query("exposure_reach", """
+WITH RECURSIVE links AS MATERIALIZED (
+  SELECT DISTINCT 'company:' || o_custkey AS source, 'product:' || l_partkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION SELECT 'product:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem
+  UNION SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier
+  UNION SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
+walk AS (
+  SELECT start, target AS node, 1 AS hop, source AS via FROM (SELECT DISTINCT 'company:' || user_id AS start FROM events
+    WHERE event_type = 'error') JOIN links ON source = start
+  UNION ALL SELECT start, target, hop + 1, source FROM walk JOIN links ON source = node WHERE hop < 4)
+SELECT start, node, hop, count(*) AS n_paths, min(via) AS via FROM walk GROUP BY ALL""")
+def exposure_reach(t: Tables) -> DataFrame:
+    """Where companies with failed tasks lead within four links."""
+    failed = t.read("events").filter("event_type = 'error'").select(F.concat(F.lit("company:"), F.col("user_id").cast("string")).alias("start"))
+    return chain.reach(tb.supply_link(t), failed, 4)
+
+
 @query("event_exposure", rows_with("cp", """
 SELECT event_id, user_id AS company_id, coalesce(n, 0) AS n_products, coalesce(l, 0) AS n_lines,
   coalesce(c / 10000.0::DOUBLE, 0.0) AS amount FROM events LEFT JOIN (SELECT company_id, count(*) AS n,
@@ -322,11 +339,11 @@ _FACTS = """facts AS (
     FROM (SELECT DISTINCT company_id, keyword FROM hits) GROUP BY 1) w ON w.company_id = c.company_id)"""
 
 
-def facts(t: Tables) -> DataFrame:
+def facts(t: Tables, **flags: Column) -> DataFrame:
     candidates = tb.page_host(t).select("company_id", "domain").distinct()
     return bd.company_facts(
         tb.company(t).select("company_id", "name", "risk", "analysis_mode"), tb.carrier(t), candidates,
-        tb.page_host(t), tb.account(t), screening.company_words(hits(t)))
+        tb.page_host(t), tb.account(t), screening.company_words(hits(t), **flags))
 
 
 @query("company_rows", rows_with(BOARD + " page carrier account evidence hits", """,
@@ -342,11 +359,10 @@ def company_rows(t: Tables) -> DataFrame:
     active domains, accounts, risk, buyback, words, mode and time of the run."""
     domains = tb.page_host(t).filter("domain <> ''").groupBy("company_id").agg(
         F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("active_domains"))
-    promise = hits(t).filter("category = 'promise'").select("company_id").distinct().withColumn("_promise", F.lit(True))
     last = t.read("events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("t"))
-    return (facts(t).join(board(t).select("company_id", "status"), "company_id")
-            .join(domains, "company_id", "left").join(promise, "company_id", "left")
-            .withColumn("buyback", F.coalesce("_promise", F.when(F.col("risk").isNotNull(), F.lit(False))))
+    return (facts(t, _promise=F.col("category") == "promise").join(board(t).select("company_id", "status"), "company_id")
+            .join(domains, "company_id", "left")
+            .withColumn("buyback", F.coalesce(F.nullif("_promise", F.lit(False)), F.when(F.col("risk").isNotNull(), F.lit(False))))
             .withColumn("run_time", last.scalar()).drop("_promise"))
 
 

@@ -13,7 +13,7 @@ from ..sources import tables as tb
 from ..sources.tables import Tables
 from .boards import BOARD, board, hits
 from .registry import query
-from .sql import WATCHED, rows_with
+from .sql import owner, rows_with
 
 GRADED = "source evidence graded"
 VERDICT = BOARD + " evidence hits page carrier verdict"
@@ -132,6 +132,21 @@ def keyword_screen(t: Tables) -> DataFrame:
     return hits(t)
 
 
+@query("dictionary_screen", rows_with("evidence", r"""
+SELECT company_id, evidence_id, d.keyword, category FROM evidence JOIN dictionary d ON contains(lower(content), d.keyword)""", rf"""dictionary AS (
+  SELECT DISTINCT lower(keyword) AS keyword, category FROM (
+    SELECT unnest([array_to_string(w[i:i + 2], ' ') for i in range(1, greatest(len(w) - 2, 1) + 1)]) AS keyword, 'phrase' AS category
+      FROM (SELECT regexp_split_to_array(lower(text), '[ 	
+]+') AS w FROM benchmark)
+    UNION ALL SELECT p_name, 'product' FROM part UNION ALL SELECT c_name, 'company' FROM customer
+    UNION ALL SELECT lang, 'language' FROM documents
+    UNION ALL SELECT * FROM (VALUES {', '.join(f"('{k}', '{c}')" for k, c in tb.STAND_IN_DICTIONARY)}) AS v(keyword, category))
+  WHERE keyword <> '')"""))
+def dictionary_screen(t: Tables) -> DataFrame:
+    return screening.screen_keywords(tb.evidence_text(t).select("company_id", "evidence_id", "content"), tb.dictionary(t), "content",
+                                     ["company_id", "evidence_id"])
+
+
 @query("keyword_findings", rows_with("evidence hits", """
 SELECT company_id, location, string_agg(keyword, '、' ORDER BY keyword) AS keywords
 FROM (SELECT DISTINCT company_id, location, keyword FROM hits) GROUP BY 1, 2"""))
@@ -178,7 +193,7 @@ def scenario_listing(t: Tables) -> DataFrame:
 
 
 _RECALL = f"""(SELECT count(*) FILTER (WHERE company_id IN (SELECT company_id FROM verdict WHERE risk)) AS tp, count(*) AS n
-  FROM (SELECT DISTINCT doc_id % {WATCHED} AS company_id FROM labels WHERE toxic = 1))"""
+  FROM (SELECT DISTINCT {owner('doc_id')} AS company_id FROM labels WHERE toxic = 1))"""
 
 
 def recall_row(t: Tables) -> DataFrame:

@@ -15,7 +15,7 @@ from ..sources.tables import Tables
 from .boards import BOARD, board
 from .evidence import VERDICT, verdict
 from .registry import query
-from .sql import NORM, WATCHED, rows_with
+from .sql import NORM, owner, rows_with
 
 
 @query("carrier_lookup", rows_with("page carrier", f"""
@@ -113,7 +113,7 @@ def latest_review(t: Tables) -> DataFrame:
 
 
 @query("review_overlay", rows_with(VERDICT + " review latest", f""",
-old AS (SELECT doc_id % {WATCHED} AS company_id, max(quality) AS q FROM labels GROUP BY 1)
+old AS (SELECT {owner('doc_id')} AS company_id, max(quality) AS q FROM labels GROUP BY 1)
 SELECT o.company_id, coalesce(l.status, CASE WHEN q = 1 THEN '已复核' ELSE '待复核' END) AS status,
   coalesce(l.reviewer, 'base') AS reviewer, coalesce(l.decision, CASE WHEN q = 1 THEN '采纳' ELSE '' END) AS decision,
   coalesce(l.note, '') AS note, CASE coalesce(l.decision, '') WHEN '标记误报' THEN 'dismissed' WHEN '转人工' THEN 'escalated'
@@ -151,6 +151,22 @@ def feedback_set(t: Tables) -> DataFrame:
     return rv.feedback_set(verdict(t), tb.review_event(t))
 
 
+@query("feedback_as_of", rows_with("te history review", """
+SELECT r.event_id, r.company_id, h.risk AS verdict, decision, note FROM (SELECT * FROM review WHERE decision IN ('修改', '标记误报')) r
+ASOF LEFT JOIN history h ON h.company_id = r.company_id AND r.reviewed_at >= h.ts"""))
+def feedback_as_of(t: Tables) -> DataFrame:
+    return rv.feedback_as_of(tb.verdict_event(t), tb.review_event(t))
+
+
+@query("verdict_history", rows_with("te history review", """
+SELECT h.event_id, h.company_id, risk, decision, CASE WHEN decision = '标记误报' THEN 'dismissed' WHEN decision = '转人工' THEN 'escalated'
+  WHEN risk THEN 'risk' WHEN NOT risk THEN 'none' ELSE 'undecided' END AS state
+FROM history h ASOF LEFT JOIN (SELECT company_id, reviewed_at, decision FROM review) r
+ON h.company_id = r.company_id AND h.ts >= r.reviewed_at"""))
+def verdict_history(t: Tables) -> DataFrame:
+    return rv.reviewed_history(tb.verdict_event(t), tb.review_event(t))
+
+
 @query("review_mix", rows_with("review latest", """
 SELECT decision, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM customer) AS DOUBLE), 4) AS share
 FROM latest GROUP BY 1"""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed
 from ..functions.text import TWO_LABEL_SUFFIXES
-from ..sources.tables import STAND_IN_DICTIONARY
+from ..sources.tables import HOT_COMPANY, STAND_IN_DICTIONARY
 
 
 def texts(values) -> str:
@@ -21,6 +21,14 @@ def label(group: str, code: str) -> str:
 
 
 WATCHED = "(SELECT greatest(1, count(*)) FROM customer)"
+
+
+def owner(key: str) -> str:
+    """The company a row belongs to."""
+    return (f"(CASE WHEN {key} % 10 = 7 THEN {HOT_COMPANY} % {WATCHED} WHEN {key} % 2 = 0 "
+            f"THEN (({key} % {WATCHED}) * ({key} % {WATCHED})) % {WATCHED} ELSE {key} % ({WATCHED} // 20 + 1) END)")
+
+
 HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1))"
 SUFFIXES = "(" + "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES) + ")"
 DOMAIN = rf"""CASE WHEN regexp_matches(host, '(^|\.){SUFFIXES}$') THEN regexp_extract(host, '([^.]+\.)?{SUFFIXES}$')
@@ -41,8 +49,9 @@ CTE = {
       WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'signup' THEN 'RETRY_WAIT' END AS status
     FROM events))""",
     "task": """task AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, task_dir
-      ORDER BY ts DESC, event_id DESC) AS rn,
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, task_dir ORDER BY status = 'TERMINAL' DESC,
+      CASE WHEN status = 'TERMINAL' THEN -epoch_us(ts) ELSE epoch_us(ts) END DESC,
+      CASE WHEN status = 'TERMINAL' THEN -event_id ELSE event_id END DESC) AS rn,
     count(*) FILTER (WHERE status IN ('FAILED', 'RETRY_WAIT'))
       OVER (PARTITION BY company_id, task_dir) AS attempts FROM te) WHERE rn = 1)""",
     "stats": """done_phase AS (
@@ -81,7 +90,7 @@ stats AS (
       CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 + 1] AS type,
     'https://' || source || '.example.com/' AS url FROM documents)""",
     "evidence": f"""evidence AS (
-  SELECT doc_id % {WATCHED} AS company_id, doc_id AS evidence_id, source AS source_id,
+  SELECT {owner('doc_id')} AS company_id, doc_id AS evidence_id, source AS source_id,
     text AS content, lang AS scope, n_chars,
     'https://' || source || '.example.com/d/' || doc_id AS origin_url FROM documents)""",
     "graded": r"""graded AS (
@@ -91,8 +100,8 @@ stats AS (
   FROM evidence e LEFT JOIN source s ON e.source_id = s.source_id)""",
     "basis": f"""basis AS (
   SELECT DISTINCT company_id, inference_id, evidence_id FROM (
-    SELECT doc_id % {WATCHED} AS company_id, doc_id AS inference_id,
-      unnest([doc_id, doc_id + {WATCHED}, 3 * doc_id]) AS evidence_id FROM labels))""",
+    SELECT {owner('doc_id')} AS company_id, doc_id AS inference_id,
+      unnest([doc_id, doc_id + 10 * ({WATCHED} // 20 + 1), 3 * doc_id]) AS evidence_id FROM labels))""",
     "support": """support AS (
   SELECT b.company_id, b.inference_id, count(*) AS n_basis, count(grade) AS n_resolved,
     count(*) FILTER (WHERE grade = 'verified') AS n_verified,
@@ -100,7 +109,7 @@ stats AS (
   FROM basis b LEFT JOIN graded g ON b.evidence_id = g.evidence_id AND b.company_id = g.company_id GROUP BY ALL)""",
     "page": rf"""page AS (
   SELECT *, split_part(domain, '.', 1) AS site FROM (SELECT *, {DOMAIN} AS domain
-  FROM (SELECT page_id, page_id % {WATCHED} AS company_id, url, {HOST} AS host FROM pages)))""",
+  FROM (SELECT page_id, {owner('page_id')} AS company_id, url, {HOST} AS host FROM pages)))""",
     "carrier": """carrier AS (
   SELECT company_id, CASE WHEN host LIKE 'm.%' THEN 'mapp' ELSE 'web' END AS kind,
     host AS domain, min(page_id) AS pos, min(site) AS name FROM page WHERE host <> '' GROUP BY ALL)""",
@@ -115,6 +124,9 @@ stats AS (
       WHEN 'error' THEN '标记误报' WHEN 'signup' THEN '转人工' END AS decision,
     CASE WHEN event_type = 'click' THEN json_extract_string(props, '$.k') ELSE '' END AS note,
     ts AS reviewed_at FROM events WHERE event_type <> 'view')""",
+    "history": """history AS (
+  SELECT company_id, ts, event_id, CASE WHEN status = 'OK' THEN value >= 50 END AS risk
+  FROM te WHERE phase = 'RISK_ANALYSIS')""",
     "latest": """latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id
     ORDER BY reviewed_at DESC, event_id DESC) AS rn FROM review) WHERE rn = 1)""",
@@ -129,7 +141,7 @@ stats AS (
       (SELECT count(*) FROM page p WHERE p.company_id = b.company_id) AS np,
       (SELECT count(*) FROM hits h WHERE h.company_id = b.company_id) AS nh FROM board b) b)""",
     "file": f"""file AS (
-  SELECT doc_id % {WATCHED} AS company_id, CASE lang WHEN 'en' THEN '过程文本' WHEN 'fr' THEN '截图'
+  SELECT {owner('doc_id')} AS company_id, CASE lang WHEN 'en' THEN '过程文本' WHEN 'fr' THEN '截图'
       WHEN 'de' THEN 'final.json' WHEN 'es' THEN 'result.json' ELSE '其他' END AS kind,
     source || '/' || doc_id AS path, octet_length(encode(text)) AS bytes, sha256(text) AS sha256
   FROM documents)""",

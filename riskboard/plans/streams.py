@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import taken, work_folder
 from ..sources.tables import Tables
-from ..streaming import jobs, sinks, sources
+from ..streaming import jobs, machine, sinks, sources
 from .people import ROUTED, error_texts
 from .registry import query
 from .sql import rows_with
@@ -34,6 +34,57 @@ def stream_phase_machine(t: Tables) -> DataFrame:
     return taken(jobs.phase_machine(t.spark, out), out)
 
 
+@query("stream_live_board", rows_with("te review latest", """,
+last AS (SELECT company_id, status, phase FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM te) WHERE rn = 1)
+SELECT coalesce(l.company_id, r.company_id) AS company_id, l.status, phase, decision, reviewer
+FROM last l FULL OUTER JOIN latest r ON r.company_id = l.company_id"""))
+def stream_live_board(t: Tables) -> DataFrame:
+    out = work_folder(t.spark, "live-board")
+    events, reviews = sources.task_events(t.spark, t.folder), sources.review_events(t.spark, t.folder)
+    sinks.drain(jobs.live_board(events, reviews), out, mode="update")
+    return taken(sinks.current(t.spark, out, ["company_id"]), out)
+
+
+# hours a retry may wait, days an event may come late
+WAIT_HOURS, LATE_DAYS = 24, 3
+
+_STEP = " ".join(f"WHEN '{old}' THEN new IN ({', '.join(map(repr, to)) or 'NULL'})" for old, to in machine.ALLOWED.items())
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("stream_task_machine", _recursive(rows_with("te", f"""
+SELECT company_id, phase, task_dir, CASE WHEN over THEN 'FAILED' ELSE status END AS status,
+  CASE WHEN over THEN since + {WAIT_HOURS * 3600} * 1000000::BIGINT ELSE since END AS since, attempts, refused,
+  CASE WHEN over THEN expired + 1 ELSE expired END AS expired
+FROM (SELECT *, status = 'RETRY_WAIT' AND since + {WAIT_HOURS * 3600} * 1000000::BIGINT <=
+    (SELECT max(epoch_us(ts)) // 1000 * 1000 - {LATE_DAYS * 86400} * 1000000::BIGINT FROM events) AS over,
+  row_number() OVER (PARTITION BY company_id, task_dir ORDER BY rn DESC) AS back FROM fold) WHERE back = 1""", f"""e AS MATERIALIZED (
+  SELECT company_id, phase, task_dir, epoch_us(ts) AS us, status AS new,
+    row_number() OVER (PARTITION BY company_id, task_dir ORDER BY ts, event_id) AS rn FROM te)""", f"""fold AS (
+  SELECT company_id, phase, task_dir, rn, new AS status, us AS since, CAST(new IN ('FAILED', 'RETRY_WAIT') AS BIGINT) AS attempts,
+    0::BIGINT AS refused, 0::BIGINT AS expired FROM e WHERE rn = 1
+  UNION ALL
+  SELECT company_id, phase, task_dir, rn, CASE WHEN ok THEN new ELSE old END,
+    CASE WHEN ok AND new <> old THEN us WHEN over THEN since + {WAIT_HOURS * 3600} * 1000000::BIGINT ELSE since END,
+    attempts + CAST(ok AND new <> old AND new IN ('FAILED', 'RETRY_WAIT') AS BIGINT),
+    refused + CAST(NOT ok AS BIGINT), expired + CAST(over AS BIGINT)
+  FROM (SELECT *, new = old OR coalesce(CASE old {_STEP} END, false) AS ok FROM (
+    SELECT *, CASE WHEN over THEN 'FAILED' ELSE status END AS old FROM (
+      SELECT f.*, e.us, e.new, f.status = 'RETRY_WAIT' AND f.since + {WAIT_HOURS * 3600} * 1000000::BIGINT <= e.us AS over
+      FROM (SELECT company_id, phase, task_dir, rn + 1 AS rn, status, since, attempts, refused, expired FROM fold) f
+      JOIN e ON e.company_id = f.company_id AND e.task_dir = f.task_dir AND e.rn = f.rn))))""")))
+def stream_task_machine(t: Tables) -> DataFrame:
+    out, own = work_folder(t.spark, "machine"), machine.session(t.spark)
+    state = machine.task_machine(sources.task_events(own, t.folder), f"{LATE_DAYS} days", WAIT_HOURS * 3600)
+    sinks.drain(state, out, mode="update")
+    rows = taken(sinks.current(t.spark, out, machine.KEYS), out)
+    return machine.current_tasks(rows).withColumn("since", F.unix_micros("since"))
+
+
 def _reviews(t: Tables) -> str:
     feed = sources.once(sources.review_events(t.spark, t.folder), "event_id", "reviewed_at", LATENESS)
     return sinks.drain(feed, work_folder(t.spark, "reviews"), split=jobs.review_outputs())

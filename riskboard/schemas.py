@@ -13,7 +13,7 @@ _RISK = (
     f"executive_summary string, evidence array<{_EVIDENCE}>, "
     "inferences array<struct<text string, basis array<string>, confidence string>>, "
     f"uncertainties array<string>, change_conditions array<string>, human_review {_REVIEW}>")
-_COMPANY = (
+COMPANY = (
     "struct<name string, status string, current_phase string, "
     "icp struct<web array<struct<domain string, name string>>, mapp array<struct<name string>>, "
     "app array<struct<name string>>, kapp array<struct<name string>>>, "
@@ -23,11 +23,9 @@ _COMPANY = (
     "social struct<count int, accounts array<struct<platform string, name string, "
     f"decision string, official_status string>>>, risk {_RISK}>")
 
-SNAPSHOT = (
-    "meta struct<notice string, run_id string, generated_at string, data_scope string, "
-    "engine_version string>, "
-    "sources array<struct<id string, name string, type string, url string, observed_at string>>, "
-    f"companies array<{_COMPANY}>")
+META = "struct<notice string, run_id string, generated_at string, data_scope string, engine_version string>"
+SOURCE = "struct<id string, name string, type string, url string, observed_at string>"
+SNAPSHOT = f"meta {META}, sources array<{SOURCE}>, companies array<{COMPANY}>"
 
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "

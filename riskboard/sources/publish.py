@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -22,6 +26,25 @@ def publish_json(payload: DataFrame, folder: str, run_id: str, body: str = "payl
     payload.select(line.alias("value")).write.mode("overwrite").text(f"{folder}/run_id={run_id}")
 
 
+def write_documents(objects: DataFrame, folder: str, run_id: str, name: str = "companies") -> None:
+    """Write JSON objects (``value``) as run documents ``{"meta": {..}, name: [..]}``, one
+    document for each task."""
+    head = json.dumps({"meta": {"run_id": run_id}})[:-1] + f', "{name}": ['
+
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        yield pd.DataFrame({"value": [head]})
+        for frame in frames:
+            if len(frame):
+                told = "," + frame["value"]
+                if first:
+                    told.iloc[0] = told.iloc[0][1:]
+                first = False
+                yield pd.DataFrame({"value": told})
+        yield pd.DataFrame({"value": ["]}"]})
+    objects.select("value").mapInPandas(lines, "value string").write.text(folder)
+
+
 def read_published(spark, folder: str, name: str, run_id: str | None = None) -> DataFrame:
     """A published table; naming the run prunes the other partitions."""
     df = spark.read.parquet(f"{folder}/{name}")

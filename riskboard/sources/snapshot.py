@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import CARRIER_KINDS, LOCAL_ZONE
-from ..schemas import SNAPSHOT
+from ..functions.scale import lookup
+from ..schemas import COMPANY, META, SNAPSHOT, SOURCE
+from ..session import shared_folder
+from .longjson import elements
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -18,10 +21,28 @@ def _instant(c: str) -> Column:
 
 
 def normalise(snapshot: DataFrame) -> dict[str, DataFrame]:
-    """The fifteen long tables. A company's id is its name's hash, so it needs no
-    numbering pass and is the same in every run."""
-    c = snapshot.select("meta.run_id", F.explode("companies").alias("c")).select(
-        "run_id", F.xxhash64("c.name").alias("company_id"), "c.*")
+    """The fifteen long tables of documents read as one row each."""
+    return _tables(snapshot.select("meta.run_id", F.explode("companies").alias("c")),
+                   snapshot.select("meta.run_id", F.explode("sources").alias("s")))
+
+
+def normalise_long(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The fifteen long tables of documents that may be larger than a task should hold:
+    each is read by as many tasks as it has splits, element by element."""
+    shared_folder(spark)
+    found = elements(spark, path).checkpoint()
+    run = found.filter("name = 'meta'").groupBy("path").agg(F.min(F.from_json("value", META)["run_id"]).alias("run_id"))
+
+    def part(name: str, schema: str, alias: str) -> DataFrame:
+        rows = found.filter(F.col("name") == name).select("path", "seq", F.from_json("value", schema).alias(alias))
+        return lookup(rows, run, ["path"], ["seq"]).select("run_id", alias)
+    return _tables(part("companies", COMPANY, "c"), part("sources", SOURCE, "s"))
+
+
+def _tables(companies: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """A company's id is its name's hash, so it needs no numbering pass and is the same in
+    every run."""
+    c = companies.select("run_id", F.xxhash64("c.name").alias("company_id"), "c.*")
     key = ["run_id", "company_id"]
 
     def unnest(path: str) -> DataFrame:
@@ -40,7 +61,7 @@ def normalise(snapshot: DataFrame) -> dict[str, DataFrame]:
             F.col("risk.overall_risk_found").alias("risk"),
             F.col("risk.gold_buyback.present").alias("buyback"),
             F.col("risk.executive_summary").alias("summary")),
-        "source": snapshot.select("meta.run_id", F.explode("sources").alias("s")).select(
+        "source": sources.select(
             "run_id", F.col("s.id").alias("source_id"), "s.name", "s.type", "s.url",
             _instant("s.observed_at").alias("observed_at")),
         "carrier": c.select(*key, F.inline(carriers)),

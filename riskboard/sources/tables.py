@@ -21,6 +21,8 @@ STATUS_OF_EVENT = {
 }
 # users with a number divisible by this have run to the end: failures became terminal
 ENDED = 3
+# the company that owns a tenth of all documents, pages and labels; its run has ended
+HOT_COMPANY = 6
 # event type of the benchmark → review decision (views are no review)
 DECISION_OF_EVENT = {
     "purchase": "采纳", "click": "修改", "error": "标记误报", "signup": "转人工",
@@ -37,6 +39,16 @@ STAND_IN_WORDING = {
     "price_forecast": ["clown"],
 }
 
+# fixed values: public-suffix rules that show each kind of rule
+SUFFIX_RULES = [
+    "com", "net", "org", "io", "sg", "com.sg", "id", "co.id", "br", "com.br", "github.io", "jp", "kyoto.jp", "*.kobe.jp",
+    "!city.kobe.jp", "*.ck", "!www.ck", "xn--55qx5d.cn", "cn", "com.cn", "example.com", "example.org", "example.net",
+]
+# hosts that companies are given beside the crawled ones, by their number
+HOST_ENDS = [
+    "com.sg", "co.id", "github.io", "kyoto.jp", "a.kobe.jp", "city.kobe.jp", "b.ck", "www.ck", "xn--55qx5d.cn", "com.br", "unlisted",
+]
+
 
 class Tables:
     """Lazy reader of one folder of benchmark tables; each table is opened once."""
@@ -60,9 +72,19 @@ class Tables:
         """How many companies there are. The count reads file footers only."""
         return max(1, self.read("customer").count())
 
+    @property
+    def busy(self) -> int:
+        """How many companies own the rows with odd numbers."""
+        return self.companies // 20 + 1
+
     def owner(self, key: str) -> Column:
-        """The company a row belongs to."""
-        return F.pmod(F.col(key), F.lit(self.companies))
+        """The company a row belongs to: a tenth of all rows belongs to one company, the
+        other odd numbers to a twentieth of the companies, the even ones to all that are
+        squares by the number of companies. So some companies own many rows, most few or none."""
+        d = F.col(key)
+        return (F.when(F.pmod(d, F.lit(10)) == 7, F.lit(HOT_COMPANY % self.companies).cast("bigint"))
+                .when(F.pmod(d, F.lit(2)) == 0, F.pmod(F.pmod(d, F.lit(self.companies)) * F.pmod(d, F.lit(self.companies)), F.lit(self.companies)))
+                .otherwise(F.pmod(d, F.lit(self.busy))))
 
 
 def company(t: Tables) -> DataFrame:
@@ -98,7 +120,7 @@ def shape_task_events(events: DataFrame) -> DataFrame:
         "event_id", "ts", F.col("user_id").alias("company_id"), idx.alias("phase_idx"),
         nth(fixed.PHASES, idx).alias("phase"), folder.alias("task_dir"), status.alias("status"),
         F.when(status.isin("FAILED", "RETRY_WAIT"), code).alias("error_code"),
-        F.sha2("props", 256).alias("input_sha"), k.alias("k"), "event_type")
+        F.sha2("props", 256).alias("input_sha"), k.alias("k"), "event_type", "value")
 
 
 def task_event(t: Tables) -> DataFrame:
@@ -157,12 +179,12 @@ def claim(t: Tables) -> DataFrame:
 
 
 def inference(t: Tables) -> DataFrame:
-    """Inferences with three basis ids each: the second may be the same company's, the
-    third is mostly another's; high ids point at no evidence."""
+    """Inferences with three basis ids each: the second is the same company's for odd ids,
+    the third is mostly another's; high ids point at no evidence."""
     d = F.col("doc_id")
     return t.read("labels").select(
         t.owner("doc_id").alias("company_id"), d.alias("inference_id"),
-        F.array(d, d + t.companies, d * 3).alias("basis"),
+        F.array(d, d + 10 * t.busy, d * 3).alias("basis"),
         F.when(F.col("quality") == 1, "中").otherwise("低").alias("confidence"))
 
 
@@ -241,3 +263,53 @@ def manifest(t: Tables) -> DataFrame:
     return ids.join(docs, "doc_id", "left").select(
         F.concat_ws("/", F.coalesce("source", F.lit("gone")), F.col("doc_id").cast("string"))
         .alias("path"), "bytes", "sha256")
+
+
+def dictionary(t: Tables) -> DataFrame:
+    """A long dictionary ``keyword, category``: names of companies and products, phrases of
+    three words, and the stand-in words."""
+    words = F.split(F.lower("text"), r"[ \t\n\f\r]+")
+    phrases = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
+    listed = t.spark.createDataFrame(STAND_IN_DICTIONARY, "keyword string, category string")
+    return (t.read("benchmark").select(F.explode(phrases).alias("keyword"), F.lit("phrase").alias("category"))
+            .unionByName(t.read("part").select(F.col("p_name").alias("keyword"), F.lit("product").alias("category")))
+            .unionByName(t.read("customer").select(F.col("c_name").alias("keyword"), F.lit("company").alias("category")))
+            .unionByName(t.read("documents").select(F.col("lang").alias("keyword"), F.lit("language").alias("category")).distinct())
+            .unionByName(listed).distinct())
+
+
+def verdict_event(t: Tables) -> DataFrame:
+    """How the verdict of a company changed: each step of its risk analysis tells anew,
+    without a verdict while the phase is not done."""
+    done = F.when(F.col("status") == "OK", F.col("value") >= 50)
+    return task_event(t).filter("phase = 'RISK_ANALYSIS'").select("company_id", "ts", "event_id", done.alias("risk"), "status")
+
+
+def suffix_rules(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+
+
+def named_host(t: Tables) -> DataFrame:
+    """Hosts of companies: those of their pages, and one under a suffix of each kind; every
+    twelfth company is known by an address only."""
+    key, kinds = F.col("c_custkey"), len(HOST_ENDS) + 1
+    at = F.pmod(key, F.lit(kinds)).cast("int")
+    site = F.concat(F.when(key % 2 == 0, "Shop.").otherwise(""), F.lit("c"), F.floor(key / 24).cast("string"))
+    given = F.when(at == kinds - 1, F.concat(F.lit("10.0."), F.pmod(F.floor(key / 256), F.lit(256)).cast("string"), F.lit("."),
+                                             F.pmod(key, F.lit(256)).cast("string"))).otherwise(F.concat(site, F.lit("."), nth(HOST_ENDS, at)))
+    return (t.read("customer").select(key.alias("company_id"), given.alias("host"))
+            .unionByName(page_host(t).filter("host <> ''").select("company_id", "host")))
+
+
+def supply_link(t: Tables) -> DataFrame:
+    """Links from companies to the products they ordered, to who supplied these, and on to
+    nations and regions: ``source, target``."""
+    def name(kind: str, key: str) -> Column:
+        return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    lines = t.read("lineitem")
+    bought = lines.join(t.read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        name("company", "o_custkey").alias("source"), name("product", "l_partkey").alias("target"))
+    links = [bought, lines.select(name("product", "l_partkey").alias("source"), name("supplier", "l_suppkey").alias("target")),
+             t.read("supplier").select(name("supplier", "s_suppkey").alias("source"), name("nation", "s_nationkey").alias("target")),
+             t.read("nation").select(name("nation", "n_nationkey").alias("source"), name("region", "n_regionkey").alias("target"))]
+    return links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3])

@@ -9,7 +9,7 @@ from ..functions.scale import latest_by
 from ..functions.text import nth
 from ..operators import review as rv
 from ..operators.alerts import log_lines, route_alerts
-from ..operators.tasks import open_phases
+from ..operators.tasks import open_phases, settled
 from .sinks import current
 from .sources import once
 
@@ -25,17 +25,34 @@ def live_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("company_id").agg(best.alias("_b")).select("company_id", "_b.*")
 
 
+def live_board(events: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row per company from both streams: its latest task event and its latest review
+    (update mode). The streams are laid together and folded by one
+    aggregate, so a company's row changes when either of them tells something newer; what
+    comes late or twice changes nothing, and the state is one row per company."""
+    told = rv.valid_reviews(reviews)
+    none = lambda kind: F.lit(None).cast(kind)
+    task = events.select("company_id", F.struct("ts", "event_id").alias("_at"), F.struct("status", "phase").alias("_task"))
+    review = told.select("company_id", F.struct(F.col("reviewed_at").alias("ts"), "event_id").alias("_at"),
+                         F.struct("decision", "reviewer").alias("_review"))
+    both = (task.withColumn("_review", none(review.schema["_review"].dataType))
+            .unionByName(review.withColumn("_task", none(task.schema["_task"].dataType))))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at")))
+    rows = both.groupBy("company_id").agg(last("_task").alias("_t"), last("_review").alias("_r"))
+    return rows.select("company_id", "_t.status", "_t.phase", "_r.decision", "_r.reviewer")
+
+
 def phase_progress(stream: DataFrame, within: str | None = None) -> DataFrame:
     """State of every task (company, phase, folder) with its number of tries (update mode).
 
-    A fixed-order machine whose steps only ever replace an older state needs no
-    per-company sequence: the latest state per phase is an aggregate, so a company
-    with a third of all events is folded on the map side. ``within`` drops
-    re-deliveries before tries are counted.
+    What the board shows of a task, its end or else its latest state, is an aggregate, so
+    a company with a third of all events is folded on the map side. ``within`` drops
+    re-deliveries before tries are counted. ``machine.task_machine`` keeps the order of
+    steps as well.
     """
     if within:
         stream = once(stream, "event_id", "ts", within)
-    best = F.max_by(F.struct("status", "event_id"), F.struct("ts", "event_id"))
+    best = settled(["status", "event_id"])
     tries = F.count_if(F.col("status").isin("FAILED", "RETRY_WAIT"))
     return (stream.groupBy("company_id", "phase_idx", "task_dir").agg(best.alias("_b"), tries.alias("attempts"))
             .select("company_id", "phase_idx", "task_dir", nth(fixed.PHASES, F.col("phase_idx")).alias("phase"),

@@ -1,5 +1,7 @@
 """Column helpers."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from riskboard.functions import labels, text
@@ -65,9 +67,34 @@ def test_mask(spark):
 
 def test_mask_leaves_no_personal_data(spark):
     for raw in ("138-0013-8000", "138 0013 8000", "13800138000", "010-12345678", "张三@例子.中国", "11010119900307123X",
-                "+86 138-0013-8000", "a" * 80 + "@x.com"):
+                "+86 138-0013-8000", "a" * 80 + "@x.com", "138.0013.8000", "(010)12345678", "(010) 1234-5678", "（010）12345678",
+                "021-1234 5678", "１３８００１３８０００", "a＠b.com", "2001:db8::1", "fe80::1:2:3", "2001:0db8:0:0:0:ff00:42:8329",
+                "13800138000x", "4111 1111 1111 1111", "4111-1111-1111-1111", "6222 0212 3456 7890 128", "11010519491231002X",
+                "110105 19491231 002X", "1101051949123100２Ｘ"):
         got = one(spark, privacy.mask(F.lit(f"<{raw}>")))
-        assert got in ("<[MAIL]>", "<[PHONE]>", "<[ID]>"), (raw, got)
+        assert got in ("<[MAIL]>", "<[PHONE]>", "<[ID]>", "<[ADDR]>"), (raw, got)
+
+
+def test_mask_leaves_ordinary_numbers(spark):
+    for raw in ("4111 1111 1111 1112", "1234 5678 9012", "in 2019 and 2020, 12 of 345", "12:30:45", "std::vector", "3.14159 2.71828", "v1.2.3", "1 000 000"):
+        assert one(spark, privacy.mask(F.lit(f"<{raw}>"))) == f"<{raw}>"
+
+
+def test_check_digits(spark):
+    rnd, cards, names = random.Random(4), [], []
+    for _ in range(60):
+        card = [rnd.randrange(10) for _ in range(rnd.randrange(12, 19))]
+        double = [sum(divmod(2 * d, 10)) if k % 2 == 0 else d for k, d in enumerate(reversed(card))]
+        good = "".join(map(str, card)) + str(-sum(double) % 10)
+        other = good[:-1] + str((int(good[-1]) + 1) % 10)
+        cards += [(good, True), (other, False)]
+        own = [rnd.randrange(10) for _ in range(17)]
+        last = "10X98765432"[sum(d * w for d, w in zip(own, (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2))) % 11]
+        name = "".join(map(str, own))
+        names += [(name + last, True), (name + ("1" if last != "1" else "2"), False)]
+    for rows, valid in ((cards, privacy.valid_card), (names, privacy.valid_identity)):
+        got = spark.createDataFrame(rows, "n string, want boolean").select("want", valid(F.col("n")).alias("got"))
+        assert got.filter("want <> got or got is null").count() == 0
 
 
 def test_links_in_all_forms(spark):
@@ -75,6 +102,11 @@ def test_links_in_all_forms(spark):
     df = spark.createDataFrame([(1, "http://h.example/", html)], "page_id long, url string, html string")
     assert [r["href"] for r in pages.page_links(df).collect()] == ["/a?x=1&y=2", "/b", "/c/d/"]
     assert one(spark, pages.decoded(F.lit("&#20445;&#x672C; &#x1F600;&#0;&#55296; &amp;"))) == "保本 \U0001f600&#0;&#55296; &"
+    more = "&eacute;&euro;&hellip; &#38;lt; &amp;lt; &apos; &nosuch; & &; &AMP; x&lt"
+    assert one(spark, pages.decoded(F.lit(more))) == "é€… &lt; &lt; ' &nosuch; & &; &AMP; x&lt"
+    html = "<!-- <a href=/no>n</a> --><map><area shape=rect href='/area'></map><a href=/x>y</a><!-- <a href=/un"
+    df = spark.createDataFrame([(1, "http://h.example/", html)], "page_id long, url string, html string")
+    assert [r["href"] for r in pages.page_links(df).collect()] == ["/area", "/x", "/un"]
 
 
 def test_missing_summary_is_an_empty_card(spark):
