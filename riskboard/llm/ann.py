@@ -14,15 +14,17 @@ Queries meet tiles in blocks; the vectors of both are packed, so Spark moves one
 tile and per block and tile. Each tile answers with its best ``k`` per query.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite components take
-no part, nor do rows without an id; vectors of another length than most are an error;
-repeated ids are separate candidates; a repeated query id asks once, with its smallest
+no part, nor do rows without an id and vectors of another length than the most frequent one
+(of equal counts the smallest); repeated ids are separate candidates; a repeated query id asks once, with its smallest
 vector, and never finds rows of its own id; ties go to the smaller id; an empty table
 gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -85,22 +87,45 @@ def codes(vectors: np.ndarray, rotation: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Rows of a tile by the values of their code substrings."""
-
-    def __init__(self, parts: np.ndarray):
-        self.parts = parts
-        self.tables = [np.unique(parts[:, p], return_inverse=True) for p in range(PARTS)]
+    """Rows of a tile by the values of their code substrings of ``width`` bits."""
+
+    def __init__(self, parts: np.ndarray, width: int):
+        self.parts, self.width = parts, width
+        self.tables = []
+        for p in range(PARTS):
+            order = np.argsort(parts[:, p], kind="stable")
+            value, first = np.unique(parts[order, p], return_index=True)
+            self.tables.append((value, np.append(first, len(parts)), order))
+
+    def probed(self, p: int, asked: int, reach: int) -> np.ndarray:
+        """Rows whose substring ``p`` differs from the query's in ``reach`` bits at most: by
+        flipping bits of the query's value where these are fewer than the values there are,
+        else by looking through the values."""
+        value, first, order = self.tables[p]
+        if sum(math.comb(self.width, k) for k in range(reach + 1)) < len(value):
+            flipped = asked ^ _masks(self.width, reach)
+            at = np.searchsorted(value, flipped)
+            at = at[(at < len(value)) & (value[np.minimum(at, len(value) - 1)] == flipped)]
+        else:
+            at = np.flatnonzero(np.bitwise_count(value ^ asked) <= reach)
+        size = first[at + 1] - first[at]
+        ends = np.cumsum(size)
+        return order[np.repeat(first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
     def within(self, asked: np.ndarray, radius: int) -> np.ndarray:
-        """Which rows have a code within the radius of each query's (query x row)."""
-        hit = np.zeros((len(asked), len(self.parts)), bool)
-        for p, (value, row) in enumerate(self.tables):
-            near = np.bitwise_count(asked[:, p, None] ^ value[None, :]) <= radius // PARTS
-            hit |= near[:, row]
-        q, r = np.nonzero(hit)  # retrieved: now the whole codes
-        far = np.bitwise_count(asked[q] ^ self.parts[r]).sum(axis=1)
-        hit[q, r] = far <= radius
-        return hit
+        """Rows, rising, whose code is within the radius of a query's."""
+        hit = np.zeros(len(self.parts), bool)
+        for p in range(PARTS):
+            hit[self.probed(p, int(asked[p]), radius // PARTS)] = True
+        rows = np.flatnonzero(hit)  # retrieved: now the whole codes
+        return rows[np.bitwise_count(asked ^ self.parts[rows]).sum(axis=1) <= radius]
+
+
+@cache
+def _masks(width: int, reach: int) -> np.ndarray:
+    """Numbers of ``width`` bits with ``reach`` bits set at most."""
+    every = np.arange(1 << width, dtype=np.int64)
+    return every[np.bitwise_count(every) <= reach]
 
 
 def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -111,28 +136,30 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def nearest(tile: np.ndarray, tile_ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray,
             tile_parts: np.ndarray, asked_parts: np.ndarray, radius: int, bits: int, k: int
             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, row number and score of the best ``k`` rows for each query."""
-    index = Index(tile_parts)
+    """Query number, row number and score of the best ``k`` rows for each query. Only the
+    floats of retrieved rows are multiplied."""
+    index = Index(tile_parts, -(-bits // PARTS))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    height = max(1, (1 << 20) // max(1, len(tile)))
-    for low in range(0, len(asked), height):
-        own, parts = asked[low:low + height], asked_parts[low:low + height]
-        other = asked_ids[low:low + height, None] != tile_ids[None, :]
-        hit = index.within(parts, radius) & other
-        want = np.minimum(k, other.sum(axis=1))
+    for q, own in enumerate(asked):
+        other = tile_ids != asked_ids[q]
+        want = min(k, int(other.sum()))
         reach = radius
-        while len(short := np.flatnonzero(hit.sum(axis=1) < want)) and reach < bits:
+        while True:
+            rows = index.within(asked_parts[q], reach)
+            rows = rows[other[rows]]
+            if len(rows) >= want or reach >= bits:
+                break
             reach += max(1, bits // 16)
-            hit[short] = index.within(parts[short], reach) & other[short]
-        score = np.where(hit, own @ tile.T, -np.inf)
-        some = min(k + SLACK, len(tile))
-        edge = -np.partition(-score, some - 1, axis=1)[:, some - 1]
-        for q in range(len(own)):
+        if not len(rows):
+            continue
+        score = tile[rows] @ own
+        if len(rows) > k + SLACK:
             # ties beyond the slack stay in, so that the smaller id wins
-            rows = np.flatnonzero(hit[q] & (score[q] >= edge[q] - 1e-9 * (1 + abs(edge[q]))))
-            true = exact(own[q], tile[rows])
-            best = np.lexsort((tile_ids[rows], -true))[:k]
-            out.append((np.full(len(best), low + q), rows[best], true[best]))
+            edge = -np.partition(-score, k + SLACK - 1)[k + SLACK - 1]
+            rows = rows[score >= edge - 1e-9 * (1 + abs(edge))]
+        true = exact(own, tile[rows])
+        best = np.lexsort((tile_ids[rows], -true))[:k]
+        out.append((np.full(len(best), q), rows[best], true[best]))
     return tuple(np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(3))
 
 
@@ -155,6 +182,11 @@ def search(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     vector = F.col("embedding").cast("array<double>")
     good = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), vector.alias("vector")).filter(
         F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    # of vectors of different lengths those of the most frequent one
+    size = good.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
+    if size is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    good = good.filter(F.size("vector") == size["size"])
     norm2 = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     stats = good.agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("top"), F.max(F.size("vector")).alias("size"),
                      F.sum((F.pmod("vec_id", F.lit(every)) == 0).cast("long")).alias("asked")).first()
