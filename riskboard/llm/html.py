@@ -45,11 +45,13 @@ INSIDE = 5
 
 # Element names and class words, as used in markup.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style textarea title iframe noscript template xmp noembed noframes svg math object".split())
+RAW = set("script style textarea title iframe noscript template xmp noembed noframes svg object".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
              "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
              "section select summary table tbody td tfoot th thead tr ul".split())
-DROPPED = set("head nav footer aside form button select input label menu dialog canvas audio video map fieldset".split())
+DROPPED = set("head nav footer aside form button select input dialog canvas audio video map fieldset".split())
+# a list by this name is a menu of the page, or a list of the article it stands in
+OUTER = {"menu"}
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                     "toolbar".split())
 DROPPED_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies "
@@ -75,19 +77,29 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_FIGURES = re.compile(r"[0-9]+")
+# what an implied end may close or stop at: other open elements are passed by
+_EDGES = BLOCKS | set(CLOSED_BY) | set().union(*SCOPES.values())
 
 
 class Node:
-    __slots__ = ("tag", "label", "kinds", "words", "role", "hidden", "kids", "up", "text", "volume")
+    """An element. ``label`` is its name with its classes, figures in them made equal, so that
+    a class made from a page's number is the same on all pages. ``edge`` is the nearest
+    element from here upwards that an implied end may close; ``main`` tells whether a main
+    part lies below, ``wraps`` whether a form stands around the page."""
+    __slots__ = ("tag", "label", "kinds", "words", "role", "hidden", "kids", "up", "edge", "main", "wraps", "volume")
 
     def __init__(self, tag: str, up, attrs: str = ""):
-        self.tag, self.up, self.kids, self.text, self.volume = tag, up, [], [], -1
+        self.tag, self.up, self.kids, self.volume = tag, up, [], 0
+        self.edge = self if up is None or tag in _EDGES else up.edge
         self.label, self.kinds, self.words, self.role, self.hidden = tag, (), (), "", False
+        self.main = self.wraps = False
         if attrs and not attrs.isspace():
             found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
             kind = found.get("class", "")
-            self.label = f"{tag}.{kind}" if kind else tag
             self.kinds = kind.lower().split()
+            if self.kinds:
+                self.label = f"{tag}.{' '.join(sorted({_FIGURES.sub('#', k) for k in self.kinds}))}"
             self.words = _WORD.findall(f"{kind} {found.get('id', '')}".lower())
             self.role = found.get("role", "").lower()
             self.hidden = ("hidden" in found or found.get("aria-hidden") == "true"
@@ -97,36 +109,55 @@ class Node:
 def parse(page: str) -> Node:
     """Tree of a page: ``kids`` holds nodes and texts in order."""
     root = here = Node("#", None)
+    forms: list[Node] = []
+    open_: dict[str, int] = {}
     at, size = 0, len(page)
+
+    def leave(to: Node) -> None:
+        nonlocal here
+        while here is not to:
+            open_[here.tag] -= 1
+            here = here.up
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
         close, tag = m[1], m[2]
         if tag:
             tag = tag.lower()
-            node = here
+            node = here.edge
             while node.up is not None:  # implied ends
                 if tag in CLOSED_BY.get(node.tag, ()):
-                    here = node.up
+                    leave(node.up)
                 elif node.tag in SCOPES.get(tag, ()) or node.tag in BLOCKS and node.tag not in CLOSED_BY:
                     break
-                node = node.up
+                node = node.up.edge
             new = Node(tag, here, m[3] or "")
             here.kids.append(new)
+            if tag == "form":
+                forms.append(new)
+            if tag in MAIN or new.role == "main":
+                node = here
+                while node is not None and not node.main:
+                    node.main, node = True, node.up
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 at = page.find(">", end.start()) + 1 or size if end else size
             elif tag not in VOID and not (m[3] or "").endswith("/") or tag in BLOCKS - VOID:
                 here = new
+                open_[tag] = open_.get(tag, 0) + 1
         elif close:
             close = close.lower()
-            node = here
-            while node.up is not None and node.tag != close:
-                node = node.up
-            if node.up is not None:
-                here = node.up
+            if open_.get(close):
+                node = here
+                while node.tag != close:
+                    node = node.up
+                leave(node.up)
         elif m[0][0] != "<" or m[0] == "<":
             here.kids.append(m[0])
+    if forms:
+        _weigh(root)
+        for form in forms:
+            form.wraps = form.main or 2 * form.volume > root.volume
     return root
 
 
@@ -134,7 +165,12 @@ def _hash(text: str, size: int = 8) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest(), "little", signed=True)
 
 
-def _slot(path: str, words: int) -> int:
+def _path(around: int, label: str) -> int:
+    """Hash of a path: of the path around, 0 at the top, and one label more."""
+    return _hash(f"{around}/{label}")
+
+
+def _slot(path: int, words: int) -> int:
     """Hash of a node's path and of its own text's hash."""
     return _hash(f"{path}\0{words}")
 
@@ -143,16 +179,6 @@ def _plain(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-def _holds_main(node: Node) -> bool:
-    stack = [k for k in node.kids if isinstance(k, Node)]
-    while stack:
-        kid = stack.pop()
-        if kid.tag in MAIN or kid.role == "main":
-            return True
-        stack.extend(k for k in kid.kids if isinstance(k, Node))
-    return False
-
-
 def _weigh(root: Node) -> None:
     """Characters of text in and below each node, without parts that are never text."""
     order, stack = [], [root]
@@ -166,94 +192,82 @@ def _weigh(root: Node) -> None:
             node.up.volume += node.volume
 
 
-def _wraps_page(node: Node) -> bool:
-    """Whether a form stands around the page instead of in it: it holds the main part, or
-    more than half of the text."""
-    if _holds_main(node):
-        return True
-    root = node
-    while root.up is not None:
-        root = root.up
-    if root.volume < 0:
-        _weigh(root)
-    return 2 * node.volume > root.volume
-
-
 def _dropped(node: Node, inside: bool) -> bool:
     """Whether the node is not part of the main text. ``inside``: it lies in an article,
     where ids and parts of class names are made from headings and say nothing."""
     if node.tag == "form" and not node.hidden:
-        return not _wraps_page(node)
-    if node.tag in RAW or node.tag in DROPPED or node.hidden:
+        # a form around the page holds the main part, or more than half of the text
+        return not node.wraps
+    if node.tag in RAW or node.tag in DROPPED or node.tag in OUTER and not inside or node.hidden:
         return True
     if node.tag in ("html", "body") or node.role == "main" or node.tag == "main":
         return False
     bad = node.role in DROPPED_ROLES or node.tag == "header" and not inside or any(
         w in DROPPED_WORDS for w in (node.kinds if inside else node.words)) or not inside and any(
         w in OUTER_WORDS for w in node.words)
-    return bad and not _holds_main(node)
+    return bad and not node.main
 
 
 class Block:
-    __slots__ = ("chain", "main", "inside", "parts", "keys")
+    __slots__ = ("main", "parts", "keys")
 
-    def __init__(self, chain, main, inside):
-        self.chain, self.main, self.inside, self.parts, self.keys = chain, main, inside, [], set()
+    def __init__(self, main):
+        self.main, self.parts, self.keys = main, [], set()
 
 
-def blocks(root: Node) -> list[tuple[list[str], int, str, list[int]]]:
-    """Text blocks in page order: paths of the nodes around, number of the article or main
-    part they lie in (0: none), the text, and for those in one the slots of its nodes."""
-    out: list[Block] = []
-    open_ = [Block([], 0, False)]
+def blocks(root: Node) -> tuple[list[tuple[int, str, list[int]]], list[tuple[int, int, int]]]:
+    """Text blocks in page order: number of the article or main part they lie in (0: none),
+    the text, and for those in one the slots of its nodes; and the nodes around blocks: hash
+    of the path, first block and the one after the last."""
+    out: list[Block] = [Block(0)]
+    around: list[list[int]] = []
     mains = 0
-
-    def fresh(chain, main):
-        open_[0] = Block(chain, main, main > 0)
-        out.append(open_[0])
-
-    # (node, path, chain, main) to enter, or a block boundary to set
-    stack: list = [(root, "", [], 0)]
+    # (node, path, main) to enter; a text; or the end of a block with its place in `around`
+    stack: list = [(root, 0, 0)]
     while stack:
-        item = stack.pop()
-        node, path, chain, main = item
+        node, path, main = stack.pop()
         if isinstance(node, str):
-            open_[0].parts.append(node)
+            out[-1].parts.append(node)
             if path is not None and not node.isspace():
-                open_[0].keys.add(path)
+                out[-1].keys.add(path)
             continue
         if node is None:
-            fresh(chain, main)
+            if path is not None:
+                around[path][2] = len(out)
+            out.append(Block(main))
             continue
+        own = path
+        inner = main
         if node.up is not None:
             if node.tag == "br":
-                open_[0].parts.append(" ")
+                out[-1].parts.append(" ")
                 continue
             if _dropped(node, main > 0):
                 if node.tag in BLOCKS:
-                    fresh(chain, main)
+                    out.append(Block(main))
                 else:
-                    open_[0].parts.append(" ")
+                    out[-1].parts.append(" ")
                 continue
             if (node.tag in MAIN or node.role == "main") and not main:
                 mains += 1
-                main = mains
-        outer = chain
-        if node.up is not None:
-            path = f"{path}/{node.label}"
-        is_block = node.up is None or node.tag in BLOCKS
-        if is_block:
-            own = [*chain, path] if node.up is not None else chain
-            # a block's chain names the nodes around it, not itself
-            fresh(outer if not any(isinstance(k, Node) and k.tag in BLOCKS for k in node.kids) else own, main)
-            stack.append((None, path, outer, item[3]))
-            chain = own
-        own = _plain(" ".join(k for k in node.kids if isinstance(k, str))) if main else ""
-        key = _slot(path, _hash(own, 4)) if own else None
+                inner = mains
+            own = _path(path, node.label)
+        if node.up is None or node.tag in BLOCKS:
+            place = None
+            # a block without others in it is not around itself
+            if node.up is not None and any(isinstance(k, Node) and k.tag in BLOCKS for k in node.kids):
+                place = len(around)
+                around.append([own, len(out), 0])
+            out.append(Block(inner))
+            stack.append((None, place, main))
+        text = _plain(" ".join(k for k in node.kids if isinstance(k, str))) if inner else ""
+        key = _slot(own, _hash(text, 4)) if text else None
         for kid in reversed(node.kids):
-            stack.append((kid, key if isinstance(kid, str) else path, chain, main))
-    told = [(b.chain, b.main, _plain("".join(b.parts)), sorted(b.keys)) for b in out]
-    return [t for t in told if t[2]]
+            stack.append((kid, key if isinstance(kid, str) else own, inner))
+    texts = [_plain("".join(b.parts)) for b in out]
+    left = np.append(0, np.cumsum([bool(t) for t in texts])).tolist()  # blocks with text before each
+    told = [(b.main, t, sorted(b.keys)) for b, t in zip(out, texts) if t]
+    return told, [(path, left[low], left[high]) for path, low, high in around if left[low] < left[high]]
 
 
 def skeleton(root: Node) -> tuple[list[int], list[str], list[int], list[int]]:
@@ -391,17 +405,18 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
 
 
 def _pack(bones: tuple) -> bytes:
-    """A skeleton in few bytes: equal skeletons have equal bytes."""
+    """A skeleton in few bytes: equal skeletons have equal bytes. Labels hold no line break:
+    their classes are cut at white space."""
     depth, label, text, size = bones
-    parts = [np.array(depth, "<u2").tobytes(), np.array(text, "<i4").tobytes(), np.array(size, "<u4").tobytes(),
+    parts = [np.array(depth, "<u4").tobytes(), np.array(text, "<i4").tobytes(), np.array(size, "<u4").tobytes(),
              "\n".join(label).encode("utf-8", "surrogatepass")]
     return len(depth).to_bytes(4, "little") + zlib.compress(b"".join(parts), 6)
 
 
 def _unpack(raw: bytes) -> tuple[list[int], list[str], np.ndarray, np.ndarray]:
     n, raw = int.from_bytes(raw[:4], "little"), zlib.decompress(raw[4:])
-    return (np.frombuffer(raw, "<u2", n).tolist(), raw[10 * n:].decode("utf-8", "surrogatepass").split("\n"),
-            np.frombuffer(raw, "<i4", n, 2 * n), np.frombuffer(raw, "<u4", n, 6 * n))
+    return (np.frombuffer(raw, "<u4", n).tolist(), raw[12 * n:].decode("utf-8", "surrogatepass").split("\n"),
+            np.frombuffer(raw, "<i4", n, 4 * n), np.frombuffer(raw, "<u4", n, 8 * n))
 
 
 def _skeletons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -444,13 +459,13 @@ def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found, path, within = set(), [], 0  # depth of the main part around, 0 if there is none
             for d, tag, own in zip(depth, label, words.tolist()):
                 del path[d:]
-                path.append(tag)
+                path.append(_path(path[-1], tag) if d else 0)
                 if d <= within:
                     within = 0
                 if not within and d and tag.split(".")[0] in MAIN:
                     within = d
                 if within and own:
-                    found.add(_slot("/" + "/".join(path[1:]), own))
+                    found.add(_slot(path[-1], own))
             hosts += [host] * len(found)
             layouts += [layout] * len(found)
             slots += found
@@ -488,21 +503,19 @@ def _wrapper(bones: bytes, counts) -> tuple[int, bool, list[int]]:
     for here in range(len(ups) - 1, 0, -1):
         under[ups[here]] += under[here]
     whole = int(text.sum())
-    content, main = "", False
+    content, main = 0, False
     if whole:
         at = max((k for k in range(len(ups)) if under[k] >= COVER * whole), key=lambda k: deep[k], default=0)
         steps = []
         while at:
             steps.append(names[at])
             at = ups[at]
-        steps.append("")
-        steps.reverse()
-        content = "/".join(steps)
-        for k, step in enumerate(steps):
+        for step in reversed(steps):
+            content = _path(content, step)
             if step.split(".")[0] in MAIN:
-                content, main = "/".join(steps[:k + 1]), True
+                main = True
                 break
-    return _hash(content) if content else 0, main, words[fixed].tolist()
+    return content, main, words[fixed].tolist()
 
 
 def _wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -555,17 +568,19 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, layouts = [], []
         for page in pages["html"]:
             root = parse(page if isinstance(page, str) else "")
-            found = blocks(root)
+            found, around = blocks(root)
             layouts.append(frame(root))
             volume: dict[int, int] = {}
-            for _, main, text, _ in found:
+            for main, text, _ in found:
                 volume[main] = volume.get(main, 0) + len(text)
             volume.pop(0, None)
             chosen = max(volume, key=lambda m: (volume[m], -m)) if volume else -1
-            rows.append([{"chain": [_hash(p) for p in chain], "main": main == chosen, "words": _hash(text, 4),
-                          "text": text, "slots": slots} for chain, main, text, slots in found])
+            rows.append(([{"at": k, "main": main == chosen, "words": _hash(text, 4), "text": text, "slots": slots}
+                          for k, (main, text, slots) in enumerate(found)],
+                         [{"path": path, "low": low, "high": high} for path, low, high in around]))
         yield pd.DataFrame({"page_id": pages["page_id"].to_numpy(), "url": pages["url"].to_numpy(),
-                            "host": pages["host"].to_numpy(), "frame": layouts, "blocks": rows})
+                            "host": pages["host"].to_numpy(), "frame": layouts, "blocks": [r[0] for r in rows],
+                            "around": [r[1] for r in rows]})
 
 
 def host(url: Column) -> Column:
@@ -576,10 +591,12 @@ def host(url: Column) -> Column:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``page_id, url, html``."""
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
-    cut = own.mapInPandas(_blocks, "page_id bigint, url string, host string, frame bigint, blocks array<struct<chain: array<bigint>, "
-                                   "main: boolean, words: int, text: string, slots: array<bigint>>>")
+    cut = own.mapInPandas(_blocks, "page_id bigint, url string, host string, frame bigint, blocks array<struct<at: int, "
+                                   "main: boolean, words: int, text: string, slots: array<bigint>>>, "
+                                   "around array<struct<path: bigint, low: int, high: int>>")
     fitted = cut.join(wrappers(own), ["host", "frame"], "left")
-    under = F.filter("blocks", lambda b: F.array_contains(b["chain"], F.col("content")))
+    nodes = F.filter("around", lambda n: n["path"] == F.col("content"))
+    under = F.filter("blocks", lambda b: F.exists(F.col("nodes"), lambda n: (n["low"] <= b["at"]) & (b["at"] < n["high"])))
     inside = F.filter("blocks", lambda b: b["main"])
     other = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("fixed", b["words"]), F.lit(False)))
     varied = F.filter(under, lambda b: ~F.array_contains("fixed", b["words"]))
@@ -593,5 +610,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     chosen = (F.when(F.col("content_main") & (F.size(under) > 0), own_text(under)).when(F.size(inside) > 0, own_text(inside))
               .when(F.size(varied) > 0, varied).otherwise(other))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
-    return fitted.select("page_id", "url", text.alias("text")).withColumn(
+    return fitted.withColumn("nodes", nodes).select("page_id", "url", text.alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("bigint"))

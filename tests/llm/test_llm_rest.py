@@ -1,5 +1,7 @@
 """Chats, pages, vectors, the registered queries and the pipeline."""
 
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -142,6 +144,42 @@ def test_constant_notice_inside_articles(spark):
                    8: "Sign up for free today", 9: "Sign up\ntext9", **{k: f"{k} a {k}\n{k} b" for k in range(10, 16)}}
 
 
+def test_deep_and_unclosed_pages_are_linear(spark):
+    begin = time.perf_counter()
+    for page in ("<div>" * 100_000 + "x", "<div>t" * 30_000, "<font>t" * 100_000, "<div class=menu>" * 30_000 + "t", "<p>" * 100_000,
+                 "<li>t" * 50_000, "<form>t" * 20_000, "<font>" * 50_000 + "</b>" * 50_000):
+        root = html.parse(page)
+        html.blocks(root)
+        html.frame(root)
+        bones = html.skeleton(root)
+        assert html._unpack(html._pack(bones))[0] == list(bones[0])
+    assert time.perf_counter() - begin < 60
+    deep = "<div>" * 70_000
+    assert texts(spark, [(1, "http://a.b/", deep + "one"), (2, "http://a.b/", deep + "<i>two</i>"), (3, "http://a.b/", "<p>three")]) == {
+        1: "one", 2: "two", 3: "three"}
+
+
+def test_classes_of_any_form(spark):
+    """Line breaks and numbers in classes: the same place on all pages of a host."""
+    page = ("<body><div class='top\n bar'><p>Company of record</p></div><div class='post-{0}\n\tstory page-{0}'>"
+            "<p>{0} first {0}</p><p>{0} second part</p></div></body>")
+    pages = [(k, "http://a.b/", page.format(k)) for k in range(12)]
+    assert texts(spark, pages) == {k: f"{k} first {k}\n{k} second part" for k in range(12)}
+    for attr in ("class='a\nb'", "class='b a'", "class='\x1fa \x85b'", "class=''", "class='\n'", "id='x\ny'", 'class="a/b#c.d"'):
+        bones = html.skeleton(html.parse(f"<div {attr}>t<b {attr}>u</b></div>"))
+        depth, label, words, size = html._unpack(html._pack(bones))
+        assert (depth, label, words.tolist(), size.tolist()) == tuple(map(list, bones))
+    one, two = (html.parse(f"<div class='{c}'>").kids[0].label for c in ("a\nb-12", "b-7  a"))
+    assert one == two
+
+
+def test_all_text_of_an_article_stays(spark):
+    body = ("<p>Area is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> units</p><menu><li>one</li><li>two</li></menu><label>Note</label> here"
+            "<svg><text>no</text></svg><form><label>no</label></form>")
+    got = texts(spark, [(1, "http://a.b/", f"<body><menu><li>Home</li></menu><article>{body}</article></body>")])
+    assert got == {1: "Area is x=2 units\none\ntwo\nNote here"}
+
+
 def plain_match(a, b):
     """Size of the largest simple tree matching, by the textbook recursion."""
     def size(x, y):
@@ -224,7 +262,15 @@ def test_index_retrieves_every_code_within_the_radius():
     asked = parts[:50] ^ (1 << rng.integers(0, 16, (50, ann.PARTS)))
     for radius in (0, 3, 9, 25, 64):
         want = np.bitwise_count(asked[:, None, :] ^ parts[None, :, :]).sum(axis=2) <= radius
-        assert (ann.Index(parts).within(asked, radius) == want).all()
+        index = ann.Index(parts, 16)
+        assert all(np.array_equal(index.within(own, radius), np.flatnonzero(w)) for own, w in zip(asked, want))
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(1)
+    data = [(k, rng.standard_normal(5).tolist()) for k in range(100)] + [(200, [1.0] * 4), (220, [1.0] * 6)]
+    got = ann.search(spark.createDataFrame(data, "vec_id bigint, embedding array<double>")).collect()
+    assert {r["query_id"] for r in got} == {0, 20, 40, 60, 80} and max(r["vec_id"] for r in got) < 100
 
 
 # --- queries and pipeline
