@@ -99,18 +99,39 @@ def coverage_gap(company: DataFrame, source: DataFrame, evidence: DataFrame) ->
                     F.array_join(F.array_except("_all.types", F.coalesce("_types", none)), ",").alias("missing_types")))
 
 
-def evidence_conflict(claim: DataFrame) -> DataFrame:
-    """All evidence of claims that have both sides, marked by side, none chosen.
+def claim_groups(text: DataFrame, id_col: str, text_col: str, negations: list[str], signs: int = 2,
+                 shared: int = 10) -> DataFrame:
+    """``id, claim_key, supports``: texts that claim the same have the same key, the
+    ``signs`` weightiest of their words in order of the words. A word weighs the more the
+    fewer texts hold it, of those that at least ``shared`` texts hold; negations are no part
+    of it. A text with an odd number of negations speaks against the claim. Texts without
+    a shared word claim nothing. Ids must be unique; words are counted map-side and only
+    those that are shared go on to their texts.
+    """
+    words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    told = text.select(id_col, words.alias("_w"))
+    denied = F.pmod(F.size(F.filter("_w", lambda w: w.isin(negations))), F.lit(2)) == 1
+    each = told.select(id_col, F.explode(F.array_distinct(F.filter("_w", lambda w: ~w.isin(negations)))).alias("_word"))
+    often = each.groupBy("_word").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= shared)
+    heavy = F.slice(F.array_sort(F.collect_list(F.struct("_n", "_word"))), 1, signs)["_word"]
+    keys = lookup(each, often, ["_word"], [id_col], "inner").groupBy(id_col).agg(
+        F.array_join(F.array_sort(heavy), " ").alias("claim_key"))
+    return told.select(id_col, (~denied).alias("supports")).join(keys, id_col).select(id_col, "claim_key", "supports")
+
+
+def evidence_conflict(claim: DataFrame, keys: tuple[str, ...] = ("company_id", "claim_key")) -> DataFrame:
+    """All evidence of claims that have both sides, marked by side, none chosen. ``keys``
+    name a claim.
 
     One row per piece of evidence, not per pair: a claim with many voices on both
     sides grows by its rows only. Sides are counted map-side first.
     """
     s = F.col("supports")
-    sides = claim.groupBy("company_id", "claim_key").agg(
+    sides = claim.groupBy(*keys).agg(
         F.count_if(s).alias("n_supporting"), F.count_if(~s).alias("n_opposing"))
     torn = sides.filter((F.col("n_supporting") > 0) & (F.col("n_opposing") > 0))
-    return lookup(claim, torn, ["company_id", "claim_key"], ["evidence_id"], "inner").select(
-        "company_id", "claim_key", "evidence_id",
+    return lookup(claim, torn, list(keys), ["evidence_id"], "inner").select(
+        *keys, "evidence_id",
         F.when(s, "supporting").otherwise("opposing").alias("side"), "n_supporting", "n_opposing")
 
 

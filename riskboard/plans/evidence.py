@@ -126,6 +126,27 @@ def evidence_conflict(t: Tables) -> DataFrame:
     return ev.evidence_conflict(tb.claim(t))
 
 
+# fixed values: negation marks of the texts' languages
+NEGATIONS = "not no never without nicht kein keine nie ohne pas ne jamais sans nunca sin ni".split()
+_NEG = "[" + ", ".join(f"'{w}'" for w in NEGATIONS) + "]"
+
+
+@query("claim_conflict", rows_with("evidence", rf"""
+SELECT claim_key, evidence_id, CASE WHEN supports THEN 'supporting' ELSE 'opposing' END AS side, n_supporting, n_opposing FROM (
+  SELECT *, count(*) FILTER (WHERE supports) OVER w AS n_supporting, count(*) FILTER (WHERE NOT supports) OVER w AS n_opposing
+  FROM told JOIN signs USING (evidence_id) WINDOW w AS (PARTITION BY claim_key)) WHERE n_supporting > 0 AND n_opposing > 0""", rf"""told AS (
+  SELECT evidence_id, list_distinct([x for x in w if x <> '' AND NOT list_contains({_NEG}, x)]) AS words,
+    len([x for x in w if list_contains({_NEG}, x)]) % 2 = 0 AS supports
+  FROM (SELECT evidence_id, regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+') AS w FROM evidence))""", """each AS (
+  SELECT evidence_id, unnest(words) AS word FROM told)""", """signs AS (
+  SELECT evidence_id, array_to_string(list_sort((list(word ORDER BY n, word))[1:2]), ' ') AS claim_key
+  FROM each JOIN (SELECT word, count(*) AS n FROM each GROUP BY 1 HAVING count(*) >= 10) USING (word) GROUP BY 1)"""))
+def claim_conflict(t: Tables) -> DataFrame:
+    """Evidence that speaks for and against the same claim, whatever its company."""
+    text = tb.evidence_text(t).select("evidence_id", "content")
+    return ev.evidence_conflict(ev.claim_groups(text, "evidence_id", "content", NEGATIONS), ("claim_key",))
+
+
 @query("keyword_screen", rows_with("evidence hits", """
 SELECT company_id, evidence_id, location, keyword, category FROM hits"""))
 def keyword_screen(t: Tables) -> DataFrame:
@@ -137,7 +158,8 @@ SELECT company_id, evidence_id, d.keyword, category FROM evidence JOIN dictionar
   SELECT DISTINCT lower(keyword) AS keyword, category FROM (
     SELECT unnest([array_to_string(w[i:i + 2], ' ') for i in range(1, greatest(len(w) - 2, 1) + 1)]) AS keyword, 'phrase' AS category
       FROM (SELECT regexp_split_to_array(lower(text), '[ 	
-]+') AS w FROM benchmark)
+
+]+') AS w FROM benchmark)
     UNION ALL SELECT p_name, 'product' FROM part UNION ALL SELECT c_name, 'company' FROM customer
     UNION ALL SELECT lang, 'language' FROM documents
     UNION ALL SELECT * FROM (VALUES {', '.join(f"('{k}', '{c}')" for k, c in tb.STAND_IN_DICTIONARY)}) AS v(keyword, category))

@@ -2,8 +2,8 @@
 
 A task is a company, a phase and a folder, so one company's events are spread over its
 tasks. A task's events count in the order of their time, however they arrive: the machine
-keeps its state as of the watermark and the few events after it, and works these out anew
-when another one comes. An event delivered twice counts once; one behind the watermark is
+keeps its state as of the last watermark it saw and the few events after it, and works these
+out anew when another one comes. An event delivered twice counts once; one behind the watermark is
 dropped. Steps that ``ALLOWED`` does not name are refused and counted, so nothing leaves
 TERMINAL and nothing jumps from OK to FAILED. A task that waits for its retry longer than
 the given time has failed.
@@ -72,39 +72,37 @@ class TaskMachine(StatefulProcessor):
         self.base = handle.getValueState("base", _BASE)
         self.ahead = handle.getListState("ahead", _EVENT)
 
-    def _told(self, key: tuple, events: set[tuple], mark: int) -> Iterator[Row]:
+    def _told(self, key: tuple, new: set[tuple], mark: int) -> Iterator[Row]:
         """Fold what lies behind the watermark, keep the rest, and tell the state."""
-        base = tuple(self.base.get()) if self.base.exists() else _START
-        order = sorted(e for e in events if e[:2] > tuple(base[5:7]))
+        known, kept = self.base.get(), {tuple(e) for e in self.ahead.get()}
+        base = tuple(known) if known else _START
+        order = sorted(e for e in kept | new if e[:2] > base[5:7])
         for event in (e for e in order if e[0] <= mark):
             base = step(base, event, self.wait)
         ahead = [e for e in order if e[0] > mark]
-        base = expire(base, self.wait, mark) if base[0] else base
-        if base[0]:
+        base = expire(base, self.wait, mark)
+        if base != _START:
             self.base.update(base)
         if ahead:
             self.ahead.put(ahead)
-        else:
+        elif kept:
             self.ahead.clear()
         state = base
         for event in ahead:
             state = step(state, event, self.wait)
-        # wake up when the next event or a retry falls behind the watermark
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        wake = [ahead[0][0]] if ahead else [state[1] + self.wait] if state[0] == "RETRY_WAIT" else []
-        for micros in wake:
-            self.handle.registerTimer(-(-micros // 1000))
+        if known or kept:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+        if state[0] == "RETRY_WAIT":  # wake up when the wait is over
+            self.handle.registerTimer(-(-(state[1] + self.wait) // 1000))
         yield _ROW(*key, *state[:5])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        events = {tuple(e) for e in self.ahead.get()} if self.ahead.exists() else set()
-        events |= {(r["micros"], r["event_id"], r["status"]) for r in rows}
-        yield from self._told(tuple(key), events, max(-1, timerValues.getCurrentWatermarkInMs()) * 1000)
+        new = {(r["micros"], r["event_id"], r["status"]) for r in rows}
+        yield from self._told(tuple(key), new, max(-1, timerValues.getCurrentWatermarkInMs()) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        events = {tuple(e) for e in self.ahead.get()} if self.ahead.exists() else set()
-        yield from self._told(tuple(key), events, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._told(tuple(key), set(), timerValues.getCurrentWatermarkInMs() * 1000)
 
 
 def session(spark: SparkSession) -> SparkSession:

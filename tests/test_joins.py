@@ -125,6 +125,22 @@ def test_hundred_thousand_keywords(spark):
     assert got.agg(F.count("*"), F.sum(F.length("keyword"))).first()[0] == want
 
 
+# --- claims
+
+
+def test_claims_that_mean_the_same(spark, rows):
+    from riskboard.operators import evidence
+    texts = [(1, "The vault in Kerala is insured"), (2, "the VAULT in Kerala is not insured"), (3, "Kerala vault: is it not not the one"),
+             (4, "the mint is open"), (5, "the mint is never open, no"), (6, None), (7, ""), (8, "the the the"), (9, "the mint is not open")]
+    told = evidence.claim_groups(spark.createDataFrame(texts, "id long, t string"), "id", "t", ["not", "no", "never"], 2, 3)
+    # shared by three texts or more: vault, kerala, mint, open, is, the
+    assert rows(told) == [(1, "kerala vault", True), (2, "kerala vault", False), (3, "kerala vault", True), (4, "mint open", True),
+                          (5, "mint open", True), (8, "the", True), (9, "mint open", False)]
+    torn = evidence.evidence_conflict(told.withColumnRenamed("id", "evidence_id"), ("claim_key",))
+    assert rows(torn, "evidence_id", "side", "n_supporting", "n_opposing") == [
+        (1, "supporting", 2, 1), (2, "opposing", 2, 1), (3, "supporting", 2, 1), (4, "supporting", 2, 1), (5, "supporting", 2, 1), (9, "opposing", 2, 1)]
+
+
 # --- chains
 
 

@@ -55,7 +55,7 @@ def test_status_filter_reaches_scan(spark):
 
 
 GROUPED = {  # query → key of its groups, and how large the largest must be at least
-    "evidence_conflict": ("company_id", 2), "carrier_counts": ("company_id", 1), "account_top_k": ("company_id", 2),
+    "evidence_conflict": ("company_id", 2), "claim_conflict": ("claim_key", 2), "carrier_counts": ("company_id", 1), "account_top_k": ("company_id", 2),
     "keyword_findings": ("company_id", 2), "basis_resolved": ("inference_id", 2), "exposure_reach": ("start", 2),
     "dictionary_screen": ("evidence_id", 2), "feedback_as_of": ("company_id", 2), "verdict_history": ("company_id", 2),
     "snapshot_evidence": ("name", 2), "carrier_listing": ("company_id", 2), "account_listing": ("company_id", 2),
