@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from . import pretokens
 from .store import batches
 
-# pre-tokens a worker remembers before it starts afresh: some 100 MB
-KEPT = 600_000
+# pre-tokens a worker remembers before it starts afresh: some 40 MB
+KEPT = 200_000
 # bytes of text whose new pre-tokens are merged together, and of texts sent on at a time
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 SENT = 1_000_000
 _NONE = np.int64(1) << 40
 

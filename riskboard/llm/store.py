@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_folder
 
@@ -30,6 +31,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python 4 MB at a time instead of 64: a batch lies in the JVM and
+    in the worker, beside what the worker makes of it. Narrow rows are not touched by this."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove saved tables that nothing asks for any more: all that was made from them has
     been saved itself. Tables that were not saved are left alone."""
@@ -55,7 +62,9 @@ def batches(arrived: Iterator[pa.RecordBatch], column: str = "text", size: int =
             ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into pieces of about ``size`` bytes of text, with the texts as
     UTF-8. The pieces are views, so columns that only pass through are never copied. A
-    single longer text makes a piece of its own; no text is cut."""
+    single longer text makes a piece of its own; no text is cut. At the end of the task the
+    memory that is free again goes back to the system: workers live on, and the next stage's
+    own needs come on top of what they keep."""
     for batch in arrived:
         texts = batch.column(column)
         sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
@@ -65,6 +74,15 @@ def batches(arrived: Iterator[pa.RecordBatch], column: str = "text", size: int =
             own = texts.slice(low, high - low).cast(pa.binary())
             yield batch.slice(low, high - low), [b or b"" for b in own.to_pylist()]
             low = high
+    released()
+
+
+def released() -> None:
+    """Hand memory that is free again back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def widened(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
