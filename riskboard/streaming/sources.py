@@ -10,11 +10,12 @@ from ..sources.tables import shape_review_events, shape_task_events
 
 def files(spark: SparkSession, folder: str, pattern: str, schema, per_trigger: int | None = None
           ) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Parquet files of a folder as a stream. A name that fits ``pattern`` may be a file or
+    a folder of part files, as Spark writes a table."""
+    reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder.rstrip('/')}/{pattern}")
 
 
 def task_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet", **kw) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from riskboard.operators import review, tasks
+from riskboard.plans import QUERIES
 from riskboard.session import work_folder
 from riskboard.sources import tables as tb
 from riskboard.streaming import jobs, sinks, sources
@@ -102,3 +103,12 @@ def test_empty_stream_gives_an_empty_view(spark, tmp_path):
     out = work_folder(spark, "t-empty")
     sinks.drain(jobs.live_state(sources.task_events(spark, str(tmp_path))), out, mode="update")
     assert sinks.current(spark, out, ["company_id"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["stream_log_lines", "stream_latest_state"])
+def test_tables_of_part_files(spark, tmp_path, rows, name):
+    """A table written as a folder of part files is read like one of a single file."""
+    for table in ("conversations", "events"):
+        spark.read.parquet(f"{SMALL}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    got, want = (QUERIES[name](spark, folder) for folder in (str(tmp_path), SMALL))
+    assert rows(got) == rows(want) and want.count() > 0
