@@ -105,7 +105,7 @@ def test_empty_stream_gives_an_empty_view(spark, tmp_path):
     assert sinks.current(spark, out, ["company_id"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["stream_log_lines", "stream_latest_state"])
+@pytest.mark.parametrize("name", ["stream_post_upsert", "stream_log_lines", "stream_latest_state"])
 def test_tables_of_part_files(spark, tmp_path, rows, name):
     """A table written as a folder of part files is read like one of a single file."""
     for table in ("conversations", "events"):
