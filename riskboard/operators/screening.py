@@ -11,11 +11,14 @@ from ..session import shared_folder
 
 # Entries of a list that may stand in the plan itself; more of them make a table.
 LISTED = 500
-# A keyword is looked up by one of its runs of so many characters (a shorter one by itself).
-RUN = 4
-# Texts that tell which runs are rare, and bytes of a dictionary that every task may hold.
-SAMPLE = 2_000
+# A keyword is looked up by one of its runs of so many characters, the longest that it has
+# (a shorter one by itself).
+RUNS = (12, 4)
+# Texts and keywords that tell which runs are rare, bytes of a dictionary that every task may
+# hold, and bits (a power of two as an exponent) that mark the runs of a larger one.
+SAMPLE, ENTRIES = 2_000, 20_000
 HELD = 64 << 20
+MARKS = 28
 
 
 def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], text_col: str,
@@ -24,10 +27,11 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
 
     ``words`` is a list of (keyword, category) or a table ``keyword, category``; empty
     keywords match nothing. A short list is looked up text by text. Of a table each keyword
-    is filed under its rarest run of ``RUN`` characters; a text's own runs are joined to
-    those, and ``contains`` decides. So a text is read once whatever the length of the
-    dictionary, and only compared with keywords it may hold. The dictionary goes to the
-    texts where its measured size allows; beyond that runs and texts meet by shuffles.
+    is filed under its rarest run of 12 characters (of 4, if it is shorter); a text's own
+    runs are joined to those, and ``contains`` decides. So a text is read once whatever the
+    length of the dictionary, and only compared with keywords it may hold. The dictionary goes
+    to the texts where its measured size allows; beyond that bits in every task mark the runs
+    it uses, and only runs so marked meet it by shuffles.
     """
     spark = text.sparkSession
     low = text.select(*keep, F.lower(text_col).alias("_low"))
@@ -40,14 +44,15 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
     shared_folder(spark)
     anchors = _anchors(entries, low).checkpoint()
     told = anchors.agg(F.sum(F.octet_length("keyword") + F.octet_length(F.coalesce("category", F.lit(""))) + 64).alias("bytes"),
-                       F.collect_set(F.least(F.length("keyword"), F.lit(RUN))).alias("sizes")).first()
+                       F.collect_set(_size(F.col("keyword"))).alias("sizes"),
+                       F.approx_count_distinct("_run").alias("runs")).first()
     # every run of the lengths that keywords are filed under, as hashes
     runs = [F.transform(_runs(F.col("_low"), k), lambda r: F.xxhash64(r)) for k in sorted(told["sizes"] or [])]
     own = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<bigint>")
     if (told["bytes"] or 0) <= HELD:
         found = low.select(*keep, "_low", F.explode(own).alias("_run")).join(F.broadcast(anchors), "_run")
     else:
-        found = _met(low, own, anchors)
+        found = _met(low, own, anchors, told["runs"])
     return found.filter(F.contains("_low", F.col("keyword"))).select(*keep, "keyword", "category")
 
 
@@ -64,23 +69,62 @@ def _runs(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
+def _size(keyword: Column) -> Column:
+    """Length of the runs that a keyword is filed under."""
+    size = F.length(keyword)
+    for n in reversed(RUNS):
+        size = F.when(F.length(keyword) >= n, F.lit(n)).otherwise(size)
+    return size
+
+
+def _all_runs(text: Column) -> Column:
+    """The runs of every length that longer keywords may be filed under."""
+    return F.array_distinct(F.concat(*[_runs(text, n) for n in RUNS]))
+
+
 def _anchors(entries: DataFrame, low: DataFrame) -> DataFrame:
-    """The entries with ``_run``, the hash of the run that fewest texts of a sample hold."""
+    """The entries with ``_run``, the hash of the run that fewest texts of a sample hold, and
+    of these the one that fewest keywords of a sample share."""
     keyword = F.col("keyword")
-    runs = F.when(F.length(keyword) < RUN, F.array(keyword)).otherwise(_runs(keyword, RUN))
-    each = entries.select("keyword", F.explode(F.array_distinct(runs)).alias("_text")).distinct()
-    seen = (low.limit(SAMPLE).select(F.explode(F.array_distinct(_runs(F.col("_low"), RUN))).alias("_text"))
-            .groupBy("_text").agg(F.count(F.lit(1)).alias("_n")))
-    order = F.struct(F.coalesce("_n", F.lit(0)), F.xxhash64("_text", "keyword"), "_text")
+    runs = F.array(keyword)
+    for n in reversed(RUNS):
+        runs = F.when(F.length(keyword) >= n, _runs(keyword, n)).otherwise(runs)
+    each = entries.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(runs)).alias("_text"))
+    texts = low.limit(SAMPLE).select(F.explode(_all_runs(F.col("_low"))).alias("_text"), F.lit(1).alias("_n"), F.lit(0).alias("_m"))
+    words = entries.limit(ENTRIES).select(F.explode(_all_runs(keyword)).alias("_text"), F.lit(0).alias("_n"), F.lit(1).alias("_m"))
+    # sums map-side; only runs of a sampled text, or of several sampled keywords, tell anything
+    seen = (texts.unionByName(words).groupBy("_text").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
+            .filter("_n > 0 or _m > 1"))
+    rare = [F.coalesce(c, F.lit(0)) for c in ("_n", "_m")]
+    order = F.struct(*rare, F.xxhash64("_text", "keyword"), "_text")
     best = each.join(seen, "_text", "left").groupBy("keyword").agg(F.xxhash64(F.min_by("_text", order)).alias("_run"))
     return entries.join(best, "keyword")
 
 
-def _met(low: DataFrame, own: Column, anchors: DataFrame) -> DataFrame:
-    """Texts with the keywords whose anchors they hold, for any size of dictionary: only
-    hashes of runs meet the dictionary; of texts, equal ones once."""
+def _marks(anchors: DataFrame, bits: int) -> DataFrame:
+    """``_at, _words``: the low ``bits`` of each anchor's hash as a set bit, 64 words of 64
+    bits a row."""
+    low = F.pmod("_run", F.lit(1 << bits))
+    words = anchors.select(F.shiftright(low, 6).alias("_word"), low.bitwiseAND(F.lit(63)).cast("int").alias("_bit")).groupBy(
+        "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))).alias("_v"))
+    rows = words.groupBy(F.shiftright("_word", 6).alias("_at")).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("_word").bitwiseAND(F.lit(63)).cast("int"), "_v"))).alias("_m"))
+    return rows.select("_at", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(
+        F.try_element_at("_m", i), F.lit(0).cast("bigint"))).alias("_words"))
+
+
+def _met(low: DataFrame, own: Column, anchors: DataFrame, runs: int) -> DataFrame:
+    """Texts with the keywords whose anchors they hold, for any size of dictionary. Every
+    task holds bits, at most ``2 ** MARKS`` of them, that rule out nearly all runs of a text;
+    only hashes of the others meet the dictionary; of texts, equal ones once."""
     named = low.filter("_low is not null").withColumn("_text", F.md5("_low"))
-    runs = named.select("_text", F.explode(own).alias("_run")).distinct()
+    bits = min(MARKS, max(16, (64 * runs).bit_length()))
+    at = F.pmod("_run", F.lit(1 << bits))
+    word = F.get("_words", F.shiftright(at, 6).bitwiseAND(F.lit(63)).cast("int"))
+    bit = F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    # read once more for frequent runs: kept, so that texts are cut once
+    runs = (named.select("_text", F.explode(own).alias("_run")).withColumn("_at", F.shiftright(at, 12))
+            .join(F.broadcast(_marks(anchors, bits)), "_at").filter(bit == 1).select("_text", "_run").distinct().checkpoint())
     met = lookup(runs, anchors, ["_run"], ["_text"], "inner").select("_text", "keyword", "category")
     return named.join(met, "_text")
 

@@ -84,6 +84,20 @@ def table_of(spark, entries):
     return spark.createDataFrame(entries, "keyword string, category string")
 
 
+def test_only_runs_of_the_dictionary_are_shuffled(spark, monkeypatch):
+    """Beyond what a task may hold, texts send the runs that the dictionary uses, not all."""
+    sent = []
+    met = screening.lookup
+    monkeypatch.setattr(screening, "HELD", 0)
+    monkeypatch.setattr(screening, "lookup", lambda fact, *rest: sent.append(fact.count()) or met(fact, *rest))
+    texts = [(i, " ".join(f"{i * 7919 + j * 104729:x}" for j in range(500))) for i in range(20)] + [(20, "by Firm#000000077 and xyz")]
+    words = [(f"firm#{i:09d}", "company") for i in range(300)] + [("xyz", "c")]
+    got = screening.screen_keywords(spark.createDataFrame(texts, "id int, body string"),
+                                    spark.createDataFrame(words, "keyword string, category string"), "body", ["id"])
+    assert sorted(tuple(r) for r in got.collect()) == [(20, "firm#000000077", "company"), (20, "xyz", "c")]
+    assert sent[0] < 0.05 * sum(len(t) for _, t in texts)
+
+
 @pytest.mark.parametrize("held", [screening.HELD, 0])  # the dictionary at the texts, and by shuffles
 def test_dictionary_forms_agree(spark, rows, monkeypatch, held):
     monkeypatch.setattr(screening, "HELD", held)
