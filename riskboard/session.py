@@ -77,6 +77,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/riskboard/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python 4 MB at a time, whatever their length: a batch lies in
+    the worker beside what the worker makes of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def taken(df: DataFrame, folder: str) -> DataFrame:
     """The rows of a table below a work folder, kept in the checkpoint folder (which
     Spark's cleaner empties), after which the work folder is removed."""

@@ -21,10 +21,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import small_batches
+
 _PLAIN = re.compile(r'["{}\[\],:]')
 _INSIDE = re.compile(r'["\\]')
 # characters of elements that a task holds before it gives them out
-GIVEN = 4_000_000
+GIVEN = 1_000_000
 
 
 class Reader:
@@ -89,9 +91,8 @@ def _splits(arrived: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
     """Pieces with the split they belong to and their closing bracket back. The blanks after
     a document's last bracket get one too, which closes nothing."""
     for batch in arrived:
-        path, start = (batch.column(k).to_pylist() for k in ("path", "start"))
-        for split, value in zip(zip(path, start), batch.column("value").to_pylist()):
-            yield split, value + "}"
+        for path, start, value in zip(*(batch.column(k) for k in ("path", "start", "value"))):
+            yield (path.as_py(), start.as_py()), value.as_py() + "}"
 
 
 def _outline(pieces: DataFrame) -> DataFrame:
@@ -134,6 +135,7 @@ def _beginnings(outline: DataFrame) -> dict[tuple[str, int], tuple[bool, list]]:
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """``path, start, seq, name, value``: the objects of each document below a path, with
     the name of the value they are or stand in; ``start`` and ``seq`` tell their order."""
+    small_batches(spark)
     pieces = _pieces(spark, path)
     begins = spark.sparkContext.broadcast(_beginnings(_outline(pieces)))
 
@@ -162,8 +164,6 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
                 now, seq, held = split, 0, []
                 reader = Reader(*begins.value.get(split, (False, [])))
                 begun = not reader.inside()
-            if size > GIVEN:
-                yield told()
             at, was = 0, reader.inside()
             for sign, place in reader.signs(piece):
                 if reader.opens_element(sign):
@@ -174,6 +174,8 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
                     was, begun = False, True
             if was:
                 held.append(piece[at:])
+            if size > GIVEN:  # between two pieces, never a whole batch of them
+                yield told()
         if now and reader.inside():
             give(False)
         yield told()

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import small_batches
+
 
 def publish_tables(tables: dict[str, DataFrame], folder: str, run_id: str) -> None:
     """Write each table below ``folder``, one partition per run; republishing a run
@@ -29,6 +31,7 @@ def publish_json(payload: DataFrame, folder: str, run_id: str, body: str = "payl
 def write_documents(objects: DataFrame, folder: str, run_id: str, name: str = "companies") -> None:
     """Write JSON objects (``value``) as run documents ``{"meta": {..}, name: [..]}``, one
     document for each task."""
+    small_batches(objects.sparkSession)
     head = json.dumps({"meta": {"run_id": run_id}})[:-1] + f', "{name}": ['
 
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -69,3 +69,12 @@ def test_written_documents_read_back(spark, tmp_path):
     assert {r["name"] for r in tables["company"].collect()} == {f"firm {k}" for k in range(50)}
     assert {r["run_id"] for r in tables["evidence"].collect()} == {"r9"}
     assert tables["evidence"].count() == sum(len(json.loads(c)["risk"]["evidence"]) for _, c in told)
+
+
+def test_long_objects_reach_python_in_small_batches(spark, tmp_path):
+    """A batch is bounded by its bytes: 20 MB of objects in one task come in several."""
+    rows = spark.range(2_000, numPartitions=1).selectExpr("""concat('{"name": "', id, repeat('x', 10000), '"}') as value""")
+    publish.write_documents(rows, str(tmp_path / "run"), "r")
+    sizes = rows.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) < 10_000_000
+    assert snapshot.normalise_long(spark, str(tmp_path / "run"))["company"].count() == 2_000
