@@ -106,7 +106,8 @@ def stream_review_audit(t: Tables) -> DataFrame:
 
 @query("stream_post_upsert", "SELECT conv_id, turn, role, text FROM conversations")
 def stream_post_upsert(t: Tables) -> DataFrame:
-    # a post is known by conversation and turn; a later delivery is its newer version
+    # a post is known by conversation and turn; a later delivery is its newer version, and
+    # posts of one delivery have no order: none of them takes another's place
     keys, out = ["conv_id", "turn"], work_folder(t.spark, "posts")
     sinks.drain(sources.posts(t.spark, t.folder), out, split=jobs.post_outputs(keys))
     return taken(jobs.current_posts(t.spark, out, keys), out)

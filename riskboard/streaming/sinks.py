@@ -76,10 +76,19 @@ def _deltas(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def current(spark: SparkSession, folder: str, keys: list[str], order: list[str] | None = None,
-            name: str = "data") -> DataFrame:
+            name: str = "data", every: bool = False) -> DataFrame:
     """The newest row per key over all micro-batches; ``order`` decides before the
-    batch number does."""
-    return _newest(_deltas(spark, folder, name), keys, order)
+    batch number does. ``every``: all rows that the last micro-batch with the key told."""
+    deltas = _deltas(spark, folder, name)
+    return _told_last(deltas, keys).drop("batch_id") if every else _newest(deltas, keys, order)
+
+
+def _told_last(df: DataFrame, keys: list[str]) -> DataFrame:
+    last = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("batch_id").alias("_last"))
+    same = F.col("batch_id") == F.col("_last")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(last, same, "left_semi")
 
 
 def _newest(df: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
@@ -106,12 +115,13 @@ def _listed(spark: SparkSession, path: str) -> bool:
 
 
 def compact(spark: SparkSession, folder: str, keys: list[str], order: list[str] | None = None,
-            name: str = "data") -> None:
+            name: str = "data", every: bool = False) -> None:
     """Fold the committed micro-batches into one base, so that readers of a long-running
     stream open few files. A micro-batch that is still being written is left for the next
-    time. The micro-batches stay until their retention ends."""
+    time. The micro-batches stay until their retention ends. ``every`` as in ``current``."""
     upto = committed(spark, folder)
     if upto is None:
         return
     done = _deltas(spark, folder, name).filter(F.col("batch_id") <= upto)
-    _newest(done, keys, order).write.mode("overwrite").parquet(f"{folder}/{name}-base/upto={upto}")
+    folded = _told_last(done, keys).drop("batch_id") if every else _newest(done, keys, order)
+    folded.write.mode("overwrite").parquet(f"{folder}/{name}-base/upto={upto}")

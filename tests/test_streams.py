@@ -112,3 +112,23 @@ def test_tables_of_part_files(spark, tmp_path, rows, name):
         spark.read.parquet(f"{SMALL}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
     got, want = (QUERIES[name](spark, folder) for folder in (str(tmp_path), SMALL))
     assert rows(got) == rows(want) and want.count() > 0
+
+
+def test_posts_of_one_delivery_all_stay(spark, tmp_path, rows):
+    """Posts of one key that arrive together equal the SQL; a later delivery replaces them."""
+    posts = [(1, 0, "u", "a"), (1, 0, "u", "a"), (1, 0, "u", "b"), (None, 0, "u", "c"), (None, 0, None, None), (2, 1, "u", "d")]
+    def put(name, data):
+        spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(
+            str(tmp_path / f"conversations{name}.parquet"))
+    put("", posts)
+    assert rows(QUERIES["stream_post_upsert"](spark, str(tmp_path))) == sorted(posts, key=repr)
+    keys, out = ["conv_id", "turn"], work_folder(spark, "t-posts")
+    def run():
+        sinks.drain(sources.posts(spark, str(tmp_path)), out, split=jobs.post_outputs(keys))
+        return rows(jobs.current_posts(spark, out, keys))
+    assert run() == sorted(posts, key=repr)
+    put("-2", [(1, 0, "u", "new"), (None, 0, "u", "e")])
+    want = sorted([(1, 0, "u", "new"), (None, 0, "u", "e"), (2, 1, "u", "d")], key=repr)
+    assert run() == want
+    sinks.compact(spark, out, keys, name="latest", every=True)
+    assert rows(jobs.current_posts(spark, out, keys)) == want
