@@ -1,19 +1,24 @@
 """Near copies for a corpus: all texts with 0.8 or more of their five-word shingles in common.
 
-Words are those of ``simhash``; five of them make a shingle, fewer make one together. The
-comparison is that of ``simhash``, exclusive-or and bit counts over tiles of fingerprints,
-with fingerprints whose radius is exact for a share of shingles: bit ``h mod L`` of a text's
+Words are those of ``simhash``; five of them make a shingle, fewer make one together. Texts
+first meet as in ``simhash``: their 64-bit fingerprints are compared by exclusive-or and bit
+counts, tile by tile, and texts inside its radius are linked if their sets have 0.8 in common.
+That radius holds the closest copies only, so what it has not joined is compared again, without
+a miss, with fingerprints whose radius is exact for a share of shingles: bit ``h mod L`` of a text's
 *parity fingerprint* is set when an odd number of its shingle hashes ``h`` fall on it. The
 bits in which two fingerprints differ cannot outnumber the shingles that only one of the two
 texts holds, and at 0.8 these are a ninth of both texts' shingles at most. L is about the number of
 shingles; a longer fingerprint is folded onto a shorter one by exclusive-or.
 
-1. A text with n shingles is filed under the n - 0.8 n + 1 rarest of them: two texts at 0.8
+1. Texts of equal SimHash meet the first of these, first texts meet whose SimHashes differ in
+   ``simhash.RADIUS`` bits or fewer.
+2. A text with n shingles is filed under the n - 0.8 n + 1 rarest of them: two texts at 0.8
    share one of those, whatever the order of the shingles. Rare ones first only keeps the
    lists short, and a sample is enough to know the common ones.
-2. Each text meets the first text of each of its rare shingles, so the copies of one text
-   make one comparison each; components of the links found name what is joined already.
-3. Rare shingles whose texts are not all joined are compared whole, in cells of two blocks
+3. Each text meets the first text of each of its rare shingles unless these are joined
+   already, so the copies of one text make one comparison each; components of the links found
+   name what is joined.
+4. Rare shingles whose texts are not all joined are compared whole, in cells of two blocks
    of ``BLOCK`` texts; rare shingles with the same texts once. A cell gives out the links
    that join something, never all pairs.
 
@@ -35,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_128_digest, xxh64_digest
 
+from . import simhash
 from .graph import components
 from .simhash import SEED, _LOWER
 from .store import batches, discard, numbered, saved, utf8
@@ -139,7 +145,7 @@ def _key() -> Column:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, digest, n, print, rare`` of each row."""
+    """``doc_id, key, digest, n, fp, print, rare`` of each row."""
     told = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +153,13 @@ def _rows(docs: DataFrame) -> DataFrame:
             sets = [shingles(d) for d in data]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([simhash.majority(s.view(np.uint8).reshape(-1, 8)) for s in sets], pa.int64()),
+                 pa.array([parity(s) for s in sets], pa.binary()),
                  _lists([rarest(s, *told.value) for s in sets])],
-                names=["doc_id", "key", "digest", "n", "print", "rare"])
+                names=["doc_id", "key", "digest", "n", "fp", "print", "rare"])
     return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(
-        work, "doc_id bigint, key string, digest binary, n bigint, print binary, rare array<bigint>")
+        work, "doc_id bigint, key string, digest binary, n bigint, fp bigint, print binary, rare array<bigint>")
 
 
 def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -262,34 +270,57 @@ def _joining(table: pa.Table) -> list[tuple]:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """``id, first, key, n, print, rare`` of each distinct shingle set, with the id and the
+    """``id, first, key, n, fp, print, rare`` of each distinct shingle set, with the id and the
     key of its first row."""
     rows = saved(_rows(docs), "texts")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_first")
-    nodes = saved(rows.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("print").alias("print"),
+    nodes = saved(rows.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("print").alias("print"),
                                              F.first("rare").alias("rare"))
                   .select(F.monotonically_increasing_id().alias("id"), F.col("_first.doc_id").alias("first"),
-                          F.col("_first.key").alias("key"), "n", "print", "rare"), "nodes")
+                          F.col("_first.key").alias("key"), "n", "fp", "print", "rare"), "nodes")
     discard(rows)
     return nodes
 
 
+def tiled(nodes: DataFrame) -> DataFrame:
+    """Pairs ``left, right`` of nodes ``id, fp`` inside the SimHash radius: each node with the
+    first of its fingerprint, and the first ones of two near fingerprints."""
+    first = saved(nodes.groupBy("fp").agg(F.min("id").alias("low")), "prints")
+    equal = nodes.select("fp", "id").join(first, "fp").filter("low < id").select(F.col("low").alias("left"), F.col("id").alias("right"))
+    near = (simhash.links(first).join(first.toDF("a", "_a"), "a").join(first.toDF("b", "_b"), "b")
+            .select(F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right")))
+    return equal.unionByName(near.distinct())
+
+
+def _roots(found: DataFrame) -> DataFrame:
+    return components(found).select(F.col("node").alias("id"), "root")
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Checked links ``a, b`` that join whatever is joined by all links between nodes."""
-    filed = nodes.select("id", F.explode("rare").alias("g"))
-    low = filed.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("_high")).filter("low < _high").select("g", "low")
-    rare = saved(filed.join(low, "g"), "rare")
-    pairs = rare.filter("low < id").select(F.col("low").alias("left"), F.col("id").alias("right")).distinct()
-    pairs = saved(_inside(pairs, nodes), "pairs")
     keys = nodes.select("id", "key")
 
     def ends(table: DataFrame, *names: str) -> DataFrame:
         return table.select(F.explode(F.array(*names)).alias("id")).distinct().join(keys, "id")
-    sets = saved(_sets(docs, ends(pairs, "left", "right")), "sets")
-    begun = saved(_checked(pairs, sets).select(F.col("left").alias("a"), F.col("right").alias("b")), "begun")
-    discard(pairs, sets)
 
-    joined = components(begun).select(F.col("node").alias("id"), "root")
+    def proven(pairs: DataFrame) -> DataFrame:
+        inside = saved(_inside(pairs, nodes), "pairs")
+        sets = saved(_sets(docs, ends(inside, "left", "right")), "sets")
+        found = saved(_checked(inside, sets).select(F.col("left").alias("a"), F.col("right").alias("b")), "begun")
+        discard(inside, sets)
+        return found
+    close = proven(tiled(nodes))
+
+    joined = _roots(close)
+    filed = nodes.select("id", F.explode("rare").alias("g"))
+    low = filed.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("_high")).filter("low < _high").select("g", "low")
+    rare = saved(filed.join(low, "g"), "rare")
+    pairs = rare.filter("low < id").select(F.col("low").alias("left"), F.col("id").alias("right")).distinct()
+    pairs = (pairs.join(joined.toDF("left", "_a"), "left", "left").join(joined.toDF("right", "_b"), "right", "left")
+             .filter("coalesce(_a, left) <> coalesce(_b, right)").select("left", "right"))
+    begun = close.unionByName(proven(pairs))
+
+    joined = _roots(begun)
     named = saved(rare.select("g", "id").join(joined, "id", "left").select("g", "id", F.coalesce("root", "id").alias("root")), "named")
     discard(rare, joined)
     # rare shingles with the same texts are one; 126 bits tell them apart

@@ -48,7 +48,11 @@ def fingerprint(text, shingle: int = SHINGLE) -> int:
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends.tolist()[min(shingle, len(words)) - 1:]
     digests = b"".join([xxh64_digest(plain[a:b], SEED) for a, b in zip(starts, stops)])
-    raw = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(digests, np.uint8).reshape(-1, 8))
+
+
+def majority(raw: np.ndarray) -> int:
+    """Signed number of the bits that are set in over half of the 8-byte hashes."""
     ones = np.zeros(64, np.int64)
     for low in range(0, len(raw), 65536):
         ones += np.unpackbits(raw[low:low + 65536], axis=1).sum(axis=0, dtype=np.int64)

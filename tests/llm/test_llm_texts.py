@@ -128,6 +128,36 @@ def plain_kept(data):
     return sorted(out, key=repr)
 
 
+def test_copies_of_the_pipeline_meet_by_simhash_first(spark, odd, monkeypatch):
+    """Of the pairs that are compared first, all are inside the SimHash radius of five-word
+    fingerprints, and they join what all pairs inside it join; links of 0.8 come out of these."""
+    seen, inside = [], copies._inside
+    monkeypatch.setattr(copies, "_inside", lambda pairs, nodes: seen.append((pairs, nodes)) or inside(pairs, nodes))
+    base = [f"w{i}" for i in range(400)]
+    near = [(k, " ".join(base[:k] + ["new"] + base[k + 1:])) for k in range(0, 400, 40)]
+    docs = spark.createDataFrame([*near, (900, None), (901, "a b"), (902, "other words only")], "doc_id long, text string")
+    assert copies.keep_one(docs).count() == 4
+    pairs, nodes = seen[0]
+    fp = {r["id"]: np.uint64(r["fp"] & (2**64 - 1)) for r in nodes.collect()}
+    texts = {r["id"]: r["key"].split(":")[0] for r in nodes.collect()}
+    body = {str(k): t for k, t in docs.collect()}
+    assert all(int(fp[i]) == simhash.fingerprint(body[d], copies.SHINGLE) % 2**64 for i, d in texts.items())
+    close = lambda a, b: int(np.bitwise_count(fp[a] ^ fp[b])) <= simhash.RADIUS
+    got = {(r["left"], r["right"]) for r in pairs.collect()}
+    want = {(a, b) for a in fp for b in fp if a < b and close(a, b)}
+    assert got and got <= want
+    root = lambda edges: _joined(sorted(fp), edges)
+    assert root(got) == root(want)
+
+
+def _joined(nodes, edges):
+    part = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            part[a] = part[b] = min(part[a], part[b])
+    return part
+
+
 def test_copies_of_the_pipeline_equal_brute_force(spark, odd, monkeypatch):
     import corpus_pipeline
     rnd, texts = random.Random(12), []
