@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scale import lookup
 from ..session import shared_folder
 
+# bytes of names sent to all tasks at most
+NAMES = 64 << 20
+
 
 def _cents(lineitem: DataFrame) -> Column:
     """Net amount in hundredths of a cent: whole numbers add up the same in any order."""
@@ -52,16 +55,26 @@ def event_exposure(event: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
         F.coalesce(F.col("_c") / 10000, F.lit(0.0)).alias("amount"))
 
 
+def _ordered(front: DataFrame) -> tuple[DataFrame, bool]:
+    """``node, _no``: the distinct nodes, numbered in the order of their names; and whether
+    all tasks can hold them."""
+    nodes = (front.select("node").distinct().orderBy("node")
+             .withColumn("_no", F.monotonically_increasing_id()).checkpoint())
+    return nodes, (nodes.agg(F.sum(F.octet_length("node") + 24)).first()[0] or 0) <= NAMES
+
+
 def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """Where chains of one to ``hops`` links lead from each start: ``start, node, hop,
     n_paths, via``, one row for each start, node and number of links, with the number of
     different chains and the smallest node before the last.
 
     ``edges``: ``source, target``, repeated ones count once; ``starts``: ``start``. Each round
-    joins the rows of the last one to the links and folds chains that meet, so a node that
-    many chains pass is one row per start and goes on as one. Links of frequent nodes are
-    salted, and every round is cut off in the shared folder. Loops are followed as far as
-    ``hops`` allows; null ends link nothing.
+    joins the rows of the last one to the links of the nodes they reached and folds chains that
+    meet, so a node that many chains pass is one row per start and goes on as one. The smallest
+    node before the last is found by its number in the order of names: Spark folds numbers by
+    hashing, texts only by sorting. Links of frequent nodes are salted, and every round is cut
+    off in the shared folder. Loops are followed as far as ``hops`` allows; null ends link
+    nothing.
     """
     shared_folder(edges.sparkSession)
     links = edges.filter("source is not null and target is not null").select(F.col("source").alias("node"), "target").distinct().checkpoint()
@@ -69,9 +82,13 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     front = first.select("start", F.col("start").alias("node"), F.lit(1).cast("bigint").alias("n_paths"))
     found = None
     for hop in range(1, hops + 1):
-        met = lookup(front.withColumnRenamed("node", "_from").withColumn("node", F.col("_from")), links, ["node"], ["start"], "inner")
-        front = (met.groupBy("start", F.col("target").alias("node"))
-                 .agg(F.sum("n_paths").alias("n_paths"), F.min("_from").alias("via")).withColumn("hop", F.lit(hop)).checkpoint())
+        nodes, held = _ordered(front)
+        nodes = F.broadcast(nodes) if held else nodes
+        met = lookup(front, links.join(nodes, "node"), ["node"], ["start"], "inner")
+        folded = met.groupBy("start", "target").agg(F.sum("n_paths").alias("n_paths"), F.min("_no").alias("_no"))
+        names = nodes.select("_no", F.col("node").alias("via"))
+        named = folded.join(names, "_no") if held else lookup(folded.checkpoint(), names, ["_no"], ["start", "target"], "inner")
+        front = named.select("start", F.col("target").alias("node"), "n_paths", "via", F.lit(hop).alias("hop")).checkpoint()
         found = front if found is None else found.unionByName(front)
         front = front.select("start", "node", "n_paths")
     return found.select("start", "node", "hop", "n_paths", "via")

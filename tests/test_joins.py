@@ -176,6 +176,27 @@ def test_reach_equals_walks(spark, rows):
     assert rows(got) == sorted(((*k, *v) for k, v in want.items()), key=repr)
 
 
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_chains_fold_by_hashing(spark, rows, monkeypatch, held):
+    """No round sorts its chains to find the smallest node, whether nodes go to all tasks or not."""
+    monkeypatch.setattr(chain, "NAMES", held)
+    plans, frame = [], type(spark.range(0))
+    kept = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or kept(df, *a))
+    links = [(f"a{i}", f"b{i * j % 11}") for i in range(9) for j in (1, 2, 3)] + [(f"b{i}", f"c{i % 2}") for i in range(11)]
+    got = rows(chain.reach(spark.createDataFrame(links, "source string, target string"),
+                           spark.createDataFrame([("a3",), ("a5",)], "start string"), 2))
+    want = {}
+    for s in ("a3", "a5"):
+        for _, b in {x for x in links if x[0] == s}:
+            want[s, b, 1] = (1, s)
+            for _, c in {x for x in links if x[0] == b}:
+                n, low = want.get((s, c, 2), (0, "~"))
+                want[s, c, 2] = n + 1, min(low, b)
+    assert got == sorted(((*k, *v) for k, v in want.items()), key=repr)
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
 def test_claims_read_each_text_twice(spark):
     """Once to count words and once to weigh them, whatever is asked of the claims."""
     read = spark.sparkContext.accumulator(0)
