@@ -7,6 +7,10 @@ out anew when another one comes. An event delivered twice counts once; one behin
 dropped. Steps that ``ALLOWED`` does not name are refused and counted, so nothing leaves
 TERMINAL and nothing jumps from OK to FAILED. A task that waits for its retry longer than
 the given time has failed.
+
+Every read and write of state is a call from Python to the store, which takes far longer than
+a step. So the same task of ``BUNDLE`` companies with numbers in a row is kept under one key;
+the tasks of one company stay spread over as many keys as it has tasks.
 """
 
 from __future__ import annotations
@@ -31,10 +35,15 @@ ALLOWED = {
 # states that count as a failed try
 TRIES = ("FAILED", "RETRY_WAIT")
 KEYS = ["company_id", "phase_idx", "task_dir"]
+# companies with numbers in a row whose tasks of one phase and folder share a state
+BUNDLE = 32
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_BASE = "status string, since bigint, attempts bigint, refused bigint, expired bigint, micros bigint, event_id bigint"
-_EVENT = "micros bigint, event_id bigint, status string"
+_BASE = ["company_id", "status", "since", "attempts", "refused", "expired", "micros", "event_id"]
+_EVENT = ["company_id", "micros", "event_id", "status"]
+# columns of all bases and of all events ahead of them, each an array: one value in the store
+_TASKS = ", ".join(f"{part}_{c} array<{'string' if c == 'status' else 'bigint'}>"
+                   for part, names in (("base", _BASE), ("ahead", _EVENT)) for c in names)
 _OUT = ("company_id bigint, phase_idx int, task_dir string, status string, since bigint, attempts bigint, "
         "refused bigint, expired bigint")
 _ROW = Row(*KEYS, "status", "since", "attempts", "refused", "expired")
@@ -61,48 +70,72 @@ def step(state: tuple, event: tuple, wait: int) -> tuple:
     return new, since, attempts, refused, expired, micros, event_id
 
 
+def fold(base: tuple, ahead: list[tuple], wait: int) -> tuple:
+    """The state after the events ahead of the base."""
+    for event in ahead:
+        base = step(base, event, wait)
+    return base
+
+
+def settle(base: tuple, ahead: list[tuple], new: set[tuple], mark: int, wait: int) -> tuple[tuple, list[tuple]]:
+    """Base and events ahead of it, after new events and with the watermark at ``mark``."""
+    order = sorted(e for e in new.union(ahead) if e[:2] > base[5:7])
+    base = fold(base, [e for e in order if e[0] <= mark], wait)
+    return expire(base, wait, mark), [e for e in order if e[0] > mark]
+
+
+def _columns(rows: list[tuple], n: int) -> list[list]:
+    return [list(c) for c in zip(*rows)] if rows else [[]] * n
+
+
 class TaskMachine(StatefulProcessor):
-    """State of one task: ``base`` as of the watermark, ``ahead`` the events after it."""
+    """State of one bundle: of each company's task its base as of the watermark, and the
+    events ahead of it."""
 
     def __init__(self, wait: int):
         self.wait = wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.base = handle.getValueState("base", _BASE)
-        self.ahead = handle.getListState("ahead", _EVENT)
-
-    def _told(self, key: tuple, new: set[tuple], mark: int) -> Iterator[Row]:
-        """Fold what lies behind the watermark, keep the rest, and tell the state."""
-        known, kept = self.base.get(), {tuple(e) for e in self.ahead.get()}
-        base = tuple(known) if known else _START
-        order = sorted(e for e in kept | new if e[:2] > base[5:7])
-        for event in (e for e in order if e[0] <= mark):
-            base = step(base, event, self.wait)
-        ahead = [e for e in order if e[0] > mark]
-        base = expire(base, self.wait, mark)
-        if base != _START:
-            self.base.update(base)
-        if ahead:
-            self.ahead.put(ahead)
-        elif kept:
-            self.ahead.clear()
-        state = base
-        for event in ahead:
-            state = step(state, event, self.wait)
-        if known or kept:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-        if state[0] == "RETRY_WAIT":  # wake up when the wait is over
-            self.handle.registerTimer(-(-(state[1] + self.wait) // 1000))
-        yield _ROW(*key, *state[:5])
+        self.tasks = handle.getValueState("tasks", _TASKS)
+
+    def _told(self, key: tuple, new: dict[int, set[tuple]], mark: int) -> Iterator[Row]:
+        """Fold what lies behind the watermark, keep the rest, and tell the tasks that had
+        events or whose wait is over."""
+        held = self.tasks.get()
+        columns = held or ([],) * (len(_BASE) + len(_EVENT))
+        known = {company: tuple(base) for company, *base in zip(*columns[:len(_BASE)])}
+        kept: dict[int, list[tuple]] = {}
+        for company, *event in zip(*columns[len(_BASE):]):
+            kept.setdefault(company, []).append(tuple(event))
+        bases, aheads, due = [], [], None
+        for company in {**known, **kept, **new}:
+            old, before = known.get(company, _START), kept.get(company, [])
+            base, ahead = settle(old, before, new.get(company, set()), mark, self.wait)
+            if base != _START:
+                bases.append((company, *base))
+            aheads += [(company, *event) for event in ahead]
+            state = fold(base, ahead, self.wait)
+            if state[0] == "RETRY_WAIT":
+                over = state[1] + self.wait
+                due = over if due is None else min(due, over)
+            if company in new or state[:5] != fold(old, before, self.wait)[:5]:
+                yield _ROW(company, *key[1:], *state[:5])
+        self.tasks.update((*_columns(bases, len(_BASE)), *_columns(aheads, len(_EVENT))))
+        if held:
+            for past in list(self.handle.listTimers()):
+                self.handle.deleteTimer(past)
+        if due is not None:  # wake up when the first wait is over
+            self.handle.registerTimer(-(-due // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = {(r["micros"], r["event_id"], r["status"]) for r in rows}
+        new: dict[int, set[tuple]] = {}
+        for r in rows:
+            new.setdefault(r["company_id"], set()).add((r["micros"], r["event_id"], r["status"]))
         yield from self._told(tuple(key), new, max(-1, timerValues.getCurrentWatermarkInMs()) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._told(tuple(key), set(), timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._told(tuple(key), {}, timerValues.getCurrentWatermarkInMs() * 1000)
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -122,8 +155,8 @@ def task_machine(stream: DataFrame, within: str, wait_seconds: int) -> DataFrame
     may keep waiting."""
     timed = (stream.filter("ts is not null and status is not null")
              .withColumn("_event_time", F.col("ts").cast("timestamp")).withWatermark("_event_time", within)
-             .select(*KEYS, "_event_time", F.unix_micros("_event_time").alias("micros"), "event_id", "status"))
-    return timed.groupBy(*KEYS).transformWithState(
+             .select(F.expr(f"company_id div {BUNDLE}").alias("_bundle"), *KEYS, "_event_time", F.unix_micros("_event_time").alias("micros"), "event_id", "status"))
+    return timed.groupBy("_bundle", *KEYS[1:]).transformWithState(
         TaskMachine(wait_seconds * 1_000_000), _OUT, "Update", "EventTime")
 
 

@@ -92,6 +92,27 @@ def test_nothing_follows_an_end(spark, tmp_path):
     assert set(machine.KEYS) == {"company_id", "phase_idx", "task_dir"}
 
 
+def test_companies_in_a_row_share_a_state(spark, tmp_path):
+    """One task of 64 companies over two files: they share keys, every company is told by itself."""
+    rnd = random.Random(5)
+    told = [(c, 4, "KEYWORD/a", START + timedelta(hours=9 * k + c % 5), 100 * k + c, rnd.choice(list(machine.ALLOWED)[:5]))
+            for k in range(6) for c in range(64)]
+    feed(tmp_path, [told[:200], told[200:]])
+    own = machine.session(spark)
+    out = work_folder(spark, "t-machine")
+    state = machine.task_machine(files(own, str(tmp_path), "part-*.parquet", DDL, per_trigger=1), "1 hour", WAIT)
+    assert "_bundle" in state._jdf.queryExecution().analyzed().toString()
+    job = sinks.start(state, out, mode="update")
+    job.awaitTermination()
+    # a key holds one value, so it takes one call to read and one to write
+    assert all(not p["stateOperators"][0]["customMetrics"].get("numListStateVars", 0) for p in job.recentProgress)
+    rows = machine.current_tasks(sinks.current(spark, out, machine.KEYS)).select(
+        "company_id", "phase", "task_dir", "status", F.col("since").cast("timestamp_ntz").alias("since"), "attempts", "refused", "expired")
+    mark = max(e[3] for e in told) - timedelta(hours=1)
+    want = named(plain(told, mark))
+    assert sorted(tuple(r) for r in rows.collect()) == want and any(r[-1] for r in want)
+
+
 def test_a_board_task_stays_ended(spark):
     from riskboard.operators.tasks import task_state
     ddl = "company_id bigint, phase_idx int, task_dir string, ts timestamp_ntz, event_id bigint, status string, error_code string"
