@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.scale import components, lookup, top_k
+from ..functions.scale import components, fits, lookup, top_k
 from ..functions.text import norm_name
-from ..session import shared_folder
+from ..session import shared_folder, small_batches
+from . import segments
 
 
 # tokens in a group, and the share of groups that near copies have in common
 SHINGLE = 5
 SIMILAR = 0.8
+# ids of a list that is sent to every task at most
+LISTED = 1_000_000
 
 
 def rank_accounts(account: DataFrame, k: int) -> DataFrame:
@@ -101,68 +104,81 @@ def align_entities(member: DataFrame) -> DataFrame:
 
 
 def _groups(text: str) -> tuple[Column, Column]:
-    """Tokens, and the distinct hashed groups of ``SHINGLE`` tokens (of ``_w``); fewer
+    """Tokens, and the distinct hashed groups of ``SHINGLE`` tokens (of ``_w``), sorted; fewer
     tokens make one group. Letters of scripts written without blanks are tokens of their
     own."""
     spaced = F.regexp_replace(F.lower(text), r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])", " $1 ")
     words = F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - SHINGLE + 1, F.lit(1)))
-    return words, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, SHINGLE), " "))))
+    return words, F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, SHINGLE), " ")))))
 
 
 def _hashed(text: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, groups`` of all texts that hold a token."""
     words, groups = _groups(text_col)
-    return (text.select(id_col, words.alias("_w")).filter(F.size("_w") > 0)
+    return (text.filter(F.col(id_col).isNotNull()).select(id_col, words.alias("_w")).filter(F.size("_w") > 0)
             .select(id_col, groups.alias("groups")))
 
 
-def rare_groups(hashed: DataFrame, id_col: str, threshold: float = SIMILAR) -> DataFrame:
-    """``id, _g``: of each text the rarest of its groups, as many as two texts of the
-    threshold's similarity cannot both have without sharing one of them (n - threshold * n
-    + 1 of n, in one order of all groups). Groups of a single text are counted, not returned."""
-    each = hashed.select(id_col, F.size("groups").alias("_size"), F.explode("groups").alias("_g"))
-    many = each.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    shared = (lookup(each, many, ["_g"], [id_col], "inner").groupBy(id_col)
-              .agg(F.max("_size").alias("_size"), F.array_sort(F.collect_list(F.struct("_n", "_g"))).alias("_shared")))
-    alone = F.col("_size") - F.size("_shared")
-    # a little less than the exact product: rounding may only lengthen the list
-    least = F.ceil(threshold * F.col("_size") - 1e-6)
-    taken = F.greatest(F.col("_size") - least + 1 - alone, F.lit(0)).cast("int")
-    return shared.select(id_col, F.explode(F.slice("_shared", 1, taken)["_g"]).alias("_g"))
+def _listed(ids: DataFrame) -> DataFrame:
+    """A list of ids to keep or leave out rows by. While it is short every task gets it, so
+    that the rows, whole sets, stay where they are."""
+    return F.broadcast(ids) if fits(ids, LISTED) else ids
+
+
+def same_sets(hashed: DataFrame, id_col: str) -> DataFrame:
+    """Links ``left, right`` of each text to the first one with the same groups; 128 bits
+    stand for them."""
+    told = hashed.select(id_col, F.xxhash64("groups").alias("_one"), F.xxhash64(F.lit(1), "groups").alias("_two"))
+    first = told.groupBy("_one", "_two").agg(F.min(id_col).alias("left"), F.max(id_col).alias("_high")).filter("left < _high")
+    return (lookup(told, first, ["_one", "_two"], [id_col], "inner").select("left", F.col(id_col).alias("right"))
+            .filter("left < right").distinct())
+
+
+def shared_keys(sets: DataFrame, id_col: str, threshold: float = SIMILAR) -> DataFrame:
+    """``_g, id, left``: the segment keys that several texts have, and the first text of each.
+    A key holds one row of a text that has dozens of keys, so no key outgrows a partition."""
+    own = Window.partitionBy("_g")
+    return (segments.filed(sets, id_col, "groups", threshold)
+            .withColumns({"left": F.min(id_col).over(own), "_high": F.max(id_col).over(own)})
+            .filter("left < _high").select("_g", id_col, "left"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``left, right`` whose sets (``_id, _set``) have the threshold's share in common."""
+    """Pairs ``left, right`` whose sets (``_id, _set``) have the threshold's share in common.
+    Only sets of pairs that their prints allow leave their place."""
+    def asked(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("left", "right")).alias("_id")).distinct().checkpoint()
+        return sets.join(_listed(ids), "_id", "left_semi")
+    pairs = segments.near(pairs, segments.prints(asked(pairs), "_id", "_set").checkpoint(), threshold).checkpoint()
+    sets = asked(pairs).checkpoint()
     both = (pairs.join(sets.withColumnsRenamed({"_id": "left", "_set": "_a"}), "left")
             .join(sets.withColumnsRenamed({"_id": "right", "_set": "_b"}), "right"))
     common = F.size(F.array_intersect("_a", "_b"))
     return both.filter(common >= threshold * (F.size("_a") + F.size("_b") - common)).select("left", "right")
 
 
-def joining_links(rare: DataFrame, sets: DataFrame, id_col: str, threshold: float = SIMILAR) -> DataFrame:
+def joining_links(shared: DataFrame, sets: DataFrame, id_col: str, threshold: float = SIMILAR) -> DataFrame:
     """Checked links ``left, right`` that join whatever is joined by all links between texts
-    that share a rare group (``id, _g``). ``sets``: ``_id, _set`` of the texts.
+    that share a key (``_g, id`` and its first text ``left``). ``sets``: ``_id, _set`` of the texts.
 
-    1. Each text is compared with the first text of each of its rare groups, so the copies
-       of one text make one comparison each.
-    2. Texts of a rare group that are not joined yet are compared with each other, all of
+    1. Each text is compared with the first text of each of its keys, so the near copies of
+       one text make one comparison each.
+    2. Texts of a key that are not joined yet are compared with each other, all of
        them: whatever fails with the first text still meets every text it may be linked to.
     """
-    first = (rare.groupBy("_g").agg(F.min(id_col).alias("left"), F.max(id_col).alias("_high"))
-             .filter("left < _high").select("_g", "left"))
-    pairs = (lookup(rare.withColumnRenamed(id_col, "right"), first, ["_g"], ["right"], "inner")
-             .filter("left < right").select("left", "right").distinct())
+    pairs = shared.withColumnRenamed(id_col, "right").filter("left < right").select("left", "right").distinct().checkpoint()
     begun = _checked(pairs, sets, threshold).checkpoint()
     ends = begun.select(F.explode(F.array("left", "right")).alias(id_col), F.xxhash64("left", "right").alias("_link"))
-    named = rare.join(components(ends, id_col, "_link", keep_single=False), id_col, "left").select(
+    named = shared.join(components(ends, id_col, "_link", keep_single=False), id_col, "left").select(
         "_g", id_col, F.coalesce("component", id_col).alias("_root"))
     mixed = (named.groupBy("_g").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
              .filter("_low < _high").select("_g"))
     apart = lookup(named, mixed, ["_g"], [id_col], "inner").select("_g", id_col, "_root").checkpoint()
     other = apart.select("_g", F.col(id_col).alias("_other"), F.col("_root").alias("_apart"))
     rest = (apart.join(other, "_g").filter("_root < _apart")
-            .select(F.least(id_col, "_other").alias("left"), F.greatest(id_col, "_other").alias("right")).distinct())
+            .select(F.least(id_col, "_other").alias("left"), F.greatest(id_col, "_other").alias("right")).distinct()
+            .join(pairs, ["left", "right"], "left_anti").checkpoint())
     return begun.unionByName(_checked(rest, sets, threshold))
 
 
@@ -170,9 +186,13 @@ def copy_links(text: DataFrame, id_col: str, text_col: str, threshold: float = S
     """Checked links ``left, right`` between texts that have at least the ``threshold`` of
     their groups in common: enough of them to join whatever all such links join."""
     shared_folder(text.sparkSession)
+    small_batches(text.sparkSession)
     hashed = _hashed(text, id_col, text_col).checkpoint()  # hashed once, read several times
-    rare = rare_groups(hashed, id_col, threshold).checkpoint()
-    return joining_links(rare, hashed.select(F.col(id_col).alias("_id"), F.col("groups").alias("_set")), id_col, threshold)
+    same = same_sets(hashed, id_col).checkpoint()
+    own = hashed.join(_listed(same.select(F.col("right").alias(id_col))), id_col, "left_anti")
+    shared = shared_keys(own, id_col, threshold).checkpoint()
+    sets = hashed.select(F.col(id_col).alias("_id"), F.col("groups").alias("_set"))
+    return same.unionByName(joining_links(shared, sets, id_col, threshold))
 
 
 def copy_groups(text: DataFrame, id_col: str, text_col: str, threshold: float = SIMILAR) -> DataFrame:

@@ -3,11 +3,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskboard.functions import scale
-from riskboard.operators import board, chain, entities, evidence, keys, review, screening, search, tasks
+from riskboard.operators import board, chain, entities, evidence, keys, review, screening, search, segments, tasks
 
 
 @pytest.fixture(scope="module")
@@ -208,6 +209,46 @@ def test_copy_groups_of_a_template_family(spark, rows):
     assert rows(entities.copy_groups(df, "id", "body")) == sorted(want, key=repr)
 
 
+def test_copies_send_only_sets_that_are_alike(spark, rows):
+    """Texts made of passages that many others hold have no rare group and meet by the hundred;
+    their prints tell them apart before sets are sent."""
+    rnd = random.Random(5)
+    passages = [" ".join(f"p{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(40)]
+    texts = [(k, " ".join(rnd.sample(passages, 10))) for k in range(300)]
+    texts += [(1000 + k, f"{texts[k][1]} more") for k in range(10)]
+    df = spark.createDataFrame(texts, "id long, body string")
+    hashed = entities._hashed(df, "id", "body").checkpoint()
+    pairs = (hashed.select(F.col("id").alias("left"), F.explode("groups").alias("g"))
+             .join(hashed.select(F.col("id").alias("right"), F.explode("groups").alias("g")), "g")
+             .filter("left < right").select("left", "right").distinct().checkpoint())
+    assert pairs.count() > 10_000
+    near = segments.near(pairs, segments.prints(hashed, "id", "groups"), 0.8)
+    assert rows(near) == [(k, 1000 + k) for k in range(10)]
+    assert rows(entities.copy_groups(df, "id", "body")) == sorted(
+        [(x, k, 2) for k in range(10) for x in (k, 1000 + k)], key=repr)
+
+
+def test_segments_meet_at_the_share():
+    """All pairs at the share have a key in common and prints that allow it, sets whose
+    members fill one segment only included."""
+    rnd = np.random.default_rng(3)
+    met = 0
+    for size in [*range(1, 60), 300, 1000]:
+        for spread in (1, 5040 * 11 * 13 * 17 * 19 * 23):
+            for lost, new in ((0, size // 4), (size // 5, 0), (size // 9, size // 9), (size // 18, size // 10)):
+                a = np.unique(rnd.integers(0, 2**30, size)) * spread
+                b = np.unique(np.append(rnd.permutation(a)[lost:], (np.arange(new) + 2**30) * spread))
+                common = len(np.intersect1d(a, b))
+                if a.tobytes() == b.tobytes() or common < 0.8 * (len(a) + len(b) - common):
+                    continue
+                met += 1
+                told, whose = segments.keys(np.append(a, b), np.array([0, len(a), len(a) + len(b)]), 0.8)
+                assert set(told[whose == 0].tolist()) & set(told[whose == 1].tolist()), (size, spread, lost, new)
+                assert segments.within(segments.parity(a), segments.parity(b), len(a) + len(b) - 2 * common)
+    assert met > 200
+    assert not segments.within(segments.parity(np.arange(400) ** 3), segments.parity(np.arange(90) ** 5 + 7), 40)
+
+
 def test_domains_and_entities(spark, rows):
     from riskboard.functions.text import domain_of
     hosts = ["shop.aurum.com", "mail.aurum.com", "aurum.com", "shop.borea.com", "a.b.cinna.com.cn", "localhost"]
