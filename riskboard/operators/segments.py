@@ -7,9 +7,10 @@ than that, some are the same in both. So a key stands for all that a segment hol
 single member, it is hardly ever shared by chance, however many sets there are.
 
 Sizes are cut into classes of 1 / t. A pair meets at the class of its smaller set, so a set is
-filed at its own class and, if a set of the class below may be its partner, there too. Empty
-segments are no keys. A set with no more filled segments than members may differ has its least
-members for keys besides; a pair that no filled segment joins consists of two such sets.
+filed at its own class and, if a set of the class below may be its partner, there too. Segments
+that hold nothing but common members are no keys; which are common a sample tells. A set that is
+left with no more keys than members may differ has all its filled segments for keys, and its least
+members besides if these are no more either; a pair that no other key joins consists of two such sets.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # segments beyond the number of members that may differ: some are left empty
 SPARE, MORE = 0.15, 3
 # bits of the shortest print
 LEAST = 64
+# sets looked at for common members, and the number of these remembered
+SAMPLE, COMMON = 10_000, 100_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -46,8 +49,20 @@ def classes(threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.array(low[:-1]), np.array(high), np.array(apart)
 
 
-def keys(members: np.ndarray, bounds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sets ``members[bounds[k]:bounds[k + 1]]`` and the place of each one's set."""
+def common(sets: DataFrame, id_col: str, set_col: str) -> np.ndarray:
+    """Members that several sets of a sample hold, sorted."""
+    every = max(1, sets.count() // SAMPLE)
+    found = (sets.filter(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.explode(set_col).alias("g"))
+             .groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "g").limit(COMMON).toPandas())
+    return np.sort(found["g"].to_numpy(np.int64))
+
+
+def keys(members: np.ndarray, bounds: np.ndarray, threshold: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sets ``members[bounds[k]:bounds[k + 1]]`` and the place of each one's set;
+    ``known`` are the common members, sorted."""
+    rare = np.ones(len(members), bool)
+    if known is not None and len(known):
+        rare = known[np.minimum(np.searchsorted(known, members), len(known) - 1)] != members
     members = members.view(np.uint64)
     size = np.diff(bounds)
     low, high, apart = classes(threshold, int(size.max(initial=0)))
@@ -65,26 +80,31 @@ def keys(members: np.ndarray, bounds: np.ndarray, threshold: float) -> tuple[np.
         at = begin[of] + (value % parts[of].astype(np.uint64)).astype(np.int64)
         held = np.zeros(begin[-1], np.uint64)
         np.add.at(held, at, _mixed(value + _ODD[0]))
-        filled = np.zeros(begin[-1], bool)
+        filled, taken = np.zeros(begin[-1], bool), np.zeros(begin[-1], bool)
         filled[at] = True
+        taken[at[rare[part]]] = True
         of = np.repeat(np.arange(len(size)), parts)
+        few = filed & (np.bincount(of[taken], minlength=len(size)) <= apart[level])
+        taken |= filled & few[of]
         salt = _mixed(((level << 40)[of] + np.arange(begin[-1]) - begin[of]).astype(np.uint64))
-        told.append(_mixed(held + salt)[filled])
-        whose.append(of[filled])
+        told.append(_mixed(held + salt)[taken])
+        whose.append(of[taken])
         for k in np.flatnonzero(filed & (np.bincount(of[filled], minlength=len(size)) <= apart[level])):
-            taken = int(size[k] - np.ceil(threshold * size[k] - 1e-6)) + 1
-            told.append(_mixed(np.sort(members[bounds[k]:bounds[k + 1]])[:taken] + _mixed(np.uint64([level[k]])) + _ODD[1]))
-            whose.append(np.full(taken, k))
+            least = int(size[k] - np.ceil(threshold * size[k] - 1e-6)) + 1
+            told.append(_mixed(np.sort(members[bounds[k]:bounds[k + 1]])[:least] + _mixed(np.uint64([level[k]])) + _ODD[1]))
+            whose.append(np.full(least, k))
     return np.concatenate(told).view(np.int64), np.concatenate(whose)
 
 
 def filed(sets: DataFrame, id_col: str, set_col: str, threshold: float) -> DataFrame:
     """``_g, id``: the keys of all sets of 64-bit hashes."""
+    known = sets.sparkSession.sparkContext.broadcast(common(sets, id_col, set_col))
+
     def work(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrived:
             column = batch.column(set_col)
             bounds = np.asarray(column.offsets).astype(np.int64)
-            told, whose = keys(np.asarray(column.values)[bounds[0]:bounds[-1]], bounds - bounds[0], threshold)
+            told, whose = keys(np.asarray(column.values)[bounds[0]:bounds[-1]], bounds - bounds[0], threshold, known.value)
             ids = batch.column(id_col).take(pa.array(whose))
             for begin in range(0, len(told), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(told[begin:begin + 100_000]), ids.slice(begin, 100_000)], names=["_g", id_col])

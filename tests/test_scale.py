@@ -242,8 +242,9 @@ def test_segments_meet_at_the_share():
                 if a.tobytes() == b.tobytes() or common < 0.8 * (len(a) + len(b) - common):
                     continue
                 met += 1
-                told, whose = segments.keys(np.append(a, b), np.array([0, len(a), len(a) + len(b)]), 0.8)
-                assert set(told[whose == 0].tolist()) & set(told[whose == 1].tolist()), (size, spread, lost, new)
+                for known in (None, np.sort(a)[::3], np.sort(a)[::2], np.sort(a)):
+                    told, whose = segments.keys(np.append(a, b), np.array([0, len(a), len(a) + len(b)]), 0.8, known)
+                    assert set(told[whose == 0].tolist()) & set(told[whose == 1].tolist()), (size, spread, lost, new)
                 assert segments.within(segments.parity(a), segments.parity(b), len(a) + len(b) - 2 * common)
     assert met > 200
     assert not segments.within(segments.parity(np.arange(400) ** 3), segments.parity(np.arange(90) ** 5 + 7), 40)
