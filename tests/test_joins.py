@@ -117,6 +117,29 @@ def test_dictionary_forms_agree(spark, rows, monkeypatch, held):
     assert screening.screen_keywords(text.limit(0), table_of(spark, entries), "body", ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("plain, listed", [(1 << 20, 500), (0, 0)])  # hashes as they are and as bits; few short keywords and many
+def test_large_dictionaries_look_through_blocks(spark, monkeypatch, plain, listed):
+    """Beyond what a task may hold a text is not cut into all its runs, and each row has its own hits."""
+    monkeypatch.setattr(screening, "HELD", 0)
+    monkeypatch.setattr(screening, "LISTED", listed)
+    monkeypatch.setattr(screening, "PLAIN", plain, raising=False)
+    plans, frame = [], type(spark.range(0))
+    kept = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or kept(df, *a))
+    rnd = random.Random(12)
+    texts = [(k % 50 or None, "".join(rnd.choices("abé保 ", k=rnd.randrange(0, 150)))) for k in range(60)] + [(7, "ab" * 60), (7, "ab" * 60), (None, None)]
+    keys = set()
+    for _ in range(400):
+        t = rnd.choice(texts[:-1])[1] or "ab"
+        at, n = rnd.randrange(max(1, len(t))), rnd.randrange(1, 60)
+        keys |= {t[at:at + n], t[at:at + n] + rnd.choice("ab") * rnd.randrange(4)}
+    entries = [(k, c) for k in sorted(keys - {""}) for c in ("x", None)[:1 + len(k) % 2]]
+    got = screening.screen_keywords(spark.createDataFrame(texts, "key int, body string"), table_of(spark, entries), "body", ["key"])
+    want = sorted(((i, k, c) for i, t in texts if t is not None for k, c in entries if k in t), key=repr)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want and len(want) > 1000
+    assert not any("regexp_extract_all" in p for p in [*plans, got._jdf.queryExecution().toString()])
+
+
 def test_hundred_thousand_keywords(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").repartition(8)
