@@ -8,6 +8,9 @@ from ..session import shared_folder
 
 # A key with this share of the rows counts as hot.
 HOT_SHARE = 0.001
+# Hashes that tasks hold as they are, and bits (a power of two as an exponent) that mark more.
+PLAIN = 1 << 20
+MARKS = 28
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -111,6 +114,27 @@ def lookup(fact: DataFrame, dim: DataFrame, on: list[str], spread: list[str], ho
             .drop("_salt"))
 
 
+def marked(rows: DataFrame, value: str, known: DataFrame) -> DataFrame:
+    """The rows whose hash ``value`` may be among the hashes ``known`` (one column). Every task
+    holds these, or if they are many, at most ``2 ** MARKS`` bits, of which the low bits of each
+    known hash set one."""
+    known = known.toDF(value)
+    number = known.agg(F.approx_count_distinct(value)).first()[0]
+    if number <= PLAIN:
+        return rows.join(F.broadcast(known.distinct()), value, "left_semi")
+    low = F.col(value).bitwiseAND(F.lit((1 << min(MARKS, (64 * number).bit_length())) - 1).cast("bigint"))
+    words = known.select(F.shiftright(low, 6).alias("_word"), low.bitwiseAND(F.lit(63)).cast("int").alias("_bit")).groupBy(
+        "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))).alias("_v"))
+    # 64 words of 64 bits a row
+    marks = words.groupBy(F.shiftright("_word", 6).alias("_row")).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("_word").bitwiseAND(F.lit(63)).cast("int"), "_v"))).alias("_m")).select("_row", F.transform(
+            F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("bigint"))).alias("_words"))
+    word = F.get("_words", F.shiftright(low, 6).bitwiseAND(F.lit(63)).cast("int"))
+    bit = F.call_function("shiftright", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return (rows.withColumn("_row", F.shiftright(low, 12)).join(F.broadcast(marks), "_row")
+            .filter(bit == 1).select(*rows.columns))
+
+
 def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, since: str, values: list[str],
           order: list[str] | None = None) -> DataFrame:
     """Each row of ``left`` with the ``values`` of the last row of ``right`` that has the

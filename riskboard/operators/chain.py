@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scale import lookup
-from ..session import shared_folder
+from ..functions.scale import hot_keys, lookup, marked, replicated, salted
+from ..session import dropped, kept, shared_folder
 
 # bytes of names sent to all tasks at most
 NAMES = 64 << 20
@@ -55,12 +57,35 @@ def event_exposure(event: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
         F.coalesce(F.col("_c") / 10000, F.lit(0.0)).alias("amount"))
 
 
-def _ordered(front: DataFrame) -> tuple[DataFrame, bool]:
-    """``node, _no``: the distinct nodes, numbered in the order of their names; and whether
-    all tasks can hold them."""
-    nodes = (front.select("node").distinct().orderBy("node")
-             .withColumn("_no", F.monotonically_increasing_id()).checkpoint())
-    return nodes, (nodes.agg(F.sum(F.octet_length("node") + 24)).first()[0] or 0) <= NAMES
+def _ordered(names: DataFrame) -> tuple[DataFrame, bool]:
+    """``name, _no``: the distinct names, numbered without gaps in their order; and whether all
+    tasks can hold them."""
+    rows = (names.distinct().orderBy("name").withColumn("_part", F.spark_partition_id())
+            .withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint())
+    told = {r["_part"]: r for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("name") + 24).alias("bytes")).collect()}
+    before = [0, *accumulate(told[k]["n"] if k in told else 0 for k in range(max(told, default=0)))]
+    return (rows.select("name", (F.element_at(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("_part") + 1) + F.col("_k")).alias("_no")),
+            sum(r["bytes"] for r in told.values()) <= NAMES)
+
+
+def _links_of(links: DataFrame, layer: DataFrame, held: bool) -> DataFrame:
+    """``node, target``: the different links out of the nodes of a layer, by the nodes' numbers."""
+    names = layer.select(F.col("name").alias("source"), F.col("_no").alias("node"))
+    if held:
+        return links.join(F.broadcast(names), "source").select("node", "target").distinct()
+    own = marked(links.withColumn("_hash", F.xxhash64("source")), "_hash", names.select(F.xxhash64("source"))).select("source", "target")
+    hot = hot_keys(own, ["source"])
+    # repeated links meet where they meet their node: one shuffle for both
+    own = salted(own, ["source"], hot, ["target"]).repartition("source", "_salt").distinct()
+    return own.join(replicated(names, ["source"], hot).hint("shuffle_hash"), ["source", "_salt"]).select("node", "target")
+
+
+def _told(rows: DataFrame, column: str, layer: DataFrame, held: bool, by: str = "_no", to: str = "name") -> DataFrame:
+    """The rows with names instead of numbers in a column, or numbers instead of names."""
+    names = layer.select(F.col(by).alias(column), F.col(to).alias("_to"))
+    spread = [c for c in rows.columns if c != column]
+    met = rows.join(F.broadcast(names), column) if held else lookup(rows, names.hint("shuffle_hash"), [column], spread, "inner")
+    return met.drop(column).withColumnRenamed("_to", column)
 
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
@@ -70,25 +95,33 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 
     ``edges``: ``source, target``, repeated ones count once; ``starts``: ``start``. Each round
     joins the rows of the last one to the links of the nodes they reached and folds chains that
-    meet, so a node that many chains pass is one row per start and goes on as one. The smallest
-    node before the last is found by its number in the order of names: Spark folds numbers by
-    hashing, texts only by sorting. Links of frequent nodes are salted, and every round is cut
-    off in the shared folder. Loops are followed as far as ``hops`` allows; null ends link
+    meet, so a node that many chains pass is one row per start and goes on as one. The rounds
+    know nodes by their numbers in the order of names, those of each round by themselves: so the
+    smallest node before the last is folded by hashing, and what is shuffled and kept for the
+    next round, in compressed files of the shared folder, is narrow. Names come back with the
+    result, which is not written. Links of frequent nodes are salted; only links of nodes that
+    were reached are told apart. Loops are followed as far as ``hops`` allows; null ends link
     nothing.
     """
-    shared_folder(edges.sparkSession)
-    links = edges.filter("source is not null and target is not null").select(F.col("source").alias("node"), "target").distinct().checkpoint()
-    first = starts.filter("start is not null").select("start").distinct()
-    front = first.select("start", F.col("start").alias("node"), F.lit(1).cast("bigint").alias("n_paths"))
+    spark = edges.sparkSession
+    shared_folder(spark)
+    links, *passed = kept(edges.filter("source is not null and target is not null").select("source", "target"), "links")
+    first = layer = _ordered(starts.filter("start is not null").select(F.col("start").alias("name")))
+    front = layer[0].select(F.col("_no").alias("start"), F.col("_no").alias("node"), F.lit(1).cast("bigint").alias("n_paths"))
     found = None
     for hop in range(1, hops + 1):
-        nodes, held = _ordered(front)
-        nodes = F.broadcast(nodes) if held else nodes
-        met = lookup(front, links.join(nodes, "node"), ["node"], ["start"], "inner")
-        folded = met.groupBy("start", "target").agg(F.sum("n_paths").alias("n_paths"), F.min("_no").alias("_no"))
-        names = nodes.select("_no", F.col("node").alias("via"))
-        named = folded.join(names, "_no") if held else lookup(folded.checkpoint(), names, ["_no"], ["start", "target"], "inner")
-        front = named.select("start", F.col("target").alias("node"), "n_paths", "via", F.lit(hop).alias("hop")).checkpoint()
-        found = front if found is None else found.unionByName(front)
-        front = front.select("start", "node", "n_paths")
-    return found.select("start", "node", "hop", "n_paths", "via")
+        near, path = kept(_links_of(links, *layer), "near")
+        passed.append(path)
+        after = _ordered(near.select(F.col("target").alias("name")))
+        met = lookup(front, _told(near, "target", *after, by="name", to="_no"), ["node"], ["start"], "inner")
+        front, _ = kept(met.groupBy("start", "target").agg(F.sum("n_paths").alias("n_paths"), F.min("node").alias("via"))
+                        .withColumnRenamed("target", "node"), "front")
+        named = front.withColumn("hop", F.lit(hop))
+        for column, names in (("via", layer), ("node", after), ("start", first)):
+            named = _told(named, column, *names)
+        named = named.select("start", "node", "hop", "n_paths", "via")
+        found = named if found is None else found.unionByName(named)
+        front, layer = front.select("start", "node", "n_paths"), after
+    for path in passed:
+        dropped(spark, path)
+    return found

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.labels import is_degraded
-from ..functions.scale import lookup
+from ..functions.scale import lookup, marked
 from ..session import shared_folder
 
 # Entries of a list that may stand in the plan itself; more of them make a table.
@@ -14,13 +14,10 @@ LISTED = 500
 # A keyword is looked up by one of its runs of so many characters, the longest that it has
 # (a shorter one by itself).
 RUNS = (12, 4)
-# Texts and keywords that tell which runs are rare, bytes of a dictionary that every task may
-# hold, and bits (a power of two as an exponent) that mark the hashes of a larger one.
+# Texts and keywords that tell which runs are rare, and bytes of a dictionary that every task
+# may hold.
 SAMPLE, ENTRIES = 2_000, 20_000
 HELD = 64 << 20
-MARKS = 28
-# Hashes that tasks hold as they are; more are held as bits.
-PLAIN = 1 << 20
 # Bytes of the blocks into which texts are cut for a larger dictionary, longest first: whatever
 # has 2 n - 1 bytes holds a whole block of n wherever it stands.
 BLOCKS = (24, 9, 6, 4)
@@ -105,27 +102,6 @@ def _anchors(entries: DataFrame, low: DataFrame) -> DataFrame:
     return entries.join(best, "keyword")
 
 
-def _marked(rows: DataFrame, value: str, known: DataFrame) -> DataFrame:
-    """The rows whose hash ``value`` may be among the hashes ``known`` (one column). Every task
-    holds these, or if they are many, at most ``2 ** MARKS`` bits, of which the low bits of each
-    known hash set one."""
-    known = known.toDF(value)
-    number = known.agg(F.approx_count_distinct(value)).first()[0]
-    if number <= PLAIN:
-        return rows.join(F.broadcast(known.distinct()), value, "left_semi")
-    low = F.col(value).bitwiseAND(F.lit((1 << min(MARKS, (64 * number).bit_length())) - 1).cast("bigint"))
-    words = known.select(F.shiftright(low, 6).alias("_word"), low.bitwiseAND(F.lit(63)).cast("int").alias("_bit")).groupBy(
-        "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))).alias("_v"))
-    # 64 words of 64 bits a row
-    marks = words.groupBy(F.shiftright("_word", 6).alias("_row")).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("_word").bitwiseAND(F.lit(63)).cast("int"), "_v"))).alias("_m")).select("_row", F.transform(
-            F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("bigint"))).alias("_words"))
-    word = F.get("_words", F.shiftright(low, 6).bitwiseAND(F.lit(63)).cast("int"))
-    bit = F.call_function("shiftright", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    return (rows.withColumn("_row", F.shiftright(low, 12)).join(F.broadcast(marks), "_row")
-            .filter(bit == 1).select(*rows.columns))
-
-
 def _whole(named: DataFrame, words: DataFrame) -> DataFrame:
     """``named`` (with ``_bytes``) and ``_at``, ``_size``: where texts hold what may be one of
     ``words`` (``_word``, its ``_size`` and the ``_block`` for that).
@@ -149,14 +125,14 @@ def _whole(named: DataFrame, words: DataFrame) -> DataFrame:
     runs = named.withColumn("_code", F.explode(codes)).withColumns(
         {"_start": F.expr(f"cast(_code div {len(blocks)} as int)"), "_block": kind}).drop("_code")
     first = begins.withColumn("_start", F.explode(F.sequence(F.lit(0), block - 1)))
-    near = _marked(runs.withColumn("_run", part(start, block)), "_run", first.select(part(start, block)))
+    near = marked(runs.withColumn("_run", part(start, block)), "_run", first.select(part(start, block)))
     heads = near.withColumn("_back", F.explode(F.sequence(F.lit(0), F.least(start, block - 1)))).withColumn("_at", start - F.col("_back"))
-    heads = _marked(heads.withColumn("_run", part(F.col("_at"), 2 * block - 1)), "_run", begins.select(F.xxhash64("_bytes")))
+    heads = marked(heads.withColumn("_run", part(F.col("_at"), 2 * block - 1)), "_run", begins.select(F.xxhash64("_bytes")))
     each = F.array().cast("array<int>")
     for b in blocks:
         each = F.when(block == b, F.array(*[F.lit(k) for k in sizes[b]])).otherwise(each)
     ends = heads.withColumn("_size", F.explode(each))
-    found = _marked(ends.withColumn("_run", part(F.col("_at"), F.col("_size"))), "_run", words.select(F.xxhash64("_word")))
+    found = marked(ends.withColumn("_run", part(F.col("_at"), F.col("_size"))), "_run", words.select(F.xxhash64("_word")))
     return found.select(*named.columns, "_at", "_size")
 
 
@@ -180,7 +156,7 @@ def _met(low: DataFrame, entries: DataFrame, keep: list[str]) -> DataFrame:
         starts = F.when(F.octet_length("_bytes") >= n, F.sequence(F.lit(0), F.octet_length("_bytes") - n))
         runs = named.withColumn("_at", F.explode(starts)).withColumn("_run", F.xxhash64(F.substring("_bytes", F.col("_at") + 1, F.lit(n))))
         known = short.filter(size == n).select(F.xxhash64(F.col("keyword").cast("binary")))
-        found.append(_marked(runs, "_run", known).withColumn("_size", F.lit(n)).select(*named.columns, "_at", "_size"))
+        found.append(marked(runs, "_run", known).withColumn("_size", F.lit(n)).select(*named.columns, "_at", "_size"))
     out = _listed(low, sorted(((r["keyword"], r["category"]) for r in listed), key=repr) if few else [], keep)
     columns = [c for c in named.columns if c != "_bytes"]
     for hits in found:

@@ -83,12 +83,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table written below the shared folder, much smaller than a checkpoint, and its path."""
+    path = work_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def taken(df: DataFrame, folder: str) -> DataFrame:
     """The rows of a table below a work folder, kept in the checkpoint folder (which
     Spark's cleaner empties), after which the work folder is removed."""
     spark = df.sparkSession
     shared_folder(spark)
-    kept = df.checkpoint()
+    rows = df.checkpoint()
+    dropped(spark, folder)
+    return rows
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Remove a work folder that nothing asks for any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return kept

@@ -1,5 +1,6 @@
 """As-of joins, suffix rules, long dictionaries and chains against brute force."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -122,7 +123,7 @@ def test_large_dictionaries_look_through_blocks(spark, monkeypatch, plain, liste
     """Beyond what a task may hold a text is not cut into all its runs, and each row has its own hits."""
     monkeypatch.setattr(screening, "HELD", 0)
     monkeypatch.setattr(screening, "LISTED", listed)
-    monkeypatch.setattr(screening, "PLAIN", plain, raising=False)
+    monkeypatch.setattr(scale, "PLAIN", plain, raising=False)
     plans, frame = [], type(spark.range(0))
     kept = frame.checkpoint
     monkeypatch.setattr(frame, "checkpoint", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or kept(df, *a))
@@ -220,6 +221,35 @@ def test_chains_fold_by_hashing(spark, rows, monkeypatch, held):
     assert plans and not any("SortAggregate" in p for p in plans)
 
 
+@pytest.mark.parametrize("held, plain", [(1 << 20, 1 << 20), (0, 1 << 20), (0, 0)])
+def test_chains_are_kept_as_numbers(spark, rows, monkeypatch, held, plain):
+    """No round writes its chains by names, nor tells all links apart; files of links go again."""
+    monkeypatch.setattr(chain, "NAMES", held)
+    monkeypatch.setattr(scale, "PLAIN", plain, raising=False)
+    monkeypatch.setattr(scale, "HOT_SHARE", 0.05)
+    monkeypatch.setattr(scale, "_bytes", lambda df: float("inf"))  # as if all were large: frequent nodes are salted
+    written, removed, frame = [], [], type(spark.range(0))
+    cut, done = frame.checkpoint, chain.__dict__.get("dropped")
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a: written.append(df.columns) or cut(df, *a))
+    monkeypatch.setattr(chain, "dropped", lambda s, path: removed.append(path) or done(s, path), raising=False)
+    rnd = random.Random(4)
+    links = [(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(90)] + [("n1", f"n{k}") for k in range(40)] * 3 + [
+        (None, "n1"), ("n1", None)]
+    starts = ["n1", "n2", "n10", "n1", "gone", None]
+    want = {}
+    for start in {s for s in starts if s}:
+        walks = [(start, None)]
+        for hop in range(1, 4):
+            walks = [(b, a) for node, _ in walks for a, b in {x for x in links if None not in x} if a == node]
+            for node, via in walks:
+                n, low = want.get((start, node, hop), (0, "~"))
+                want[start, node, hop] = n + 1, min(low, via)
+    got = chain.reach(spark.createDataFrame(links, "source string, target string"), spark.createDataFrame([(s,) for s in starts], "start string"), 3)
+    assert rows(got) == sorted(((*k, *v) for k, v in want.items()), key=repr)
+    assert written and not any("n_paths" in c or "target" in c for c in written)
+    assert len(removed) == 4 and not any(os.path.exists(p.removeprefix("file:")) for p in removed)
+
+
 def test_claims_read_each_text_twice(spark):
     """Once to count words and once to weigh them, whatever is asked of the claims."""
     read = spark.sparkContext.accumulator(0)
