@@ -11,14 +11,9 @@ from ..session import shared_folder
 
 # Entries of a list that may stand in the plan itself; more of them make a table.
 LISTED = 500
-# A keyword is looked up by one of its runs of so many characters, the longest that it has
-# (a shorter one by itself).
-RUNS = (12, 4)
-# Texts and keywords that tell which runs are rare, and bytes of a dictionary that every task
-# may hold.
-SAMPLE, ENTRIES = 2_000, 20_000
+# Bytes of a dictionary that every task may hold.
 HELD = 64 << 20
-# Bytes of the blocks into which texts are cut for a larger dictionary, longest first: whatever
+# Bytes of the blocks into which texts are cut for a table of keywords, longest first: whatever
 # has 2 n - 1 bytes holds a whole block of n wherever it stands.
 BLOCKS = (24, 9, 6, 4)
 
@@ -28,12 +23,10 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
     """Every (text, keyword) pair where the whole text holds the keyword, in any case.
 
     ``words`` is a list of (keyword, category) or a table ``keyword, category``; empty
-    keywords match nothing. A short list is looked up text by text. Of a table each keyword
-    is filed under its rarest run of 12 characters (of 4, if it is shorter); a text's own
-    runs are joined to those, and ``contains`` decides. So a text is read once whatever the
-    length of the dictionary, and only compared with keywords it may hold. That dictionary goes
-    to the texts where its measured size allows; beyond that texts are looked through block by
-    block, see ``_met``.
+    keywords match nothing. A short list is looked up text by text. For a table texts are looked
+    through block by block, see ``_met``: so a text is read once whatever the length of the
+    dictionary, and only what is left as a whole word meets the dictionary. That goes to all tasks
+    where its measured size allows.
     """
     spark = text.sparkSession
     low = text.select(*keep, F.lower(text_col).alias("_low"))
@@ -44,17 +37,7 @@ def screen_keywords(text: DataFrame, words: DataFrame | list[tuple[str, str]], t
         words = spark.createDataFrame(pairs, "keyword string, category string")
     entries = words.select(F.lower("keyword").alias("keyword"), "category").filter("keyword <> ''").distinct()
     shared_folder(spark)
-    entries = entries.checkpoint()
-    told = entries.agg(F.sum(F.octet_length("keyword") + F.octet_length(F.coalesce("category", F.lit(""))) + 64).alias("bytes"),
-                       F.collect_set(_size(F.col("keyword"))).alias("sizes")).first()
-    if (told["bytes"] or 0) > HELD:
-        return _met(low, entries, keep)
-    anchors = _anchors(entries, low).checkpoint()
-    # every run of the lengths that keywords are filed under, as hashes
-    runs = [F.transform(_runs(F.col("_low"), k), lambda r: F.xxhash64(r)) for k in sorted(told["sizes"] or [])]
-    own = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<bigint>")
-    found = low.select(*keep, "_low", F.explode(own).alias("_run")).join(F.broadcast(anchors), "_run")
-    return found.filter(F.contains("_low", F.col("keyword"))).select(*keep, "keyword", "category")
+    return _met(low, entries.checkpoint(), keep)
 
 
 def _listed(low: DataFrame, pairs: list[tuple[str, str]], keep: list[str]) -> DataFrame:
@@ -65,43 +48,6 @@ def _listed(low: DataFrame, pairs: list[tuple[str, str]], keep: list[str]) -> Da
     return low.select(*keep, F.inline(hits))
 
 
-def _runs(text: Column, size: int) -> Column:
-    """Every run of ``size`` characters, one beginning at each character."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-
-def _size(keyword: Column) -> Column:
-    """Length of the runs that a keyword is filed under."""
-    size = F.length(keyword)
-    for n in reversed(RUNS):
-        size = F.when(F.length(keyword) >= n, F.lit(n)).otherwise(size)
-    return size
-
-
-def _all_runs(text: Column) -> Column:
-    """The runs of every length that longer keywords may be filed under."""
-    return F.array_distinct(F.concat(*[_runs(text, n) for n in RUNS]))
-
-
-def _anchors(entries: DataFrame, low: DataFrame) -> DataFrame:
-    """The entries with ``_run``, the hash of the run that fewest texts of a sample hold, and
-    of these the one that fewest keywords of a sample share."""
-    keyword = F.col("keyword")
-    runs = F.array(keyword)
-    for n in reversed(RUNS):
-        runs = F.when(F.length(keyword) >= n, _runs(keyword, n)).otherwise(runs)
-    each = entries.select("keyword").distinct().select("keyword", F.explode(F.array_distinct(runs)).alias("_text"))
-    texts = low.limit(SAMPLE).select(F.explode(_all_runs(F.col("_low"))).alias("_text"), F.lit(1).alias("_n"), F.lit(0).alias("_m"))
-    words = entries.limit(ENTRIES).select(F.explode(_all_runs(keyword)).alias("_text"), F.lit(0).alias("_n"), F.lit(1).alias("_m"))
-    # sums map-side; only runs of a sampled text, or of several sampled keywords, tell anything
-    seen = (texts.unionByName(words).groupBy("_text").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
-            .filter("_n > 0 or _m > 1"))
-    rare = [F.coalesce(c, F.lit(0)) for c in ("_n", "_m")]
-    order = F.struct(*rare, F.xxhash64("_text", "keyword"), "_text")
-    best = each.join(seen, "_text", "left").groupBy("keyword").agg(F.xxhash64(F.min_by("_text", order)).alias("_run"))
-    return entries.join(best, "keyword")
-
-
 def _whole(named: DataFrame, words: DataFrame) -> DataFrame:
     """``named`` (with ``_bytes``) and ``_at``, ``_size``: where texts hold what may be one of
     ``words`` (``_word``, its ``_size`` and the ``_block`` for that).
@@ -142,6 +88,7 @@ def _met(low: DataFrame, entries: DataFrame, keep: list[str]) -> DataFrame:
     sizes. What may be a keyword meets the dictionary as a whole, each text by a number of its
     own."""
     size, least = F.octet_length("keyword"), 2 * BLOCKS[-1] - 1
+    held = (entries.agg(F.sum(size + F.octet_length(F.coalesce("category", F.lit(""))) + 64)).first()[0] or 0) <= HELD
     short = entries.filter(size < least)
     listed = short.limit(LISTED + 1).collect()
     few = len(listed) <= LISTED
@@ -163,7 +110,7 @@ def _met(low: DataFrame, entries: DataFrame, keep: list[str]) -> DataFrame:
         keyword = F.substring("_bytes", F.col("_at") + 1, F.col("_size")).cast("string").alias("keyword")
         # read once more for frequent keywords: kept, so that texts are cut once
         hits = hits.select(*columns, keyword).distinct().checkpoint()
-        met = lookup(hits, entries, ["keyword"], ["_id"], "inner")
+        met = hits.join(F.broadcast(entries), "keyword") if held else lookup(hits, entries, ["keyword"], ["_id"], "inner")
         out = out.unionByName(met.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)], "keyword", "category"))
     return out
 
